@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -25,13 +26,20 @@ class Entry:
 ENTRIES: dict[str, Entry] = {}
 
 
+def as_doubles(sql: str) -> str:
+    """Spell decimal literals outside quotes as doubles (``0.5`` -> ``0.5e0``)."""
+    parts = sql.split("'")
+    parts[::2] = [re.sub(r"(?<![\w.])(\d+\.\d+)(?![\w.])", r"\1e0", part) for part in parts[::2]]
+    return "'".join(parts)
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Build], Build]:
     """Register ``build`` under ``name``; ``sql`` is the independent statement it is checked with."""
 
     def wrap(build: Build) -> Build:
         if name in ENTRIES:
             raise ValueError(f"query {name} registered twice")
-        ENTRIES[name] = Entry(name, build, sql)
+        ENTRIES[name] = Entry(name, build, as_doubles(sql) if sql else None)
         return build
 
     return wrap
