@@ -120,3 +120,62 @@ ARID_NDVI_MAX = 0.1
 # Answer wording.
 MAGNITUDE_BANDS = ((0, "none"), (10, "a few"), (50, "dozens"))
 MAGNITUDE_TOP = "many"
+
+# Sensor words looked for in the sensor tags; radar is tried first.
+SENSOR_TAG_KEYS = ("SENSOR", "SATELLITE", "PLATFORM", "SPACECRAFT", "INSTRUMENT", "MISSION")
+SAR_SENSOR_TOKENS = (
+    "SENTINEL-1", "SENTINEL1", "S1", "RISAT", "EOS-04", "CAPELLA", "UMBRA", "TERRASAR",
+    "TANDEM-X", "TSX", "ALOS-2", "PALSAR", "ICEYE", "SAR",
+)
+OPTICAL_SENSOR_TOKENS = (
+    "SENTINEL-2", "SENTINEL2", "S2", "CARTOSAT", "LANDSAT", "PLEIADES", "WORLDVIEW",
+    "QUICKBIRD", "NAIP", "SPOT-6", "SPOT-7", "RAPIDEYE", "RESOURCESAT",
+)
+
+# Published per-band mean and standard deviation.
+S1_STATS = {
+    "VV": (-12.619993741972035, 5.115911777546365),
+    "VH": (-19.29044597721542, 5.464428464912864),
+}
+S2_STATS = {
+    "B02": (429.9430203, 572.41639287),
+    "B03": (614.21682446, 582.87945694),
+    "B04": (590.23569706, 675.88746967),
+    "B05": (950.68368468, 729.89827633),
+    "B06": (1792.46290469, 1096.01480586),
+    "B07": (2075.46795189, 1273.45393088),
+    "B08": (2218.94553375, 1365.45589904),
+    "B8A": (2266.46036911, 1356.13789355),
+    "B11": (1594.42694882, 1079.19066363),
+    "B12": (1009.32729131, 818.86747235),
+}
+
+# Composite -> bands in (red, green, blue) slot order.
+COMPOSITES = {
+    "true_colour": ("B04", "B03", "B02"),
+    "false_colour": ("B08", "B04", "B03"),
+    "short_wave": ("B12", "B11", "B08"),
+}
+
+# Patch grid: 10 980 px granule cut into 120 px patches.
+PATCHES_PER_AXIS = 91
+PATCH_SIDE_PX = 120
+PATCH_ID_PATTERN = (
+    r"^(S2[AB])_(MSIL[12][ABC])_(\d{8}T\d{6})_(N\d{4})_(R\d{3})_(T\d{2}[A-Z]{3})_(\d{1,3})_(\d{1,3})$"
+)
+GRID_CONVENTIONS = (
+    "col_row_from_northwest", "row_col_from_northwest", "col_row_from_southwest", "row_col_from_southwest",
+)
+
+# Mask and cloud gates.
+MASK_STRIDE = 4
+MAX_MASKED_SHARE = 0.01
+MAX_NODATA_SHARE = 0.2
+MAX_CLOUD_SHARE = 0.05
+CLOUD_CLASSES = (1, 3, 8, 9, 10)
+
+# What a raster of each modality must hold.
+RASTER_EXPECTATIONS = {
+    "S1": {"min_bands": 2, "dtypes": ("float32", "float64"), "negative": True},
+    "S2": {"min_bands": 10, "dtypes": ("uint16", "int16"), "negative": False},
+}

@@ -58,9 +58,10 @@ def stretch(value: Column, low: Column, high: Column) -> Column:
 
 
 def stretch_uint8(value: Column, low: Column, high: Column) -> Column:
-    """8-bit stretch, truncated; a degenerate or empty band becomes mid-grey."""
-    unit = F.least(F.greatest((value - low) / F.when(high > low, high - low), F.lit(0.0)), F.lit(1.0))
-    return F.coalesce(F.floor(unit * 255).cast("int"), F.lit(128))
+    """8-bit stretch, truncated; invalid pixels are 0, a degenerate or empty band is mid-grey."""
+    unit = F.least(F.greatest((value - low) / (high - low), F.lit(0.0)), F.lit(1.0))
+    grey = F.when(value.isNotNull(), F.floor(unit * 255)).otherwise(F.lit(0))
+    return F.when(high > low, grey).otherwise(F.lit(128)).cast("int")
 
 
 def area_km2(pixels: Column, pixel_size_m: Column) -> Column:

@@ -170,9 +170,9 @@ def measurement(
 
 
 def exact_percentiles(
-    df: DataFrame, keys: Keys, value: str, shares: Mapping[str, float], bins: int = 1024
+    df: DataFrame, keys: Keys, value: str, shares: Mapping[str, float], bins: int = 1024, nearest_rank: bool = False
 ) -> DataFrame:
-    """Exact linearly interpolated percentiles, safe for a key of any size.
+    """Exact percentiles, safe for a key of any size; linearly interpolated unless ``nearest_rank``.
 
     A histogram finds the bins that hold the wanted ranks; only the values of those bins
     are then ranked, as (value, count) pairs inside one bin. No task sees a whole key.
@@ -188,16 +188,14 @@ def exact_percentiles(
         .agg(F.count("*").alias("_cnt"))
         .withColumn("_before", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))
     )
-    wanted = F.array_distinct(
-        F.flatten(
-            F.array(
-                *[
-                    F.array(F.floor(F.lit(p) * (F.col("n") - 1)), F.ceil(F.lit(p) * (F.col("n") - 1)))
-                    for p in shares.values()
-                ]
-            )
-        )
-    )
+
+    def position(p: float) -> Column:
+        if nearest_rank:
+            return F.least(F.floor(F.lit(p) * F.col("n")), F.col("n") - 1)
+        return F.lit(p) * (F.col("n") - 1)
+
+    ends = [F.array(F.floor(position(p)), F.ceil(position(p))) for p in shares.values()]
+    wanted = F.array_distinct(F.flatten(F.array(*ends)))
     holds = F.filter(
         wanted, lambda k: (k >= F.col("_before")) & (k < F.col("_before") + F.col("_cnt"))
     )
@@ -216,11 +214,10 @@ def exact_percentiles(
     )
     outputs = []
     for name, p in shares.items():
-        position = F.lit(p) * (F.col("n") - 1)
-        low, high = F.floor(position), F.ceil(position)
+        low, high = F.floor(position(p)), F.ceil(position(p))
         below = F.max(F.when(F.col("_k") == low, F.col("_v")))
         above = F.max(F.when(F.col("_k") == high, F.col("_v")))
-        fraction = F.max(position - low)
+        fraction = F.max(position(p) - low)
         outputs.append((below + (above - below) * fraction).alias(name))
     return picked.groupBy(*keys).agg(F.max("n").alias("n"), *outputs)
 

@@ -104,7 +104,30 @@ CROSS JOIN (SELECT CAST(unnest(range(16)) AS BIGINT) AS i) rr
 CROSS JOIN (SELECT CAST(unnest(range(16)) AS BIGINT) AS i) cc
 LEFT JOIN px p ON p.scene_id = s.scene_id AND p.date_idx = s.date_idx AND p.r = rr.i AND p.c = cc.i""",
 }
-_NEEDS = {"classes": ("px",), "grid": ("px",)}
+VIEWS |= {
+    # Scene headers: band descriptions (comma joined), sensor text, container and geometry.
+    "headers": """
+SELECT o_orderkey AS scene_id, o_custkey AS bundle_id,
+  CASE o_custkey % 10 WHEN 0 THEN 'B02,B03,B04,B08,B11,B12' WHEN 1 THEN 'Blue,Green,Red,NIR' WHEN 2 THEN ',,,'
+    WHEN 3 THEN ',' WHEN 4 THEN 'pan' WHEN 5 THEN 'red band,,' WHEN 6 THEN 'B8A,B12,B04'
+    WHEN 7 THEN ',,red' WHEN 8 THEN 'VV,VH' ELSE 'swir 1,nir band,B11,green' END AS described,
+  CASE WHEN o_custkey % 10 IN (3, 8) THEN 'sar' ELSE 'optical' END AS modality,
+  CASE o_orderkey % 7 WHEN 0 THEN 'RISAT-2B' WHEN 1 THEN 'CARTOSAT-2S' WHEN 2 THEN 'Sentinel-2A'
+    WHEN 3 THEN 'sentinel-1 grd' WHEN 4 THEN 'S2 msi' WHEN 5 THEN 'unmarsared' ELSE '' END AS sensor,
+  CASE o_orderkey % 5 WHEN 0 THEN 'uint8' WHEN 1 THEN 'uint16' WHEN 2 THEN 'float32' WHEN 3 THEN 'int16' ELSE 'float64' END AS dtype,
+  CASE o_custkey % 6 WHEN 0 THEN '12' WHEN 1 THEN '7' WHEN 2 THEN 'n/a' ELSE NULL END AS nbits,
+  CASE o_custkey % 4 WHEN 0 THEN 'EPSG:4326' WHEN 1 THEN 'EPSG:32644' WHEN 2 THEN 'EPSG:2056' ELSE NULL END AS crs_main,
+  CASE WHEN o_orderkey % 9 = 0 THEN 'EPSG:32643' END AS crs_alt,
+  CAST(o_orderkey % 4 + 1 AS DOUBLE) * 2.5 AS a, CAST(-(o_orderkey % 4 + 1) AS DOUBLE) * 2.5 AS e,
+  300 + o_orderkey * 37 % 2600 AS height, 280 + o_orderkey * 61 % 3100 AS width
+FROM orders""",
+    # Patch identifiers with defects.
+    "patch_raw": """
+SELECT c_custkey, country, CASE WHEN c_custkey % 11 = 3 THEN substr(patch_id, 5)
+  WHEN c_custkey % 13 = 5 THEN concat(patch_id, '9') ELSE concat(' ', patch_id) END AS raw
+FROM patch""",
+}
+_NEEDS = {"classes": ("px",), "grid": ("px",), "patch_raw": ("patch",)}
 
 
 def ctes(*parts: str) -> str:
@@ -154,7 +177,7 @@ class Views:
         if name in TABLES:
             return self.table(name)
         if name in VIEWS and name not in ("grid", "classes"):
-            frame = self.sql(VIEWS[name])
+            frame = self.sql(VIEWS[name], **{need: getattr(self, need) for need in _NEEDS.get(name, ())})
             self.__dict__[name] = frame
             return frame
         raise AttributeError(name)
