@@ -179,3 +179,45 @@ RASTER_EXPECTATIONS = {
     "S1": {"min_bands": 2, "dtypes": ("float32", "float64"), "negative": True},
     "S2": {"min_bands": 10, "dtypes": ("uint16", "int16"), "negative": False},
 }
+
+# Change questions over persistent objects.
+EXACT_COUNT_MAX = 20
+CLUSTER_MIN_POINTS = 6
+CLUSTER_MIN_SHARE = 0.65
+DEFAULT_ANSWER_CAP = 400
+DEFAULT_TASK_CAP = 2500
+
+# Land-cover vocabulary, alphabetical as the classifiers emit it.
+LANDCOVER_CLASSES = (
+    "Agro-forestry areas",
+    "Arable land",
+    "Beaches, dunes, sands",
+    "Broad-leaved forest",
+    "Coastal wetlands",
+    "Complex cultivation patterns",
+    "Coniferous forest",
+    "Industrial or commercial units",
+    "Inland waters",
+    "Inland wetlands",
+    "Land principally occupied by agriculture, with significant areas of natural vegetation",
+    "Marine waters",
+    "Mixed forest",
+    "Moors, heathland and sclerophyllous vegetation",
+    "Natural grassland and sparsely vegetated areas",
+    "Pastures",
+    "Permanent crops",
+    "Transitional woodland, shrub",
+    "Urban fabric",
+)
+FOREST_CLASSES = ("Broad-leaved forest", "Coniferous forest", "Mixed forest")
+LANDCOVER_THRESHOLD = 0.5
+SWEEP_THRESHOLDS = (0.2, 0.3, 0.4, 0.5, 0.6, 0.7)
+
+# Physical causes of an optical / radar disagreement: cause -> winning sensor.
+DISAGREEMENT_WINNERS = {
+    "cloud_over_water": "sar",
+    "wet_smooth_soil": "optical",
+    "radar_shadow": "optical",
+    "wind_roughened_surface": "optical",
+    "dry_smooth_sand": "optical",
+}

@@ -60,7 +60,8 @@ def stretch(value: Column, low: Column, high: Column) -> Column:
 def stretch_uint8(value: Column, low: Column, high: Column) -> Column:
     """8-bit stretch, truncated; invalid pixels are 0, a degenerate or empty band is mid-grey."""
     unit = F.least(F.greatest((value - low) / (high - low), F.lit(0.0)), F.lit(1.0))
-    grey = F.when(value.isNotNull(), F.floor(unit * 255)).otherwise(F.lit(0))
+    # The nudge keeps exact grey levels from falling one short through rounding of the cuts.
+    grey = F.when(value.isNotNull(), F.floor(unit * 255 + F.lit(1e-9))).otherwise(F.lit(0))
     return F.when(high > low, grey).otherwise(F.lit(128)).cast("int")
 
 

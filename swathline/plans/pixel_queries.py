@@ -21,7 +21,7 @@ VALID_SQL = "red IS NOT NULL AND green IS NOT NULL AND nir IS NOT NULL AND swir
 
 
 def nd_sql(p, n):
-    return f"CASE WHEN {p} + {n} <> 0 THEN round(({p} - {n}) / ({p} + {n}), 6) END"
+    return f"CASE WHEN {p} + {n} <> 0 THEN ({p} - {n}) / ({p} + {n}) END"
 
 
 @query(
@@ -31,7 +31,7 @@ def nd_sql(p, n):
 )
 def px01(v):
     valid = P.valid_mask(ALL_BANDS)
-    return v.grid.select(*PIXEL, *[F.round(P.spectral_index(n, valid), 6).alias(n.lower()) for n in C.INDEX_BANDS])
+    return v.grid.select(*PIXEL, *[P.spectral_index(n, valid).alias(n.lower()) for n in C.INDEX_BANDS])
 
 
 @query(
@@ -138,7 +138,7 @@ def px10(v):
 @query(
     "PX11_stretch_uint8",
     ctes("px", "grid", f"b AS (SELECT {KEYS}, quantile_cont(swir, 0.02) AS lo, quantile_cont(swir, 0.98) AS hi FROM grid GROUP BY {KEYS})")
-    + f"""SELECT {PKEYS}, CAST(CASE WHEN hi > lo AND swir IS NULL THEN 0 WHEN hi > lo THEN floor(least(greatest((swir - lo) / (hi - lo), 0), 1) * 255) ELSE 128 END AS INT) AS swir8
+    + f"""SELECT {PKEYS}, CAST(CASE WHEN hi > lo AND swir IS NULL THEN 0 WHEN hi > lo THEN floor(least(greatest((swir - lo) / (hi - lo), 0), 1) * 255 + 1e-9) ELSE 128 END AS INT) AS swir8
 FROM grid JOIN b USING ({KEYS})""",
 )
 def px11(v):
@@ -147,7 +147,7 @@ def px11(v):
 
 
 COMPOSITE_COLUMNS = {"B02": "blue", "B03": "green", "B04": "red", "B08": "nir", "B11": "swir", "B12": "swir2"}
-_CH = """CAST(CASE WHEN {b}_hi > {b}_lo THEN floor(least(greatest(({b} - {b}_lo) / ({b}_hi - {b}_lo), 0), 1) * 255) ELSE 128 END AS INT)"""
+_CH = """CAST(CASE WHEN {b}_hi > {b}_lo THEN floor(least(greatest(({b} - {b}_lo) / ({b}_hi - {b}_lo), 0), 1) * 255 + 1e-9) ELSE 128 END AS INT)"""
 
 
 def composite_sql():
