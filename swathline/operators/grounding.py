@@ -19,7 +19,7 @@ def superlative(targets: DataFrame, frame: Sequence[str], area: str, tie: str) -
     pairs = top.groupBy(*frame).agg(
         F.max(F.when(F.col("_k") == 1, F.col(tie))).alias(tie), first.alias(area), second.alias("runner_up")
     )
-    return pairs.where(F.col(area) >= 1.5 * F.greatest("runner_up", F.lit(1e-6)))
+    return pairs.where(F.col("runner_up").isNotNull()).where(F.col(area) >= 1.5 * F.greatest("runner_up", F.lit(1e-6)))
 
 
 def unique_targets(targets: DataFrame, frame: Sequence[str], label: str, target: str) -> DataFrame:
