@@ -19,7 +19,7 @@ def seeded(seed: str | int, *keys: Column | str) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(str(seed)), *parts), 256)
 
 
-def hash_bucket(order: Column, digits: int = 2) -> Column:
+def hash_bucket(order: Column, digits: int = 3) -> Column:
     """Order-preserving bucket of a hex digest: its leading digits."""
     return F.substring(order, 1, digits)
 
@@ -48,3 +48,18 @@ def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
     ``limit`` rows per key before the shuffle, so a hot key never travels whole."""
     rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
     return df.withColumn(name, rank).where(F.col(name) <= limit)
+
+
+def running_total(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, value: Column, name: str
+) -> DataFrame:
+    """Inclusive running sum of ``value`` within ``keys``, two-level like :func:`dense_rank_rows`."""
+    keys = list(keys)
+    parts = df.withColumn("_b", bucket).withColumn("_v", value)
+    upto = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    offsets = parts.groupBy(*keys, "_b").agg(F.sum("_v").alias("_s")).withColumn(
+        "_before", F.coalesce(F.sum("_s").over(upto), F.lit(0))
+    )
+    within = W.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    summed = parts.withColumn("_r", F.sum("_v").over(within))
+    return summed.join(offsets.drop("_s"), [*keys, "_b"]).withColumn(name, F.col("_r") + F.col("_before")).drop("_b", "_v", "_r", "_before")
