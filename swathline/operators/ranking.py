@@ -6,7 +6,7 @@ repeatable after executor loss.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -27,20 +27,8 @@ def hash_bucket(order: Column, digits: int = 3) -> Column:
 def dense_rank_rows(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, name: str = "rank"
 ) -> DataFrame:
-    """``row_number`` within ``keys`` by ``order`` for groups of any size.
-
-    ``bucket`` must be non-decreasing along ``order``. Bucket sizes are prefix-summed (one small
-    row per bucket) and rows are numbered inside their bucket only.
-    """
-    keys = list(keys)
-    parts = df.withColumn("_b", bucket)
-    upto = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    offsets = parts.groupBy(*keys, "_b").agg(F.count("*").alias("_n")).withColumn(
-        "_before", F.coalesce(F.sum("_n").over(upto), F.lit(0))
-    )
-    within = W.partitionBy(*keys, "_b").orderBy(*order)
-    numbered = parts.withColumn("_k", F.row_number().over(within))
-    return numbered.join(offsets.drop("_n"), [*keys, "_b"]).withColumn(name, F.col("_k") + F.col("_before")).drop("_b", "_k", "_before")
+    """``row_number`` within ``keys`` by ``order`` for groups of any size: a running count of ones."""
+    return running_totals(df, keys, order, bucket, {name: F.lit(1)})
 
 
 def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], limit: int, name: str = "rank") -> DataFrame:
@@ -50,16 +38,23 @@ def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
     return df.withColumn(name, rank).where(F.col(name) <= limit)
 
 
-def running_total(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, value: Column, name: str
+def running_totals(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, values: Mapping[str, Column]
 ) -> DataFrame:
-    """Inclusive running sum of ``value`` within ``keys``, two-level like :func:`dense_rank_rows`."""
-    keys = list(keys)
-    parts = df.withColumn("_b", bucket).withColumn("_v", value)
-    upto = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    offsets = parts.groupBy(*keys, "_b").agg(F.sum("_v").alias("_s")).withColumn(
-        "_before", F.coalesce(F.sum("_s").over(upto), F.lit(0))
-    )
-    within = W.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    summed = parts.withColumn("_r", F.sum("_v").over(within))
-    return summed.join(offsets.drop("_s"), [*keys, "_b"]).withColumn(name, F.col("_r") + F.col("_before")).drop("_b", "_v", "_r", "_before")
+    """Inclusive running sums within ``keys`` by ``order`` that no single task has to hold.
+
+    ``bucket`` must be non-decreasing along ``order``. Bucket sums are prefix-summed (one small row
+    per bucket) and rows are accumulated inside their bucket only.
+    """
+    keys, names = list(keys), list(values)
+    parts = df.withColumn("_bucket", bucket)
+    for name, value in values.items():
+        parts = parts.withColumn(f"_v_{name}", value)
+    upto = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    sums = parts.groupBy(*keys, "_bucket").agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in names])
+    offsets = sums.select(*keys, "_bucket", *[F.coalesce(F.sum(f"_s_{n}").over(upto), F.lit(0)).alias(f"_o_{n}") for n in names])
+    within = W.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    summed = parts.select("*", *[F.sum(f"_v_{n}").over(within).alias(f"_r_{n}") for n in names])
+    joined = summed.join(offsets, [*keys, "_bucket"])
+    totals = [(F.col(f"_r_{n}") + F.col(f"_o_{n}")).alias(n) for n in names]
+    return joined.select(*df.columns, *totals)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from swathline import config as C
-from swathline.operators.ranking import dense_rank_rows, hash_bucket, running_total, seeded, top_rows
+from swathline.operators.ranking import dense_rank_rows, hash_bucket, running_totals, seeded, top_rows
 from swathline.session import cut_lineage
 
 MIN_GRID_SEPARATION = 3
@@ -93,12 +93,14 @@ def quota_with_backfill(df: DataFrame, group: str, kind: str, quotas: Mapping[st
     types = rows.groupBy(group, kind).agg(F.lit(1).alias("_1")).groupBy(group).agg(F.count("*").alias("_types"))
     share = F.greatest(F.lit(1), F.floor(F.col("_q") / F.col("_types")))
     sized = rows.join(types, group).withColumn("_share", share).withColumn("_o", seeded(seed, group, kind, key))
-    # Beyond the largest quota no row can be chosen, neither as a share nor as a spare.
-    ranked = top_rows(sized, [group, kind], ["_o", key], biggest, "_k")
-    inside = F.col("_k") <= F.col("_share")
-    first = F.when(inside, 0).otherwise(1)
-    order = [first, F.when(inside, F.col(kind)), F.when(inside, F.col("_k")), seeded(f"{seed}:spare", group, key), key]
-    return top_rows(ranked, [group], order, biggest, "_p").where(F.col("_p") <= F.col("_q")).select(*df.columns)
+    first = top_rows(sized, [group, kind], ["_o", key], biggest, "_k").where("_k <= _share").withColumn("_spare", F.lit(0))
+    # Twice the quota in spare order holds a whole quota of rows that are not yet picked.
+    spare_order = seeded(f"{seed}:spare", group, key)
+    spare = top_rows(sized.withColumn("_o", spare_order), [group], ["_o", key], 2 * biggest, "_k")
+    spare = spare.join(first.select(group, key), [group, key], "left_anti").withColumn("_spare", F.lit(1))
+    both = first.unionByName(spare)
+    order = ["_spare", F.when(F.col("_spare") == 0, F.col(kind)), "_k", key]
+    return top_rows(both, [group], order, biggest, "_p").where("_p <= _q").select(*df.columns)
 
 
 def greedy_admission(demand: DataFrame, bucket: Sequence[str], group: str, answer: str, n: str, order: str, cap: str) -> DataFrame:
@@ -115,9 +117,8 @@ def greedy_admission(demand: DataFrame, bucket: Sequence[str], group: str, answe
     state = cut_lineage(demand.withColumn("_s", F.lit("open")))
     while True:
         alive = state.where(F.col("_s") != "out")
-        part = hash_bucket(F.col(order), 4)
-        bounded = running_total(alive, keys, [order, group], part, F.col(n), "_high")
-        bounded = running_total(bounded, keys, [order, group], part, F.when(F.col("_s") == "in", F.col(n)).otherwise(0), "_low")
+        admitted = F.when(F.col("_s") == "in", F.col(n)).otherwise(0)
+        bounded = running_totals(alive, keys, [order, group], hash_bucket(F.col(order)), {"_high": F.col(n), "_low": admitted})
         own = F.when(F.col("_s") == "in", 0).otherwise(F.col(n))
         votes = bounded.where(F.col("_s") == "open").groupBy(*bucket, group).agg(
             F.max((F.col("_high") > F.col(cap)).cast("int")).alias("_tight"),
@@ -242,3 +243,11 @@ def merge_sources(
     return picked.withColumn("images", F.transform("images", lambda i: F.concat_ws("/", F.col("source"), i))).withColumn(
         "sample_id", F.concat_ws("_", "source", F.col("sample_id").cast("string"))
     ).withColumn("corpus_source", F.col("source"))
+
+
+def eval_split(rows: DataFrame, split: str, per_type: int | None, seed: str, key: str) -> DataFrame:
+    """Held-out rows with both type fields filled, optionally capped per type in seeded order."""
+    both = F.coalesce("question_type", "task")
+    held = rows.where(F.col("split") == split).withColumn("_t", both)
+    held = held.withColumn("question_type", F.col("_t")).withColumn("task", F.coalesce("task", "_t")).drop("_t")
+    return held if per_type is None else take_n(held, ["question_type"], per_type, seed, key).drop("rank")
