@@ -239,3 +239,204 @@ def index_delta_rows(tiles: DataFrame, key: str) -> DataFrame:
            F.when(moved, F.when(delta > 0, "second").otherwise("first"))),
     ]
     return explode_rows(base, [key, "index", "ordering"], rows)
+
+
+def grounding_rows(boxes: DataFrame, frame: str, width: int, height: int, seed: str) -> DataFrame:
+    """Referring questions by unique role and unique quadrant, and a point prompt per frame.
+
+    Truncated boxes and boxes on the frame edge are dropped. A group of (frame, label) that counts
+    one row is a unique target, found with a map-side-combined count.
+    """
+    from swathline.functions.boxes import box_string, quadrant, touches_edge
+
+    w, h = F.lit(width), F.lit(height)
+    x, y, bw, bh = (F.col(c) for c in ("x", "y", "w", "h"))
+    usable = boxes.where(~F.coalesce("truncated", F.lit(False)) & ~touches_edge(x, y, bw, bh, w, h)).select(
+        frame, "obj", "role", quadrant(x, y, bw, bh, w, h).alias("quadrant"),
+        box_string(x / w, y / h, (x + bw) / w, (y + bh) / h).alias("box"),
+        F.bround((x + bw / 2) / w, 2).alias("cx"), F.bround((y + bh / 2) / h, 2).alias("cy"),
+    )
+    member = F.max(F.struct("obj", "box")).alias("m")
+
+    def unique(label: str) -> DataFrame:
+        return usable.groupBy(frame, label).agg(F.count("*").alias("n"), member).where("n = 1").select(
+            frame, F.col(label).alias("detail"), F.col("m.box").alias("answer")
+        )
+
+    refer = lambda df, phrase: df.select(
+        frame, F.lit("ground_reference").alias("task"), reference_form(phrase, F.concat_ws("|", F.col(frame).cast("string"), "detail"), seed).alias("question"), "answer", "detail"
+    )
+    by_role = refer(unique("role"), F.concat(F.col("detail"), F.lit(" aircraft")))
+    by_place = refer(unique("quadrant"), F.concat(F.lit("aircraft at the "), F.col("detail"), F.lit(" of the image")))
+    chosen = usable.groupBy(frame).agg(F.min(F.struct(seeded(seed, frame, "obj").alias("o"), "box", "cx", "cy", "role")).alias("t"))
+    point = chosen.select(
+        frame, F.lit("ground_point").alias("task"),
+        F.format_string("Create a bounding box enclosing the object located at <point>(%.2f, %.2f)</point> in the image.", "t.cx", "t.cy").alias("question"),
+        F.col("t.box").alias("answer"), F.col("t.role").alias("detail"),
+    )
+    return by_role.unionByName(by_place).unionByName(point)
+
+
+# Surface forms of a referring expression.
+REFERENCE_FORMS = (
+    "Where can the <ref>{p}</ref> be found?",
+    "Provide the bounding box for the <ref>{p}</ref>.",
+    "Locate the {p}.",
+    "The {p}.",
+    "{p}",
+    "Give the region containing the {p}.",
+)
+
+
+def choose(count: int, seed: str, key: Column) -> Column:
+    """0-based template number from the first eight hex digits of a digest."""
+    return (F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(seed), key), 256), 1, 8), 16, 10).cast("long") % count).cast("int")
+
+
+def reference_form(phrase: Column, key: Column, seed: str) -> Column:
+    forms = F.array(*[F.lit(f) for f in REFERENCE_FORMS])
+    return F.replace(F.get(forms, choose(len(REFERENCE_FORMS), seed, key)), F.lit("{p}"), phrase)
+
+
+def presence_pairs(roles: DataFrame, frame: str, vocabulary: Sequence[str], seed: str) -> DataFrame:
+    """One present and one absent class per frame, so both answers occur."""
+    words = F.array(*[F.lit(w) for w in vocabulary])
+    name = F.col(frame).cast("string")
+    frames = roles.groupBy(frame).agg(F.array_sort(F.collect_set("role")).alias("present"))
+    pick = lambda items, s: F.get(seeded_order(items, f"{seed}:{s}", name), F.lit(0))
+    yes, no = pick(F.array_intersect("present", words), "yes"), pick(F.array_except(words, F.col("present")), "no")
+    ask = lambda role: F.concat(F.lit("Is there a "), role, F.lit(" in this image?"))
+    return explode_rows(frames, [frame], [qa("ground_presence", ask(yes), "yes", yes.isNotNull()), qa("ground_presence", ask(no), "no", no.isNotNull())])
+
+
+def optsar_rows(patches: DataFrame, key: str, labels: str, vocabulary: Sequence[str], forest_pool: DataFrame) -> DataFrame:
+    """Present/absent pair on the optical arm, radar-legible pair on three arms when both sides exist,
+    grouped forest question on the balanced pool."""
+    name = F.col(key).cast("string")
+    lit_array = lambda items: F.array(*[F.lit(i) for i in items])
+    radar, words, forest = lit_array(SAR_ANSWERABLE), lit_array(vocabulary), lit_array(C.FOREST_CLASSES)
+    pick = lambda items, s: F.get(seeded_order(items, s, name), F.lit(0))
+    base = patches.join(forest_pool.select(key).withColumn("_pool", F.lit(True)), key, "left")
+    have = F.col(labels)
+    yes = pick(F.array_except(have, radar), "present")
+    no = pick(F.array_except(F.array_except(words, have), radar), "absent")
+    radar_yes, radar_no = F.array_intersect(have, radar), F.array_except(radar, have)
+    both = (F.size(radar_yes) > 0) & (F.size(radar_no) > 0)
+    ask = lambda c: F.concat(F.lit("Is there "), F.lower(c), F.lit(" in this image?"))
+    optical, every = lit_array(["optical"]), lit_array(ARMS)
+    rows = [
+        qa("landcover_presence", ask(yes), "yes", yes.isNotNull(), arms=optical),
+        qa("landcover_presence", ask(no), "no", no.isNotNull(), arms=optical),
+        qa("landcover_presence", ask(pick(radar_yes, "radar_yes")), "yes", both, arms=every),
+        qa("landcover_presence", ask(pick(radar_no, "radar_no")), "no", both, arms=every),
+        qa("landcover_forest", "Is there forest in this image?", F.when(F.arrays_overlap(have, forest), "yes").otherwise("no"), F.coalesce("_pool", F.lit(False)), arms=every),
+    ]
+    out = explode_rows(base, [key], rows).withColumnRenamed("task", "question_type")
+    out = out.withColumn("optical", F.lit("optical")).withColumn("sar", F.lit("sar"))
+    return crossmodal_arms(out, F.col("arms")).drop("arms", "images", "task", "optical", "sar")
+
+
+def caption_inventory(boxes: DataFrame, frame: str, width: int, height: int) -> DataFrame:
+    """Group boxes by phrase: count, size word, dominant quadrant and quadrant counts.
+
+    Two-level grouping: (frame, phrase, quadrant) counts, then (frame, phrase).
+    """
+    from swathline.functions.boxes import quadrant
+
+    cell = quadrant(F.col("x"), F.col("y"), F.col("w"), F.col("h"), F.lit(width), F.lit(height))
+    cells = boxes.groupBy(frame, "phrase", cell.alias("cell")).agg(F.count("*").alias("n"), F.sum(F.col("w") * F.col("h")).alias("area"))
+    phrase = cells.groupBy(frame, "phrase").agg(
+        F.sum("n").alias("count"), F.sum("area").alias("area"),
+        F.min(F.struct((-F.col("n")).alias("o"), "cell")).alias("top"),
+        F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "cell", "n"))), ";").alias("cells"),
+    )
+    share = F.col("area") / F.lit(float(max(1, width * height))) / F.col("count")
+    return phrase.select(frame, "phrase", "count", F.when(share >= 0.02, "large").otherwise("small").alias("size"), F.col("top.cell").alias("cell"), "cells")
+
+
+# Wording of the template captions.
+NUMBER_WORDS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten")
+OPENERS = ("This aerial image shows", "The satellite scene contains", "In this overhead view there is")
+
+
+def count_words(n: Column) -> Column:
+    words = F.array(*[F.lit(w) for w in NUMBER_WORDS])
+    return F.when(n < len(NUMBER_WORDS), F.get(words, n.cast("int"))).otherwise(n.cast("string"))
+
+
+def caption_render(inventory: DataFrame, frame: str, seed: str, most: int = 4) -> DataFrame:
+    """One deterministic template sentence group per frame, largest groups first.
+
+    An inventory holds one row per phrase of a frame, a list bounded by the vocabulary.
+    """
+    subject = F.when(F.col("count") > 1, F.concat_ws(" ", count_words(F.col("count")), "size", F.concat(F.col("phrase"), F.lit("s")))).otherwise(
+        F.concat_ws(" ", F.lit("a"), "size", "phrase")
+    )
+    clause = F.concat_ws(" ", subject, F.lit("at the"), "cell")
+    frames = inventory.groupBy(frame).agg(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("o"), "phrase", clause.alias("clause")))).alias("g"))
+    clauses = F.slice(F.transform("g", lambda x: x["clause"]), 1, most)
+    opener = F.get(F.array(*[F.lit(o) for o in OPENERS]), choose(len(OPENERS), seed, F.col(frame).cast("string")))
+    return frames.select(frame, F.concat(opener, F.lit(" "), F.array_join(clauses, ", "), F.lit(".")).alias("caption"))
+
+
+def facts_from_qa(rows: DataFrame, image: str, nouns: Sequence[str]) -> DataFrame:
+    """Fold presence and count rows into per-image facts; a question is about the first noun it names."""
+    text, answer = F.lower("question"), F.lower(F.trim("answer"))
+    noun = F.coalesce(*[F.when(text.contains(n), F.regexp_replace(F.lit(n), "s+$", "")) for n in nouns])
+    tagged = rows.select(image, "question_type", answer.alias("answer"), noun.alias("noun")).where("noun IS NOT NULL")
+    present = (F.col("question_type") == "presence") & (F.col("answer") == "yes")
+    number = F.when((F.col("question_type") == "count") & F.col("answer").rlike("^[0-9]+$"), F.col("answer").cast("long"))
+    return tagged.groupBy(image, "noun").agg(F.bool_or(present).alias("present"), F.max(F.when(number > 0, number)).alias("count")).where(
+        "present OR count IS NOT NULL"
+    )
+
+
+def attribute_list(items: DataFrame, frame: str, phrase: str) -> DataFrame:
+    """Sorted distinct phrases of a frame, only when there are at least two."""
+    kinds = items.groupBy(frame).agg(F.array_sort(F.collect_set(phrase)).alias("k"))
+    return kinds.where(F.size("k") >= 2).select(frame, F.array_join("k", ", ").alias("answer"))
+
+
+def classify_question(question: Column, answer: Column) -> tuple[Column, Column, Column]:
+    """(adapter, task, question type) from markup and answer shape."""
+    q, a = F.lower(question), F.trim(answer)
+    box = q.contains("bounding box") | q.contains("<point>")
+    refer = q.contains("<ref>") | q.contains("where is") | q.contains("locate the") | q.contains("identify the location")
+    yes_no = F.lower(a).isin("yes", "no")
+    long_answer = F.size(F.filter(F.split(answer, r"\s+"), lambda w: w != "")) > 12
+    mcq = a.rlike("^[a-dA-D]$") & question.rlike(r"(^|\s)a\)\s")
+    subject = F.when(q.contains("country"), "mcq_country").when(q.contains("season"), "mcq_season").when(q.contains("climate"), "mcq_climate").otherwise("mcq")
+    grounded = box | refer
+    adapter = F.when(grounded | (~yes_no & long_answer), "rs_ground_caption").otherwise("rs_vqa")
+    task = F.when(grounded, "single_grounding").when(~yes_no & long_answer, "single_caption").otherwise("single_vqa")
+    kind = F.when(box, "bbox").when(refer, "referring").when(yes_no, "presence").when(long_answer, "caption").when(mcq, subject).otherwise("other")
+    return adapter, task, kind
+
+
+# Size thresholds stated for the two sources that use size words.
+SIZE_RULES = {
+    "RSVQA-HR": "small <100 m2, medium <500 m2, large >=500 m2",
+    "RSVQA-LR": "small <3000 m2, medium <10000 m2, large >=10000 m2",
+}
+
+
+def plain_number(value: Column) -> Column:
+    """Number without a trailing '.0'."""
+    return F.regexp_replace(value.cast("string"), r"\.0$", "")
+
+
+def scale_prefix(gsds: Column, question: Column, source: Column, width: Column, height: Column) -> Column:
+    """'[ground sample distance: 10 m; scene 2560 x 2560 m, 6,553,600 m2; small <3000 m2, ...] '."""
+    values = F.filter(gsds, lambda v: v > 0)
+    first = F.get(values, F.lit(0))
+    same = F.size(F.array_distinct(F.transform(values, lambda v: F.round(v, 4)))) == 1
+    distance = F.when(same, F.concat(F.lit("ground sample distance: "), plain_number(first), F.lit(" m"))).otherwise(
+        F.concat(F.lit("ground sample distance per view: "), F.array_join(F.transform(values, lambda v: F.concat(plain_number(v), F.lit(" m"))), ", "))
+    )
+    across, down = width * first, height * first
+    extent = F.when((width > 0) & (height > 0), F.concat(
+        F.lit("scene "), plain_number(across), F.lit(" x "), plain_number(down), F.lit(" m, "), F.format_number(F.bround(across * down).cast("long"), 0), F.lit(" m2")
+    ))
+    rule = F.coalesce(*[F.when(source.startswith(k), F.lit(r)) for k, r in SIZE_RULES.items()])
+    sized = F.when(question.rlike(r"(?i)\b(small|medium|large)\b"), rule)
+    return F.when(F.size(values) > 0, F.concat(F.lit("["), F.concat_ws("; ", distance, extent, sized), F.lit("] "))).otherwise("")
