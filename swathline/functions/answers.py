@@ -336,7 +336,7 @@ def normalise(text: Column) -> Column:
 def numeric_answer(value: Column, unit: str = "") -> Column:
     """Integer, or one decimal; no thousands separator."""
     text = F.when(value == F.floor(value), F.floor(value).cast("string")).otherwise(F.format_string("%.1f", F.bround(value, 1)))
-    return F.trim(F.concat(text, F.lit(f" {unit}")))
+    return F.when(value.isNotNull(), F.trim(F.concat(text, F.lit(f" {unit}"))))
 
 
 def class_name(text: Column, classes: Sequence[str]) -> Column:
