@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from swathline import config as C
@@ -28,31 +28,35 @@ def described_slots(descriptions: Column) -> dict[str, Column]:
     return slots
 
 
-def inventory_slots(descriptions: Column, modality: Column) -> dict[str, Column]:
-    """Described slots, completed from the assumed order when too sparse.
+def band_inventory(df: DataFrame, descriptions: str, modality: str) -> DataFrame:
+    """One slot column per band, completed from the assumed order when too sparse.
 
     A description that contradicts the assumed order disables the assumption and the
     inventory becomes empty, so an index can never be computed on the wrong band.
     """
-    described = described_slots(descriptions)
-    matched = sum(((slot > 0).cast("int") for slot in described.values()), F.lit(0))
-    count = F.size(descriptions)
-    out = {}
-    for band, slot in described.items():
+    kind, count = F.col(modality), F.size(descriptions)
+    described = described_slots(F.col(descriptions))
+    staged = df.select("*", *[slot.alias(f"_{band}") for band, slot in described.items()])
+    seen = {band: F.col(f"_{band}") for band in described}
+    staged = staged.withColumn("_matched", sum(((slot > 0).cast("int") for slot in seen.values()), F.lit(0)))
+    for size, order in C.ASSUMED_ORDERS.items():
+        clash = F.lit(False)
+        for band, slot in seen.items():
+            expected = order.index(band) + 1 if band in order else -1
+            clash = clash | ((slot > 0) & (slot != expected))
+        staged = staged.withColumn(f"_clash{size}", clash)
+    slots = []
+    for band, slot in seen.items():
         value = slot
         for size, order in C.ASSUMED_SAR_ORDERS.items():
             assumed = order.index(band) + 1 if band in order else 0
-            value = F.when((matched == 0) & (modality == "sar") & (count == size), F.lit(assumed)).otherwise(value)
+            value = F.when((F.col("_matched") == 0) & (kind == "sar") & (count == size), F.lit(assumed)).otherwise(value)
         for size, order in C.ASSUMED_ORDERS.items():
             assumed = order.index(band) + 1 if band in order else 0
-            contradiction = F.lit(False)
-            for other, seen in described.items():
-                expected = order.index(other) + 1 if other in order else -1
-                contradiction = contradiction | ((seen > 0) & (seen != expected))
-            completed = F.when(contradiction, F.lit(0)).when(slot > 0, slot).otherwise(F.lit(assumed))
-            value = F.when((matched < 2) & (modality == "optical") & (count == size), completed).otherwise(value)
-        out[band] = value.cast("int")
-    return out
+            completed = F.when(F.col(f"_clash{size}"), F.lit(0)).when(slot > 0, slot).otherwise(F.lit(assumed))
+            value = F.when((F.col("_matched") < 2) & (kind == "optical") & (count == size), completed).otherwise(value)
+        slots.append(value.cast("int").alias(band))
+    return staged.select(*df.columns, *slots)
 
 
 def computable_indices(has: dict[str, Column]) -> Column:

@@ -101,3 +101,18 @@ def change_answers(stats: DataFrame) -> dict[str, Column]:
         "magnitude": magnitude_band(appeared),
         "where": compass_side(appeared, after, F.col("north"), F.col("east")),
     }
+
+
+def abstention_score(rows: DataFrame, kind: str) -> DataFrame:
+    """Answered, abstained and unrouted rows, accuracy on answered and on all, per type.
+
+    ``rows`` has ``operation`` (NULL when unrouted), ``said`` (NULL when abstained) and ``answer``.
+    """
+    n = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
+    routed, said = F.col("operation").isNotNull(), F.col("said").isNotNull()
+    right = n(routed & (F.col("said") == F.col("answer")))
+    return rows.groupBy(kind).agg(
+        F.count("*").alias("rows"), n(routed & said).alias("answered"), n(routed & ~said).alias("abstained"), n(~routed).alias("unrouted"),
+        F.round(F.coalesce(F.try_divide(right, n(routed & said)), F.lit(0.0)), 4).alias("accuracy_answered"),
+        F.round(right / F.count("*"), 4).alias("accuracy_all_rows"),
+    )

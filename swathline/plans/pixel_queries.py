@@ -329,8 +329,8 @@ WHEN k < 2 AND modality = 'optical' AND cnt = 3 THEN CASE WHEN bad3 THEN 0 WHEN
 
 
 def inventory(v):
-    slots = H.inventory_slots(F.split("described", ","), F.col("modality"))
-    return v.headers.select("scene_id", "modality", *[s.alias(b) for b, s in slots.items()])
+    headers = v.headers.select("scene_id", "modality", F.split("described", ",").alias("d"))
+    return H.band_inventory(headers, "d", "modality").drop("d")
 
 
 @query("PX20_band_inventory", inventory_sql() + "SELECT scene_id, " + ", ".join(C.BAND_NAMES) + " FROM inv")
