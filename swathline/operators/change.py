@@ -116,3 +116,10 @@ def abstention_score(rows: DataFrame, kind: str) -> DataFrame:
         F.round(F.coalesce(F.try_divide(right, n(routed & said)), F.lit(0.0)), 4).alias("accuracy_answered"),
         F.round(right / F.count("*"), 4).alias("accuracy_all_rows"),
     )
+
+
+def metadata_compare(subset: DataFrame, official: DataFrame) -> DataFrame:
+    """Row counts and shared columns of a subset against the official table."""
+    shared = ",".join(sorted(set(subset.columns) & set(official.columns)))
+    counts = subset.agg(F.count("*").alias("subset_rows")).crossJoin(official.agg(F.count("*").alias("official_rows")))
+    return counts.select("subset_rows", "official_rows", F.lit(shared).alias("shared_columns"), (F.col("subset_rows") == F.col("official_rows")).alias("identical_row_count"))
