@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from swathline import config as C
+from swathline.operators.joins import attach
 from swathline.operators.stats import exact_percentiles
 
 
@@ -21,7 +22,7 @@ def disagreement_hints(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
     median = exact_percentiles(base, keys, "ndvi", {"ndvi_median": 0.5}).drop("n")
     scene = cut.join(median, list(keys)).withColumn("arid", F.col("ndvi_median") < C.ARID_NDVI_MAX)
     soil = (F.col("ndvi") < C.SOIL_NDVI_MAX) & (F.col("bright") > F.col("bright_cut"))
-    return base.join(scene, list(keys)).select(*keys, "r", "c", "ndvi", soil.alias("soil"), "arid")
+    return attach(base, scene, keys).select(*keys, "r", "c", "ndvi", soil.alias("soil"), "arid")
 
 
 def grid_mismatch(first: DataFrame, second: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -101,7 +102,7 @@ def fused_mask(masks: DataFrame, verdicts: DataFrame, keys: Sequence[str]) -> Da
     """The verdict picks the pixel: union, winner's mask, or the agreed extent."""
     o, s = F.coalesce("optical", F.lit(False)), F.coalesce("sar", F.lit(False))
     hit = F.when(F.col("verdict") == "consistent", o | s).when(F.col("winner") == "optical", o).when(F.col("winner") == "sar", s).otherwise(o & s)
-    return masks.join(verdicts.select(*keys, "verdict", "winner"), list(keys)).select(*keys, "r", "c", hit.alias("hit"))
+    return attach(masks, verdicts.select(*keys, "verdict", "winner"), keys).select(*keys, "r", "c", hit.alias("hit"))
 
 
 def simple_reconcile(counts: DataFrame, keys: Sequence[str], target: Column) -> DataFrame:

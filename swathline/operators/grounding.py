@@ -9,6 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from swathline.functions.boxes import box_iou
+from swathline.operators.joins import attach
+from swathline.operators.ranking import dense_rank_rows, top_rows
+
+SCORE_SLICES = 256
 
 
 def superlative(targets: DataFrame, frame: Sequence[str], area: str, tie: str) -> DataFrame:
@@ -43,9 +47,15 @@ def remap_boxes(crops: DataFrame, tiles: DataFrame, tile: str, width: Column, he
 
 def rank_candidates(references: DataFrame, candidates: DataFrame, key: str, score: str, tie: str) -> DataFrame:
     """Each reference with its candidates, ranked by score, and their IoU."""
-    rank = F.row_number().over(W.partitionBy(key).orderBy(F.col(score).desc(), tie))
+    scored = candidates.withColumn("_d", -F.col(score))
+    # Scores lie in [0, 1]: slices of the score keep a reference with countless candidates apart.
+    ranked = dense_rank_rows(scored, [key], ["_d", tie], F.floor(F.col("_d") * SCORE_SLICES), "rank").drop("_d")
+    return with_iou(ranked, references, key)
+
+
+def with_iou(candidates: DataFrame, references: DataFrame, key: str) -> DataFrame:
     names = lambda p: [F.col(f"{p}{k}") for k in ("x1", "y1", "x2", "y2")]
-    return candidates.withColumn("rank", rank).join(references, key).withColumn("iou", box_iou(names("r"), names("p")))
+    return attach(candidates, references, [key]).withColumn("iou", box_iou(names("r"), names("p")))
 
 
 def grounding_accuracy(rows: DataFrame, iou: str, slices: Mapping[str, Column]) -> DataFrame:
@@ -68,10 +78,14 @@ def grounding_accuracy(rows: DataFrame, iou: str, slices: Mapping[str, Column])
     )
 
 
-def recall_at_k(ranked: DataFrame, key: str, ks: Sequence[int], threshold: float) -> DataFrame:
-    best = ranked.groupBy(key).agg(
-        F.count("*").alias("candidates"), *[F.max(F.when(F.col("rank") <= k, F.col("iou"))).alias(f"k{k}") for k in ks]
-    )
+def recall_at_k(references: DataFrame, candidates: DataFrame, key: str, score: str, tie: str, ks: Sequence[int], threshold: float) -> DataFrame:
+    """Share of references whose best IoU within the top k clears the threshold.
+
+    Only the best max(k) candidates of a reference can matter, a literal bound that trims map-side.
+    """
+    counts = candidates.groupBy(key).agg(F.count("*").alias("candidates"))
+    top = top_rows(candidates, [key], [F.col(score).desc(), tie], max(ks))
+    best = with_iou(top, references, key).groupBy(key).agg(*[F.max(F.when(F.col("rank") <= k, F.col("iou"))).alias(f"k{k}") for k in ks]).join(counts, key)
     share = lambda k: F.round(F.avg((F.col(f"k{k}") >= threshold).cast("double")), 4).alias(f"recall_{k}")
     return best.agg(
         F.count("*").alias("n"), F.round(F.avg("candidates"), 1).alias("mean_candidates"), *[share(k) for k in ks],

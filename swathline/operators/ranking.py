@@ -47,7 +47,9 @@ def running_totals(
     per bucket) and rows are accumulated inside their bucket only.
     """
     keys, names = list(keys), list(values)
-    parts = df.withColumn("_bucket", bucket)
+    # Exchanged on (keys, bucket) explicitly: an input already hashed by key alone would keep a
+    # hot key in one task.
+    parts = df.withColumn("_bucket", bucket).repartition(*keys, "_bucket")
     for name, value in values.items():
         parts = parts.withColumn(f"_v_{name}", value)
     upto = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from swathline import config as C
 from swathline.functions.pixel import stretch, stretch_uint8
+from swathline.operators.joins import attach
 from swathline.operators.stats import exact_percentiles, stretch_bounds
 
 
@@ -32,7 +33,7 @@ def band_bounds(df: DataFrame, scene: Sequence[str], bands: Sequence[str]) -> Da
 def stretch_bands(df: DataFrame, scene: Sequence[str], bands: Sequence[str], eight_bit: bool = False) -> DataFrame:
     """Replace each band by its percentile stretch; bounds stay as provenance columns."""
     bounds = band_bounds(df, scene, bands)
-    joined = df.join(bounds, list(scene), "left")
+    joined = attach(df, bounds, scene, "left")
     apply = stretch_uint8 if eight_bit else stretch
     for band in bands:
         joined = joined.withColumn(band, apply(F.col(band), F.col(f"{band}_lo"), F.col(f"{band}_hi")))
@@ -41,7 +42,7 @@ def stretch_bands(df: DataFrame, scene: Sequence[str], bands: Sequence[str], eig
 
 def percentile_stretch(df: DataFrame, scene: Sequence[str], band: str) -> DataFrame:
     bounds = stretch_bounds(df, scene, band).drop("n")
-    return df.join(bounds, list(scene)).withColumn("stretched", stretch(F.col(band), F.col("p_low"), F.col("p_high")))
+    return attach(df, bounds, scene).withColumn("stretched", stretch(F.col(band), F.col("p_low"), F.col("p_high")))
 
 
 def composites(df: DataFrame, scene: Sequence[str], columns: Mapping[str, str]) -> DataFrame:

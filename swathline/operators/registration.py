@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from swathline import config as C
+from swathline.operators.joins import attach
 from swathline.operators.stats import equal_width_bin
 from swathline.session import cut_lineage
 
@@ -23,11 +24,11 @@ def standardise_plane(frame: DataFrame, keys: Keys, bands: Sequence[str], name:
     plane = sum((F.col(b) for b in bands), F.lit(0.0)) / len(bands)
     base = frame.select(*keys, "r", "c", plane.alias("_p"))
     means = base.groupBy(*keys).agg(F.avg("_p").alias("_m"))
-    filled = base.join(means, list(keys)).withColumn("_p", F.coalesce("_p", "_m") - F.col("_m"))
+    filled = attach(base, means, keys).withColumn("_p", F.coalesce("_p", "_m") - F.col("_m"))
     # After filling with the mean the mean is unchanged, so the centred plane has mean zero.
     spread = filled.groupBy(*keys).agg(F.stddev_pop("_p").alias("_s"))
     scaled = F.when(F.col("_s") > 0, F.col("_p") / F.col("_s")).otherwise(0.0)
-    return filled.join(spread, list(keys)).select(*keys, "r", "c", scaled.alias(name))
+    return attach(filled, spread, keys).select(*keys, "r", "c", scaled.alias(name))
 
 
 def mutual_information(pairs: DataFrame, keys: Keys, a: str, b: str, bins: int = C.MI_BINS) -> DataFrame:
@@ -37,7 +38,7 @@ def mutual_information(pairs: DataFrame, keys: Keys, a: str, b: str, bins: int =
     bounded table, all on one repartitioning by key.
     """
     ranges = pairs.groupBy(*keys).agg(F.min(a).alias("_a0"), F.max(a).alias("_a1"), F.min(b).alias("_b0"), F.max(b).alias("_b1"))
-    binned = pairs.join(ranges, list(keys)).groupBy(
+    binned = attach(pairs, ranges, keys).groupBy(
         *keys, equal_width_bin(F.col(a), F.col("_a0"), F.col("_a1"), bins).alias("_i"), equal_width_bin(F.col(b), F.col("_b0"), F.col("_b1"), bins).alias("_j")
     ).agg(F.count("*").cast("double").alias("_n"))
     total = lambda *by: F.sum("_n").over(W.partitionBy(*keys, *by))
@@ -66,15 +67,15 @@ def neighbourhoods(moving: DataFrame, keys: Keys, value: str, radius: int) -> Da
 
     Two window passes over frame rows and columns; nothing is joined or exploded.
     """
-    def gather(df: DataFrame, column: str, window) -> DataFrame:
+    def gather(df: DataFrame, column: str, line: str, window) -> DataFrame:
         reach = range(1, radius + 1)
-        near = df.select("*", *[F.lag(column, k).over(window).alias(f"_b{k}") for k in reach], *[F.lead(column, k).over(window).alias(f"_f{k}") for k in reach])
+        near = df.repartition(*keys, line).select("*", *[F.lag(column, k).over(window).alias(f"_b{k}") for k in reach], *[F.lead(column, k).over(window).alias(f"_f{k}") for k in reach])
         pick = lambda side, k: F.coalesce(*[F.col(f"_{side}{i}") for i in range(k, 0, -1)], F.col(column))
         items = [pick("b", k) for k in range(radius, 0, -1)] + [F.col(column)] + [pick("f", k) for k in reach]
         return near.select(*keys, "r", "c", F.array(*items).alias("_n"))
 
-    rows = gather(moving.select(*keys, "r", "c", F.col(value).alias("_v")), "_v", W.partitionBy(*keys, "r").orderBy("c"))
-    square = gather(rows.withColumnRenamed("_n", "_v"), "_v", W.partitionBy(*keys, "c").orderBy("r"))
+    rows = gather(moving.select(*keys, "r", "c", F.col(value).alias("_v")), "_v", "r", W.partitionBy(*keys, "r").orderBy("c"))
+    square = gather(rows.withColumnRenamed("_n", "_v"), "_v", "c", W.partitionBy(*keys, "c").orderBy("r"))
     return square.select(*keys, "r", "c", F.flatten("_n").alias("n"))
 
 
@@ -87,7 +88,8 @@ def shifted(reference: DataFrame, moving: DataFrame, keys: Keys, shifts: DataFra
     """
     side = 2 * radius + 1
     around = neighbourhoods(moving, keys, "b", radius)
-    base = reference.select(*keys, "r", "c", "a").join(around, [*keys, "r", "c"]).join(shifts, list(keys))
+    base = reference.select(*keys, "r", "c", "a").join(around, [*keys, "r", "c"])
+    base = attach(base, shifts, keys)
 
     def look(s: Column) -> Column:
         i, j = F.floor(-s["dy"]), F.floor(-s["dx"])

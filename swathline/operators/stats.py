@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from swathline import config as C
 from swathline.functions.pixel import area_km2, past_cut
+from swathline.operators.joins import attach
 
 Keys = Sequence[str]
 
@@ -33,7 +34,7 @@ def equal_width_bin(value: Column, lo: Column, hi: Column, bins: int) -> Column:
 
 def histogram(df: DataFrame, keys: Keys, value: str, bins: int) -> DataFrame:
     """Non-empty equal-width bins per key: ``keys, lo, hi, n, bin, cnt``."""
-    ranged = df.where(F.col(value).isNotNull()).select(*keys, value).join(value_range(df, keys, value), list(keys))
+    ranged = attach(df.where(F.col(value).isNotNull()).select(*keys, value), value_range(df, keys, value), keys)
     return (
         ranged.withColumn("bin", equal_width_bin(F.col(value), F.col("lo"), F.col("hi"), bins))
         .groupBy(*keys, "lo", "hi", "n", "bin")
@@ -103,7 +104,7 @@ def gated_threshold(
     cuts = otsu_threshold(df, keys, value) if method == "otsu" else None
     base = df.select(*keys, F.col(value).alias("_v"), fixed.alias("_fixed"))
     if cuts is not None:
-        base = base.join(cuts.drop("n"), list(keys), "left")
+        base = attach(base, cuts.drop("n"), keys, "left")
     else:
         base = base.withColumn("threshold", F.lit(None).cast("double")).withColumn("ratio", F.lit(None).cast("double"))
     counted = base.groupBy(*keys).agg(
@@ -179,7 +180,7 @@ def exact_percentiles(
     """
     keys = list(keys)
     data = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
-    ranged = data.join(value_range(data, keys, "_v"), keys).withColumn(
+    ranged = attach(data, value_range(data, keys, "_v"), keys).withColumn(
         "_bin", equal_width_bin(F.col("_v"), F.col("lo"), F.col("hi"), bins)
     )
     before = W.partitionBy(*keys).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)

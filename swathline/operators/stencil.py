@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from swathline import config as C
+from swathline.operators.joins import attach
 from swathline.operators.stats import exact_percentiles
 
 Keys = Sequence[str]
@@ -27,6 +28,16 @@ def along_column(keys: Keys):
     return W.partitionBy(*keys, "c").orderBy("r")
 
 
+def by_row(frame: DataFrame, keys: Keys) -> DataFrame:
+    """Spread a scene over its rows. The window needs this exchange anyway; asking for it by name keeps
+    an input that is already hashed by scene from staying in one task."""
+    return frame.repartition(*keys, "r")
+
+
+def by_column(frame: DataFrame, keys: Keys) -> DataFrame:
+    return frame.repartition(*keys, "c")
+
+
 def neighbour(value: Column, offset: int, window) -> Column:
     """Cell at ``offset`` along the window; beyond the border, the nearest cell."""
     if offset == 0:
@@ -38,7 +49,7 @@ def neighbour(value: Column, offset: int, window) -> Column:
 def fill_invalid(frame: DataFrame, keys: Keys, value: str) -> DataFrame:
     """``filled`` is the value, or the scene mean of valid cells; ``valid`` remembers which."""
     means = frame.groupBy(*keys).agg(F.avg(value).alias("_mean"))
-    return frame.select(*keys, "r", "c", F.col(value).alias("_raw")).join(means, list(keys)).select(
+    return attach(frame.select(*keys, "r", "c", F.col(value).alias("_raw")), means, keys).select(
         *keys, "r", "c", F.coalesce("_raw", "_mean", F.lit(0.0)).alias("filled"), F.col("_raw").isNotNull().alias("valid")
     )
 
@@ -49,12 +60,12 @@ def box_means(frame: DataFrame, keys: Keys, columns: Sequence[str], window: int)
         raise ValueError("window must be odd so the response stays grid-aligned")
     k = window // 2
 
-    def blur(df: DataFrame, axis) -> DataFrame:
-        spec = axis(keys)
+    def blur(df: DataFrame, line, axis) -> DataFrame:
+        df, spec = line(df, keys), axis(keys)
         total = lambda c: sum((neighbour(F.col(c), o, spec) for o in range(-k, k + 1)), F.lit(0.0)) / window
         return df.select(*[c for c in df.columns if c not in columns], *[total(c).alias(c) for c in columns])
 
-    return blur(blur(frame, along_row), along_column)
+    return blur(blur(frame, by_row, along_row), by_column, along_column)
 
 
 def box_mean(frame: DataFrame, keys: Keys, value: str, window: int) -> DataFrame:
@@ -70,7 +81,7 @@ def local_variance(frame: DataFrame, keys: Keys, value: str, window: int) -> Dat
     """
     filled = fill_invalid(frame, keys, value)
     centre = filled.where("valid").groupBy(*keys).agg(F.avg("filled").alias("_m"))
-    prepared = filled.join(centre, list(keys), "left").select(
+    prepared = attach(filled, centre, keys, "left").select(
         *keys, "r", "c", "valid", (F.col("filled") - F.coalesce("_m", F.lit(0.0))).alias("m")
     ).withColumn("s", F.col("m") * F.col("m"))
     spread = box_means(prepared, keys, ["m", "s"], window).select(
@@ -78,7 +89,7 @@ def local_variance(frame: DataFrame, keys: Keys, value: str, window: int) -> Dat
     )
     peak = spread.where("valid").groupBy(*keys).agg(F.max("v").alias("peak"))
     scaled = F.when(F.col("valid") & (F.col("peak") > 0), F.least(F.col("v") / F.col("peak"), F.lit(1.0))).otherwise(0.0)
-    return spread.join(peak, list(keys), "left").select(*keys, "r", "c", "valid", scaled.alias("variance"))
+    return attach(spread, peak, keys, "left").select(*keys, "r", "c", "valid", scaled.alias("variance"))
 
 
 def edge_density(frame: DataFrame, keys: Keys, value: str, window: int) -> DataFrame:
@@ -87,17 +98,17 @@ def edge_density(frame: DataFrame, keys: Keys, value: str, window: int) -> DataF
     across, down = along_row(keys), along_column(keys)
     v = F.col("filled")
     left, right = neighbour(v, -1, across), neighbour(v, 1, across)
-    first = filled.select(*keys, "r", "c", "valid", (right - left).alias("d"), (left + 2 * v + right).alias("s"))
+    first = by_row(filled, keys).select(*keys, "r", "c", "valid", (right - left).alias("d"), (left + 2 * v + right).alias("s"))
     d, s = F.col("d"), F.col("s")
     gx = neighbour(d, -1, down) + 2 * d + neighbour(d, 1, down)
     gy = neighbour(s, 1, down) - neighbour(s, -1, down)
-    magnitude = first.select(*keys, "r", "c", "valid", gx.alias("gx"), gy.alias("gy")).select(
+    magnitude = by_column(first, keys).select(*keys, "r", "c", "valid", gx.alias("gx"), gy.alias("gy")).select(
         *keys, "r", "c", "valid", F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")).alias("density")
     )
     density = box_means(magnitude, keys, ["density"], window)
     peak = exact_percentiles(density.where("valid"), keys, "density", {"peak": 0.99}).drop("n")
     scaled = F.when(F.col("valid") & (F.col("peak") > 0), F.least(F.col("density") / F.col("peak"), F.lit(1.0))).otherwise(0.0)
-    return density.join(peak, list(keys), "left").select(*keys, "r", "c", "valid", scaled.alias("edges"))
+    return attach(density, peak, keys, "left").select(*keys, "r", "c", "valid", scaled.alias("edges"))
 
 
 def texture_response(frame: DataFrame, keys: Keys, value: str, window: int = C.TEXTURE_WINDOW) -> DataFrame:
@@ -112,8 +123,8 @@ def local_std_3x3(frame: DataFrame, keys: Keys, value: str) -> DataFrame:
     """3 x 3 standard deviation; at distance one a reflected border equals a replicated one."""
     filled = fill_invalid(frame, keys, value)
     across, down = along_row(keys), along_column(keys)
-    triple = filled.withColumn("t", F.array(*[neighbour(F.col("filled"), o, across) for o in (-1, 0, 1)]))
-    nine = triple.select(*keys, "r", "c", F.concat(*[neighbour(F.col("t"), o, down) for o in (-1, 0, 1)]).alias("n"))
+    triple = by_row(filled, keys).withColumn("t", F.array(*[neighbour(F.col("filled"), o, across) for o in (-1, 0, 1)]))
+    nine = by_column(triple, keys).select(*keys, "r", "c", F.concat(*[neighbour(F.col("t"), o, down) for o in (-1, 0, 1)]).alias("n"))
     total = lambda a, f: F.aggregate(a, F.lit(0.0), lambda acc, x: acc + f(x))
     centred = nine.withColumn("m", total(F.col("n"), lambda x: x) / 9)
     return centred.select(*keys, "r", "c", F.sqrt(total(F.transform("n", lambda x: x - F.col("m")), lambda x: x * x) / 9).alias("std"))
@@ -131,7 +142,7 @@ def refined_lee(frame: DataFrame, keys: Keys, value: str, looks: float = 1.0) ->
     x = F.coalesce(F.col(value), F.lit(0.0))
     base = frame.select(*keys, "r", "c", F.col(value).isNotNull().alias("valid"), F.when(F.col(value).isNotNull(), 1.0).otherwise(0.0).alias("w"), x.alias("x"))
     cell = F.struct("w", "x")
-    row = base.withColumn("n", F.array(*[neighbour(cell, o, across) for o in range(-radius, radius + 1)]))
+    row = by_row(base, keys).withColumn("n", F.array(*[neighbour(cell, o, across) for o in range(-radius, radius + 1)]))
     at = lambda i: F.get(F.col("n"), F.lit(i))
 
     def prefixes(pick) -> Column:
@@ -145,7 +156,7 @@ def refined_lee(frame: DataFrame, keys: Keys, value: str, looks: float = 1.0) ->
         *keys, "r", "c", "valid", "x",
         F.struct(prefixes(lambda n: n["w"]).alias("w"), prefixes(lambda n: n["x"]).alias("x"), prefixes(lambda n: n["x"] * n["x"]).alias("q")).alias("p"),
     )
-    stacked = summed.select(*keys, "r", "c", "valid", "x", *[neighbour(F.col("p"), o, down).alias(f"p{o + radius}") for o in range(-radius, radius + 1)])
+    stacked = by_column(summed, keys).select(*keys, "r", "c", "valid", "x", *[neighbour(F.col("p"), o, down).alias(f"p{o + radius}") for o in range(-radius, radius + 1)])
 
     def span(dy: int, field: str, low: int, high: int) -> Column:
         part = F.col(f"p{dy + radius}.{field}")
@@ -194,7 +205,7 @@ def quantise(frame: DataFrame, keys: Keys, value: str, levels: int) -> DataFrame
     top = F.when(F.col("hi") <= F.col("lo"), F.col("lo") + C.STRETCH_EPSILON).otherwise(F.col("hi"))
     level = F.floor((F.col("filled") - F.col("lo")) / (top - F.col("lo")) * levels)
     bounded = F.least(F.greatest(level, F.lit(0)), F.lit(levels - 1)).cast("int")
-    return fill_invalid(frame, keys, value).join(cuts, list(keys), "left").select(*keys, "r", "c", "valid", F.coalesce(bounded, F.lit(0)).alias("level"))
+    return attach(fill_invalid(frame, keys, value), cuts, keys, "left").select(*keys, "r", "c", "valid", F.coalesce(bounded, F.lit(0)).alias("level"))
 
 
 def glcm_entropy(frame: DataFrame, keys: Keys, value: str, window: int = C.TEXTURE_WINDOW, levels: int = C.GLCM_LEVELS) -> DataFrame:
@@ -206,11 +217,11 @@ def glcm_entropy(frame: DataFrame, keys: Keys, value: str, window: int = C.TEXTU
     across, down = along_row(keys), along_column(keys)
     k = window // 2
     whole_row = W.partitionBy(*keys, "r").orderBy("c").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    symbols = quantise(frame, keys, value, levels).withColumn(
+    symbols = by_row(quantise(frame, keys, value, levels), keys).withColumn(
         "sym", F.col("level") * levels + F.coalesce(F.lead("level", 1).over(across), F.first("level").over(whole_row))
     )
     rows = symbols.withColumn("a", F.array(*[neighbour(F.col("sym"), o, across) for o in range(-k, k + 1)]))
-    cells = rows.select(*keys, "r", "c", "valid", F.array_sort(F.concat(*[neighbour(F.col("a"), o, down) for o in range(-k, k + 1)])).alias("w"))
+    cells = by_column(rows, keys).select(*keys, "r", "c", "valid", F.array_sort(F.concat(*[neighbour(F.col("a"), o, down) for o in range(-k, k + 1)])).alias("w"))
     term = lambda n: F.when(n > 0, n * F.log2(F.when(n > 0, n))).otherwise(0.0)
     start = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum"))
 
@@ -241,13 +252,13 @@ def morphological_open(frame: DataFrame, keys: Keys, hit: str, radius: int = C.O
         across, down = along_row(keys), along_column(keys)
         v = F.col("hit").cast("int")
         sums = [F.coalesce(F.sum(v).over(across.rowsBetween(-w, w)), F.lit(0)).alias(f"s{w}") for w in widths]
-        flat = df.select(*keys, "r", "c", *sums)
+        flat = by_row(df, keys).select(*keys, "r", "c", *sums)
         flags = flat.select(*keys, "r", "c", *[(F.col(f"s{w}") == 2 * w + 1 if erode else F.col(f"s{w}") > 0).alias(f"f{w}") for w in widths])
         out = None
         for dy, w in spans.items():
             cell = F.col(f"f{w}") if dy == 0 else (F.lag(f"f{w}", -dy, False).over(down) if dy < 0 else F.lead(f"f{w}", dy, False).over(down))
             out = cell if out is None else (out & cell if erode else out | cell)
-        return flags.select(*keys, "r", "c", out.alias("hit"))
+        return by_column(flags, keys).select(*keys, "r", "c", out.alias("hit"))
 
     start = frame.select(*keys, "r", "c", F.coalesce(F.col(hit), F.lit(False)).alias("hit"))
     return pass_(pass_(start, True), False)

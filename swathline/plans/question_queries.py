@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from swathline import config as C
 from swathline.functions import boxes as B
 from swathline.operators import change as CH
+from swathline.operators import joins as JO
 from swathline.operators import questions as Q
 from swathline.operators import ranking as RK
 from swathline.operators import sampling as SM
@@ -347,13 +348,13 @@ def qg17(v):
     from swathline.functions.headers import parse_patch_id
 
     asked = v.sql(ASKED[len("ask AS ("):-1]).select(col("o_custkey").alias("c_custkey"), F.struct("sample_id", "question", "answer").alias("qa"))
-    # The nested form is what a patch manifest stores; one patch carries a bounded set of questions.
-    nested = asked.groupBy("c_custkey").agg(F.collect_list("qa").alias("qa"))
+    nested = JO.nest_in_parts(asked.withColumn("sid", col("qa.sample_id")), ["c_custkey"], RK.seeded("nest", "sid"), "sid", col("qa"))
+    ids = F.aggregate("items", F.lit(0).cast("long"), lambda acc, x: acc + x["sample_id"])
+    sums = nested.groupBy("c_custkey").agg(F.sum(F.size("items").cast("long")).alias("n"), F.sum(ids).alias("s"))
     p = parse_patch_id(col("patch_id"))
-    ids = F.aggregate(F.coalesce("qa", F.array().cast("array<struct<sample_id:bigint,question:string,answer:string>>")), F.lit(0).cast("long"), lambda acc, x: acc + x["sample_id"])
-    return v.patch.join(nested, "c_custkey", "left").select(
+    return v.patch.join(sums, "c_custkey", "left").select(
         "c_custkey", "patch_id", p["tile"].alias("tile"), p["sensing"].alias("sensing"), p["orbit"].alias("orbit"),
-        F.greatest(F.size("qa"), F.lit(0)).cast("long").alias("questions"), ids.alias("id_sum"),
+        F.coalesce("n", F.lit(0)).alias("questions"), F.coalesce("s", F.lit(0)).alias("id_sum"),
     )
 
 

@@ -89,7 +89,8 @@ COCO = "co AS (SELECT l_orderkey AS image_id, l_linenumber, CASE l_linenumber %
 def coco(v):
     k = col("l_linenumber") % 3
     role = F.when(k == 0, "cargo").when(k == 1, "civil").otherwise("light")
-    return v.lineitem.select(col("l_orderkey").alias("image_id"), role.alias("role"), col("l_quantity").alias("x"), (col("l_discount") * 100).alias("y"), F.lit(5.0).alias("w"), F.lit(6.0).alias("h"), (col("l_tax") > 0.05).alias("truncated"))
+    box_id = F.concat_ws("_", *[F.col(c).cast("string") for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")])
+    return v.lineitem.select(col("l_orderkey").alias("image_id"), box_id.alias("box_id"), role.alias("role"), col("l_quantity").alias("x"), (col("l_discount") * 100).alias("y"), F.lit(5.0).alias("w"), F.lit(6.0).alias("h"), (col("l_tax") > 0.05).alias("truncated"))
 
 
 @query("SRC04_read_coco_boxes", "WITH " + COCO + " SELECT o_orderkey AS image_id, count(image_id) AS n, coalesce(count(*) FILTER (truncated), 0) AS truncated, min(role) AS first_role FROM orders LEFT JOIN co ON image_id = o_orderkey WHERE o_custkey % 4 > 0 GROUP BY o_orderkey")
@@ -97,7 +98,11 @@ def src04(v):
     images = v.orders.select(col("o_orderkey").alias("image_id"))
     listed = v.orders.where("o_custkey % 4 > 0").select(col("o_orderkey").alias("image_id"))
     out = RD.coco_boxes(images, coco(v), listed)
-    return out.select("image_id", "n", F.coalesce("truncated", F.lit(0)).alias("truncated"), F.get("boxes", F.lit(0))["role"].alias("first_role"))
+    cut = F.size(F.filter("boxes", lambda b: b["truncated"])).cast("long")
+    return out.groupBy("image_id").agg(
+        F.coalesce(F.sum(F.when(col("boxes").isNotNull(), F.size("boxes").cast("long"))), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(col("boxes").isNotNull(), cut)), F.lit(0)).alias("truncated"),
+        F.min(F.array_min(F.transform("boxes", lambda b: b["role"]))).alias("first_role"),
+    )
 
 
 def release(v):

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from swathline import schema as SCH
+from swathline.operators.joins import nest_in_parts
 
 EXCLUDED_CATEGORIES = ("country", "season", "climate zone")
 ANNOTATION_COLUMNS = ("patch_id", "input", "output", "type", "category", "split", "country", "season", "climate_zone")
@@ -55,11 +56,12 @@ def read_footprints_geojson(spark: SparkSession, path: str) -> DataFrame:
 
 
 def coco_boxes(images: DataFrame, annotations: DataFrame, listed: DataFrame) -> DataFrame:
-    """Images with their boxes, inner-joined to the listed tiles; the class comes from ``role``."""
+    """Listed images with their boxes nested in bounded parts; the class comes from ``role``."""
     tiles = images.join(listed, "image_id")
     box = F.struct("role", "x", "y", "w", "h", "truncated")
-    boxes = annotations.groupBy("image_id").agg(F.count("*").alias("n"), F.sum(F.col("truncated").cast("long")).alias("truncated"), F.array_sort(F.collect_list(box)).alias("boxes"))
-    return tiles.join(boxes, "image_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    order = F.sha2(F.concat_ws("|", "image_id", "box_id"), 256)
+    parts = nest_in_parts(annotations, ["image_id"], order, "box_id", box)
+    return tiles.join(parts.withColumnRenamed("items", "boxes"), "image_id", "left")
 
 
 def listed_gap(images: DataFrame, listed: DataFrame) -> DataFrame:
