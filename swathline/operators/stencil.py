@@ -181,16 +181,20 @@ def refined_lee(frame: DataFrame, keys: Keys, value: str, looks: float = 1.0) ->
     near = lambda dy: (-1, 1) if abs(dy) <= 1 else None
     sums = stacked.select(
         *keys, "r", "c", "valid", "x", gather(near, "w").alias("w3"), gather(near, "x").alias("x3"),
-        F.array(*[F.struct(gather(d, "w").alias("w"), gather(d, "x").alias("x"), gather(d, "q").alias("q")) for d in directions]).alias("d"),
+        *[gather(rule, field).alias(f"{field}_{i}") for i, rule in enumerate(directions) for field in "wxq"],
     )
     reference = F.when(F.col("w3") > 0.5, F.col("x3") / F.col("w3")).otherwise(F.col("x"))
-    stat = F.transform("d", lambda s: F.struct(
-        F.when(s["w"] > 0.5, s["x"] / s["w"]).otherwise(0.0).alias("m"),
-        F.when(s["w"] > 0.5, s["q"] / s["w"]).otherwise(0.0).alias("q"),
-    ))
+    ratio = lambda field, i: F.when(F.col(f"w_{i}") > 0.5, F.col(f"{field}_{i}") / F.col(f"w_{i}")).otherwise(0.0)
+    means = sums.select(
+        *keys, "r", "c", "valid", "x", reference.alias("ref"),
+        *[ratio(field, i).alias(f"{name}_{i}") for i in range(len(directions)) for field, name in (("x", "m"), ("q", "s"))],
+    )
     # Rounding the gap makes equal half-windows tie, and the first direction wins a tie.
-    ranked = F.transform(F.col("s"), lambda s, i: F.struct(F.round(F.abs(s["m"] - F.col("ref")), 12).alias("gap"), i.alias("i"), s["m"].alias("m"), s["q"].alias("q")))
-    best = sums.withColumn("ref", reference).withColumn("s", stat).withColumn("b", F.array_min(ranked))
+    ranked = F.array(*[
+        F.struct(F.round(F.abs(F.col(f"m_{i}") - F.col("ref")), 12).alias("gap"), F.lit(i).alias("i"), F.col(f"m_{i}").alias("m"), F.col(f"s_{i}").alias("q"))
+        for i in range(len(directions))
+    ])
+    best = means.select(*keys, "r", "c", "valid", "x", F.array_min(ranked).alias("b"))
     variance = F.greatest(F.col("b.q") - F.col("b.m") * F.col("b.m"), F.lit(0.0))
     cu2 = 1.0 / looks
     gain = F.when(F.col("var") > 0, (F.col("var") - cu2 * F.col("b.m") * F.col("b.m")) / (F.col("var") * (1 + cu2))).otherwise(0.0)
