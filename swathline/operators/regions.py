@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from swathline import config as C
-from swathline.operators.stencil import morphological_open
+from swathline.operators.stencil import by_row, morphological_open
 from swathline.session import cut_lineage
 
 Keys = Sequence[str]
@@ -19,7 +19,7 @@ ROW_STRIDE = 1 << 24  # run id = r * ROW_STRIDE + first column
 def horizontal_runs(hits: DataFrame, keys: Keys) -> DataFrame:
     """Tag each positive pixel with the id of its horizontal run."""
     row = W.partitionBy(*keys, "r").orderBy("c")
-    islands = hits.withColumn("_g", F.col("c") - F.row_number().over(row))
+    islands = by_row(hits, keys).withColumn("_g", F.col("c") - F.row_number().over(row))
     run = W.partitionBy(*keys, "r", "_g")
     return islands.withColumn("run", F.col("r") * F.lit(ROW_STRIDE) + F.min("c").over(run)).drop("_g")
 

@@ -277,7 +277,8 @@ def terrain_shadow(frame: DataFrame, keys: Keys, dem: str, pixel_size: float, lo
         before, after = F.lag(z).over(spec), F.lead(z).over(spec)
         return F.when(before.isNull(), (after - z) / pixel_size).when(after.isNull(), (z - before) / pixel_size).otherwise((after - before) / (2 * pixel_size))
 
-    slopes = frame.select(*keys, "r", "c", gradient(across).alias("east"), (-gradient(down)).alias("north"))
+    easting = by_row(frame.select(*keys, "r", "c", dem), keys).withColumn("east", gradient(across))
+    slopes = by_column(easting, keys).select(*keys, "r", "c", "east", (-gradient(down)).alias("north"))
     azimuth = F.radians(F.lit(look_azimuth))
     along = F.col("east") * F.sin(azimuth) + F.col("north") * F.cos(azimuth)
     return slopes.select(*keys, "r", "c", along.alias("along_look"), (F.atan(-along) > F.radians(F.lit(90.0 - incidence))).alias("shadow"))
