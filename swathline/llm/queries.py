@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swathline.llm import mixing
+from swathline.llm import html_text, mixing
 from swathline.llm.common import table, words_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,8 @@ def register(name: str, sql: str | None = None):
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.repetition_plan(table(spark, sf_dir, "documents"), words_of(F.col("text")))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+@register("op1_html_text")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
