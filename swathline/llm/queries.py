@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swathline.llm import html_text, licences, mixing, simhash
+from swathline.llm import bottomk, html_text, licences, mixing, simhash
 from swathline.llm.common import table, words_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_licence_scan")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
+
+
+@register("op9_bottomk_sketch")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bottomk.compare_edited(table(spark, sf_dir, "documents"))
