@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swathline.llm import bottomk, html_text, licences, mixing, simhash
+from swathline.llm import bottomk, html_text, licences, mixing, simhash, toxicity
 from swathline.llm.common import table, words_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op9_bottomk_sketch")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bottomk.compare_edited(table(spark, sf_dir, "documents"))
+
+
+@register("op3_toxicity")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
