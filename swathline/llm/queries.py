@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swathline.llm import bottomk, decontaminate, html_text, kneser_ney, licences, mixing, simhash, toxicity
+from swathline.llm import bottomk, decontaminate, html_text, kneser_ney, licences, mixing, pii, simhash, toxicity
 from swathline.llm.common import table, words_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op6_quality")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op7_personal_data")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.spans(table(spark, sf_dir, "documents"))
