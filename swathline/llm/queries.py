@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swathline.llm import bottomk, decontaminate, html_text, kneser_ney, licences, mixing, pii, simhash, toxicity
+from swathline.llm import bottomk, decontaminate, html_text, kneser_ney, licences, masked_lm, mixing, pii, simhash, toxicity
 from swathline.llm.common import table, words_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op7_personal_data")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.spans(table(spark, sf_dir, "documents"))
+
+
+@register("op5_masked_lm")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return masked_lm.score(docs, *masked_lm.train(docs))
