@@ -17,7 +17,6 @@ FEATURES = (
     "router_is_rules", "warning_count", "answer_logprob", "deterministic_fallback_used",
 )
 MIN_SAMPLES = 10
-MIN_ISOTONIC = 100
 
 
 def unit(value: Column) -> Column:
@@ -57,8 +56,8 @@ def isotonic_fit(rows: DataFrame, score: str, label: str) -> DataFrame:
     return model.transform(assembled).select("score", "weight", "fitted")
 
 
-def fit_calibrator(rows: DataFrame, label: str) -> DataFrame:
-    """Features -> logistic score -> isotonic probability (logistic only below 100 rows).
+def fit_calibrator(rows: DataFrame, label: str, isotonic: bool = True) -> DataFrame:
+    """Features -> logistic score -> isotonic probability, or the logistic score alone without ``isotonic``.
 
     Scores are rounded to six digits before the isotonic fit, so the solver sees at most a
     million points however many rows there are.
@@ -70,7 +69,7 @@ def fit_calibrator(rows: DataFrame, label: str) -> DataFrame:
     scaled = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True).fit(assembled).transform(assembled)
     logistic = LogisticRegression(featuresCol="scaled", labelCol="label", maxIter=100, standardization=False, probabilityCol="p").fit(scaled)
     scored = logistic.transform(scaled).withColumn("score", F.round(vector_to_array("p")[1], 6))
-    if n < MIN_ISOTONIC:
+    if not isotonic:
         return scored.withColumn("calibrated", F.col("score")).drop("raw", "scaled", "rawPrediction", "p", "prediction", "label")
     curve = isotonic_fit(scored, "score", "label").select("score", F.col("fitted").alias("calibrated"))
     return scored.join(curve, "score").drop("raw", "scaled", "rawPrediction", "p", "prediction", "label")

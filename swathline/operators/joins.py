@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from swathline.operators.ranking import dense_rank_rows, hash_bucket
+from swathline.operators.ranking import dense_rank_rows, hash_bucket, null_safe_join
 
 SALTS = 16
 PART_ROWS = 500
@@ -19,12 +19,14 @@ def attach(rows: DataFrame, facts: DataFrame, keys: Sequence[str], how: str = "i
     While the facts are small enough Spark broadcasts them. Beyond that a plain join would put a
     hot key in one task, and everything grouped by key after it as well; so the facts are
     repeated per salt and each row draws its salt from its own content, which is repeatable.
+    NULL keys meet NULL keys, so no row is lost to them.
     """
     keys = list(keys)
     others = [f.name for f in rows.schema.fields if f.name not in keys and f.dataType.typeName() != "map"]
     salt = F.pmod(F.xxhash64(*others), F.lit(SALTS)).cast("int") if others else F.lit(0)
     salts = F.array(*[F.lit(i) for i in range(SALTS if others else 1)])
-    return rows.withColumn("_salt", salt).join(facts.withColumn("_salt", F.explode(salts)), [*keys, "_salt"], how).drop("_salt")
+    salted = rows.withColumn("_salt", salt)
+    return null_safe_join(salted, facts.withColumn("_salt", F.explode(salts)), [*keys, "_salt"], how).drop("_salt")
 
 
 def nest_in_parts(rows: DataFrame, keys: Sequence[str], order: Column, tie: str, item: Column, size: int = PART_ROWS) -> DataFrame:

@@ -34,7 +34,6 @@ OPEN_TASKS = ("change_count",)
 COVERAGE_BINS = ((0.01, "none"), (0.10, "a small part"), (0.35, "some"), (0.65, "about half"), (0.90, "most"), (1.01, "nearly all"))
 COUNT_BUCKETS = ((0, "0"), (1, "1"), (3, "2-3"), (10, "4-10"), (30, "11-30"))
 LEGIBLE_PX = 12
-MAX_QA_PER_IMAGE = 12
 INDEX_NOUNS = {"ndvi": "vegetation cover", "ndwi": "surface water", "ndbi": "built-up surface"}
 CHANGE_MIN, NOISE_MAX = 0.10, 0.05
 ARMS = ("optical", "sar", "fused")
@@ -69,14 +68,11 @@ def change_rows(stats: DataFrame, group: str) -> DataFrame:
     ``stats`` holds one row per ordered pair (``first``/``second`` as YYYY-MM plus the counts of
     :func:`~swathline.operators.change.pair_statistics`). The twin id keys on the unordered dates, the
     task and the question, so both orderings of a question share it.
+    Counts above what people count exactly stay and are flagged ``large_count``.
     """
     answers = change_answers(stats)
-    keep = {
-        "count_appeared": F.col("appeared") <= C.EXACT_COUNT_MAX,
-        "count_demolished": F.col("demolished") <= C.EXACT_COUNT_MAX,
-    }
     rows = [
-        qa(task, question, answers[op], keep.get(op), answer_type=F.lit(kind), answer_options=F.lit(ANSWER_OPTIONS.get(task)).cast("string"))
+        qa(task, question, answers[op], answer_type=F.lit(kind), answer_options=F.lit(ANSWER_OPTIONS.get(task)).cast("string"))
         for task, op, question, kind in CHANGE_QUESTIONS
     ]
     out = explode_rows(stats, [group, "first", "second", "appeared", "demolished"], rows)
@@ -84,7 +80,9 @@ def change_rows(stats: DataFrame, group: str) -> DataFrame:
     ids = F.concat_ws("_", F.col(group), F.least("first", "second"), F.greatest("first", "second"), "task", digest)
     return out.withColumn("twin_id", ids).withColumn(
         "sample_id", F.concat_ws("_", F.col(group), "first", "second", "task", digest)
-    ).withColumn("gap_months", months_between(F.col("first"), F.col("second")))
+    ).withColumn("gap_months", months_between(F.col("first"), F.col("second"))).withColumn(
+        "large_count", (F.col("task") == "change_count") & (F.expr("try_cast(answer AS bigint)") > C.EXACT_COUNT_MAX)
+    )
 
 
 def seeded_order(items: Column, seed: str, key: Column) -> Column:
@@ -93,9 +91,9 @@ def seeded_order(items: Column, seed: str, key: Column) -> Column:
     return F.transform(F.array_sort(tagged), lambda t: F.substring(t, 65, 1 << 20))
 
 
-def multilabel_rows(df: DataFrame, key: str, labels: str, vocabulary: Sequence[str], limit: int = MAX_QA_PER_IMAGE) -> DataFrame:
-    """Presence in equal halves, one true and one false co-occurrence, class count."""
-    half = max(1, limit // 3)
+def multilabel_rows(df: DataFrame, key: str, labels: str, vocabulary: Sequence[str], limit: int | None = None) -> DataFrame:
+    """Presence in equal halves, one true and one false co-occurrence, class count; ``limit`` caps an image's rows."""
+    half = len(vocabulary) if limit is None else max(1, limit // 3)
     words = F.array(*[F.lit(w) for w in vocabulary])
     name = F.col(key).cast("string")
     base = df.where(F.size(labels) > 0).select(
@@ -166,7 +164,7 @@ def polygon_rows(shapes: DataFrame, frame: str, gsd: float, noun: str = "buildin
     return explode_rows(frames, [frame], rows)
 
 
-def segmask_rows(fractions: DataFrame, keys: Sequence[str], vocabulary: Sequence[str], limit: int = 6) -> DataFrame:
+def segmask_rows(fractions: DataFrame, keys: Sequence[str], vocabulary: Sequence[str], limit: int | None = None) -> DataFrame:
     """Dominant class, coverage of the two largest, absent and present presence, class count.
 
     ``fractions`` has one row per (scene, class) - a table bounded by the class list.
@@ -190,7 +188,7 @@ def segmask_rows(fractions: DataFrame, keys: Sequence[str], vocabulary: Sequence
     return explode_rows(base, keys, rows, limit)
 
 
-def delta_rows(deltas: DataFrame, keys: Sequence[str], noun: str = "building", limit: int = 6) -> DataFrame:
+def delta_rows(deltas: DataFrame, keys: Sequence[str], noun: str = "building", limit: int | None = None) -> DataFrame:
     """Questions from (added, removed, persisted) and/or a changed area; nothing without either."""
     added, removed, kept, area = (F.col(c) for c in ("added", "removed", "persisted", "area_m2"))
     counts = added.isNotNull() & removed.isNotNull()
@@ -364,7 +362,7 @@ def count_words(n: Column) -> Column:
     return F.when(n < len(NUMBER_WORDS), F.get(words, n.cast("int"))).otherwise(n.cast("string"))
 
 
-def caption_render(inventory: DataFrame, frame: str, seed: str, most: int = 4) -> DataFrame:
+def caption_render(inventory: DataFrame, frame: str, seed: str, most: int | None = None) -> DataFrame:
     """One deterministic template sentence group per frame, largest groups first.
 
     An inventory holds one row per phrase of a frame, a list bounded by the vocabulary.
@@ -374,7 +372,8 @@ def caption_render(inventory: DataFrame, frame: str, seed: str, most: int = 4) -
     )
     clause = F.concat_ws(" ", subject, F.lit("at the"), "cell")
     frames = inventory.groupBy(frame).agg(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("o"), "phrase", clause.alias("clause")))).alias("g"))
-    clauses = F.slice(F.transform("g", lambda x: x["clause"]), 1, most)
+    clauses = F.transform("g", lambda x: x["clause"])
+    clauses = clauses if most is None else F.slice(clauses, 1, most)
     opener = F.get(F.array(*[F.lit(o) for o in OPENERS]), choose(len(OPENERS), seed, F.col(frame).cast("string")))
     return frames.select(frame, F.concat(opener, F.lit(" "), F.array_join(clauses, ", "), F.lit(".")).alias("caption"))
 

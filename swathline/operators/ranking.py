@@ -7,6 +7,7 @@ repeatable after executor loss.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -38,6 +39,13 @@ def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
     return df.withColumn(name, rank).where(F.col(name) <= limit)
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join in which NULL keys meet; the left side's keys are kept."""
+    named = right.select(*[F.col(k).alias(f"_k_{k}") if k in keys else F.col(k) for k in right.columns])
+    on = reduce(lambda a, b: a & b, [left[k].eqNullSafe(named[f"_k_{k}"]) for k in keys])
+    return left.join(named, on, how).drop(*[f"_k_{k}" for k in keys])
+
+
 def running_totals(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, values: Mapping[str, Column]
 ) -> DataFrame:
@@ -57,6 +65,6 @@ def running_totals(
     offsets = sums.select(*keys, "_bucket", *[F.coalesce(F.sum(f"_s_{n}").over(upto), F.lit(0)).alias(f"_o_{n}") for n in names])
     within = W.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     summed = parts.select("*", *[F.sum(f"_v_{n}").over(within).alias(f"_r_{n}") for n in names])
-    joined = summed.join(offsets, [*keys, "_bucket"])
+    joined = null_safe_join(summed, offsets, [*keys, "_bucket"])
     totals = [(F.col(f"_r_{n}") + F.col(f"_o_{n}")).alias(n) for n in names]
     return joined.select(*df.columns, *totals)

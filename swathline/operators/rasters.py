@@ -112,13 +112,13 @@ def resample(source, targets, keys, value, src, dst, classes: bool):
     return resample_bilinear(source, targets, keys, value, src, dst)
 
 
-def masked_share(df: DataFrame, keys: Sequence[str], bands: Sequence[str]) -> DataFrame:
-    """Share of exactly black pixels on the stride grid, with the audit band."""
+def masked_share(df: DataFrame, keys: Sequence[str], bands: Sequence[str], stride: int = 1) -> DataFrame:
+    """Share of exactly black pixels, of all or of every ``stride``-th row and column, with the audit band."""
     black = F.lit(True)
     for band in bands:
         black = black & (F.coalesce(F.col(band), F.lit(0)) == 0)
     share = F.avg(black.cast("double")).alias("share")
-    sampled = df.where((F.col("r") % C.MASK_STRIDE == 0) & (F.col("c") % C.MASK_STRIDE == 0))
+    sampled = df if stride == 1 else df.where((F.col("r") % stride == 0) & (F.col("c") % stride == 0))
     s = F.col("share")
     label = (
         F.when(s == 0, "clean").when(s < 0.01, "trace").when(s < 0.05, "light")

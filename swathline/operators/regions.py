@@ -92,8 +92,8 @@ def prior_for(target: str) -> tuple[float, float]:
     return C.DEFAULT_PRIOR
 
 
-def box_proposals(mask: DataFrame, keys: Keys, target: str, height: int, width: int, limit: int = C.MAX_PROPOSALS) -> DataFrame:
-    """Open the mask, keep regions the noun's shape prior allows, best mean response first.
+def box_proposals(mask: DataFrame, keys: Keys, target: str, height: int, width: int, limit: int | None = None) -> DataFrame:
+    """Open the mask, keep regions the noun's shape prior allows, best mean response first, at most ``limit``.
 
     ``mask`` is a complete frame with ``hit`` and ``response``.
     """
@@ -105,7 +105,8 @@ def box_proposals(mask: DataFrame, keys: Keys, target: str, height: int, width:
     shaped = found.withColumn("aspect_ratio", F.greatest(h, w) / F.greatest(F.lit(1), F.least(h, w))).withColumn("solidity", F.col("area_px") / F.greatest(F.lit(1), h * w))
     kept = shaped.where((F.col("aspect_ratio") <= max_aspect) & (F.col("solidity") >= min_solidity))
     rank = F.row_number().over(W.partitionBy(*keys).orderBy(F.round("mean_response", 9).desc(), F.col("area_px").desc(), "label"))
-    return kept.withColumn("rank", rank).where(F.col("rank") <= limit)
+    ranked = kept.withColumn("rank", rank)
+    return ranked if limit is None else ranked.where(F.col("rank") <= limit)
 
 
 def rasterize(rings: DataFrame, keys: Keys, height: int, width: int) -> DataFrame:

@@ -29,16 +29,17 @@ def flushed_offsets(extent: Column, side: Column, stride: Column) -> Column:
     return F.when(reached, regular).otherwise(F.concat(regular, F.array((extent - side).cast("long"))))
 
 
-def numbered(scenes: DataFrame, key: str, max_tiles: int) -> DataFrame:
-    """Row-major tile index from array positions, cut at ``max_tiles`` with a flag."""
+def numbered(scenes: DataFrame, key: str, max_tiles: int | None) -> DataFrame:
+    """Row-major tile index from array positions; with ``max_tiles`` cut there, and flagged."""
     grid = scenes.select("*", F.posexplode("rows").alias("i", "row_off")).select("*", F.posexplode("cols").alias("j", "col_off"))
     index = F.col("i") * F.size("cols") + F.col("j") + 1
-    return grid.withColumn("tile_idx", index).where(F.col("tile_idx") <= max_tiles).withColumn(
-        "truncated", F.size("rows") * F.size("cols") > max_tiles
-    )
+    grid = grid.withColumn("tile_idx", index)
+    if max_tiles is None:
+        return grid.withColumn("truncated", F.lit(False))
+    return grid.where(F.col("tile_idx") <= max_tiles).withColumn("truncated", F.size("rows") * F.size("cols") > max_tiles)
 
 
-def plan_tiles(scenes: DataFrame, key: str, side_px: int = C.TILE_SIDE, overlap: float = C.TILE_OVERLAP, max_tiles: int = C.MAX_TILES) -> DataFrame:
+def plan_tiles(scenes: DataFrame, key: str, side_px: int = C.TILE_SIDE, overlap: float = C.TILE_OVERLAP, max_tiles: int | None = None) -> DataFrame:
     """Overlapping tiles flushed to the edge, with the whole scene as tile 0."""
     side = F.least(F.lit(side_px), F.greatest("height", "width"))
     sized = scenes.select(key, "height", "width", side.alias("side")).withColumn(
@@ -54,7 +55,7 @@ def plan_tiles(scenes: DataFrame, key: str, side_px: int = C.TILE_SIDE, overlap:
     return tiles.unionByName(overview)
 
 
-def plan_tiles_clamped(scenes: DataFrame, key: str, size: int = C.TILE_SIDE, overlap: int | None = None, max_tiles: int = C.MAX_TILES) -> DataFrame:
+def plan_tiles_clamped(scenes: DataFrame, key: str, size: int = C.TILE_SIDE, overlap: int | None = None, max_tiles: int | None = None) -> DataFrame:
     """Fixed stride; tiles shrink at the edge."""
     overlap = round(size * C.TILE_OVERLAP) if overlap is None else overlap
     if overlap >= size:

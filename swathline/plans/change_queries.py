@@ -10,7 +10,7 @@ from swathline.operators import fusion as FU
 from swathline.operators import stats as S
 from swathline.plans.registry import query
 from swathline.plans.stats_queries import KEYS, OPTICAL_WATER, SAR_WATER, SCENE
-from swathline.plans.views import ctes
+from swathline.plans.views import ctes, folded
 
 PIXEL = [*SCENE, "r", "c"]
 
@@ -200,7 +200,7 @@ QUESTION_SQL = """CASE WHEN vec_id % 21 < 19 THEN concat('Is there any ', ({name
 SCORED = (
     "cls AS (SELECT [" + ", ".join(f"'{n}'" for n in C.LANDCOVER_CLASSES) + "] AS names),\n"
     "q AS (SELECT vec_id, label, CASE WHEN vec_id % 21 < 19 THEN concat('Is there any ', names[1 + vec_id % 21], ' here?') WHEN vec_id % 21 = 19 THEN 'Is there forest in the scene?' ELSE 'What time is it?' END AS question, names,\n"
-    " list_transform(embedding[1:19], lambda e: 0.5 + 2 * CAST(e AS DOUBLE)) AS so, list_transform(embedding[33:51], lambda e: 0.5 + 2 * CAST(e AS DOUBLE)) AS sr FROM embeddings, cls),\n"
+    " list_transform(range(1, 20), lambda i: 0.5 + 2 * list_sum([CAST(embedding[j] AS DOUBLE) for j in range(i, 33, 19)])) AS so, list_transform(range(33, 52), lambda i: 0.5 + 2 * list_sum([CAST(embedding[j] AS DOUBLE) for j in range(i, 65, 19)])) AS sr FROM embeddings, cls),\n"
     "sc AS (SELECT vec_id, label, question, CASE WHEN lower(question) LIKE '%is there forest%' THEN greatest(so[4], so[7], so[13]) ELSE so[list_position(list_transform(names, lambda n: contains(lower(question), lower(n))), true)] END AS o,\n"
     " CASE WHEN lower(question) LIKE '%is there forest%' THEN greatest(sr[4], sr[7], sr[13]) ELSE sr[list_position(list_transform(names, lambda n: contains(lower(question), lower(n))), true)] END AS r FROM q),\n"
     "ans AS (SELECT vec_id, question, CASE WHEN label % 2 = 0 THEN 'yes' ELSE 'no' END AS truth, o, r, CASE WHEN o IS NULL THEN NULL WHEN o >= 0.5 THEN 'yes' ELSE 'no' END AS optical, CASE WHEN r IS NULL THEN NULL WHEN r >= 0.5 THEN 'yes' ELSE 'no' END AS radar FROM sc)"
@@ -208,7 +208,7 @@ SCORED = (
 
 
 def scored_questions(v):
-    """Embedding slices stand for the class scores of two sensors."""
+    """The halves of an embedding, folded to the number of classes, stand for the scores of two sensors."""
     names = F.array(*[F.lit(n) for n in C.LANDCOVER_CLASSES])
     slot = (F.col("vec_id") % 21).cast("int")
     question = (
@@ -216,9 +216,9 @@ def scored_questions(v):
         .when(slot == 19, "Is there forest in the scene?")
         .otherwise("What time is it?")
     )
-    scores = lambda start: F.transform(F.slice("embedding", start, 19), lambda e: F.lit(0.5) + 2 * e.cast("double"))
+    scores = lambda first, last: F.transform(folded("embedding", first, last, 19), lambda e: F.lit(0.5) + 2 * e)
     return v.embeddings.select(
-        "vec_id", question.alias("question"), scores(1).alias("optical_scores"), scores(33).alias("radar_scores"),
+        "vec_id", question.alias("question"), scores(1, 32).alias("optical_scores"), scores(33, 64).alias("radar_scores"),
         F.when(F.col("label") % 2 == 0, "yes").otherwise("no").alias("truth"),
     )
 

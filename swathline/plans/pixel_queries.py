@@ -363,7 +363,7 @@ def px22(v):
 
 
 MASK_SQL = f"""shares AS (SELECT {KEYS}, avg(CASE WHEN coalesce(red, 0) = 0 AND coalesce(green, 0) = 0 AND coalesce(nir, 0) = 0 THEN 1.0 ELSE 0.0 END) AS share
-FROM grid WHERE r % 4 = 0 AND c % 4 = 0 GROUP BY {KEYS}),
+FROM grid GROUP BY {KEYS}),
 banded AS (SELECT *, CASE WHEN share = 0 THEN 'clean' WHEN share < 0.01 THEN 'trace' WHEN share < 0.05 THEN 'light' WHEN share < 0.2 THEN 'moderate' WHEN share < 0.99 THEN 'heavy' ELSE 'blank' END AS band FROM shares)"""
 
 

@@ -36,10 +36,10 @@ def order_sql(items, seed, key):
     "QG01_qa_multilabel",
     ctes(
         LABELS,
-        f"p AS (SELECT patch, labels, {order_sql('labels', 'pos', 'patch')}[1:4] AS pos, {order_sql(f'list_filter({CLASS_SQL}, lambda y: NOT list_contains(labels, y))', 'neg', 'patch')} AS n0 FROM lb)",
+        f"p AS (SELECT patch, labels, {order_sql('labels', 'pos', 'patch')} AS pos, {order_sql(f'list_filter({CLASS_SQL}, lambda y: NOT list_contains(labels, y))', 'neg', 'patch')} AS n0 FROM lb)",
         "q AS (SELECT *, n0[1:len(pos)] AS neg FROM p)",
-        """r AS (SELECT patch, [""" + ", ".join(f"CASE WHEN pos[{i}] IS NOT NULL THEN 'presence~Is ' || lower(pos[{i}]) || ' present in this image?~yes' END" for i in range(1, 5)) + ", "
-        + ", ".join(f"CASE WHEN neg[{i}] IS NOT NULL THEN 'presence~Is ' || lower(neg[{i}]) || ' present in this image?~no' END" for i in range(1, 5))
+        """r AS (SELECT patch, [""" + ", ".join(f"CASE WHEN pos[{i}] IS NOT NULL THEN 'presence~Is ' || lower(pos[{i}]) || ' present in this image?~yes' END" for i in range(1, 20)) + ", "
+        + ", ".join(f"CASE WHEN neg[{i}] IS NOT NULL THEN 'presence~Is ' || lower(neg[{i}]) || ' present in this image?~no' END" for i in range(1, 20))
         + """, CASE WHEN len(pos) >= 2 THEN 'co_occurrence~Do both ' || lower(pos[1]) || ' and ' || lower(pos[2]) || ' appear in this image?~yes' END,
 CASE WHEN len(neg) >= 1 THEN 'co_occurrence~Do both ' || lower(labels[1]) || ' and ' || lower(neg[1]) || ' appear in this image?~no' END,
 'class_count~How many distinct land-cover classes are present in this image?~' || len(labels)] AS rows FROM q)""",
@@ -143,7 +143,7 @@ def qg05(v):
     area = F.when(col("period") % 3 == 0, (col("added") - col("removed") % 2) * 12.5)
     some = col("period") % 5 != 4
     d = d.select("aoi", "period", F.when(some, col("added")).alias("added"), F.when(some, col("removed")).alias("removed"), F.when(col("period") % 2 == 0, col("persisted")).alias("persisted"), area.alias("area_m2"))
-    return Q.delta_rows(d, ["aoi", "period"], limit=7).select("aoi", "period", "task", "question", "answer")
+    return Q.delta_rows(d, ["aoi", "period"]).select("aoi", "period", "task", "question", "answer")
 
 
 @query(

@@ -33,8 +33,8 @@ def change_sql():
         "direction": "CASE WHEN total_second > total_first THEN 'increased' WHEN total_second < total_first THEN 'decreased' ELSE 'unchanged' END",
         "compare": "CASE WHEN total_second > total_first THEN 'second' WHEN total_second < total_first THEN 'first' END",
         "magnitude": BAND_SQL,
-        "count_appeared": "CASE WHEN appeared <= 20 THEN CAST(appeared AS VARCHAR) END",
-        "count_demolished": "CASE WHEN demolished <= 20 THEN CAST(demolished AS VARCHAR) END",
+        "count_appeared": "CAST(appeared AS VARCHAR)",
+        "count_demolished": "CAST(demolished AS VARCHAR)",
         "where": WHERE_SQL,
     }
     rows = " UNION ALL ".join(
@@ -51,9 +51,9 @@ abs((CAST(substr(second, 1, 4) AS INT) * 12 + CAST(substr(second, 6, 2) AS INT))
     )
 
 
-@query("QG08_qa_change_pairs", ctes("obj", change_sql()) + "SELECT sample_id, twin_id, task, question, answer, answer_type, answer_options, appeared, demolished, gap_months FROM cr")
+@query("QG08_qa_change_pairs", ctes("obj", change_sql()) + "SELECT sample_id, twin_id, task, question, answer, answer_type, answer_options, appeared, demolished, gap_months, task = 'change_count' AND TRY_CAST(answer AS BIGINT) > 20 AS large_count FROM cr")
 def qg08(v):
-    return change_rows(v).select("sample_id", "twin_id", "task", "question", "answer", "answer_type", "answer_options", "appeared", "demolished", "gap_months")
+    return change_rows(v).select("sample_id", "twin_id", "task", "question", "answer", "answer_type", "answer_options", "appeared", "demolished", "gap_months", "large_count")
 
 
 def ranked_sql(group, seed, key="sample_id", source="qa"):

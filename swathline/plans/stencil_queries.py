@@ -15,7 +15,7 @@ from swathline.plans.box_queries import WKT, RINGS, rings
 from swathline.plans.oracle_parts import gate_sql
 from swathline.plans.registry import query
 from swathline.plans.stats_queries import KEYS, SCENE, measure_sql, pixel_size, variant, variant_sql
-from swathline.plans.views import ctes
+from swathline.plans.views import ctes, folded
 
 col = F.col
 PKEYS = f"{KEYS}, r, c"
@@ -223,7 +223,7 @@ PROPOSALS = [
 ]
 
 
-@query("RG03_box_proposals", recursive(ctes("px", "grid", *PROPOSALS)) + f"SELECT {KEYS}, rank, area_px, round(min_col / 16, 5) AS xmin, round(min_row / 16, 5) AS ymin, round(max_col / 16, 5) AS xmax, round(max_row / 16, 5) AS ymax, round(aspect, 3) AS aspect_ratio, round(solidity, 3) AS solidity FROM rk WHERE rank <= 8")
+@query("RG03_box_proposals", recursive(ctes("px", "grid", *PROPOSALS)) + f"SELECT {KEYS}, rank, area_px, round(min_col / 16, 5) AS xmin, round(min_row / 16, 5) AS ymin, round(max_col / 16, 5) AS xmax, round(max_row / 16, 5) AS ymax, round(aspect, 3) AS aspect_ratio, round(solidity, 3) AS solidity FROM rk")
 def rg03(v):
     # Dark smooth returns: the darker, the stronger the response.
     mask = dark_mask(v).withColumn("response", -col("vv"))
@@ -270,14 +270,14 @@ tl AS (SELECT *, CAST(i * len(cs) + j + 1 AS BIGINT) AS tile_idx, len(rs) * len(
 @query(
     "TK01_plan_tiles",
     ctes("headers", plan_sql(False))
-    + """SELECT scene_id, tile_idx, CAST(row_off AS BIGINT) AS row_off, CAST(col_off AS BIGINT) AS col_off, CAST(least(side, height) AS BIGINT) AS h, CAST(least(side, width) AS BIGINT) AS w, false AS is_overview, truncated FROM tl WHERE tile_idx <= 256
+    + """SELECT scene_id, tile_idx, CAST(row_off AS BIGINT) AS row_off, CAST(col_off AS BIGINT) AS col_off, CAST(least(side, height) AS BIGINT) AS h, CAST(least(side, width) AS BIGINT) AS w, false AS is_overview, truncated FROM tl
 UNION ALL SELECT scene_id, 0, 0, 0, CAST(height AS BIGINT), CAST(width AS BIGINT), true, NULL FROM headers""",
 )
 def tk01(v):
     return TK.plan_tiles(v.headers, "scene_id")
 
 
-@query("TK02_plan_tiles_clamped", ctes("headers", plan_sql(True)) + "SELECT scene_id, tile_idx, CAST(row_off AS BIGINT) AS row_off, CAST(col_off AS BIGINT) AS col_off, CAST(least(512, height - row_off) AS BIGINT) AS h, CAST(least(512, width - col_off) AS BIGINT) AS w, truncated FROM tl WHERE tile_idx <= 256")
+@query("TK02_plan_tiles_clamped", ctes("headers", plan_sql(True)) + "SELECT scene_id, tile_idx, CAST(row_off AS BIGINT) AS row_off, CAST(col_off AS BIGINT) AS col_off, CAST(least(512, height - row_off) AS BIGINT) AS h, CAST(least(512, width - col_off) AS BIGINT) AS w, truncated FROM tl")
 def tk02(v):
     return TK.plan_tiles_clamped(v.headers, "scene_id")
 
@@ -364,9 +364,9 @@ def tk07(v):
 
 @query(
     "TK08_rank_labels",
-    "WITH e AS (SELECT vec_id, unnest(embedding[1:19]) AS s, unnest(range(1, 20)) AS i FROM embeddings), k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY CAST(s AS DOUBLE) DESC, i) AS rank FROM e) SELECT vec_id, rank, ([" + ", ".join(f"'{c}'" for c in C.LANDCOVER_CLASSES) + "])[i] AS name, CAST(s AS DOUBLE) AS score FROM k WHERE rank <= 5",
+    "WITH e AS (SELECT vec_id, unnest(list_transform(range(1, 20), lambda i: list_sum([CAST(embedding[j] AS DOUBLE) for j in range(i, 65, 19)]))) AS s, unnest(range(1, 20)) AS i FROM embeddings), k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY CAST(s AS DOUBLE) DESC, i) AS rank FROM e) SELECT vec_id, rank, ([" + ", ".join(f"'{c}'" for c in C.LANDCOVER_CLASSES) + "])[i] AS name, CAST(s AS DOUBLE) AS score FROM k WHERE rank <= 5",
 )
 def tk08(v):
-    scores = F.transform(F.slice("embedding", 1, 19), lambda s: s.cast("double"))
+    scores = folded("embedding", 1, 64, 19)
     out = v.embeddings.select("vec_id", F.posexplode(TK.rank_labels(scores, C.LANDCOVER_CLASSES, 5)).alias("p", "t"))
     return out.select("vec_id", (col("p") + 1).cast("long").alias("rank"), "t.name", "t.score")

@@ -34,12 +34,13 @@ def st01(v):
     ctes("trace_steps") + "SELECT date_trunc('hour', ts) AS window_start, tool, count(*) AS steps, round(avg(latency_ms), 6) AS mean_latency_ms, round(avg(CASE WHEN threshold_method = 'fixed_fallback' THEN 1.0 ELSE 0.0 END), 6) AS fallback_share FROM trace_steps GROUP BY 1, 2",
 )
 def st02(v):
-    """One drain of all files: nothing is late, so the newest windows equal the batch windows."""
+    """A replay in several triggers: files come in any order, so lateness covers the backlog and every step counts."""
     folder, out, state = scratch(v, "steps"), scratch(v, "windows"), scratch(v, "wstate")
     steps = v.trace_steps.withColumn("ts", col("ts").cast("timestamp"))
-    steps.write.parquet(folder)
-    stream = ST.prediction_stream(v.spark, folder, steps.schema, 1000)
-    ST.run_to_table(ST.latency_windows(stream), "update", out, state, ["window_start", "tool"])
+    steps.repartition(6).write.parquet(folder)
+    span = steps.agg(F.coalesce(F.datediff(F.max("ts"), F.min("ts")), F.lit(0))).first()[0]
+    stream = ST.prediction_stream(v.spark, folder, steps.schema, 2)
+    ST.run_to_table(ST.latency_windows(stream, lateness=f"{span + 1} days"), "update", out, state, ["window_start", "tool"])
     newest = ST.latest(v.spark.read.parquet(out), ["window_start", "tool"], ["steps", "mean_latency_ms", "fallback_share"])
     newest = newest.withColumn("window_start", col("window_start").cast("timestamp_ntz"))
     return newest.withColumn("mean_latency_ms", F.round("mean_latency_ms", 6)).withColumn("fallback_share", F.round("fallback_share", 6))

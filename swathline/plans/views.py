@@ -6,11 +6,13 @@ operators and their independent SQL start from exactly the same rows.
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from swathline.functions.pixel import null_if_nan
+
 TABLES = (
     "region nation customer supplier part orders lineitem events "
     "documents embeddings pages benchmark labels conversations"
@@ -71,7 +73,7 @@ FROM lineitem GROUP BY l_orderkey, l_linenumber""",
     # Caption pairs over whole texts.
     "caps": """
 SELECT d.doc_id AS row_id, d.lang AS lang, d.text AS prediction, b.text AS reference
-FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id""",
+FROM documents d CROSS JOIN (SELECT count(*) AS n FROM benchmark) k JOIN benchmark b ON d.doc_id % k.n = b.item_id""",
     # Score and correctness.
     "calib": """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (l_quantity - 0.5) / 50 AS p,
@@ -150,6 +152,12 @@ def ctes(*parts: str) -> str:
     return "WITH " + ",\n".join(out) + "\n"
 
 
+def folded(column: str, first: int, last: int, slots: int):
+    """Every value of an array's stretch, summed by its place modulo ``slots``."""
+    places = lambda i: [F.get(F.col(column), F.lit(j)).cast("double") for j in range(first - 1 + i, last, slots)]
+    return F.array(*[reduce(lambda a, b: a + b, places(i)) for i in range(slots)])
+
+
 class Views:
     """Lazy DataFrames over one scale-factor folder."""
 
@@ -178,6 +186,8 @@ class Views:
             return self.table(name)
         if name in VIEWS and name not in ("grid", "classes"):
             frame = self.sql(VIEWS[name], **{need: getattr(self, need) for need in _NEEDS.get(name, ())})
+            if name == "px":
+                frame = frame.withColumns({band: null_if_nan(F.col(band)) for band in ("red", "green", "nir", "swir", "vv")})
             self.__dict__[name] = frame
             return frame
         raise AttributeError(name)

@@ -21,7 +21,10 @@ def running_scoreboard(rows: DataFrame, event_time: str, watermark: str = "1 day
 
 
 def latency_windows(steps: DataFrame, window: str = "1 hour", slide: str | None = None, lateness: str = "30 minutes") -> DataFrame:
-    """Step count, mean latency and fallback share per tool and event-time window; late rows are dropped."""
+    """Step count, mean latency and fallback share per tool and event-time window; rows later than ``lateness`` are dropped.
+
+    A replay of a backlog in any file order needs a lateness of the backlog's whole span.
+    """
     bucket = F.window("ts", window, slide) if slide else F.window("ts", window)
     return steps.withWatermark("ts", lateness).groupBy(bucket.alias("w"), "tool").agg(
         F.count("*").alias("steps"), F.avg("latency_ms").alias("mean_latency_ms"),
