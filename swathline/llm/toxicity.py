@@ -22,6 +22,8 @@ TRAIN_ROWS = 12_000
 LEAST_TEXTS, LEAST_CHI2 = 4, 10.0
 STEPS, RATE, DECAY = 100, 0.1, 1e-3
 CHUNK = 1 << 17
+#: Rows of the sample that a step of the fit looks at together.
+BLOCK = 1_000
 
 OTHER = re.compile(r"\W+")
 BASE, MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
@@ -123,18 +125,26 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             yield pd.DataFrame({"label": batch["label"], "which": [a.astype(np.int32) for a, _ in read], "often": [b.astype(np.float32) for _, b in read]})
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = list(batches)
-        rows_ = pd.concat(parts, ignore_index=True)
-        label = rows_["label"].to_numpy(dtype=float)
-        owner = np.repeat(np.arange(len(rows_)), [len(x) for x in rows_["which"]])
-        which = np.concatenate(rows_["which"].to_list()).astype(np.int64)
-        value = np.concatenate(rows_["often"].to_list()).astype(float) * ratios[which]
+        label, lengths, which, value = [], [], [], []
+        for batch in batches:
+            label.append(batch["label"].to_numpy(dtype=float))
+            lengths += [len(x) for x in batch["which"]]
+            which.append(np.concatenate(batch["which"].to_list()).astype(np.int32))
+            value.append((np.concatenate(batch["often"].to_list()) * ratios[which[-1]]).astype(np.float32))
+        label, which, value = (np.concatenate(x) for x in (label, which, value))
+        ends = np.r_[0, np.cumsum(lengths)]
+        # Blocks of rows, so that a step needs no second copy of the whole sample.
+        blocks = [(at, min(at + BLOCK, len(label))) for at in range(0, len(label), BLOCK)]
         weights, bias, seen, seen_bias = np.zeros(len(ratios)), np.log(toxic / (n - toxic)), np.full(len(ratios), 1e-3), 1e-3
         for _ in range(STEPS):
-            z = np.bincount(owner, value * weights[which], minlength=len(label)) + bias
-            error = 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30))) - label
-            slope = np.bincount(which, value * error[owner], minlength=len(weights)) / len(label) + DECAY * weights
-            slope_bias = error.mean()
+            slope, slope_bias = DECAY * weights, 0.0
+            for lo, hi in blocks:
+                w, v = which[ends[lo] : ends[hi]], value[ends[lo] : ends[hi]]
+                owner = np.repeat(np.arange(hi - lo), lengths[lo:hi])
+                z = np.bincount(owner, v * weights[w], minlength=hi - lo) + bias
+                error = (1.0 / (1.0 + np.exp(-np.clip(z, -30, 30))) - label[lo:hi]) / len(label)
+                slope += np.bincount(w, v * error[owner], minlength=len(weights))
+                slope_bias += error.sum()
             seen += slope**2
             seen_bias += slope_bias**2
             weights -= RATE * slope / np.sqrt(seen)
