@@ -11,9 +11,10 @@ from swathline.session import cut_lineage
 def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of ``edges(u, v)``; the root is the smallest node it is connected with.
 
-    Each round hooks every node of the remaining graph to its smallest neighbour, shortens the pointers twice and contracts
-    the edges to those between different trees; a tree's root is smaller than all its nodes, so the last root is the minimum.
-    Rounds end when no edge is left; their number grows with the logarithm of the nodes, and every round is checkpointed.
+    Each round hooks every node of the remaining graph to its smallest neighbour, halves the pointers until all lead to a root
+    and contracts the edges to those between different trees; a tree's root is smaller than its nodes, so the last root is the
+    minimum. A node with a smaller neighbour vanishes in its round, so chains and stars in any order take two or three; halving
+    takes the logarithm of a tree's depth. Each step is checkpointed; rounds end when no edge is left.
     Neighbours are reduced by a map-side minimum; the joins have one side with a row per node, which Spark can split on the
     other side where a node is hot. NULL ends are ignored; loops give a node its own root.
     """
@@ -23,9 +24,12 @@ def components(edges: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         parent = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("p"))
-        for _ in range(2):
+        moving = True
+        while moving:
             up = parent.select(F.col("u").alias("p"), F.col("p").alias("pp"))
-            parent = cut_lineage(parent.join(up, "p").select("u", F.col("pp").alias("p")))
+            parent = cut_lineage(parent.join(up, "p").select("u", F.col("pp").alias("p"), (F.col("pp") < F.col("p")).alias("moved")))
+            moving = not parent.where("moved").isEmpty()
+            parent = parent.drop("moved")
         to_u = parent.select("u", F.col("p").alias("pu"))
         to_v = parent.select(F.col("u").alias("v"), F.col("p").alias("pv"))
         joined = edges.join(to_u, "u").join(to_v, "v").where("pu <> pv")
