@@ -26,6 +26,21 @@ def value_range(df: DataFrame, keys: Keys, value: str) -> DataFrame:
     )
 
 
+def counted(df: DataFrame, keys: Keys, value: str) -> DataFrame:
+    """``keys, _v, _w``: distinct values and how often each occurs, summed map-side. A value most pixels share, such as a
+    floor or a fill, is one row from here on."""
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    return rows.groupBy(*keys, "_v").agg(F.count("*").alias("_w"))
+
+
+def stretched_bin(value: Column, lo: Column, hi: Column, middle: Column, bins: int) -> Column:
+    """0-based bin, non-decreasing in ``value``, by the logarithm of the distance from ``lo`` in units of a 64th of the
+    median's: a few far values leave the others in many bins."""
+    unit = F.when(middle > lo, (middle - lo) / 64).when(hi > lo, (hi - lo) / bins)
+    position = F.floor(F.log1p((value - lo) / unit) / F.log1p((hi - lo) / unit) * F.lit(float(bins)))
+    return F.coalesce(F.greatest(F.least(position, F.lit(bins - 1)), F.lit(0)), F.lit(0)).cast("int")
+
+
 def equal_width_bin(value: Column, lo: Column, hi: Column, bins: int) -> Column:
     """0-based bin of ``value``; the last bin is closed, a constant range is bin 0."""
     position = F.floor((value - lo) / F.when(hi > lo, hi - lo) * F.lit(float(bins)))
@@ -34,11 +49,11 @@ def equal_width_bin(value: Column, lo: Column, hi: Column, bins: int) -> Column:
 
 def histogram(df: DataFrame, keys: Keys, value: str, bins: int) -> DataFrame:
     """Non-empty equal-width bins per key: ``keys, lo, hi, n, bin, cnt``."""
-    ranged = attach(df.where(F.col(value).isNotNull()).select(*keys, value), value_range(df, keys, value), keys)
+    ranged = attach(counted(df, keys, value), value_range(df, keys, value), keys)
     return (
-        ranged.withColumn("bin", equal_width_bin(F.col(value), F.col("lo"), F.col("hi"), bins))
+        ranged.withColumn("bin", equal_width_bin(F.col("_v"), F.col("lo"), F.col("hi"), bins))
         .groupBy(*keys, "lo", "hi", "n", "bin")
-        .agg(F.count("*").alias("cnt"))
+        .agg(F.sum("_w").alias("cnt"))
     )
 
 
@@ -102,16 +117,16 @@ def gated_threshold(
         raise ValueError(f"unknown threshold method {method!r}")
     fixed = fixed if isinstance(fixed, Column) else F.lit(float(fixed))
     cuts = otsu_threshold(df, keys, value) if method == "otsu" else None
-    base = df.select(*keys, F.col(value).alias("_v"), fixed.alias("_fixed"))
+    base = df.select(*keys, F.col(value).alias("_v"), fixed.alias("_fixed")).groupBy(*keys, "_v", "_fixed").agg(F.count("*").alias("_w"))
     if cuts is not None:
         base = attach(base, cuts.drop("n"), keys, "left")
     else:
         base = base.withColumn("threshold", F.lit(None).cast("double")).withColumn("ratio", F.lit(None).cast("double"))
-    counted = base.groupBy(*keys).agg(
-        F.count("*").alias("n_pixels"),
-        F.count("_v").alias("n_valid"),
-        F.sum(past_cut(F.col("_v"), F.col("threshold"), above).cast("long")).alias("_otsu_hits"),
-        F.sum(past_cut(F.col("_v"), F.col("_fixed"), above).cast("long")).alias("_fixed_hits"),
+    summed = base.groupBy(*keys).agg(
+        F.sum("_w").alias("n_pixels"),
+        F.sum(F.when(F.col("_v").isNotNull(), F.col("_w")).otherwise(0)).alias("n_valid"),
+        F.sum(past_cut(F.col("_v"), F.col("threshold"), above).cast("long") * F.col("_w")).alias("_otsu_hits"),
+        F.sum(past_cut(F.col("_v"), F.col("_fixed"), above).cast("long") * F.col("_w")).alias("_fixed_hits"),
         F.first("threshold").alias("_otsu"),
         F.first("ratio").alias("ratio"),
         F.first("_fixed").alias("_fixed"),
@@ -125,7 +140,7 @@ def gated_threshold(
     )
     rejected = "fixed" if method == "fixed" else "fixed_fallback"
     return (
-        counted.withColumn("positive_fraction", share)
+        summed.withColumn("positive_fraction", share)
         .withColumn("passed", F.coalesce(passed, F.lit(False)))
         .select(
             *keys,
@@ -176,17 +191,18 @@ def exact_percentiles(
     """Exact percentiles, safe for a key of any size; linearly interpolated unless ``nearest_rank``.
 
     A histogram finds the bins that hold the wanted ranks; only the values of those bins
-    are then ranked, as (value, count) pairs inside one bin. No task sees a whole key.
+    are then ranked, as (value, count) pairs inside one bin. Bins are stretched around the median, so that
+    no far value drives a whole key into one of them.
     """
     keys = list(keys)
-    data = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
-    ranged = attach(data, value_range(data, keys, "_v"), keys).withColumn(
-        "_bin", equal_width_bin(F.col("_v"), F.col("lo"), F.col("hi"), bins)
-    )
+    data = counted(df, keys, value)
+    middle = F.percentile_approx("_v", F.lit(0.5), F.lit(100)).cast("double")
+    ends = data.groupBy(*keys).agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"), middle.alias("_mid"), F.sum("_w").alias("n"))
+    ranged = attach(data, ends, keys).withColumn("_bin", stretched_bin(F.col("_v"), F.col("lo"), F.col("hi"), F.col("_mid"), bins))
     before = W.partitionBy(*keys).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
     binned = (
         ranged.groupBy(*keys, "n", "_bin")
-        .agg(F.count("*").alias("_cnt"))
+        .agg(F.sum("_w").alias("_cnt"))
         .withColumn("_before", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))
     )
 
@@ -204,8 +220,7 @@ def exact_percentiles(
     running = W.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(W.unboundedPreceding, -1)
     picked = (
         ranged.join(targets, keys + ["_bin"])
-        .groupBy(*keys, "n", "_bin", "_before", "_ranks", "_v")
-        .agg(F.count("*").alias("_c"))
+        .withColumnRenamed("_w", "_c")
         .withColumn("_start", F.col("_before") + F.coalesce(F.sum("_c").over(running), F.lit(0)))
         .withColumn(
             "_hit",
