@@ -98,7 +98,7 @@ def merged(fingerprints: DataFrame, keys: list[str], column: str = "fingerprint"
     shuffle, so a key with a third of all parts sends ``k`` rows per task.
     """
     size = 16
-    cut = F.transform(F.sequence(F.lit(0), F.length(column) / size - 1), lambda i: F.substring(F.col(column), i.cast("int") * size + 1, F.lit(size)))
+    cut = F.transform(F.sequence(F.lit(0), (F.length(column) / size).cast("int") - 1), lambda i: F.substring(F.col(column), i * size + 1, F.lit(size)))
     hashes = fingerprints.where(F.length(column) > 0).select(*keys, F.explode(cut).alias("_hash")).distinct()
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_hash"))
     kept = hashes.withColumn("_rank", rank).where(F.col("_rank") <= k)

@@ -73,7 +73,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     """``(key, item, matched, total, coverage, changed_slots, slots)``: items of which a row holds enough of the template.
 
     Template windows of all documents meet those of the benchmark in a hash join; the benchmark's side is broadcast after it is
-    counted, or shuffled beyond ``WINDOWS``. Documents that hold ``COVER`` of an item's windows are read again for the slots:
+    counted, or shuffled beyond ``WINDOWS``. Items are taken with and without placeholders for names. Documents that hold ``COVER`` of an item's windows are read again for the slots:
     matches that run in parallel (one shift between the two texts) are an alignment, in which every slot value of the item must
     map to one value of the document, in ``CONSISTENT`` of the slots at least. So re-parameterised copies count, and texts of
     like shape do not. ``matched`` windows are those of all consistent alignments.
@@ -81,7 +81,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     Items and texts of fewer than ``WINDOW`` tokens, NULL and empty ones have no windows and never match. Rows that share a key
     are one document. Repeated benchmark rows and rows with one item key count as one item.
     """
-    theirs = placed_windows(benchmark, item, item_text).where(F.col("words") >= LITERALS)
+    items = benchmark.select(item, F.col(item_text).alias("_text"))
+    # In lower case no word is a name, which is how items set in capitals or in lower case read.
+    items = items.union(items.select(item, F.lower("_text")))
+    theirs = placed_windows(items, item, "_text").where(F.col("words") >= LITERALS)
     theirs = stored(theirs.select(
         F.col(item).alias("_item"), F.col("at").alias("_iat"), "window", F.col("kind").alias("_ikind"), F.col("value").alias("_ivalue")
     ).distinct())

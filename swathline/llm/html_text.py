@@ -164,7 +164,8 @@ def first_pass(blocks: Column) -> Column:
 
 @F.pandas_udf(T.ArrayType(T.BooleanType()))
 def second_pass(labels: pd.Series, main: pd.Series) -> pd.Series:
-    """Doubtful blocks take the label of the nearest decided one; equally near ones that differ keep the probably good.
+    """Doubtful blocks take the label of the nearest decided one. Where two equally near ones differ, the one that follows counts, as
+    headings belong to what follows; blocks that are probably good, or in the article, are kept.
 
     The ends of the page count as decided: good for a block of the article, bad elsewhere. Furniture inside an article,
     already 0 there, is left out of the reckoning by ``main`` being false.
@@ -196,7 +197,7 @@ def second_pass(labels: pd.Series, main: pd.Series) -> pd.Series:
                 known = edge if j is None or (edge and not inside[j]) else bool(label[j] == 1)
                 sides.append((end if j is None else abs(i - j), known))
             (a, x), (b, y) = sides
-            out.append(x if x == y else (x if a < b else y if b < a else label[i] == 2 or edge))
+            out.append(x if x == y or a < b else y if b < a else y or label[i] == 2 or edge)
         return out
 
     return pd.Series([one(a, b) for a, b in zip(labels, main)])

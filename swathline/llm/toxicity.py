@@ -89,7 +89,7 @@ def feature_counts(rows: DataFrame) -> DataFrame:
         counts = np.zeros((2, 1 << BITS), dtype=np.int64)
         for batch in batches:
             for text, label in zip(batch["text"], batch["label"]):
-                counts[int(label)][np.unique(np.concatenate(list(ngrams(text))))] += 1
+                counts[int(label)][np.unique(np.concatenate([np.empty(0, dtype=np.int64), *ngrams(text)]))] += 1
         feature = np.flatnonzero(counts.sum(axis=0))
         yield pd.DataFrame({"feature": feature, "clean": counts[0][feature], "toxic": counts[1][feature]})
 
