@@ -225,7 +225,7 @@ def cf01(v):
     return f.select("query_id", F.round(value, 9).alias("heuristic"), F.round(value * F.pow(F.lit(0.6), "no_ops"), 9).alias("confidence"))
 
 
-# Iterative fits have no SQL form; tests compare them with a direct solver on a fixture.
+# The logistic fit has no SQL form; tests check that it is monotone and calibrated.
 @query("CF03_fit_calibrator")
 def cf03(v):
     p = col("p")
@@ -239,7 +239,16 @@ def cf03(v):
     return out.select("l_orderkey", "l_linenumber", "correct", F.round("score", 4).alias("score"), F.round("calibrated", 4).alias("calibrated"))
 
 
-@query("CF04_isotonic_pav")
+# Pooled values by the max-min formula: the largest over starts of the least mean up to any end.
+ISOTONIC_SQL = ctes(
+    "calib",
+    "g AS (SELECT p AS score, avg(correct) AS y, CAST(count(*) AS DOUBLE) AS w FROM calib GROUP BY p)",
+    "seg AS (SELECT a.score AS s, b.score AS e, sum(c.y * c.w) / sum(c.w) AS m FROM g a JOIN g b ON a.score <= b.score JOIN g c ON c.score BETWEEN a.score AND b.score GROUP BY a.score, b.score)",
+    "low AS (SELECT g.score, g.w, seg.s, min(seg.m) AS m FROM g JOIN seg ON seg.s <= g.score AND seg.e >= g.score GROUP BY g.score, g.w, seg.s)",
+) + "SELECT score, w AS weight, round(max(m), 6) AS fitted FROM low GROUP BY score, w"
+
+
+@query("CF04_isotonic_pav", ISOTONIC_SQL)
 def cf04(v):
     return CF.isotonic_fit(v.calib, "p", "correct").select("score", "weight", F.round("fitted", 6).alias("fitted"))
 
