@@ -140,18 +140,45 @@ def split_rows(v):
     return change_rows(v).withColumn("split", F.when(col("aoi") % 5 == 0, "val").otherwise("train"))
 
 
-# Greedy admission has no practical set-based SQL; tests replay it row by row on a fixture.
-@query("SM07_cap_twin_groups")
+SPLIT_CR = "sr AS (SELECT *, CASE WHEN aoi % 5 = 0 THEN 'val' ELSE 'train' END AS split FROM cr)"
+
+
+def admission_sql(source: str, cap: str, order: str) -> str:
+    """The sequential walk: groups of a (split, task) one after the other, each admitted if every answer stays within its cap."""
+    return f"""dm AS (SELECT split, task, twin_id, answer, count(*) AS n FROM {source} GROUP BY ALL),
+rr AS (SELECT split, task, min(t) AS rarest FROM (SELECT split, task, answer, sum(n) AS t FROM dm GROUP BY ALL) x GROUP BY ALL),
+gd AS (SELECT split, task, twin_id, list({{'a': answer, 'n': n}}) AS needs, count(*) > 1 AS flips FROM dm GROUP BY split, task, twin_id),
+gk AS (SELECT gd.*, {cap} AS cap, row_number() OVER (PARTITION BY split, task ORDER BY {order}, twin_id) AS k FROM gd JOIN rr USING (split, task)),
+wk AS (SELECT split, task, CAST(0 AS BIGINT) AS k, CAST(MAP {{}} AS MAP(VARCHAR, BIGINT)) AS tally, CAST(NULL AS VARCHAR) AS twin_id, false AS ok FROM (SELECT DISTINCT split, task FROM gk) b
+ UNION ALL SELECT split, task, k, CASE WHEN fits THEN map_concat(tally, map_from_entries(list_transform(needs, lambda x: {{'k': x.a, 'v': coalesce(tally[x.a], 0) + x.n}}))) ELSE tally END, twin_id, fits
+ FROM (SELECT gk.split, gk.task, gk.k, wk.tally, gk.needs, gk.twin_id, len(list_filter(gk.needs, lambda x: coalesce(wk.tally[x.a], 0) + x.n > gk.cap)) = 0 AS fits FROM wk JOIN gk ON gk.split = wk.split AND gk.task = wk.task AND gk.k = wk.k + 1) s)"""
+
+
+ADMITTED = "SELECT sample_id, twin_id, split, task, answer FROM {source} SEMI JOIN (SELECT * FROM wk WHERE ok) k USING (split, task, twin_id)"
+
+
+@query(
+    "SM07_cap_twin_groups",
+    "WITH RECURSIVE " + ctes("obj", change_sql(), SPLIT_CR, admission_sql("sr", "CASE WHEN split = 'train' THEN 400 ELSE 80 END", "sha256(concat_ws('|', 'cap', twin_id))"))[len("WITH "):]
+    + ADMITTED.format(source="sr"),
+)
 def sm07(v):
     return SM.cap_twin_groups(split_rows(v), 400, "cap").select("sample_id", "twin_id", "split", "task", "answer")
 
 
-@query("SM08_balance_answers")
-def sm08(v):
-    return SM.balance_answers(split_rows(v), Q.OPEN_TASKS, "balance").select("sample_id", "twin_id", "split", "task", "answer")
+OPEN_SQL = ", ".join(f"'{t}'" for t in Q.OPEN_TASKS)
 
 
-SPLIT_CR = "sr AS (SELECT *, CASE WHEN aoi % 5 = 0 THEN 'val' ELSE 'train' END AS split FROM cr)"
+@query(
+    "SM08_balance_answers",
+    "WITH RECURSIVE " + ctes(
+        "obj", change_sql(), SPLIT_CR, f"cd AS (SELECT * FROM sr WHERE task NOT IN ({OPEN_SQL}))",
+        admission_sql("cd", "rarest", "CASE WHEN flips THEN '0' ELSE '1' END || sha256(concat_ws('|', 'balance', twin_id))"),
+    )[len("WITH "):]
+    + ADMITTED.format(source="cd") + f" UNION ALL SELECT sample_id, twin_id, split, task, answer FROM sr WHERE task IN ({OPEN_SQL})",
+)
+def sm08(v):
+    return SM.balance_answers(split_rows(v), Q.OPEN_TASKS, "balance").select("sample_id", "twin_id", "split", "task", "answer")
 
 
 @query("SM09_task_cap", ctes("obj", change_sql(), SPLIT_CR) + "SELECT sample_id, twin_id, split, task FROM sr QUALIFY row_number() OVER (PARTITION BY split, task ORDER BY twin_id, sample_id) <= 2500")
