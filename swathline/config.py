@@ -27,7 +27,6 @@ FALLBACK_MULTIPLIER = 0.75
 # Radar: decibel floor, preferred polarisation order, stack pairs, water/built-up cuts.
 DB_FLOOR = -50.0
 POL_ORDER = ("vv", "hh", "vh", "hv")
-DUAL_POL_PAIRS = (("vv", "vh"), ("hh", "hv"))
 SAR_CUTS_DB = {
     "vv": {"water": -18.0, "builtup": -3.0},
     "vh": {"water": -24.0, "builtup": -12.0},

@@ -64,23 +64,24 @@ ANNO = """an AS (SELECT CAST(o_orderkey AS STRING) AS patch_id, concat('in', CAS
 
 @query("SRC02_read_annotation_parquet", "WITH " + ANNO + " SELECT patch_id, input, output, coalesce(nullif(nullif(category, 'None'), ''), 'caption') AS category FROM an WHERE split = 'train' AND lower(coalesce(nullif(nullif(category, 'None'), ''), 'caption')) NOT IN ('country', 'season', 'climate zone')")
 def src02(v):
-    return RD.clean_annotations(v.sql(body(ANNO)), "train").select("patch_id", "input", "output", "category")
+    """The release is written with all its columns; the reader takes nine of them and one split from the files."""
+    path = scratch(v, "annotations")
+    v.sql(body(ANNO)).write.parquet(path)
+    return RD.read_annotation_parquet(v.spark, path, "train").select("patch_id", "input", "output", "category")
 
 
 @query("SRC03_read_footprints_geojson", "SELECT c_custkey AS obj_id, (c_custkey % 90 + c_custkey % 90 + 4 + c_custkey % 90 + 2) / 3.0 AS x, (c_custkey % 70 + c_custkey % 70 + c_custkey % 70 + 6) / 3.0 AS y FROM customer")
 def src03(v):
-    """Feature collections, one document per nation, written as JSON and read back strictly."""
+    """Feature collections, one file each, written as JSON and read back strictly as whole documents."""
     k = col("c_custkey")
     point = lambda x, y: F.array((x).cast("double"), (y).cast("double"))
     ring = F.array(point(k % 90, k % 70), point(k % 90 + 4, k % 70), point(k % 90 + 2, k % 70 + 6))
     feature = F.struct(F.struct(k.alias("Id")).alias("properties"), F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"))
     path = scratch(v, "footprints")
     # Small documents: a few features each, whatever the size of a nation.
-    docs = v.customer.groupBy((k % 200).alias("g"), F.floor(k / 2000).alias("h")).agg(F.collect_list(feature).alias("features"))
-    docs.select("features").write.json(path)
-    from swathline import schema as SCH
-
-    return RD.footprint_features(v.spark.read.schema(SCH.FOOTPRINTS).json(path, mode="FAILFAST"))
+    docs = v.customer.groupBy((k % 20).alias("g"), F.floor(k / 2000).alias("h")).agg(F.collect_list(feature).alias("features"))
+    docs.select("features").write.option("maxRecordsPerFile", 1).json(path)
+    return RD.read_footprints_geojson(v.spark, path)
 
 
 COCO = "co AS (SELECT l_orderkey AS image_id, l_linenumber, CASE l_linenumber % 3 WHEN 0 THEN 'cargo' WHEN 1 THEN 'civil' ELSE 'light' END AS role, l_quantity AS x, l_discount * 100 AS y, 5.0 AS w, 6.0 AS h, l_tax > 0.05 AS truncated FROM lineitem)"
@@ -105,6 +106,13 @@ def src04(v):
     )
 
 
+@query("SRC04_listed_gap", "SELECT o_orderkey AS image_id FROM orders WHERE o_custkey % 4 = 0 AND o_orderkey % 5 = 0")
+def src04_gap(v):
+    """Tiles that a list names and the image table lacks."""
+    images = v.orders.where("o_custkey % 4 > 0").select(col("o_orderkey").alias("image_id"))
+    return RD.listed_gap(images, v.orders.where("o_orderkey % 5 = 0").select(col("o_orderkey").alias("image_id")))
+
+
 def release(v):
     questions = v.orders.select(col("o_orderkey").alias("question_id"), col("o_custkey").alias("image_id"), col("o_orderpriority").alias("type"), (col("o_orderkey") % 10 > 0).alias("active"))
     answers = v.orders.where("o_orderkey % 7 > 0").select(col("o_orderkey").alias("question_id"), col("o_orderstatus").alias("answer"))
@@ -253,7 +261,10 @@ def snk02(v):
 def snk03(v):
     k = col("o_orderkey")
     rows = v.orders.select(k.alias("sample_id"), F.when(k % 11 == 3, F.array().cast("array<string>")).otherwise(F.array(F.lit("i"))).alias("images"), F.when(k % 13 != 5, col("o_orderpriority")).alias("question"))
-    return WR.batch_answers(rows, F.upper("question")).select("sample_id", "answer", "error")
+    path = scratch(v, "batch")
+    WR.write_batch(WR.batch_answers(rows, F.upper("question")), path)
+    both = "sample_id long, answer string, error string"
+    return v.spark.read.schema(both).json(f"{path}/answers").unionByName(v.spark.read.schema(both).json(f"{path}/errors"))
 
 
 @query(

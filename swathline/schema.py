@@ -19,11 +19,3 @@ QA = struct(
 FOOTPRINTS = struct(
     features=T.ArrayType(struct(properties=struct(Id=L), geometry=struct(type=S, coordinates=T.ArrayType(T.ArrayType(T.ArrayType(D))))))
 )
-SCENES = struct(
-    scene_id=S, width=T.IntegerType(), height=T.IntegerType(), band_count=T.IntegerType(), crs=S, pixel_size_m=D, native_gsd_m=D,
-    dtype=S, nodata=D, descriptions=T.ArrayType(S), tags=T.MapType(S, S), a=D, b=D, c=D, d=D, e=D, f=D, date=T.DateType(),
-)
-PIXELS = struct(scene_id=S, r=T.IntegerType(), c=T.IntegerType(), red=D, green=D, nir=D, swir=D, pan=D, vv=D, vh=D, hh=D, hv=D)
-MASKS = struct(scene_id=S, target=S, tool=S, r=T.IntegerType(), c=T.IntegerType(), hit=T.BooleanType())
-PREDICTIONS = struct(sample_id=S, question_type=S, prediction=S)
-STEPS = struct(event_id=L, ts=T.TimestampType(), query_id=L, tool=S, latency_ms=D, threshold_method=S, confidence=D)

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from swathline.operators.validate import mask_conformance
 
+#: Folders of the mask table.
+MASK_PARTS = 64
+
 
 def manifest_summary(rows: DataFrame) -> DataFrame:
     """Per task: rows, distinct answers, blind ceiling and the six most common answers.
@@ -45,7 +48,11 @@ def write_mask_table(masks: DataFrame, headers: DataFrame, keys: Sequence[str],
     """Write only conforming full-scene masks; returns the acceptance record of every scene."""
     record = mask_conformance(masks, headers, keys)
     accepted = record.where("reject IS NULL").select(*keys)
-    masks.join(accepted, list(keys), "left_semi").write.mode("overwrite").partitionBy(keys[0]).parquet(path)
+    # Folders by hash, files sorted by scene: a folder per scene would be as many as there are scenes.
+    kept = masks.join(accepted, list(keys), "left_semi").withColumn("part", F.pmod(F.xxhash64(keys[0]), F.lit(MASK_PARTS)))
+    # A large scene is spread by blocks of rows.
+    kept = kept.repartition("part", *keys, F.floor(F.col("r") / 512))
+    kept.sortWithinPartitions("part", *keys, "r", "c").write.mode("overwrite").partitionBy("part").parquet(path)
     return record
 
 
