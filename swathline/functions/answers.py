@@ -210,20 +210,41 @@ def fold(entry: str) -> str:
     return " ".join(entry.strip().lower().replace("_", " ").replace("-", " ").split())
 
 
-def vocabulary(text: Column, entries: Sequence[str]) -> Answer:
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
+def parts(answer: Answer) -> Column:
+    return F.struct(answer[0].alias("text"), answer[1].alias("matched"), answer[2].alias("basis"))
+
+
+def vocabulary_parts(text: Column, entries: Sequence[str]) -> Column:
     """Exact after folding separators, else the longest contained entry, else the first unmatched."""
-    key = vocabulary_key(text)
-    exact = F.lit(None).cast("string")
-    for entry in reversed(entries):
-        exact = F.when(key == fold(entry), entry).otherwise(exact)
-    inside = F.lit(None).cast("string")
-    for entry in reversed(sorted(entries, key=lambda e: len(fold(e)), reverse=True)):
-        inside = F.when(key.contains(fold(entry)), entry).otherwise(inside)
-    return (
-        F.coalesce(exact, inside, F.lit(entries[0])),
-        exact.isNotNull() | inside.isNotNull(),
-        F.when(exact.isNotNull(), "exact vocabulary match").when(inside.isNotNull(), "vocabulary substring match").otherwise("outside the vocabulary"),
-    )
+    named: dict[str, str] = {}
+    for entry in entries:
+        named.setdefault(fold(entry), entry)
+    table = F.create_map(*[F.lit(x) for pair in named.items() for x in pair])
+    longest_first = sorted(named, key=len, reverse=True)
+
+    def match(key: Column) -> Column:
+        exact = F.try_element_at(table, key)
+        inside = F.lit(None).cast("string")
+        for name in reversed(longest_first):
+            inside = F.when(key.contains(name), named[name]).otherwise(inside)
+        return F.when(exact.isNotNull(), F.struct(exact.alias("text"), F.lit(True).alias("matched"), F.lit("exact vocabulary match").alias("basis"))).otherwise(
+            bound(inside, lambda found: parts((
+                F.coalesce(found, F.lit(entries[0])), found.isNotNull(),
+                F.when(found.isNotNull(), "vocabulary substring match").otherwise("outside the vocabulary"),
+            )))
+        )
+
+    return bound(vocabulary_key(text), match)
+
+
+def vocabulary(text: Column, entries: Sequence[str]) -> Answer:
+    made = vocabulary_parts(text, entries)
+    return made["text"], made["matched"], made["basis"]
 
 
 def token_run(text: Column) -> Column:
@@ -287,7 +308,7 @@ def cleaned_text(text: Column, lower: bool = True) -> Column:
 
 def format_answer(contract: Column, text: Column, question: Column, numeric: Column | None = None) -> Answer:
     """Dispatch by contract; an exact numeric value from a tool beats anything read from prose."""
-    branches: list[tuple[Column, Answer]] = []
+    branches: list[tuple[Column, Column]] = []
     by_kind: dict[tuple, list[str]] = {}
     for name, (kind, words) in CONTRACTS.items():
         by_kind.setdefault((kind, words, BOX_SCALES.get(name, 1.0)), []).append(name)
@@ -303,26 +324,20 @@ def format_answer(contract: Column, text: Column, question: Column, numeric: Col
         elif kind == "mcq":
             made = mcq(text, question)
         elif kind == "vocabulary":
-            made = vocabulary(cleaned_text(text), words)
+            made = vocabulary_parts(cleaned_text(text), words)
             if words == AREA_CLASSES:
                 raw = F.coalesce(first_match(text, AREA_VALUE, 1), first_match(text, NUMBER))
                 value = F.floor(F.regexp_replace(raw, ",", "").cast("double"))
-                rescued = ~made[1] & raw.isNotNull()
-                made = (
-                    F.when(rescued, ladder(value, AREA_CLASSES)).otherwise(made[0]),
-                    made[1] | rescued,
-                    F.when(rescued, "raw area value bucketed").otherwise(made[2]),
-                )
+                rescued = parts((ladder(value, AREA_CLASSES), F.lit(True), F.lit("raw area value bucketed")))
+                made = bound(made, lambda m: F.when(m["matched"] | raw.isNull(), m).otherwise(rescued))
         else:
             made = (cleaned_text(text, lower=False), F.lit(True), F.lit("free text passed through"))
-        branches.append((contract.isin(*names), made))
-    out = []
-    for part, default in zip(range(3), (strip(text), F.lit(True), F.lit("no contract"))):
-        column = default
-        for condition, made in branches:
-            column = F.when(condition, made[part]).otherwise(column)
-        out.append(column)
-    return out[0], out[1], out[2]
+        branches.append((contract.isin(*names), parts(made) if isinstance(made, tuple) else made))
+    # One nested value per row: only the row's own contract is worked out, and once for all three parts.
+    chosen = parts((strip(text), F.lit(True), F.lit("no contract")))
+    for condition, made in branches:
+        chosen = F.when(condition, made).otherwise(chosen)
+    return chosen["text"], chosen["matched"], chosen["basis"]
 
 
 def normalise(text: Column) -> Column:
