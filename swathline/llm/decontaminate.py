@@ -11,7 +11,7 @@ from swathline.llm.common import sized, stored
 
 #: Tokens of a template window, tokens in it that must be words and not placeholders, share of an item's windows that a
 #: document must hold, and share of the slots whose values must map alike.
-WINDOW, LITERALS, COVER, CONSISTENT = 5, 2, 0.5, 0.8
+WINDOW, LITERALS, COVER, CONSISTENT = 5, 2, 0.4, 0.8
 #: Windows of the benchmark up to which their table is broadcast (about 60 bytes each).
 WINDOWS = 1_000_000
 
