@@ -8,6 +8,7 @@ bins, decisions) are windowed or joined back.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from swathline import config as C
 from swathline.functions.pixel import area_km2, past_cut
 from swathline.operators.joins import attach
+from swathline.operators.ranking import null_safe_join
 
 Keys = Sequence[str]
 
@@ -185,6 +187,38 @@ def measurement(
     )
 
 
+#: Polarisations in the order in which a scene's is chosen, and the side of the cut on which each radar target lies.
+POLARISATIONS = ("vv", "hh", "vh", "hv")
+RADAR_ABOVE = {"water": False, "builtup": True}
+
+
+def sar_summary(pixels: DataFrame, keys: Keys, scenes: DataFrame, pixel_size: Column) -> DataFrame:
+    """Radar water (low) or built-up area (high) per scene: ``keys, pol, refused`` and the columns of :func:`measurement`.
+
+    ``scenes`` has ``target`` and the declared ``band`` of every scene. The first polarisation with any pixel is used, with its
+    own physical cut. A band that is not C, or not declared, inherits the C-band table and costs confidence. A scene
+    whose values are never negative is not in decibels: it is refused, with NULL measures.
+    """
+    keys = list(keys)
+    lowest = pixels.groupBy(*keys).agg(*[F.min(p).alias(f"_{p}") for p in POLARISATIONS])
+    pol = F.coalesce(*[F.when(F.col(f"_{p}").isNotNull(), p) for p in POLARISATIONS])
+    floor = F.coalesce(*[F.col(f"_{p}") for p in POLARISATIONS])
+    cuts = F.create_map(*[F.lit(x) for p in POLARISATIONS for t, cut in C.SAR_CUTS_DB[p].items() for x in (f"{p}/{t}", cut)])
+    facts = null_safe_join(lowest.select(*keys, pol.alias("pol"), (floor >= 0).alias("refused")), scenes, keys)
+    facts = facts.withColumn("_cut", F.try_element_at(cuts, F.concat_ws("/", "pol", "target")))
+    value = F.coalesce(*[F.when(F.col("pol") == p, F.col(p)) for p in POLARISATIONS])
+    rows = attach(pixels.select(*keys, "r", "c", *POLARISATIONS), facts, keys).where(~F.col("refused"))
+    rows = rows.select(*keys, "target", "band", "_cut", value.alias("_value"))
+    penalty = F.when(F.col("band").eqNullSafe(F.lit("C")), 1.0).otherwise(C.INHERITED_BAND_PENALTY)
+    made = []
+    for target, above in RADAR_ABOVE.items():
+        own = rows.where(F.col("target") == target)
+        decisions = null_safe_join(gated_threshold(own, keys, "_value", F.col("_cut"), above=above), scenes.select(*keys, "band"), keys)
+        made.append(measurement(decisions, keys, target, 0.5, 0.35, pixel_size, penalty).drop("target"))
+    every = reduce(lambda a, b: a.unionByName(b), made)
+    return null_safe_join(facts.select(*keys, "target", "pol", "refused"), every, keys, "left")
+
+
 def exact_percentiles(
     df: DataFrame, keys: Keys, value: str, shares: Mapping[str, float], bins: int = 1024, nearest_rank: bool = False
 ) -> DataFrame:

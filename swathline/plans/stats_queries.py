@@ -92,6 +92,42 @@ def agg05(v):
     return S.measurement(gate, SCENE, "water", 0.5, 0.35, pixel_size(), C.INHERITED_BAND_PENALTY)
 
 
+# Scenes with different polarisations, targets and declared bands; every ninth is in linear power.
+POL_SQL = """sp AS (SELECT scene_id, date_idx, r, c, CASE WHEN scene_id % 9 = 4 THEN abs(vv) ELSE vv END AS base FROM grid),
+sv AS (SELECT scene_id, date_idx, base - CASE scene_id % 4 WHEN 0 THEN 0.0 WHEN 1 THEN -1.0 WHEN 2 THEN 6.0 ELSE 6.5 END AS v FROM sp WHERE scene_id % 9 <> 4),
+lo AS (SELECT scene_id, date_idx, count(base) AS n FROM sp GROUP BY ALL),
+low_rows AS (SELECT * FROM sv WHERE scene_id % 2 = 0), high_rows AS (SELECT * FROM sv WHERE scene_id % 2 = 1)"""
+LOW_CUT = "CASE WHEN scene_id % 4 < 2 THEN -18.0 ELSE -24.0 END"
+HIGH_CUT = "CASE WHEN scene_id % 4 < 2 THEN -3.0 ELSE -12.0 END"
+BAND_PENALTY = "CASE WHEN scene_id % 3 = 0 THEN 1.0 ELSE 0.8 END"
+
+
+def sar_option_sql():
+    parts = [
+        measure_sql(t, 0.5, 0.35, BAND_PENALTY).replace("FROM gate", f"FROM {p}gate").replace(f"'{t}' AS target, ", "")
+        for t, p in (("water", "w"), ("builtup", "b"))
+    ]
+    return (
+        ctes("px", "grid", POL_SQL, gate_sql("low_rows", KEYS, "v", LOW_CUT, above=False, prefix="w"), gate_sql("high_rows", KEYS, "v", HIGH_CUT, prefix="b"),
+             f"ms AS ({parts[0]} UNION ALL {parts[1]})")
+        + f"""SELECT {KEYS}, CASE WHEN scene_id % 2 = 0 THEN 'water' ELSE 'builtup' END AS target, ['vv', 'hh', 'vh', 'hv'][1 + scene_id % 4] AS pol,
+scene_id % 9 = 4 AS refused, method, threshold_value, coverage_fraction, valid_fraction, area_km2, confidence FROM lo LEFT JOIN ms USING ({KEYS})"""
+    )
+
+
+@query("AGG05_sar_options", sar_option_sql())
+def agg05_options(v):
+    k = F.col("scene_id") % 4
+    base = F.when(F.col("scene_id") % 9 == 4, F.abs("vv")).otherwise(F.col("vv"))
+    shifted = {"vv": (k == 0, 0.0), "hh": (k == 1, -1.0), "vh": (k >= 2, 6.0), "hv": (k >= 2, 6.5)}
+    pixels = v.grid.select(*SCENE, "r", "c", *[F.when(on & ((k == 2) if p == "vh" else F.lit(True)), base - by).alias(p) for p, (on, by) in shifted.items()])
+    scenes = v.grid.select(*SCENE).distinct().select(
+        *SCENE, F.when(F.col("scene_id") % 2 == 0, "water").otherwise("builtup").alias("target"),
+        F.when(F.col("scene_id") % 3 == 0, "C").when(F.col("scene_id") % 3 == 1, "X").alias("band"),
+    )
+    return S.sar_summary(pixels, SCENE, scenes, pixel_size())
+
+
 @query(
     "AGG08_sigma0_sanity",
     ctes("px")
