@@ -13,12 +13,22 @@ from swathline.session import ensure_checkpoint_dir
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of identifiers or small keys up to which a side is broadcast (8 to 40 bytes each, below 100 MB).
 BROADCAST_ROWS = 2_000_000
+#: Rows of an Arrow batch; texts of a few thousand characters make it a few megabytes.
+BATCH_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of whole texts to ``BATCH_ROWS`` rows, which bounds what a Python worker and its executor hold."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back: lineage ends here and lost executors cost nothing."""
     spark = df.sparkSession

@@ -19,7 +19,7 @@ SHORTEST, LONGEST, BITS, LIMIT = 3, 8, 20, 0.3
 #: The classifier is fitted on at most so many labelled rows, chosen by the hash of their keys. Nothing else is bounded.
 TRAIN_ROWS = 12_000
 #: A feature needs this many training texts and this chi-squared value; its counts start at one.
-LEAST_TEXTS, LEAST_CHI2 = 4, 10.0
+LEAST_TEXTS, LEAST_CHI2 = 4, 25.0
 STEPS, RATE, DECAY = 100, 0.1, 1e-3
 CHUNK = 1 << 17
 #: Rows of the sample that a step of the fit looks at together.
@@ -86,12 +86,14 @@ def feature_counts(rows: DataFrame) -> DataFrame:
     """``(feature, toxic, clean)``: labelled texts that have the feature, summed in each task first."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros((2, 1 << BITS), dtype=np.int64)
+        counts = np.zeros((2, 1 << BITS), dtype=np.int32)
         for batch in batches:
             for text, label in zip(batch["text"], batch["label"]):
                 counts[int(label)][np.unique(np.concatenate([np.empty(0, dtype=np.int64), *ngrams(text)]))] += 1
         feature = np.flatnonzero(counts.sum(axis=0))
-        yield pd.DataFrame({"feature": feature, "clean": counts[0][feature], "toxic": counts[1][feature]})
+        for at in range(0, len(feature), 1 << 16):
+            some = feature[at : at + (1 << 16)]
+            yield pd.DataFrame({"feature": some, "clean": counts[0][some], "toxic": counts[1][some]})
 
     partial = rows.mapInPandas(run, "feature long, clean long, toxic long")
     return partial.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
