@@ -198,12 +198,17 @@ def hex_of(fp: Column) -> Column:
 
 
 def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """``docs`` with one row of each component, that of the smallest key; columns as they were.
+    """``docs`` with one row of each component, that of the smallest key; columns as they were."""
+    return one_of_each(docs, near_duplicates(docs, key, text, **how), fingerprint(F.col(text), how.get("words", WORDS)), key)
+
+
+def one_of_each(docs: DataFrame, marks: DataFrame, fp: Column, key: str = "doc_id") -> DataFrame:
+    """``docs`` with one row of each component of ``marks(key, fp, component_id, root)``; ``fp`` is worked out again where needed.
 
     The rows that go are found on keys alone and taken out by an anti-join whose side is broadcast if it is counted small.
     Rows that share a key are told apart by their fingerprints, and identical ones are reduced to one.
     """
-    marks = stored(near_duplicates(docs, key, text, **how))
+    marks = stored(marks)
     own, lead = F.coalesce(F.col(key), F.lit(NO_ID)), F.coalesce(F.col("component_id"), F.lit(NO_ID))
     marks = marks.select(own.alias("_id"), "fp", "root", lead.alias("_lead"))
     often = cut_lineage(marks.groupBy("_id").count().where("count > 1").select("_id"))
@@ -214,6 +219,6 @@ def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **ho
         return left
     # Keys of several rows: those rows are looked up by key and fingerprint, and the least row of a component stays.
     again = docs.join(sized(often.withColumnRenamed("_id", "_often")), docs_id == F.col("_often"), "left_semi")
-    again = again.select(F.struct("*").alias("_row"), docs_id.alias("_id"), fingerprint(again[text], how.get("words", WORDS)).alias("fp"))
+    again = again.select(F.struct("*").alias("_row"), docs_id.alias("_id"), fp.alias("fp"))
     leads = marks.where("_id = _lead").join(sized(often), "_id", "left_semi").select("_id", "fp", "root").distinct()
     return left.unionByName(again.join(leads, ["_id", "fp"]).groupBy("root").agg(F.min("_row").alias("_row")).select("_row.*"))
