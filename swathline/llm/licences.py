@@ -150,10 +150,12 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     licences of both readings are joined, and ``sentences`` is the reading that knows more. All is a projection of one row:
     nothing is shuffled, and long texts cost their own length. NULL and empty texts have empty results; repeated rows repeat.
     """
-    lower = F.lower(text)
-    hinted = F.lit(False)
-    for hint in HINTS:
-        hinted = hinted | lower.contains(hint)
+    # Tested as sentences are read, so a hint wrapped over a line break or with signs between its words is found.
+    # The longest word of each hint, which no wrapping breaks, tells first which texts are worth that.
+    lower, worth = F.lower(text), F.lit(False)
+    for word in sorted({max(hint.split(), key=len) for hint in HINTS}):
+        worth = worth | lower.contains(word)
+    hinted = worth & normalised(F.col(text)).rlike("|".join(HINTS))
     running = F.regexp_replace(F.regexp_replace(F.col(text), r"\n[ \t\r\f]*\n", ".\n"), r"[ \t\r\f]*\n[ \t]*", " ")
     lines = docs.select(
         F.col(key),
