@@ -49,7 +49,9 @@ TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
-ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
+#: Every attribute in order, name and value, so that nothing inside a value is read as a name.
+ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
+READ = {"class", "id", "role", "hidden", "aria-hidden"}
 SPACE = re.compile(r"\s+")
 
 BLOCKS = T.ArrayType(
@@ -68,6 +70,8 @@ def is_furniture(tag: str, attributes: str, within_main: bool) -> bool:
         return False
     for name, *values in ATTRIBUTE.findall(attributes):
         value, name = "".join(values).lower(), name.lower()
+        if name not in READ:
+            continue
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
             return True
         names = set(re.split(r"[\s_-]+", value)) & NAMES
