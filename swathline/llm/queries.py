@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swathline.llm import bottomk, decontaminate, html_text, kneser_ney, licences, masked_lm, mixing, pii, simhash, toxicity
+from swathline.llm import bottomk, collocations, decontaminate, html_text, kneser_ney, licences, masked_lm, mixing, pii, simhash, toxicity
 from swathline.llm.common import table, words_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,39 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return masked_lm.score(docs, *masked_lm.train(docs))
+
+
+COLLOCATION_SQL = r"""
+    WITH folded AS (
+      SELECT COALESCE(lang, 'und') AS lang,
+        translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+    pieces AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\n\x0B\x0C\r]')) AS piece FROM folded),
+    words AS (SELECT row_number() OVER () AS id, lang, regexp_extract_all(piece, '[^ \t]+') AS w FROM pieces),
+    sizes AS (SELECT lang, SUM(len(w))::BIGINT AS n FROM words GROUP BY lang),
+    spans AS (
+      SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+    grams AS (
+      SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM spans, (VALUES (1), (2), (3), (4), (5)) AS lengths(k) WHERE i + k - 1 <= len(w)),
+    counts AS (SELECT lang, k, phrase, COUNT(*)::BIGINT AS f FROM grams GROUP BY ALL HAVING COUNT(*) >= 100),
+    kept AS (
+      SELECT c.lang, c.k, c.phrase, c.f AS a FROM counts c
+      WHERE c.k > 1 AND NOT EXISTS (
+        SELECT 1 FROM counts o WHERE o.lang = c.lang AND o.k > c.k AND o.f >= c.f AND contains(' ' || o.phrase || ' ', ' ' || c.phrase || ' '))),
+    cuts AS (
+      SELECT *, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS cut FROM kept),
+    scored AS (
+      SELECT c.lang, c.phrase, c.a, h.f AS l, t.f AS r, s.n, c.cut,
+        (1000::HUGEINT * c.a * s.n) // (h.f::HUGEINT * t.f) AS score
+      FROM cuts c JOIN sizes s USING (lang)
+      JOIN counts h ON h.lang = c.lang AND h.phrase = array_to_string(c.w[1:c.cut], ' ')
+      JOIN counts t ON t.lang = c.lang AND t.phrase = array_to_string(c.w[c.cut + 1:], ' ')),
+    least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank,
+      phrase, a, l, r, n, score::BIGINT AS score
+    FROM least QUALIFY rank <= 2000
+    """
+
+
+@register("op11_collocations", COLLOCATION_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
