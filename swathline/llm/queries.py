@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swathline.llm import bottomk, collocations, decontaminate, html_text, kneser_ney, licences, masked_lm, mixing, pii, simhash, toxicity
+from swathline.llm import bottomk, collocations, decontaminate, html_text, kneser_ney, licences, masked_lm, mixing, pii, prefix_trie, simhash, substrings, toxicity
 from swathline.llm.common import table, words_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -183,3 +183,65 @@ COLLOCATION_SQL = r"""
 @register("op11_collocations", COLLOCATION_SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+SUBSTRING_SQL = r"""
+    WITH words AS (
+      SELECT doc_id, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    windows AS (
+      SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 18)) AS i FROM words WHERE len(w) >= 20)),
+    later AS (
+      SELECT doc_id, i FROM windows QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS at FROM later),
+    spelled AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS at FROM words),
+    kept AS (
+      SELECT s.doc_id, string_agg(s.word, ' ' ORDER BY s.at) AS kept, COUNT(*) AS n
+      FROM spelled s LEFT JOIN gone g ON g.doc_id = s.doc_id AND g.at = s.at WHERE g.at IS NULL GROUP BY s.doc_id)
+    SELECT w.doc_id, len(w.w)::BIGINT AS n_words, (len(w.w) - COALESCE(k.n, 0))::BIGINT AS n_removed, sha256(COALESCE(k.kept, '')) AS kept_sha256
+    FROM words w LEFT JOIN kept k ON k.doc_id = w.doc_id
+    """
+
+
+@register("op12_substring_dedup", SUBSTRING_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+TRIE_SQL = r"""
+    WITH turns AS (
+      SELECT conv_id, COALESCE(role, '') AS role, COALESCE(text, '') AS text,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS r
+      FROM conversations WHERE conv_id IS NOT NULL),
+    whole AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY r) AS t FROM turns GROUP BY conv_id),
+    hashed AS (
+      SELECT conv_id, t, conv_id - conv_id % 20 AS donor,
+        xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+          lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+            lambda x, y: xor(x >> 1, 3988292384::BIGINT * (x & 1)))), 4294967295::BIGINT) % 4 AS h
+      FROM whole),
+    rebuilt AS (
+      SELECT c.conv_id, list_concat(COALESCE(d.t[1:c.h], []), c.t[c.h + 1:]) AS t FROM hashed c LEFT JOIN whole d ON d.conv_id = c.donor),
+    prefixes AS (SELECT conv_id, t, unnest(range(0, len(t) + 1)) AS depth FROM rebuilt),
+    nodes AS (
+      SELECT t[1:depth] AS path, depth, MIN(conv_id) AS conv_id, COUNT(*)::BIGINT AS n_convs,
+        COALESCE(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(t) = depth), '') AS ends
+      FROM prefixes GROUP BY ALL),
+    sized AS (
+      SELECT *, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(path[depth].text, '[^\x20\x09-\x0D]+')) END AS saved,
+        path[1:depth - 1] AS above FROM nodes),
+    children AS (SELECT above AS path, depth - 1 AS depth, COUNT(*)::BIGINT AS n FROM sized WHERE depth > 0 GROUP BY ALL),
+    full_nodes AS (SELECT s.*, COALESCE(c.n, 0) AS n_children FROM sized s LEFT JOIN children c ON c.path = s.path AND c.depth = s.depth),
+    lifted AS (SELECT path, n_children, saved, unnest(range(0, depth + 1)) AS lvl FROM full_nodes),
+    sums AS (
+      SELECT path[1:lvl] AS path, lvl AS depth, SUM(saved)::BIGINT AS saved_tokens, COUNT(*) FILTER (n_children = 0)::BIGINT AS n_leaves
+      FROM lifted GROUP BY ALL)
+    SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves, s.saved_tokens, sha256(n.ends) AS ends_sha256
+    FROM full_nodes n JOIN sums s ON s.path = n.path AND s.depth = n.depth
+    LEFT JOIN nodes p ON n.depth > 0 AND p.depth = n.depth - 1 AND p.path = n.above
+    """
+
+
+@register("op13_prefix_trie", TRIE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
