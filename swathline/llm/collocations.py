@@ -19,6 +19,8 @@ SPACES, BREAKS = b" \t", b".,;:!?\n\x0b\x0c\r"
 LONGEST, LEAST, FIRST = 5, 100, 2000
 #: Phrases of one trie; its arrays stay below 100 MB. More phrases go to more tries, each with a reading of its own.
 TRIE_PHRASES = 500_000
+#: Counters that travel together; words of a batch of new words.
+COUNTERS, BATCH_WORDS = 8_192, 50_000
 
 
 class DoubleArray:
@@ -155,15 +157,11 @@ def word_counts(texts: DataFrame, seed: int) -> DataFrame:
             words, langs = read(batch, seed)
             own, where, counts = np.unique(words.codes, return_index=True, return_counts=True)
             rows = np.searchsorted(words.rows, where, side="right") - 1
-            yield pa.record_batch(
-                [
-                    pa.array([langs[r] for r in rows.tolist()], pa.string()),
-                    pa.array([words.word(i).decode("utf-8", "replace") for i in where.tolist()], pa.string()),
-                    pa.array(own.view(np.int64)),
-                    pa.array(counts.astype(np.int64)),
-                ],
-                names=["lang", "word", "code", "f"],
-            )
+            for i in range(0, len(own), BATCH_WORDS):
+                part = slice(i, i + BATCH_WORDS)
+                spelled = [words.word(j).decode("utf-8", "replace") for j in where[part].tolist()]
+                columns = [pa.array([langs[r] for r in rows[part].tolist()], pa.string()), pa.array(spelled, pa.string())]
+                yield pa.record_batch([*columns, pa.array(own[part].view(np.int64)), pa.array(counts[part].astype(np.int64))], names=["lang", "word", "code", "f"])
 
     return texts.mapInArrow(run, "lang string, word string, code long, f long").groupBy("lang", "word", "code").agg(F.sum("f").alias("f"))
 
@@ -201,7 +199,8 @@ def grown(texts: DataFrame, trie: Broadcast, k: int, alone: bool, seed: int) ->
 
 
 def counted(texts: DataFrame, trie: Broadcast, seed: int) -> DataFrame:
-    """``(phrase, f)``: occurrences of the phrases a trie accepts, counted by state and summed over the chunks."""
+    """``(phrase, f)``: occurrences of the phrases a trie accepts. Each task counts its states in one array, which it sends in
+    pieces; tasks stream the pieces of their range of states and hold one sum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree: DoubleArray = trie.value
@@ -211,12 +210,30 @@ def counted(texts: DataFrame, trie: Broadcast, seed: int) -> DataFrame:
             for _, state in tree.walk(words.codes, room_left(words), LONGEST):
                 phrase = tree.accept[state]
                 total += np.bincount(phrase[phrase >= 0], minlength=tree.size)
+        for i in range(0, tree.size, COUNTERS):
+            part = total[i : i + COUNTERS]
+            if part.any():
+                yield pa.record_batch([pa.array([i]), pa.array([part.tobytes()], pa.binary())], names=["first", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, total = None, None
+        for batch in batches:
+            for at, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                counts = np.frombuffer(counts, dtype=np.int64)
+                if at != first:
+                    if first is not None:
+                        yield told(first, total)
+                    first, total = at, np.zeros(len(counts), dtype=np.int64)
+                total += counts
+        if first is not None:
+            yield told(first, total)
+
+    def told(first: int, total: np.ndarray) -> pa.RecordBatch:
         seen = np.flatnonzero(total)
-        for i in range(0, len(seen), 100_000):
-            part = seen[i : i + 100_000]
-            yield pa.record_batch([pa.array(part.astype(np.int64)), pa.array(total[part])], names=["phrase", "f"])
+        return pa.record_batch([pa.array(first + seen), pa.array(total[seen])], names=["phrase", "f"])
 
-    return texts.mapInArrow(run, "phrase long, f long").groupBy("phrase").agg(F.sum("f").alias("f"))
+    pieces = texts.mapInArrow(run, "first long, counts binary").repartition("first").sortWithinPartitions("first")
+    return pieces.mapInArrow(add, "phrase long, f long")
 
 
 def tries(phrases: DataFrame, most: int) -> Iterator[tuple[Broadcast, DataFrame, bool]]:

@@ -22,6 +22,8 @@ WINDOW, GRAM = 20, 4
 SHARD_WORDS, HOT = 400_000, 4_000
 #: Bits of a filter that spares shuffling what has no partner: 16 MB at most. Beyond, more passes, and nothing is lost.
 FILTER_BITS = 1 << 27
+#: A passage's place in one number: its start, its windows (at most 17) and whether its anchor is hot.
+PLACE_BITS, HOT_BIT = 6, 5
 NO_KEY = -(2**63)
 AT = np.uint64((1 << 31) - 1)
 
@@ -32,9 +34,10 @@ class Filter:
     def __init__(self, keys: DataFrame, most: int = FILTER_BITS) -> None:
         """``keys`` has one column, of hashes. At most ``most / 64`` numbers come to the driver, whatever the number of keys."""
         (name,) = keys.columns
-        bits = 1 << 16
-        while bits < most and bits < 16 * (n := keys.limit(most).count() if bits == 1 << 16 else n):
+        n, bits = keys.limit(most).count(), 1 << 10
+        while bits < min(most, 16 * n):
             bits *= 2
+        self.sparse = 8 * n <= bits
         at = F.pmod(F.col(name), F.lit(bits))
         words = keys.groupBy((at / 64).cast("long").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(pmod({name}, 64) AS INT))")).alias("bits"))
         rows = words.toPandas()
@@ -107,54 +110,125 @@ def anchor_counts(texts: DataFrame, window: int) -> DataFrame:
     return texts.select("text").mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
 
 
-def met_passages(texts: DataFrame, anchors: Filter, window: int) -> DataFrame:
-    """``(anchor, name, doc, form, start, n)``: the passages whose anchor may occur again; ``name`` is a hash of the passage."""
-    shared = texts.sparkSession.sparkContext.broadcast(anchors)
+def met_passages(texts: DataFrame, anchors: Filter, hot: Filter, window: int) -> DataFrame:
+    """``(anchor, name, doc, form, place)``: the passages whose anchor may occur again; ``name`` is a hash of the passage."""
+    shared = texts.sparkSession.sparkContext.broadcast((anchors, hot))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        anchors, hot = shared.value
         for batch in chunks(batches):
             words = read(batch)
             start, n, anchor = passages(words, window)
-            keep = shared.value.has(anchor)
+            keep = anchors.has(anchor)
             start, n, anchor = start[keep], n[keep], anchor[keep]
             row = np.searchsorted(words.rows, start, side="right") - 1
             name = spans_hash(words.codes, start, start + n + window - 1)
-            columns = [anchor.view(np.int64), name.view(np.int64), numbers(batch, "doc")[row], numbers(batch, "form")[row], start - words.rows[row], n]
-            yield pa.record_batch([pa.array(c) for c in columns], names=["anchor", "name", "doc", "form", "start", "n"])
+            place = (start - words.rows[row]) << PLACE_BITS | hot.has(anchor).astype(np.int64) << HOT_BIT | n
+            columns = [anchor.view(np.int64), name.view(np.int64), numbers(batch, "doc")[row], numbers(batch, "form")[row], place]
+            yield pa.record_batch([pa.array(c) for c in columns], names=["anchor", "name", "doc", "form", "place"])
 
-    return texts.mapInArrow(run, "anchor long, name long, doc long, form long, start long, n long")
+    return texts.mapInArrow(run, "anchor long, name long, doc long, form long, place long")
 
 
-def cut_out(wanted: DataFrame, window: int) -> DataFrame:
-    """``(shard_key, doc, form, start, n, codes)`` from rows ``(doc, form, text, parts)``: the words of the passages of each
-    document that are to be indexed; of a hot anchor window by window."""
+def firsts_marked(met: DataFrame) -> DataFrame:
+    """``(anchor, doc, form, place, first)``: whether a passage is the earliest of its name. Tasks stream names in order; of a
+    frequent one a row per chunk of text and copy comes, which takes no memory here."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, last_first = None, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [numbers(batch, c) for c in ("name", "anchor", "doc", "form", "place")]
+            name, anchor, doc, form, place = columns
+            head, row = np.ones(len(name), dtype=bool), np.ones(len(name), dtype=bool)
+            head[1:] = (name[1:] != name[:-1]) | (anchor[1:] != anchor[:-1])
+            row[1:] = head[1:] | (doc[1:] != doc[:-1]) | (form[1:] != form[:-1]) | (place[1:] != place[:-1])
+            now = tuple(int(c[0]) for c in columns)
+            head[0] = last is None or now[:2] != last[:2] or (now == last and last_first)
+            # Rows of one key and text are one document, so the passage they share is the first in all of them.
+            first = head[np.maximum.accumulate(np.where(row, np.arange(len(row)), 0))]
+            last, last_first = tuple(int(c[-1]) for c in columns), bool(first[-1])
+            yield pa.record_batch([pa.array(c) for c in (anchor, doc, form, place, first)], names=["anchor", "doc", "form", "place", "first"])
+
+    ordered = met.repartition("anchor", "name").sortWithinPartitions("name", "anchor", "doc", "form", "place")
+    return ordered.mapInArrow(run, "anchor long, doc long, form long, place long, first boolean")
+
+
+PIECE = "shard_key long, doc long, form long, start long, n long, codes binary"
+
+
+def pieces(batch: pa.RecordBatch, words: Coded, row: np.ndarray, start: np.ndarray, n: np.ndarray, anchor: np.ndarray, hot: np.ndarray, window: int) -> pa.RecordBatch:
+    """Rows of ``PIECE``: the words of passages that begin at word ``start`` of the batch's row ``row``; of a hot anchor window by window."""
+    times = np.where(hot, n, 1)
+    row, key = np.repeat(row, times), np.repeat(anchor, times)
+    offset = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    start, n, hot = np.repeat(start, times) + offset, np.repeat(np.where(hot, 1, n), times), np.repeat(hot, times)
+    size = n + window - 1
+    key = np.where(hot, spans_hash(words.codes, start, start + size).view(np.int64), key)
+    places = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    values = pa.py_buffer(words.codes[places].tobytes())
+    offsets = pa.py_buffer((np.r_[0, np.cumsum(size)] * 8).astype(np.int32).tobytes())
+    codes = pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, offsets, values])
+    columns = [pa.array(c) for c in (key, numbers(batch, "doc")[row], numbers(batch, "form")[row], start - words.rows[row], n)]
+    return pa.record_batch([*columns, codes], names=["shard_key", "doc", "form", "start", "n", "codes"])
+
+
+def cut_by_filter(texts: DataFrame, anchors: Filter, hot: Filter, wanted: Filter, window: int) -> DataFrame:
+    """The pieces of the passages in ``wanted``, cut out while texts are read once more. The few others that the filter lets
+    pass are passages as well, which an index may hold."""
+    shared = texts.sparkSession.sparkContext.broadcast((anchors, hot, wanted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        anchors, hot, wanted = shared.value
+        for batch in chunks(batches):
+            words = read(batch)
+            start, n, anchor = passages(words, window)
+            row = np.searchsorted(words.rows, start, side="right") - 1
+            own = place_hash(numbers(batch, "doc")[row], numbers(batch, "form")[row], start - words.rows[row])
+            keep = anchors.has(anchor) & wanted.has(own)
+            # Equal rows of a batch are one document.
+            keep[keep] = np.isin(np.arange(keep.sum()), np.unique(own[keep], return_index=True)[1])
+            yield pieces(batch, words, row[keep], start[keep], n[keep], anchor[keep].view(np.int64), hot.has(anchor[keep]), window)
+
+    return texts.mapInArrow(run, PIECE)
+
+
+def place_hash(doc: np.ndarray, form: np.ndarray, start: np.ndarray) -> np.ndarray:
+    return mixed(mixed(doc.astype(np.uint64) ^ mixed(form.astype(np.uint64))) + start.astype(np.uint64))
+
+
+def hashed_places(wanted: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, form, place = (numbers(batch, c) for c in ("doc", "form", "place"))
+            yield pa.record_batch([pa.array(place_hash(doc, form, place >> PLACE_BITS).view(np.int64))], names=["k"])
+
+    return wanted.select("doc", "form", "place").mapInArrow(run, "k long")
+
+
+def cut_by_join(texts: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
+    """The same pieces, exactly those in ``wanted``, where there are too many for a filter: texts are joined with their list."""
+    parts = wanted.groupBy("doc", "form").agg(F.collect_list(F.struct("place", "anchor")).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             words = read(batch)
             parts = batch.column(batch.schema.get_field_index("parts"))
             row = np.repeat(np.arange(batch.num_rows), np.diff(parts.offsets.to_numpy()))
-            start, n, anchor, hot = (parts.flatten().field(x).to_numpy(zero_copy_only=False) for x in ("start", "n", "anchor", "hot"))
-            times = np.where(hot, n, 1)
-            row, key = np.repeat(row, times), np.repeat(anchor, times)
-            offset = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            start, n, hot = np.repeat(start, times) + offset, np.repeat(np.where(hot, 1, n), times), np.repeat(hot, times)
-            begin = start + words.rows[row]
-            size = n + window - 1
-            key = np.where(hot, spans_hash(words.codes, begin, begin + size).view(np.int64), key)
-            places = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            values = pa.py_buffer(words.codes[places].tobytes())
-            offsets = pa.py_buffer((np.r_[0, np.cumsum(size)] * 8).astype(np.int32).tobytes())
-            codes = pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, offsets, values])
-            columns = [pa.array(c) for c in (key, numbers(batch, "doc")[row], numbers(batch, "form")[row], start, n)]
-            yield pa.record_batch([*columns, codes], names=["shard_key", "doc", "form", "start", "n", "codes"])
-
-    return wanted.mapInArrow(run, "shard_key long, doc long, form long, start long, n long, codes binary")
+            place, anchor = (parts.flatten().field(x).to_numpy(zero_copy_only=False) for x in ("place", "anchor"))
+            n, hot = place & ((1 << HOT_BIT) - 1), (place >> HOT_BIT & 1).astype(bool)
+            yield pieces(batch, words, row, (place >> PLACE_BITS) + words.rows[row], n, anchor, hot, window)
+
+    return texts.join(parts, ["doc", "form"]).mapInArrow(run, PIECE)
 
 
 def repeats_in_shard(rows: pa.Table, window: int) -> pa.Table:
     """``(doc, form, begin, stop)``: words of the shard's passages in windows that also start earlier, read off its index."""
     doc, form, start, n = (rows.column(c).to_numpy() for c in ("doc", "form", "start", "n"))
+    _, own = np.unique(np.stack([doc, form, start, n]), axis=1, return_index=True)
+    if len(own) < len(doc):  # rows of one key and text
+        rows, doc, form, start, n = rows.take(own), doc[own], form[own], start[own], n[own]
     codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), dtype=np.uint64)
     lengths = n + window - 1
     index = FmIndex(codes, lengths, window)
@@ -179,31 +253,26 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, shard_words: int = SH
     """``(doc, form, begin, stop)``: word spans of ``texts(doc, form, text)`` whose windows of ``window`` words also start earlier, in a
     smaller ``(doc, form)`` or before in the same text.
 
-    Texts are read as runs of windows with one anchor. Runs whose anchor occurs once are left. Equal runs count as one, the
-    earliest; all later ones are repeats. The earliest of each are dealt by anchor to shards; a shard's FM-index gives
-    every window's rows, and the earliest of them. Of an anchor with many runs each window is dealt by its own hash.
+    Texts are read as passages, runs of windows with one anchor. Those whose anchor occurs once are left. Equal passages count as
+    one, the earliest; all later ones are repeats. The earliest of each are dealt by anchor to shards; a shard's FM-index
+    gives every window's rows, and the earliest of them. Of an anchor of more than ``hot`` passages each window is dealt by its own hash.
     """
-    spark = texts.sparkSession
-    anchors = Filter(stored(anchor_counts(texts, window).where("n > 1").select("anchor")), filter_bits)
-    met = stored(met_passages(texts, anchors, window))
-    first = F.min(F.struct("doc", "form", "start")).alias("first")
-    runs = stored(met.groupBy("anchor", "name").agg(first, F.max("n").alias("n"), F.count("*").alias("times")))
-    by_anchor = runs.groupBy("anchor").agg(F.count("*").alias("forms"), F.sum("times").alias("all"))
-    wanted = runs.join(by_anchor.where("all > 1"), "anchor").select("first.*", "n", "anchor", (F.col("forms") > hot).alias("hot"))
-    parts = stored(wanted.groupBy("doc", "form").agg(F.collect_list(F.struct("start", "n", "anchor", "hot")).alias("parts")))
-    size = F.expr(f"aggregate(parts, 0L, (s, x) -> s + IF(x.hot, x.n * {window}, x.n + {window - 1}))")
-    total = parts.agg(F.sum(size)).first()[0] or 0
-    owners = Filter(parts.select(F.xxhash64("doc", "form").alias("k")), filter_bits)
-    some = texts.where(owners.column(spark, F.xxhash64("doc", "form")))
-    pieces = cut_out(some.join(parts, ["doc", "form"]), window)
-    pieces = pieces.groupBy("shard_key", "doc", "form", "start").agg(F.max("n").alias("n"), F.first("codes").alias("codes"))
+    counts = stored(anchor_counts(texts, window).where("n > 1"))
+    anchors, many = Filter(counts.select("anchor"), filter_bits), Filter(counts.where(F.col("n") > hot).select("anchor"), filter_bits)
+    met = stored(firsts_marked(met_passages(texts, anchors, many, window)))
+    wanted = met.where("first")
+    windows = F.col("place").bitwiseAND((1 << HOT_BIT) - 1)
+    is_hot = F.col("place").bitwiseAND(1 << HOT_BIT) > 0
+    total = wanted.agg(F.sum(F.when(is_hot, windows * window).otherwise(windows + window - 1))).first()[0] or 0
+    places = Filter(hashed_places(wanted), filter_bits)
+    cut = cut_by_filter(texts, anchors, many, places, window) if places.sparse else cut_by_join(texts, wanted, window)
     shards = max(1, -(-total // shard_words))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("shard_key"), F.lit(shards)))
+    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("shard_key"), F.lit(shards)))
     schema = "doc long, form long, begin long, stop long"
     earliest = dealt.groupBy("shard").applyInArrow(lambda rows: repeats_in_shard(rows, window), schema)
-    copies = met.join(runs.where("times > 1").select("anchor", "name", "first"), ["anchor", "name"])
-    copies = copies.where(F.struct("doc", "form", "start") != F.col("first"))
-    return earliest.union(copies.select("doc", "form", F.col("start").alias("begin"), (F.col("start") + F.col("n") + window - 1).alias("stop")))
+    begin = F.shiftright("place", PLACE_BITS)
+    copies = met.where("not first").select("doc", "form", begin.alias("begin"), (begin + windows + window - 1).alias("stop"))
+    return earliest.union(copies)
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:

@@ -9,8 +9,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text that are coded at once, about; a longer text is coded by itself.
+#: Bytes of text that are worked on at once, about; a longer text is worked on by itself.
 CHUNK_BYTES = 4 << 20
+#: Bytes that are coded at once: arrays of 64-bit numbers per byte of text stay this much times eight.
+SLICE_BYTES = 1 << 19
 
 BASE = 0x9E3779B97F4A7C15
 _draw = np.random.default_rng(20)
@@ -24,7 +26,7 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
     """The first ``n`` powers of ``BASE``, or of its inverse, modulo 2^64."""
     name = "inverse" if inverse else "plain"
     if name not in _powers or len(_powers[name]) < n:
-        by = np.full(max(n, CHUNK_BYTES + 1), pow(BASE, -1, 2**64) if inverse else BASE, dtype=np.uint64)
+        by = np.full(max(n, SLICE_BYTES + 1), pow(BASE, -1, 2**64) if inverse else BASE, dtype=np.uint64)
         by[0] = 1
         _powers[name] = np.multiply.accumulate(by)
     return _powers[name][:n]
@@ -80,6 +82,24 @@ def coded(texts: pa.Array, kind: np.ndarray, lower: bool = False, salt: np.ndarr
         fold = np.arange(256, dtype=np.uint8)
         fold[65:91] += 32
         data = fold[data]
+    parts, row, done = [], 0, 0
+    while row < len(texts):
+        end = max(row + 1, int(np.searchsorted(bounds, bounds[row] + SLICE_BYTES, side="right")) - 1)
+        part = coded_slice(data[bounds[row] : bounds[end]], bounds[row : end + 1] - bounds[row], kind)
+        codes, starts, ends, rows, breaks = part
+        parts.append((codes, starts + bounds[row], ends + bounds[row], rows[:-1] + done, breaks))
+        row, done = end, done + len(codes)
+    if not parts:
+        none = np.empty(0, dtype=np.int64)
+        return Coded(data, none.astype(np.uint64), none, none, np.zeros(1, dtype=np.int64), none.astype(bool))
+    codes, starts, ends, rows, breaks = (np.concatenate(x) for x in zip(*parts))
+    rows = np.r_[rows, done]
+    if salt is not None:
+        codes = codes + np.repeat(salt.astype(np.uint64), np.diff(rows))
+    return Coded(data, mixed(codes), starts, ends, rows, breaks)
+
+
+def coded_slice(data: np.ndarray, bounds: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, ...]:
     of = kind[data]
     inside = of == WORD
     first = inside.copy()
@@ -95,15 +115,13 @@ def coded(texts: pa.Array, kind: np.ndarray, lower: bool = False, salt: np.ndarr
     np.cumsum(BYTE[data] * powers(len(data)), out=total[1:])
     codes = (total[ends] - total[starts]) * powers(len(data) + 1, inverse=True)[starts]
     rows = np.searchsorted(starts, bounds)
-    if salt is not None:
-        codes = codes + np.repeat(salt.astype(np.uint64), np.diff(rows))
     parted = np.zeros(len(starts), dtype=bool)
     parted[rows[:-1][np.diff(rows) > 0]] = True
     stops = np.flatnonzero(of == BREAK)
     if len(stops):
         after = np.searchsorted(starts, stops)
         parted[after[after < len(starts)]] = True
-    return Coded(data, mixed(codes), starts, ends, rows, parted)
+    return codes, starts, ends, rows, parted
 
 
 def filled(column: pa.Array, value) -> pa.Array:

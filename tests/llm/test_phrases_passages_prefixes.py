@@ -149,7 +149,7 @@ def plain_without_repeats(rows, window=20):
     return out
 
 
-@pytest.mark.parametrize("how", [{}, {"hot": 1, "shard_words": 500}, {"filter_bits": 1 << 16, "hot": 3, "shard_words": 3000}])
+@pytest.mark.parametrize("how", [{}, {"hot": 2, "shard_words": 500}, {"filter_bits": 1 << 10, "hot": 6, "shard_words": 3000}])
 def test_repeats_at_any_shard_size(spark, how):
     draw = random.Random(8)
     fresh = lambda n: [draw.choice("a b c the of é".split()) if draw.random() < 0.3 else f"w{draw.randrange(10**6)}" for _ in range(n)]
@@ -165,7 +165,7 @@ def test_repeats_at_any_shard_size(spark, how):
     rows += [(1000, "x " * 500), (1001, "x y " * 200), (1002, rows[3][1]), (1003, "x " * 45)]
     # One word group with many continuations on both sides.
     rows += [(2000 + i, " ".join([*fresh(15), *"zz yy xx ww".split(), *fresh(15)])) for i in range(30)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substrings.without_repeats(docs, **how).collect()}
     want = plain_without_repeats(rows)
     assert sum(w[1] > 0 for w in want.values()) > 60 and got == want
