@@ -24,6 +24,7 @@ SHARD_WORDS, HOT = 400_000, 4_000
 FILTER_BITS = 1 << 27
 #: A passage's place in one number: its start, its windows (at most 17) and whether its anchor is hot.
 PLACE_BITS, HOT_BIT = 6, 5
+BLOCK_BITS = 1 << 16
 NO_KEY = -(2**63)
 AT = np.uint64((1 << 31) - 1)
 
@@ -32,18 +33,30 @@ class Filter:
     """A set of 64-bit hashes in a bounded bit vector: says yes for each of its members, and for few others while it is sparse."""
 
     def __init__(self, keys: DataFrame, most: int = FILTER_BITS) -> None:
-        """``keys`` has one column, of hashes. At most ``most / 64`` numbers come to the driver, whatever the number of keys."""
+        """``keys`` has one column, of hashes. The driver gets the vector alone, ``most / 8`` bytes or fewer, in blocks that
+        tasks set the bits of."""
         (name,) = keys.columns
-        n, bits = keys.limit(most).count(), 1 << 10
+        n, bits = keys.count(), 1 << 10
         while bits < min(most, 16 * n):
             bits *= 2
-        self.sparse = 8 * n <= bits
-        at = F.pmod(F.col(name), F.lit(bits))
-        words = keys.groupBy((at / 64).cast("long").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(pmod({name}, 64) AS INT))")).alias("bits"))
-        rows = words.toPandas()
+        self.bits, self.sparse = bits, 8 * n <= bits
         self.words = np.zeros(bits // 64, dtype=np.uint64)
-        self.words[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
-        self.bits = bits
+        size = min(bits, BLOCK_BITS)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            blocks: dict[int, np.ndarray] = {}
+            for batch in batches:
+                at = batch.column(0).to_numpy()
+                for block in np.unique(at // size).tolist():
+                    own = at[at // size == block] % size
+                    np.bitwise_or.at(blocks.setdefault(block, np.zeros(size // 8, dtype=np.uint8)), own >> 3, (1 << (own & 7)).astype(np.uint8))
+            for block, values in blocks.items():
+                yield pa.record_batch([pa.array([block]), pa.array([values.tobytes()], pa.binary())], names=["block", "bits"])
+
+        at = F.pmod(F.col(name), F.lit(bits)).alias("at")
+        for row in keys.select(at).repartition(F.expr(f"at div {size}")).mapInArrow(run, "block long, bits binary").collect():
+            begin = row["block"] * size // 64
+            self.words[begin : begin + size // 64] |= np.frombuffer(bytes(row["bits"]), dtype=np.uint64)
 
     def has(self, keys: np.ndarray) -> np.ndarray:
         at = keys.view(np.uint64) & np.uint64(self.bits - 1)
