@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from swathline import config as C
@@ -17,6 +18,8 @@ Keys = Sequence[str]
 SEARCH_PX = 8
 REFINE_STEPS = 2
 MAX_GSD_RATIO = 4.0
+#: Frames are read in blocks of this many rows and columns, each with a rim that shifts may reach into.
+BLOCK_PX = 128
 
 
 def standardise_plane(frame: DataFrame, keys: Keys, bands: Sequence[str], name: str = "z") -> DataFrame:
@@ -34,18 +37,27 @@ def standardise_plane(frame: DataFrame, keys: Keys, bands: Sequence[str], name:
 def mutual_information(pairs: DataFrame, keys: Keys, a: str, b: str, bins: int = C.MI_BINS) -> DataFrame:
     """Bits of mutual information over a bins x bins histogram on each plane's own range.
 
-    The histogram of a key has at most bins x bins rows, so its marginals are windows over that
-    bounded table, all on one repartitioning by key.
+    The histogram of a key has at most bins x bins rows, so its marginals are grouped sums of that
+    bounded table.
     """
     ranges = pairs.groupBy(*keys).agg(F.min(a).alias("_a0"), F.max(a).alias("_a1"), F.min(b).alias("_b0"), F.max(b).alias("_b1"))
-    binned = attach(pairs, ranges, keys).groupBy(
-        *keys, equal_width_bin(F.col(a), F.col("_a0"), F.col("_a1"), bins).alias("_i"), equal_width_bin(F.col(b), F.col("_b0"), F.col("_b1"), bins).alias("_j")
-    ).agg(F.count("*").cast("double").alias("_n"))
-    total = lambda *by: F.sum("_n").over(W.partitionBy(*keys, *by))
-    table = binned.repartition(*keys).select(*keys, "_n", total("_i").alias("_ni"), total("_j").alias("_nj"), total().alias("_t"))
-    return table.groupBy(*keys).agg(
-        F.sum(F.col("_n") / F.col("_t") * F.log2(F.col("_n") * F.col("_t") / (F.col("_ni") * F.col("_nj")))).alias("mi")
-    )
+    cell = equal_width_bin(F.col(a), F.col("_a0"), F.col("_a1"), bins).cast("long") * bins + equal_width_bin(F.col(b), F.col("_b0"), F.col("_b1"), bins)
+    counts = attach(pairs, ranges, keys).groupBy(*keys, cell.alias("_cell")).agg(F.count("*").alias("_n"))
+    tables = counts.groupBy(*keys).agg(F.collect_list(F.struct("_cell", "_n")).alias("_h"))
+
+    @F.pandas_udf("double")
+    def bits(histograms: pd.Series) -> pd.Series:
+        return pd.Series([information(np.bincount([x["_cell"] for x in h], [x["_n"] for x in h], bins * bins).reshape(bins, bins)) for h in histograms])
+
+    return tables.select(*keys, bits("_h").alias("mi"))
+
+
+def information(counts: np.ndarray) -> float:
+    """Bits of mutual information of a joint histogram."""
+    i, j = np.nonzero(counts)
+    n, total = counts[i, j].astype(float), float(counts.sum())
+    expected = counts.sum(axis=1)[i].astype(float) * counts.sum(axis=0)[j].astype(float)
+    return float(np.sum(n / total * np.log2(n * total / expected)))
 
 
 def ncc(pairs: DataFrame, keys: Keys, a: str, b: str) -> DataFrame:
@@ -54,53 +66,174 @@ def ncc(pairs: DataFrame, keys: Keys, a: str, b: str) -> DataFrame:
     return pairs.groupBy(*keys).agg(F.coalesce(F.try_divide(F.sum(x * y), norm), F.lit(0.0)).alias("ncc"))
 
 
-def shift_grid(centre_y: Column, centre_x: Column, radius: float, step: float) -> Column:
-    """Array of candidate shifts around a centre, in row-major order."""
-    n = int(round(2 * radius / step)) + 1
-    axis = F.sequence(F.lit(0), F.lit(n - 1))
-    at = lambda centre, k: centre + (k * step - radius)
-    return F.flatten(F.transform(axis, lambda i: F.transform(axis, lambda j: F.struct(at(centre_y, i).alias("dy"), at(centre_x, j).alias("dx")))))
+def shift_offsets(radius: float, step: float) -> np.ndarray:
+    """Candidate shifts (dy, dx) around a centre in row-major order."""
+    axis = np.arange(int(round(2 * radius / step)) + 1) * step - radius
+    return np.stack(np.meshgrid(axis, axis, indexing="ij"), axis=-1).reshape(-1, 2)
 
 
-def neighbourhoods(moving: DataFrame, keys: Keys, value: str, radius: int) -> DataFrame:
-    """Array of the (2 radius + 1)^2 values around each cell, row-major, borders replicated.
+def frame_blocks(reference: DataFrame, moving: DataFrame, keys: Keys, reach: int, block: int = BLOCK_PX) -> DataFrame:
+    """One row per block of a frame: the reference cells inside it and the moving cells of it and of a rim of ``reach``.
 
-    Two window passes over frame rows and columns; nothing is joined or exploded.
+    Each pixel is shuffled once, with the copies that the rims of neighbouring blocks need; a frame
+    of any size is many blocks. Missing reference cells are NaN and left out of every score.
     """
-    def gather(df: DataFrame, column: str, line: str, window) -> DataFrame:
-        reach = range(1, radius + 1)
-        near = df.repartition(*keys, line).select("*", *[F.lag(column, k).over(window).alias(f"_b{k}") for k in reach], *[F.lead(column, k).over(window).alias(f"_f{k}") for k in reach])
-        pick = lambda side, k: F.coalesce(*[F.col(f"_{side}{i}") for i in range(k, 0, -1)], F.col(column))
-        items = [pick("b", k) for k in range(radius, 0, -1)] + [F.col(column)] + [pick("f", k) for k in reach]
-        return near.select(*keys, "r", "c", F.array(*items).alias("_n"))
+    near = lambda x, by: F.floor((F.col(x) + by) / block)
+    own = reference.select(*keys, near("r", 0).alias("br"), near("c", 0).alias("bc"), F.lit(0).alias("kind"), "r", "c", F.col("a").alias("v"))
+    copies = moving.select(*keys, "r", "c", F.col("b").alias("v"), F.explode(F.sequence(near("r", -reach), near("r", reach))).alias("br"))
+    copies = copies.select("*", F.explode(F.sequence(near("c", -reach), near("c", reach))).alias("bc"))
+    cells = own.unionByName(copies.withColumn("kind", F.lit(1)))
+    names = [*keys, "br", "bc"]
 
-    rows = gather(moving.select(*keys, "r", "c", F.col(value).alias("_v")), "_v", "r", W.partitionBy(*keys, "r").orderBy("c"))
-    square = gather(rows.withColumnRenamed("_n", "_v"), "_v", "c", W.partitionBy(*keys, "c").orderBy("r"))
-    return square.select(*keys, "r", "c", F.flatten("_n").alias("n"))
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = pdf[names].head(1).reset_index(drop=True)
+        for kind, prefix in ((0, "a"), (1, "b")):
+            part = pdf[pdf["kind"] == kind]
+            if not len(part):
+                return out.iloc[:0].reindex(columns=columns)
+            r, c = part["r"].to_numpy(np.int64), part["c"].to_numpy(np.int64)
+            grid = np.full((r.max() - r.min() + 1, c.max() - c.min() + 1), np.nan)
+            grid[r - r.min(), c - c.min()] = part["v"].to_numpy(float)
+            out[f"{prefix}_r"], out[f"{prefix}_c"], out[f"{prefix}_w"] = r.min(), c.min(), grid.shape[1]
+            out[f"{prefix}_v"] = [grid.tobytes()]
+        return out[columns]
 
+    types = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
+    made = [f"{p}_{x} {'binary' if x == 'v' else 'long'}" for p in "ab" for x in ("r", "c", "w", "v")]
+    columns = [*names, *[m.split()[0] for m in made]]
+    schema = ", ".join([*[f"`{n}` {types[n]}" for n in names], *made])
+    return cells.groupBy(*names).applyInPandas(pack, schema)
 
-def shifted(reference: DataFrame, moving: DataFrame, keys: Keys, shifts: DataFrame, radius: int) -> DataFrame:
-    """Reference value beside the bilinearly shifted moving value, per candidate shift.
 
-    Every pixel already holds its neighbourhood, so a candidate is an array lookup: the
-    pixel-by-shift rows exist only between the explode and a map-side-combined aggregate.
-    No shift may exceed ``radius``.
-    """
-    side = 2 * radius + 1
-    around = neighbourhoods(moving, keys, "b", radius)
-    base = reference.select(*keys, "r", "c", "a").join(around, [*keys, "r", "c"])
-    base = attach(base, shifts, keys)
+class Block:
+    """The cells of one block, and the moving cells beside them under a shift."""
+
+    def __init__(self, row: dict) -> None:
+        a = np.frombuffer(row["a_v"], dtype=float).reshape(-1, row["a_w"])
+        self.moving = np.frombuffer(row["b_v"], dtype=float).reshape(-1, row["b_w"])
+        r, c = np.nonzero(~np.isnan(a))
+        self.a = a[r, c]
+        self.r, self.c = r + row["a_r"] - row["b_r"], c + row["a_c"] - row["b_c"]
+
+    def at(self, dy: float, dx: float) -> np.ndarray:
+        """The moving plane shifted by (dy, dx), interpolated linearly; beyond its border the border goes on."""
+        i, j = int(np.floor(-dy)), int(np.floor(-dx))
+        fy, fx = -dy - i, -dx - j
+        rows, columns = self.moving.shape
+        line = lambda di: np.clip(self.r + (i + di), 0, rows - 1)
+        place = lambda dj: np.clip(self.c + (j + dj), 0, columns - 1)
+
+        def across(di: int) -> np.ndarray:
+            left = self.moving[line(di), place(0)]
+            return left * (1 - fx) + self.moving[line(di), place(1)] * fx if fx > 0 else left
+
+        return across(0) * (1 - fy) + across(1) * fy if fy > 0 else across(0)
+
+
+def bins_of(values: np.ndarray, low: float, high: float, bins: int) -> np.ndarray:
+    if not high > low:
+        return np.zeros(len(values), dtype=np.int64)
+    return np.minimum(np.floor((values - low) / (high - low) * float(bins)), bins - 1).astype(np.int64)
+
+
+def per_block(blocks: DataFrame, keys: Keys, schema: str, score) -> DataFrame:
+    """``score(block, row)`` of every block, one row per candidate shift: a dictionary of columns of equal length."""
+    types = {f.name: f.dataType.simpleString() for f in blocks.schema.fields}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                yield pd.DataFrame({k: row[k] for k in keys} | score(Block(row), row))
+
+    return blocks.mapInPandas(run, ", ".join([*[f"`{k}` {types[k]}" for k in keys], schema]))
+
+
+def correlation_sums(blocks: DataFrame, keys: Keys, offsets: np.ndarray) -> DataFrame:
+    """``keys, s, ab, aa, bb``: sums of products per candidate shift around each key's centre (cy, cx)."""
+
+    def score(block: Block, row: dict) -> dict:
+        sums = []
+        for dy, dx in offsets:
+            b = block.at(row["cy"] + dy, row["cx"] + dx)
+            sums.append((float(block.a @ b), float(block.a @ block.a), float(b @ b)))
+        ab, aa, bb = zip(*sums)
+        return {"s": np.arange(len(offsets)), "ab": ab, "aa": aa, "bb": bb}
+
+    parts = per_block(blocks, keys, "s long, ab double, aa double, bb double", score)
+    return parts.groupBy(*keys, "s").agg(*[F.sum(c).alias(c) for c in ("ab", "aa", "bb")])
+
 
-    def look(s: Column) -> Column:
-        i, j = F.floor(-s["dy"]), F.floor(-s["dx"])
-        fy, fx = -s["dy"] - i, -s["dx"] - j
-        cell = lambda di, dj: F.get(F.col("n"), ((i + di + radius) * side + j + dj + radius).cast("int"))
-        across = lambda di: F.when(fx > 0, cell(di, 0) * (1 - fx) + cell(di, 1) * fx).otherwise(cell(di, 0))
-        value = F.when(fy > 0, across(0) * (1 - fy) + across(1) * fy).otherwise(across(0))
-        return F.struct(s["dy"].alias("dy"), s["dx"].alias("dx"), value.alias("b"))
+def information_by_shift(blocks: DataFrame, keys: Keys, offsets: np.ndarray, bins: int = C.MI_BINS) -> DataFrame:
+    """``keys, s, score``: mutual information per candidate shift. Two readings of the blocks: the value
+    ranges of each shifted plane, then joint histograms, of which only the counts of their filled cells
+    are shuffled and merged."""
 
-    looked = base.select(*keys, "r", "c", "a", F.transform("shifts", look).alias("s"))
-    return looked.select(*keys, "r", "c", "a", F.explode("s").alias("s")).select(*keys, "s.dy", "s.dx", "r", "c", "a", "s.b")
+    def extremes(block: Block, row: dict) -> dict:
+        planes = (block.at(row["cy"] + dy, row["cx"] + dx) for dy, dx in offsets)
+        low, high = zip(*((b.min(), b.max()) for b in planes)) if len(block.a) else ((), ())
+        n = len(low)
+        a0, a1 = (block.a.min(), block.a.max()) if n else (0.0, 0.0)
+        return {"s": np.arange(n), "a0": np.full(n, a0), "a1": np.full(n, a1), "b0": low, "b1": high}
+
+    ranges = per_block(blocks, keys, "s long, a0 double, a1 double, b0 double, b1 double", extremes)
+    ranges = ranges.groupBy(*keys, "s").agg(F.min("a0").alias("a0"), F.max("a1").alias("a1"), F.min("b0").alias("b0"), F.max("b1").alias("b1"))
+    ranges = ranges.groupBy(*keys).agg(F.min("a0").alias("a0"), F.max("a1").alias("a1"), F.array_sort(F.collect_list(F.struct("s", "b0", "b1"))).alias("b"))
+    ranges = cut_lineage(ranges.select(*keys, "a0", "a1", F.col("b.b0").alias("b0"), F.col("b.b1").alias("b1")))
+
+    def histograms(block: Block, row: dict) -> dict:
+        i = bins_of(block.a, row["a0"], row["a1"], bins) * bins
+        cells, counts = [], []
+        for s, (dy, dx) in enumerate(offsets if len(block.a) else []):
+            found = np.bincount(i + bins_of(block.at(row["cy"] + dy, row["cx"] + dx), row["b0"][s], row["b1"][s], bins))
+            cell = np.flatnonzero(found)
+            cells.append(cell.astype(np.int32).tobytes())
+            counts.append(found[cell].astype(np.int64).tobytes())
+        return {"s": np.arange(len(cells)), "cells": cells, "counts": counts}
+
+    parts = per_block(attach(blocks, ranges, keys), keys, "s long, cells binary, counts binary", histograms)
+    return merged_information(parts, keys, bins)
+
+
+def merged_information(parts: DataFrame, keys: Keys, bins: int) -> DataFrame:
+    """``keys, s, score`` from the blocks' histograms; a task streams them in order and holds one sum."""
+    types = {f.name: f.dataType.simpleString() for f in parts.schema.fields}
+    by = [*keys, "s"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, total = None, None
+        for batch in batches:
+            out = []
+            for row in batch[[*by, "cells", "counts"]].itertuples(index=False, name=None):
+                if row[:-2] != at:
+                    if at is not None:
+                        out.append((*at, information(total.reshape(bins, bins))))
+                    at, total = row[:-2], np.zeros(bins * bins, dtype=np.int64)
+                total[np.frombuffer(row[-2], dtype=np.int32)] += np.frombuffer(row[-1], dtype=np.int64)
+            yield pd.DataFrame(out, columns=[*by, "score"])
+        if at is not None:
+            yield pd.DataFrame([(*at, information(total.reshape(bins, bins)))], columns=[*by, "score"])
+
+    schema = ", ".join([*[f"`{k}` {types[k]}" for k in by], "score double"])
+    return parts.repartition(*by).sortWithinPartitions(*by).mapInPandas(run, schema)
+
+
+def shift_table(df: DataFrame, offsets: np.ndarray) -> DataFrame:
+    """(oy, ox) of each candidate number; a few hundred rows from the search radius alone."""
+    rows = [(s, float(y), float(x)) for s, (y, x) in enumerate(offsets)]
+    return F.broadcast(df.sparkSession.createDataFrame(rows, "s long, oy double, ox double"))
+
+
+def centred(blocks: DataFrame, keys: Keys, centres: DataFrame | None) -> DataFrame:
+    if centres is None:
+        return blocks.withColumn("cy", F.lit(0.0)).withColumn("cx", F.lit(0.0))
+    return attach(blocks, centres.select(*keys, F.col("dy").alias("cy"), F.col("dx").alias("cx")), keys)
+
+
+def shift_correlations(reference: DataFrame, moving: DataFrame, keys: Keys, radius: int) -> DataFrame:
+    """``keys, dy, dx, ab, aa, bb`` for every integer shift up to ``radius``."""
+    offsets = shift_offsets(float(radius), 1.0)
+    sums = correlation_sums(centred(frame_blocks(reference, moving, keys, radius + 1), keys, None), keys, offsets)
+    return sums.join(shift_table(sums, offsets), "s").select(*keys, F.col("oy").alias("dy"), F.col("ox").alias("dx"), "ab", "aa", "bb")
 
 
 def best_shift(scores: DataFrame, keys: Keys, score: str) -> DataFrame:
@@ -116,36 +249,84 @@ def shift_estimate(
     """Integer grid, then refinements of a quarter step: ``keys, dy, dx, score, residual``.
 
     Cross-modal pairs are scored by mutual information, same-modality pairs by correlation.
-    ``reference`` has column a, ``moving`` column b.
+    ``reference`` has column a, ``moving`` column b. Every candidate of a grid is scored on every
+    pixel, block by block; what is shuffled per block and candidate is a histogram or three sums.
     """
-    centres = reference.select(*keys).distinct().select(*keys, F.lit(0.0).alias("dy"), F.lit(0.0).alias("dx"))
-    step, radius = 1.0, float(search)
+    blocks = cut_lineage(frame_blocks(reference, moving, keys, search + refine + 1))
+    centres, step, radius = None, 1.0, float(search)
     for _ in range(refine + 1):
-        grid = centres.select(*keys, shift_grid(F.col("dy"), F.col("dx"), radius, step).alias("shifts"))
-        pairs = shifted(reference, moving, keys, grid, search + 2)
-        by = [*keys, "dy", "dx"]
-        scored = mutual_information(pairs, by, "a", "b") if cross_modal else ncc(pairs, by, "a", "b")
-        name = "mi" if cross_modal else "ncc"
-        centres = cut_lineage(best_shift(scored, keys, name).withColumnRenamed(name, "score"))
+        offsets = shift_offsets(radius, step)
+        here = centred(blocks, keys, centres)
+        if cross_modal:
+            scored = information_by_shift(here, keys, offsets)
+        else:
+            sums = correlation_sums(here, keys, offsets)
+            scored = sums.select(*keys, "s", F.coalesce(F.try_divide(F.col("ab"), F.sqrt(F.col("aa") * F.col("bb"))), F.lit(0.0)).alias("score"))
+        scored = scored.join(shift_table(scored, offsets), "s")
+        before = reference.select(*keys).distinct().withColumns({"cy": F.lit(0.0), "cx": F.lit(0.0)}) if centres is None else centres.select(*keys, F.col("dy").alias("cy"), F.col("dx").alias("cx"))
+        scored = scored.join(before, list(keys)).select(*keys, (F.col("cy") + F.col("oy")).alias("dy"), (F.col("cx") + F.col("ox")).alias("dx"), "score")
+        centres = cut_lineage(best_shift(scored, keys, "score"))
         radius, step = step, step / 4.0
     return centres.withColumn("residual", F.sqrt(F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx")))
 
 
-def registration_report(shifts: DataFrame, headers: DataFrame, keys: Keys) -> DataFrame:
-    """CRS and GSD checks, grid refusal, verify-only, acceptance, or correction needed.
+def shift_plane(frame: DataFrame, keys: Keys, shifts: DataFrame, value: str) -> DataFrame:
+    """``value`` of each frame moved by its (dy, dx), interpolated linearly, borders replicated.
 
-    ``headers`` has (crs_a, crs_b, gsd_a, gsd_b, same_grid, pregeoreferenced) per pair.
+    Each cell names the up to four cells it is made of, so the move is an equi-join on pixel indices.
+    Frames without a shift are left out.
     """
-    joined = headers.join(shifts, list(keys), "left")
-    residual = F.col("residual")
-    gsd = F.greatest("gsd_a", "gsd_b") / F.least("gsd_a", "gsd_b")
+    box = frame.groupBy(*keys).agg(*[f(x).alias(f"_{x}{i}") for x in "rc" for i, f in enumerate((F.min, F.max))])
+    cells = attach(attach(frame.select(*keys, "r", "c"), box, keys), shifts.select(*keys, "dy", "dx"), keys)
+    down, along = F.floor(-F.col("dy")), F.floor(-F.col("dx"))
+    cells = cells.withColumns({"_fy": -F.col("dy") - down, "_fx": -F.col("dx") - along})
+    clip = lambda x, by: F.least(F.greatest(F.col(x) + by, F.col(f"_{x}0")), F.col(f"_{x}1"))
+    corners = [F.struct(F.lit(2 * i + j).alias("k"), clip("r", down + i).alias("r"), clip("c", along + j).alias("c")) for i in (0, 1) for j in (0, 1)]
+    wanted = cells.select(*keys, F.col("r").alias("_r"), F.col("c").alias("_c"), "_fy", "_fx", F.explode(F.array(*corners)).alias("_s"))
+    wanted = wanted.where(((F.col("_fx") > 0) | (F.col("_s.k") % 2 == 0)) & ((F.col("_fy") > 0) | (F.col("_s.k") < 2)))
+    wanted = wanted.select(*keys, "_r", "_c", "_fy", "_fx", "_s.k", "_s.r", "_s.c")
+    parts = wanted.join(frame.select(*keys, "r", "c", F.col(value).alias("_v")), [*keys, "r", "c"])
+    pick = lambda k: F.max(F.when(F.col("k") == k, F.col("_v"))).alias(f"_v{k}")
+    grid = parts.groupBy(*keys, "_r", "_c").agg(F.first("_fy").alias("_fy"), F.first("_fx").alias("_fx"), *[pick(k) for k in range(4)])
+    across = lambda k: F.when(F.col("_fx") > 0, F.col(f"_v{k}") * (1 - F.col("_fx")) + F.col(f"_v{k + 1}") * F.col("_fx")).otherwise(F.col(f"_v{k}"))
+    moved = F.when(F.col("_fy") > 0, across(0) * (1 - F.col("_fy")) + across(2) * F.col("_fy")).otherwise(across(0))
+    return grid.select(*keys, F.col("_r").alias("r"), F.col("_c").alias("c"), moved.alias(value))
+
+
+def registration_report(reference: DataFrame, moving: DataFrame, headers: DataFrame, keys: Keys, **how) -> DataFrame:
+    """``keys, state, checks, dy, dx, first_residual, residual``: what the check of each pair finds and does.
+
+    ``headers`` has (crs_a, crs_b, gsd_a, gsd_b, same_grid, pregeoreferenced, unit) per pair; ``unit`` is
+    the size of a search pixel in the pixels of the limits. Pairs on different grids and those off by more
+    than the upper limit are refused; pairs declared registered are only measured; pairs within the lower
+    limit pass. The others are moved by the shift found and measured again: ``residual`` is then that of
+    the second estimate, and the state says whether it is within the limit.
+    """
+    first = shift_estimate(reference, moving, keys, **how)
+    named = headers.join(first.select(*keys, "dy", "dx", F.col("residual").alias("_r")), list(keys), "left")
+    named = cut_lineage(named.withColumn("first_residual", F.when(F.col("same_grid"), F.col("_r") * F.col("unit"))).drop("_r"))
+    off = F.col("first_residual")
     state = (
-        F.when(~F.col("same_grid"), "refused_grid").when(residual > C.COREG_REFUSE_PX, "refused_residual")
-        .when(F.col("pregeoreferenced") & (residual <= C.COREG_MAX_PX), "verified").when(F.col("pregeoreferenced"), "verify_only_warning")
-        .when(residual <= C.COREG_MAX_PX, "registered").otherwise("correct_by_shift")
+        F.when(~F.col("same_grid"), "refused_grid").when(off > C.COREG_REFUSE_PX, "refused_residual")
+        .when(F.col("pregeoreferenced") & (off <= C.COREG_MAX_PX), "verified").when(F.col("pregeoreferenced"), "verify_only_warning")
+        .when(off <= C.COREG_MAX_PX, "registered").otherwise("correct")
     )
+    judged = named.withColumn("_state", state)
+    again = judged.where("_state = 'correct'").select(*keys, "dy", "dx")
+    corrected = standardise_plane(shift_plane(moving, keys, again, "b"), keys, ["b"], "b")
+    some = attach(reference, again.select(*keys, F.lit(True).alias("_again")), keys).drop("_again")
+    second = shift_estimate(some, corrected, keys, **how).select(*keys, F.col("residual").alias("_second"))
+    joined = judged.join(second, list(keys), "left")
+    corrected_state = F.when(F.col("_second") * F.col("unit") <= C.COREG_MAX_PX, "corrected").otherwise("refused_after_correction")
+    gsd = F.greatest("gsd_a", "gsd_b") / F.least("gsd_a", "gsd_b")
+    moved = F.col("_state") == "correct"
     checks = F.concat_ws(
         ",", F.when(F.col("crs_a") == F.col("crs_b"), "crs_match"), F.when(gsd <= MAX_GSD_RATIO, "gsd_ratio_ok"),
-        F.when(F.col("same_grid"), "extent_overlap"), F.when(F.col("same_grid") & (residual <= C.COREG_MAX_PX), "residual_shift_ok"),
+        F.when(F.col("same_grid"), "extent_overlap"), F.when(F.col("same_grid") & (off <= C.COREG_MAX_PX), "residual_shift_ok"),
+        F.when(moved, "residual_shift_corrected"),
+    )
+    return joined.select(
+        *keys, F.when(moved, corrected_state).otherwise(F.col("_state")).alias("state"), checks.alias("checks"),
+        F.when(F.col("same_grid"), F.col("dy")).alias("dy"), F.when(F.col("same_grid"), F.col("dx")).alias("dx"), "first_residual",
+        F.when(moved, F.col("_second") * F.col("unit")).otherwise(off).alias("residual"),
     )
-    return joined.select(*keys, state.alias("state"), checks.alias("checks"), F.when(F.col("same_grid"), residual).alias("residual"))

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from swathline import config as C
-from swathline.operators.ranking import dense_rank_rows, hash_bucket, running_totals, seeded, top_rows
+from swathline.operators.ranking import dense_rank_rows, hash_bucket, null_safe_join, running_totals, seeded, top_rows
 from swathline.session import cut_lineage
 
 MIN_GRID_SEPARATION = 3
+#: Groups of one bucket that are walked at once in a greedy admission.
+WALK_GROUPS = 100_000
 # Season of each calendar month.
 SEASONS = {
     "12": "winter", "01": "winter", "02": "winter",
@@ -103,35 +106,91 @@ def quota_with_backfill(df: DataFrame, group: str, kind: str, quotas: Mapping[st
     return top_rows(both, [group], order, biggest, "_p").where("_p <= _q").select(*df.columns)
 
 
-def greedy_admission(demand: DataFrame, bucket: Sequence[str], group: str, answer: str, n: str, order: str, cap: str) -> DataFrame:
+def bounded_demand(state: DataFrame, keys: Sequence[str], n: str, order: Sequence[str]) -> DataFrame:
+    """Per row of open and admitted demand: ``_high``, what its answer has taken if all up to it are admitted, and ``_low``,
+    what those admitted so far have."""
+    alive = state.where(F.col("_s") != "out")
+    admitted = F.when(F.col("_s") == "in", F.col(n)).otherwise(0)
+    return running_totals(alive, keys, order, hash_bucket(F.col(order[0])), {"_high": F.col(n), "_low": admitted})
+
+
+def fates(bounded: DataFrame, bucket: Sequence[str], group: str, n: str, cap: str, *more: Column) -> DataFrame:
+    """Of each open group: ``in`` if it fits beside all before it, ``out`` if it doesn't beside those surely admitted."""
+    votes = bounded.where(F.col("_s") == "open").groupBy(*bucket, group).agg(
+        F.max((F.col("_high") > F.col(cap)).cast("int")).alias("_tight"),
+        F.max((F.col("_low") + F.col(n) > F.col(cap)).cast("int")).alias("_over"), *more,
+    )
+    return votes.withColumn("_f", F.when(F.col("_over") == 1, "out").when(F.col("_tight") == 0, "in"))
+
+
+def greedy_admission(
+    demand: DataFrame, bucket: Sequence[str], group: str, answer: str, n: str, order: str, cap: str, block: int = WALK_GROUPS
+) -> DataFrame:
     """Admit whole groups in ``order`` while every answer counter stays within ``cap``.
 
-    ``demand`` has one row per (bucket, group, answer) with the group's demand ``n``. The result of
-    the sequential walk is reached in rounds without putting a bucket in one task: a group is
-    certainly admitted if it fits even when every earlier undecided group is admitted, and
-    certainly rejected if it does not fit beside those already admitted. Both bounds are
-    two-level running sums. Every round settles at least the first open group of each bucket.
+    ``demand`` has one row per (bucket, group, answer) with the group's demand ``n``. Two passes of two-level
+    running sums settle what the order alone decides: a group that fits even when every earlier one is
+    admitted, and one that does not fit beside those surely admitted. The others are walked in order. Each
+    knows what the surely admitted before it have taken, so a walk carries only the counters of the groups
+    it admits itself: at most one number per answer and bucket. The walk of a bucket is cut into blocks of
+    ``block`` groups; buckets run side by side, a block starts from the counters of the one before it, and
+    the groups that these counters already shut out are left before they are walked.
     Returns the admitted (bucket, group) rows.
     """
-    keys = [*bucket, answer]
-    state = cut_lineage(demand.withColumn("_s", F.lit("open")))
-    while True:
-        alive = state.where(F.col("_s") != "out")
-        admitted = F.when(F.col("_s") == "in", F.col(n)).otherwise(0)
-        bounded = running_totals(alive, keys, [order, group], hash_bucket(F.col(order)), {"_high": F.col(n), "_low": admitted})
-        own = F.when(F.col("_s") == "in", 0).otherwise(F.col(n))
-        votes = bounded.where(F.col("_s") == "open").groupBy(*bucket, group).agg(
-            F.max((F.col("_high") > F.col(cap)).cast("int")).alias("_tight"),
-            F.max((F.col("_low") + own > F.col(cap)).cast("int")).alias("_over"),
-        )
-        fate = F.when(F.col("_over") == 1, "out").when(F.col("_tight") == 0, "in")
-        decided = votes.select(*bucket, group, fate.alias("_f")).where("_f IS NOT NULL")
-        state = cut_lineage(
-            state.join(decided, [*bucket, group], "left").withColumn("_s", F.coalesce("_f", "_s")).drop("_f")
-        )
-        if state.where(F.col("_s") == "open").isEmpty():
-            break
-    return state.where(F.col("_s") == "in").select(*bucket, group).distinct()
+    keys, by = [*bucket, answer], [*bucket, group]
+    state = cut_lineage(demand.select(*keys, group, n, order, cap).withColumn("_s", F.lit("open")))
+    decided = fates(bounded_demand(state, keys, n, [order, group]), bucket, group, n, cap).where("_f IS NOT NULL")
+    settled = null_safe_join(state, decided.select(*by, "_f"), by, "left").withColumn("_s", F.coalesce("_f", "_s")).drop("_f")
+    state = cut_lineage(settled.where("_s <> 'out'"))
+    need = F.struct(F.col(answer).alias("answer"), F.col(n).cast("long").alias("n"), F.col("_low").cast("long").alias("low"), F.col(cap).cast("long").alias("cap"))
+    more = [F.collect_list(need).alias("_needs"), F.min(order).alias("_order")]
+    judged = cut_lineage(fates(bounded_demand(state, keys, n, [order, group]), bucket, group, n, cap, *more))
+    admitted = state.where("_s = 'in'").select(*by)
+    # What the second pass finds to fit is walked as well, as the walk has to count it.
+    doubtful = dense_rank_rows(judged.where("_f IS NULL OR _f = 'in'"), bucket, ["_order", group], hash_bucket(F.col("_order")), "_k")
+    doubtful = cut_lineage(doubtful.select(*by, "_needs", "_k", F.floor((F.col("_k") - 1) / block).alias("_block")))
+    last = doubtful.agg(F.max("_block")).first()[0]
+    renamed = [F.col(k).alias(k) for k in bucket]  # columns of their own, as they meet those of the groups
+    carried = cut_lineage(demand.select(*renamed, F.col(answer).alias("answer"), F.lit(0).cast("long").alias("n")).limit(0))
+    for i in range(0 if last is None else last + 1):
+        groups = doubtful.where(F.col("_block") == i)
+        if i:
+            taken = carried.select(*[F.col(c).alias(f"_c_{c}") for c in carried.columns])
+            asked = groups.select(*by, F.inline("_needs")).join(taken, same([*bucket, "answer"], "_c_"))
+            shut = asked.where(F.col("low") + F.col("_c_n") + F.col("n") > F.col("cap")).select(*[F.col(k).alias(f"_x_{k}") for k in by])
+            groups = groups.join(shut.distinct(), same(by, "_x_"), "left_anti")
+        walked = cut_lineage(walk(groups, carried, bucket, group))
+        admitted = admitted.union(walked.where("admitted").select(*by))
+        counters = carried.union(walked.where("NOT admitted").select(*bucket, "answer", "n"))
+        carried = cut_lineage(counters.groupBy(*bucket, "answer").agg(F.sum("n").alias("n")))
+    return admitted.distinct()
+
+
+def same(keys: Sequence[str], prefix: str) -> Column:
+    """Every key equals the column of its name behind ``prefix``; NULL equals NULL."""
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{prefix}{k}")) for k in keys])
+
+
+def walk(groups: DataFrame, carried: DataFrame, bucket: Sequence[str], group: str) -> DataFrame:
+    """``bucket, group, answer, n, admitted``: a row per admitted group, and one per answer with what this block has admitted."""
+    types = {f.name: f.dataType.simpleString() for f in [*groups.schema.fields, *carried.schema.fields]}
+
+    def run(pdf: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_k")
+        counters, own, rows = dict(zip(held["answer"], held["n"])), {}, []
+        for name, needs in zip(pdf[group], pdf["_needs"]):
+            if all(x["low"] + counters.get(x["answer"], 0) + x["n"] <= x["cap"] for x in needs):
+                rows.append((name, None, None, True))
+                for x in needs:
+                    counters[x["answer"]] = counters.get(x["answer"], 0) + x["n"]
+                    own[x["answer"]] = own.get(x["answer"], 0) + x["n"]
+        out = pd.DataFrame([*rows, *((None, a, v, False) for a, v in own.items())], columns=[group, "answer", "n", "admitted"], dtype=object)
+        for k in bucket:
+            out[k] = pdf[k].iloc[0] if len(pdf) else None
+        return out[[*bucket, group, "answer", "n", "admitted"]]
+
+    schema = ", ".join([*[f"`{k}` {types[k]}" for k in [*bucket, group, "answer"]], "n long", "admitted boolean"])
+    return groups.groupBy(*bucket).cogroup(carried.groupBy(*bucket)).applyInPandas(run, schema)
 
 
 def twin_demand(rows: DataFrame, order: Column) -> DataFrame:

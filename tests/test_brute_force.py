@@ -129,6 +129,20 @@ def test_cap_twin_groups_equals_the_sequential_walk(spark, cap):
     assert {r["sample_id"] for r in SM.cap_twin_groups(df, cap, "cap").collect()} == want
 
 
+def test_walk_in_blocks_carries_its_counters(spark):
+    """Blocks of nine groups, NULL answers, a NULL group and answers that close at different places."""
+    df, rows = twins(spark)
+    rows = [(*r[:4], None if r[4] == "3" else r[4]) for r in rows] + [("s_null", None, "train", "change_count", "1")]
+    df = spark.createDataFrame(rows, df.schema)
+    order = ordered(spark, rows[:-1], "cap")
+    seeds = {None: spark.range(1).select(RK.seeded("cap", F.lit(None).cast("string"))).first()[0], **order}
+    demand = SM.twin_demand(df.where("twin_id IS NOT NULL"), RK.seeded("cap", "twin_id")).withColumn("cap", F.lit(11))
+    lost = demand.limit(1).selectExpr("'train' AS split", "'change_count' AS task", "CAST(NULL AS STRING) AS twin_id", "'1' AS answer", "1L AS n", "false AS flips", f"'{seeds[None]}' AS `order`", "11 AS cap")
+    got = SM.greedy_admission(demand.unionByName(lost), ["split", "task"], "twin_id", "answer", "n", "order", "cap", block=9)
+    want = replay(rows, seeds, lambda k: 11)
+    assert {r["twin_id"] for r in got.collect()} == {r[1] for r in rows if r[0] in want}
+
+
 def test_balance_answers_equals_the_sequential_walk(spark):
     df, rows = twins(spark)
     closed = [r for r in rows if r[3] != "change_count"]
