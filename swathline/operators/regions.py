@@ -4,59 +4,112 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from swathline import config as C
-from swathline.operators.stencil import by_row, morphological_open
+from swathline.operators.joins import attach
+from swathline.operators.ranking import null_safe_join
+from swathline.operators.stencil import morphological_open, texture_response
+from swathline.operators.stats import gated_threshold
 from swathline.session import cut_lineage
 
 Keys = Sequence[str]
-ROW_STRIDE = 1 << 24  # run id = r * ROW_STRIDE + first column
-
-
-def horizontal_runs(hits: DataFrame, keys: Keys) -> DataFrame:
-    """Tag each positive pixel with the id of its horizontal run."""
-    row = W.partitionBy(*keys, "r").orderBy("c")
-    islands = by_row(hits, keys).withColumn("_g", F.col("c") - F.row_number().over(row))
-    run = W.partitionBy(*keys, "r", "_g")
-    return islands.withColumn("run", F.col("r") * F.lit(ROW_STRIDE) + F.min("c").over(run)).drop("_g")
-
-
-def component_labels(hits: DataFrame, keys: Keys) -> DataFrame:
-    """4-connected component label of every positive pixel: ``keys, r, c, label``.
-
-    Runs are the nodes and vertically touching runs the edges, so a filled region shrinks to
-    a few nodes per row. Labels converge by hooking to the smallest neighbour's grandparent and
-    pointer jumping, in a number of rounds logarithmic in the longest chain; every step is a
-    join or a map-side-combined minimum, so one huge region is still many small rows. Each round
-    is checkpointed.
+ROW_STRIDE = 1 << 24  # pixel id = r * ROW_STRIDE + c
+BLOCK_PX = 128
+# Confidence of the fallback with and without a proposal.
+FOUND, NOT_FOUND = 0.3, 0.05
+
+
+def label_block(pdf: pd.DataFrame, r: str = "r", c: str = "c") -> np.ndarray:
+    """For each pixel of a block the id of the first pixel, in reading order, of its 4-connected piece inside the block."""
+    rows, columns = pdf[r].to_numpy(np.int64), pdf[c].to_numpy(np.int64)
+    order = np.lexsort((columns, rows))
+    ids = (rows * ROW_STRIDE + columns)[order]
+    new = np.ones(len(ids), dtype=bool)
+    new[1:] = ids[1:] != ids[:-1] + 1
+    run = np.cumsum(new) - 1
+    below = np.searchsorted(ids, ids + ROW_STRIDE)
+    touch = np.flatnonzero((below < len(ids)) & (ids[np.minimum(below, len(ids) - 1)] == ids + ROW_STRIDE))
+    root = smallest_roots(run[-1] + 1, run[touch], run[below[touch]])
+    out = np.empty(len(ids), dtype=np.int64)
+    out[order] = ids[np.flatnonzero(new)][root[run]]
+    return out
+
+
+def smallest_roots(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """For each of ``n`` nodes the smallest node that the edges (u, v) lead to."""
+    root = np.arange(n)
+    while True:
+        low, high = np.minimum(root[u], root[v]), np.maximum(root[u], root[v])
+        apart = low < high
+        if not apart.any():
+            return root
+        np.minimum.at(root, high[apart], low[apart])
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def component_labels(hits: DataFrame, keys: Keys, block: int = BLOCK_PX) -> DataFrame:
+    """4-connected component label of every positive pixel, the id of its first pixel: ``keys, r, c, label``.
+
+    Pieces are labelled inside blocks of ``block`` x ``block`` pixels, each a bounded group. Only the
+    pixels on either side of a block border are then paired, and a graph of pieces is left, which
+    ``joined_pieces`` contracts. No row of a pixel ever carries the label of a whole region as a join
+    key: pixels learn it by their piece, which one block holds.
     """
     keys = list(keys)
-    pixels = cut_lineage(horizontal_runs(hits.select(*keys, "r", "c"), keys))
-    below = pixels.select(*keys, (F.col("r") - 1).alias("r"), "c", F.col("run").alias("other"))
-    touching = pixels.join(below, [*keys, "r", "c"]).select(*keys, "run", "other").distinct()
-    edges = cut_lineage(touching.unionByName(touching.select(*keys, F.col("other").alias("run"), F.col("run").alias("other"))))
-    parents = pixels.select(*keys, F.col("run").alias("id"), F.col("run").alias("parent")).distinct()
-    while True:
-        up = parents.select(*keys, F.col("id").alias("parent"), F.col("parent").alias("grand"))
-        linked = parents.join(up, [*keys, "parent"])
-        smallest = (
-            edges.join(linked.select(*keys, F.col("id").alias("other"), "grand"), [*keys, "other"])
-            .groupBy(*keys, F.col("run").alias("id")).agg(F.min("grand").alias("low"))
-        )
-        seen = linked.join(smallest, [*keys, "id"], "left")
-        best = F.least("parent", "grand", F.coalesce("low", "parent"))
-        hooks = seen.select(*keys, F.col("id"), best.alias("new")).unionByName(
-            seen.where("low IS NOT NULL").select(*keys, F.col("parent").alias("id"), F.col("low").alias("new"))
-        )
-        lowest = hooks.groupBy(*keys, "id").agg(F.min("new").alias("new"))
-        moved = cut_lineage(parents.join(lowest, [*keys, "id"]).select(*keys, "id", F.least("parent", "new").alias("parent"), (F.col("new") < F.col("parent")).alias("changed")))
-        parents = moved.drop("changed")
-        if moved.where("changed").isEmpty():
-            break
-    return pixels.join(parents.select(*keys, F.col("id").alias("run"), F.col("parent").alias("label")), [*keys, "run"]).select(*keys, "r", "c", "label")
+    names = [*keys, "r", "c", "piece"]
+    types = {f.name: f.dataType.simpleString() for f in hits.schema.fields}
+
+    def label(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.assign(piece=label_block(pdf))[names]
+
+    pixels = hits.select(*keys, F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"))
+    near = [F.floor(F.col(x) / block).alias(f"_b{x}") for x in ("r", "c")]
+    schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], "r long, c long, piece long"])
+    pieces = cut_lineage(pixels.select("*", *near).groupBy(*keys, "_br", "_bc").applyInPandas(label, schema))
+    edges = []
+    for x in ("r", "c"):
+        last = pieces.where(F.pmod(x, F.lit(block)) == block - 1).select(*keys, "r", "c", F.col("piece").alias("u"))
+        first = pieces.where(F.pmod(x, F.lit(block)) == 0).select(*keys, *[(F.col(y) - 1 if y == x else F.col(y)).alias(y) for y in ("r", "c")], F.col("piece").alias("v"))
+        edges.append(null_safe_join(last, first, [*keys, "r", "c"]).select(*keys, "u", "v"))
+    roots = joined_pieces(edges[0].unionByName(edges[1]).distinct(), keys).withColumnRenamed("node", "piece")
+    return attach(pieces, roots, [*keys, "piece"], "left").select(*keys, "r", "c", F.coalesce("root", "piece").alias("label"))
+
+
+def joined_pieces(edges: DataFrame, keys: Keys) -> DataFrame:
+    """``keys, node, root``: for every node of ``edges(keys, u, v)`` the smallest node it is connected with.
+
+    Each round hooks every node to its smallest neighbour, follows the pointers to their roots and
+    contracts the edges to those between different roots. Nodes that no edge is left of are settled and
+    leave; the others go on under their roots, so the graph at least halves. Where many edges or pointers
+    meet in one node, the small side is repeated and the other salted.
+    """
+    keys = list(keys)
+    edges = cut_lineage(edges.where("u <> v"))
+    labels = cut_lineage(edges.select(*keys, F.col("u").alias("node")).union(edges.select(*keys, "v")).distinct().withColumn("root", F.col("node")))
+    done = labels.limit(0)
+    while not edges.isEmpty():
+        both = edges.select(*keys, "u", "v").union(edges.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
+        parent = cut_lineage(both.groupBy(*keys, F.col("u").alias("node")).agg(F.min("v").alias("p")).withColumn("p", F.least("node", "p")))
+        moving = True
+        while moving:
+            up = parent.select(*keys, F.col("node").alias("p"), F.col("p").alias("pp"))
+            parent = cut_lineage(attach(parent.select(*keys, "node", "p"), up, [*keys, "p"]).select(*keys, "node", F.col("pp").alias("p"), (F.col("pp") < F.col("p")).alias("moved")))
+            moving = not parent.where("moved").isEmpty()
+        ends = lambda name, out: parent.select(*keys, F.col("node").alias(name), F.col("p").alias(out))
+        both_ends = attach(attach(edges, ends("u", "pu"), [*keys, "u"]), ends("v", "pv"), [*keys, "v"]).where("pu <> pv")
+        edges = cut_lineage(both_ends.select(*keys, F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct())
+        moved = attach(labels, ends("root", "up"), [*keys, "root"]).select(*keys, "node", F.col("up").alias("root"))
+        open_roots = edges.select(*keys, F.col("u").alias("root")).union(edges.select(*keys, "v")).distinct().withColumn("_open", F.lit(True))
+        labels = cut_lineage(attach(moved, open_roots, [*keys, "root"], "left"))
+        done = done.union(labels.where("_open IS NULL").select(*keys, "node", "root"))
+        labels = labels.where("_open").select(*keys, "node", "root")
+    return done
 
 
 def components(hits: DataFrame, keys: Keys, response: str | None = None, min_area: int = 1) -> DataFrame:
@@ -92,8 +145,22 @@ def prior_for(target: str) -> tuple[float, float]:
     return C.DEFAULT_PRIOR
 
 
-def box_proposals(mask: DataFrame, keys: Keys, target: str, height: int, width: int, limit: int | None = None) -> DataFrame:
-    """Open the mask, keep regions the noun's shape prior allows, best mean response first, at most ``limit``.
+def radar_mask(frame: DataFrame, keys: Keys, pol: str, band: str) -> DataFrame:
+    """Step one on radar: the backscatter is the response, and what reaches the built-up cut of ``pol`` hits."""
+    cut = C.SAR_CUTS_DB[pol]["builtup"]
+    return frame.select(*keys, "r", "c", F.col(band).alias("response"), F.coalesce(F.col(band) >= cut, F.lit(False)).alias("hit"))
+
+
+def optical_mask(frame: DataFrame, keys: Keys, band: str) -> DataFrame:
+    """Step one on an optical plane: texture response, cut by the gated threshold."""
+    response = cut_lineage(texture_response(frame, keys, band).withColumn("response", F.round("response", 9)))
+    gate = gated_threshold(response, keys, "response", C.TEXTURE_CUT)
+    hit = F.coalesce(F.col("response") >= F.col("_cut"), F.lit(False))
+    return attach(response, gate.select(*keys, F.col("value").alias("_cut")), keys, "left").select(*keys, "r", "c", "response", hit.alias("hit"))
+
+
+def shaped_regions(mask: DataFrame, keys: Keys, target: str, height: int, width: int) -> DataFrame:
+    """Regions of the opened mask with aspect, solidity and ``fits``: whether the noun's shape prior allows them.
 
     ``mask`` is a complete frame with ``hit`` and ``response``.
     """
@@ -103,12 +170,30 @@ def box_proposals(mask: DataFrame, keys: Keys, target: str, height: int, width:
     h, w = F.col("max_row") - F.col("min_row"), F.col("max_col") - F.col("min_col")
     max_aspect, min_solidity = prior_for(target)
     shaped = found.withColumn("aspect_ratio", F.greatest(h, w) / F.greatest(F.lit(1), F.least(h, w))).withColumn("solidity", F.col("area_px") / F.greatest(F.lit(1), h * w))
-    kept = shaped.where((F.col("aspect_ratio") <= max_aspect) & (F.col("solidity") >= min_solidity))
+    return shaped.withColumn("fits", (F.col("aspect_ratio") <= max_aspect) & (F.col("solidity") >= min_solidity))
+
+
+def box_proposals(mask: DataFrame, keys: Keys, target: str, height: int, width: int, limit: int | None = None) -> DataFrame:
+    """Open the mask, keep regions the noun's shape prior allows, best mean response first, at most ``limit``.
+
+    Every proposal has the confidence of a fallback that found something.
+    """
+    kept = shaped_regions(mask, keys, target, height, width).where("fits").drop("fits")
     rank = F.row_number().over(W.partitionBy(*keys).orderBy(F.round("mean_response", 9).desc(), F.col("area_px").desc(), "label"))
-    ranked = kept.withColumn("rank", rank)
+    ranked = kept.withColumn("rank", rank).withColumn("confidence", F.lit(min(FOUND, C.PROPOSAL_CEILING)))
     return ranked if limit is None else ranked.where(F.col("rank") <= limit)
 
 
+def proposal_summary(mask: DataFrame, keys: Keys, target: str, height: int, width: int, limit: int = C.MAX_PROPOSALS) -> DataFrame:
+    """One row per frame, those without a region included: regions before the shape prior, proposals, confidence."""
+    counts = shaped_regions(mask, keys, target, height, width).groupBy(*keys).agg(
+        F.count("*").alias("candidates"), F.least(F.count_if("fits"), F.lit(limit)).alias("n_boxes")
+    )
+    frames = attach(mask.select(*keys).distinct(), counts, keys, "left").fillna(0, ["candidates", "n_boxes"])
+    confidence = F.least(F.when(F.col("n_boxes") > 0, FOUND).otherwise(NOT_FOUND), F.lit(C.PROPOSAL_CEILING))
+    return frames.withColumn("confidence", confidence)
+
+
 def rasterize(rings: DataFrame, keys: Keys, height: int, width: int) -> DataFrame:
     """Pixels whose centre lies inside a ring (even-odd), by scan lines.
 

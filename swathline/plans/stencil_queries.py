@@ -130,11 +130,15 @@ def nb06(v):
     return ST.glcm_entropy(v.grid, SCENE, "vv").withColumn("entropy", F.round("entropy", 6))
 
 
-OPENED = [
-    f"mk AS (SELECT {PKEYS}, coalesce(vv <= -16, false) AS hit FROM grid)",
-    "er AS (SELECT g.scene_id, g.date_idx, g.r, g.c, count(*) FILTER (n.hit) = 5 AS hit FROM mk g JOIN mk n ON n.scene_id = g.scene_id AND n.date_idx = g.date_idx AND abs(n.r - g.r) + abs(n.c - g.c) <= 1 GROUP BY g.scene_id, g.date_idx, g.r, g.c)",
-    "op AS (SELECT g.scene_id, g.date_idx, g.r, g.c, bool_or(n.hit) AS hit FROM er g JOIN er n ON n.scene_id = g.scene_id AND n.date_idx = g.date_idx AND abs(n.r - g.r) + abs(n.c - g.c) <= 1 GROUP BY g.scene_id, g.date_idx, g.r, g.c)",
-]
+def opened_sql(mask):
+    return [
+        mask,
+        "er AS (SELECT g.scene_id, g.date_idx, g.r, g.c, count(*) FILTER (n.hit) = 5 AS hit FROM mk g JOIN mk n ON n.scene_id = g.scene_id AND n.date_idx = g.date_idx AND abs(n.r - g.r) + abs(n.c - g.c) <= 1 GROUP BY g.scene_id, g.date_idx, g.r, g.c)",
+        "op AS (SELECT g.scene_id, g.date_idx, g.r, g.c, bool_or(n.hit) AS hit FROM er g JOIN er n ON n.scene_id = g.scene_id AND n.date_idx = g.date_idx AND abs(n.r - g.r) + abs(n.c - g.c) <= 1 GROUP BY g.scene_id, g.date_idx, g.r, g.c)",
+    ]
+
+
+OPENED = opened_sql(f"mk AS (SELECT {PKEYS}, coalesce(vv <= -16, false) AS hit FROM grid)")
 
 
 def dark_mask(v):
@@ -214,27 +218,60 @@ def rg02(v):
     return RG.largest_centroid(dark_regions(v), SCENE, 16, 16)
 
 
-PROPOSALS = [
-    *OPENED,
-    f"hp AS (SELECT op.scene_id, op.date_idx, op.r, op.c, op.r * 16777216 + op.c AS id, -vv AS vv FROM op JOIN grid g ON g.scene_id = op.scene_id AND g.date_idx = op.date_idx AND g.r = op.r AND g.c = op.c WHERE op.hit)",
-    *LABELS[1:],
-    "sh AS (SELECT *, greatest(max_row - min_row, max_col - min_col) / greatest(1, least(max_row - min_row, max_col - min_col)) AS aspect, area_px / ((max_row - min_row) * (max_col - min_col)) AS solidity FROM rg)",
-    f"rk AS (SELECT *, row_number() OVER (PARTITION BY {KEYS} ORDER BY round(mr, 9) DESC, area_px DESC, label) AS rank FROM sh WHERE aspect <= 1.6 AND solidity >= 0.6)",
-]
+def proposals_sql(opened, plane, response, aspect, solidity):
+    """Regions of an opened mask with the mean ``response`` of ``plane``; ``sh`` holds all, ``rk`` ranks those within the prior."""
+    return [
+        *opened,
+        f"hp AS (SELECT op.scene_id, op.date_idx, op.r, op.c, op.r * 16777216 + op.c AS id, {response} AS vv FROM op JOIN {plane} g ON g.scene_id = op.scene_id AND g.date_idx = op.date_idx AND g.r = op.r AND g.c = op.c WHERE op.hit)",
+        *LABELS[1:],
+        "sh AS (SELECT *, greatest(max_row - min_row, max_col - min_col) / greatest(1, least(max_row - min_row, max_col - min_col)) AS aspect, area_px / ((max_row - min_row) * (max_col - min_col)) AS solidity FROM rg)",
+        f"rk AS (SELECT *, row_number() OVER (PARTITION BY {KEYS} ORDER BY round(mr, 9) DESC, area_px DESC, label) AS rank FROM sh WHERE aspect <= {aspect} AND solidity >= {solidity})",
+    ]
+
 
+PROPOSALS = proposals_sql(OPENED, "grid", "-vv", 1.6, 0.6)
+BOXES_SQL = f"SELECT {KEYS}, rank, area_px, round(min_col / 16, 5) AS xmin, round(min_row / 16, 5) AS ymin, round(max_col / 16, 5) AS xmax, round(max_row / 16, 5) AS ymax, round(aspect, 3) AS aspect_ratio, round(solidity, 3) AS solidity, 0.3::DOUBLE AS confidence FROM rk"
 
-@query("RG03_box_proposals", recursive(ctes("px", "grid", *PROPOSALS)) + f"SELECT {KEYS}, rank, area_px, round(min_col / 16, 5) AS xmin, round(min_row / 16, 5) AS ymin, round(max_col / 16, 5) AS xmax, round(max_row / 16, 5) AS ymax, round(aspect, 3) AS aspect_ratio, round(solidity, 3) AS solidity FROM rk")
+
+@query("RG03_box_proposals", recursive(ctes("px", "grid", *PROPOSALS)) + BOXES_SQL)
 def rg03(v):
     # Dark smooth returns: the darker, the stronger the response.
     mask = dark_mask(v).withColumn("response", -col("vv"))
-    boxes = RG.box_proposals(mask, SCENE, "storage tanks", 16, 16)
+    return unit_boxes(RG.box_proposals(mask, SCENE, "storage tanks", 16, 16))
+
+
+def unit_boxes(boxes):
     unit = lambda c: F.round(col(c) / 16, 5)
     return boxes.select(
         *SCENE, col("rank").cast("long").alias("rank"), "area_px", unit("min_col").alias("xmin"), unit("min_row").alias("ymin"), unit("max_col").alias("xmax"), unit("max_row").alias("ymax"),
-        F.round("aspect_ratio", 3).alias("aspect_ratio"), F.round("solidity", 3).alias("solidity"),
+        F.round("aspect_ratio", 3).alias("aspect_ratio"), F.round("solidity", 3).alias("solidity"), "confidence",
     )
 
 
+RADAR = proposals_sql(opened_sql(f"mk AS (SELECT {PKEYS}, coalesce(vv >= -12, false) AS hit FROM grid)"), "grid", "vv", 4.0, 0.5)
+
+
+@query("RG03_radar_proposals", recursive(ctes("px", "grid", *RADAR)) + BOXES_SQL + " WHERE rank <= 8")
+def rg03_radar(v):
+    # The plane's returns lie about the cross-polarised cut.
+    return unit_boxes(RG.box_proposals(RG.radar_mask(v.grid, SCENE, "vh", "vv"), SCENE, "new buildings", 16, 16, 8))
+
+
+OPTICAL = [
+    FILL, *VARIANCE, *EDGES, RESPONSE, "tr AS (SELECT scene_id, date_idx, r, c, round(response, 9) AS response FROM tx)", gate_sql("tr", KEYS, "response", "0.35"),
+    *proposals_sql(opened_sql(f"mk AS (SELECT {PKEYS}, coalesce(response >= value, false) AS hit FROM tr LEFT JOIN gate USING ({KEYS}))"), "tr", "response", 12.0, 0.15),
+]
+
+
+@query(
+    "RG03_optical_summary",
+    recursive(ctes("px", "grid", *OPTICAL)) + f"""SELECT {KEYS}, coalesce(n, 0) AS candidates, coalesce(least(b, 8), 0) AS n_boxes, CASE WHEN coalesce(b, 0) > 0 THEN 0.3 ELSE 0.05 END::DOUBLE AS confidence
+FROM (SELECT DISTINCT {KEYS} FROM grid) f LEFT JOIN (SELECT {KEYS}, count(*) AS n FROM sh GROUP BY {KEYS}) s USING ({KEYS}) LEFT JOIN (SELECT {KEYS}, count(*) AS b FROM rk GROUP BY {KEYS}) k USING ({KEYS})""",
+)
+def rg03_optical(v):
+    return RG.proposal_summary(RG.optical_mask(frame(v), SCENE, "nir"), SCENE, "jetty", 16, 16)
+
+
 @query(
     "RG10_rasterize_polygons",
     ctes(

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from swathline.functions.tokens import lcs_bits
 from swathline.operators import calibrate as CF
 from swathline.operators import ranking as RK
+from swathline.operators import regions as RG
 from swathline.operators import registration as RE
 from swathline.operators import sampling as SM
 from swathline.operators import scoring as SC
@@ -248,3 +249,47 @@ def test_streamed_windows_drop_late_rows(spark, tmp_path):
     table = jobs.latest(spark.read.parquet(str(tmp_path / "out")), ["window_start", "tool"], ["steps"])
     # The third file is nine hours late, so the first window still counts two steps.
     assert {r["window_start"].hour: r["steps"] for r in table.collect()} == {0: 2, 9: 1}
+
+
+def flooded(cells):
+    """Label of every cell by plain flooding: the first cell of its region in reading order."""
+    left, out = set(cells), {}
+    for start in sorted(cells):
+        if start not in left:
+            continue
+        region, todo = [], [start]
+        left.discard(start)
+        while todo:
+            r, c = todo.pop()
+            region.append((r, c))
+            for near in ((r - 1, c), (r + 1, c), (r, c - 1), (r, c + 1)):
+                if near in left:
+                    left.discard(near)
+                    todo.append(near)
+        out |= dict.fromkeys(region, start[0] * RG.ROW_STRIDE + start[1])
+    return out
+
+
+@pytest.mark.parametrize("block", [128, 8, 5])
+def test_regions_across_blocks(spark, block):
+    """Noise, a spiral through all blocks, one region with nearly all pixels of its frame, and a NULL frame; no broadcast."""
+    rng = np.random.default_rng(block)
+    frames = {1: {(int(r), int(c)) for r, c in np.argwhere(rng.random((40, 40)) < 0.58)}, 2: {(r, c) for r in range(40) for c in range(40) if (r, c) != (20, 20)}}
+    spiral, r, c, dr, dc, reach = set(), 0, 0, 0, 1, 40
+    for turn in range(38):
+        for _ in range(reach - 1):
+            spiral.add((r, c))
+            r, c = r + dr, c + dc
+        dr, dc = dc, -dr
+        reach -= 2 if turn > 1 and turn % 2 == 0 else 0
+        if reach < 3:
+            break
+    frames |= {3: spiral, None: {(0, 0), (0, 1), (7, 7), (8, 7)}}
+    hits = spark.createDataFrame([(k, r, c) for k, cells in frames.items() for r, c in cells], "k long, r long, c long").repartition(7)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {(x["k"], x["r"], x["c"]): x["label"] for x in RG.component_labels(hits, ["k"], block).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {(k, *cell): label for k, cells in frames.items() for cell, label in flooded(cells).items()}
