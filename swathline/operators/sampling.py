@@ -54,30 +54,40 @@ def spread_within_tile(df: DataFrame, tile: Sequence[str], order: str, row: str,
     firsts = located.groupBy(*tile, row, col).agg(F.min(F.struct(order, *[n for n in names if n not in (order, row, col, *tile)])).alias("_m"))
     cells = firsts.select(*[F.col(n) if n in (row, col, *tile) else F.col(f"_m.{n}").alias(n) for n in names])
 
+    near = [(i, j) for i in range(1 - separation, separation) for j in range(1 - separation, separation)]
+
     def thin(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
-        kept: list[tuple[int, int]] = []
+        kept: set[tuple[int, int]] = set()
         keep = []
-        for r, c in zip(pdf[row], pdf[col]):
-            far = all(max(abs(r - a), abs(c - b)) >= separation for a, b in kept)
+        for r, c in zip(pdf[row].tolist(), pdf[col].tolist()):
+            far = all((r + i, c + j) not in kept for i, j in near)
             keep.append(far)
             if far:
-                kept.append((r, c))
+                kept.add((r, c))
         return pdf[keep]
 
     thinned = cells.groupBy(*tile).applyInPandas(thin, df.schema)
     return thinned.unionByName(unknown)
 
 
-def stratified_round_robin(df: DataFrame, strata: Sequence[str], target: int, seed: str, key: str) -> DataFrame:
-    """Fill ``target`` rows one per stratum and round, strata in name order.
+def stratified_round_robin(
+    df: DataFrame, strata: Sequence[str], target: int, seed: str, key: str,
+    tile: Sequence[str] = (), row: str | None = None, col: str | None = None, separation: int = MIN_GRID_SEPARATION,
+) -> DataFrame:
+    """Fill ``target`` rows one per stratum and round, strata in name order; a NULL stratum counts as "unknown".
 
-    A stratum can supply at most ``target`` rows, so a literal bound trims it map-side; the
-    rounds are then numbered by prefix sums over round sizes.
+    With a ``tile`` and grid columns each stratum is first thinned in its seeded order, so that no
+    two of its rows lie nearer than ``separation`` cells; rows without a cell stay. What is left of
+    a stratum supplies at most ``target`` rows, so a literal bound trims it map-side; the rounds are
+    then numbered by prefix sums over round sizes.
     """
-    name = F.concat_ws("|", *strata)
-    ranked = top_rows(df.withColumn("_o", seeded(seed, *strata, key)), strata, ["_o", key], target, "round")
-    placed = dense_rank_rows(ranked.withColumn("_s", name), [], ["round", "_s"], F.col("round"), "place")
+    known = {s: F.coalesce(F.col(s).cast("string"), F.lit("unknown")) for s in strata}
+    rows = df.withColumns(known).withColumn("_o", F.concat(seeded(seed, *strata, key), F.lit("|"), F.col(key).cast("string")))
+    if row is not None and col is not None:
+        rows = spread_within_tile(rows, [*strata, *tile], "_o", row, col, separation)
+    ranked = top_rows(rows, strata, ["_o", key], target, "round").withColumn("_s", F.concat_ws("|", *strata))
+    placed = dense_rank_rows(ranked, [], ["round", "_s"], F.col("round"), "place")
     return placed.where(F.col("place") <= target).drop("_o", "_s")
 
 

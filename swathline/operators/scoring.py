@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from swathline.functions.answers import CONTRACTS, cleaned_text, first_number, strip, vocabulary, yes_no
+from swathline.functions.answers import first_number, format_answer, strip, yes_no
 from swathline.functions.tokens import lcs_length, lcs_length_whitespace, ngrams, tokens
 from swathline.operators.stats import exact_percentiles
 
@@ -218,15 +218,23 @@ def arm_comparison(rows: DataFrame, arm: str, kind: str, hit: Column, base: str)
 def replay_merge(items: DataFrame, run: DataFrame, best_iou: DataFrame) -> DataFrame:
     """Pass rule by contract on replayed rows, folded back so that statuses are earned.
 
+    ``items(sample_id, question, answer, contract, floor, status)``. A box passes by its best IoU, a caption
+    if its ROUGE-L reaches the item's own floor (0 without one), yes or no by the binary reading; any other
+    contract is formatted by its own rule, and without a contract the texts are compared as they are.
     Items the run did not touch keep their status, and ``scored`` items never become a verdict.
     """
     joined = items.join(run.withColumn("_ran", F.lit(True)), "sample_id", "left").join(best_iou, "sample_id", "left")
-    text, gold = F.col("prediction"), F.lower(strip(F.col("answer")))
+    # Only captions are worth the longest common subsequence.
+    caption = lambda c: F.when(F.col("contract") == "rouge_l", c)
+    joined = joined.withColumn("_rouge", rouge_f1(strip(caption(F.coalesce("prediction", F.lit("")))), strip(caption(F.col("answer")))))
+    text, gold = strip(F.coalesce("prediction", F.lit(""))), F.lower(strip(F.col("answer")))
+    own = format_answer(F.col("contract"), text, F.col("question"))[0]
     passed = (
         F.when(F.col("contract") == "box_iou_0.5", F.coalesce(F.col("best") >= 0.5, F.lit(False)))
-        .when(F.col("contract") == "raw", F.lower(strip(text)) == gold)
-        .when(F.col("contract") == "yes_no", yes_no(text)[0] == gold)
-        .otherwise(vocabulary(cleaned_text(text), CONTRACTS["change_magnitude"][1])[0] == gold)
+        .when(F.col("contract") == "rouge_l", F.col("_rouge") >= F.coalesce("floor", F.lit(0.0)))
+        .when(F.col("contract") == "yes_no", F.lower(strip(yes_no(text)[0])) == gold)
+        .when(F.coalesce("contract", F.lit("")) == "", F.lower(text) == gold)
+        .otherwise(F.coalesce(F.lower(strip(own)) == gold, F.lit(False)))
     )
     verdict = F.when(F.col("_ran"), passed)
     status = (

@@ -116,15 +116,21 @@ def top_k_tiles(scored: DataFrame, key: Sequence[str], k: int = C.TOP_K_TILES) -
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k + 1)
 
 
-def mosaic_or(pieces: DataFrame, frame: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Full-scene mask: OR of every tile's view of a pixel, false where no tile saw it."""
+def mosaic_or(pieces: DataFrame, frame: DataFrame, keys: Sequence[str], tile: Sequence[str] = ()) -> DataFrame:
+    """Full-scene mask: OR of every tile's view of a pixel, false where no tile saw it.
+
+    ``pieces`` are whole tile masks. With ``tile``, the columns that name one, and its height and width
+    in ``h`` and ``w``, a mask that does not have h x w pixels of its tile ends the job.
+    """
+    if tile:
+        at = (F.col("r") - F.col("row_off")).between(0, F.col("h") - 1) & (F.col("c") - F.col("col_off")).between(0, F.col("w") - 1)
+        sizes = pieces.groupBy(*tile).agg(F.count("*").alias("n"), F.max(F.col("h") * F.col("w")).alias("want"), F.bool_and(at).alias("inside"))
+        wrong = F.when((F.col("n") != F.col("want")) | ~F.col("inside"), F.concat(F.lit("tile "), F.concat_ws(", ", *tile), F.lit(" has a mask of "), F.col("n"), F.lit(" pixels, expected "), F.col("want")))
+        # One sum over all tiles carries the check into the result, whichever of its pixels are read.
+        fine = sizes.agg(F.sum(F.when(wrong.isNotNull(), F.raise_error(wrong).cast("long")).otherwise(1)).alias("_tiles"))
     merged = pieces.groupBy(*keys, "r", "c").agg(F.bool_or("hit").alias("hit"))
-    return frame.select(*keys, "r", "c").join(merged, [*keys, "r", "c"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
-
-
-def wrong_size_pieces(pieces: DataFrame, tile: Sequence[str]) -> DataFrame:
-    """Tiles whose mask does not have height x width pixels."""
-    return pieces.groupBy(*tile, "h", "w").agg(F.count("*").alias("pixels")).where(F.col("pixels") != F.col("h") * F.col("w"))
+    out = frame.select(*keys, "r", "c").join(merged, [*keys, "r", "c"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    return out.crossJoin(F.broadcast(fine)).where("_tiles IS NULL OR _tiles >= 0").drop("_tiles") if tile else out
 
 
 def grid_boxes(scenes: DataFrame, key: str, tiles: int, overlap: float) -> DataFrame:

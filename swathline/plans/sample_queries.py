@@ -91,18 +91,33 @@ def sm02(v):
     return SM.spread_within_tile(grid_patches(v), ["tile"], "o", "i", "j").select("c_custkey", "tile")
 
 
+SEASON_SQL = "CASE WHEN m IN ('12', '01', '02') THEN 'winter' WHEN m IN ('03', '04', '05') THEN 'spring' WHEN m IN ('06', '07', '08') THEN 'summer' WHEN m IN ('09', '10', '11') THEN 'autumn' ELSE 'unknown' END"
+
+
 @query(
     "SM03_stratified_round_robin",
-    ctes(
-        "patch", "s AS (SELECT c_custkey, country, climate_zone, sha256(concat_ws('|', 'strata', country, climate_zone, c_custkey)) AS o FROM patch)",
-        "k AS (SELECT *, row_number() OVER (PARTITION BY country, climate_zone ORDER BY o, c_custkey) AS round FROM s)",
-        "p AS (SELECT *, row_number() OVER (ORDER BY round, concat_ws('|', country, climate_zone)) AS place FROM k)",
-    )
-    + "SELECT c_custkey, country, climate_zone, round, place FROM p WHERE place <= 300",
+    "WITH RECURSIVE " + ctes(
+        "patch",
+        "g0 AS (SELECT c_custkey, coalesce(CAST(country AS VARCHAR), 'unknown') AS country, substr(string_split(patch_id, '_')[3], 5, 2) AS m, string_split(patch_id, '_')[6] || '_' || string_split(patch_id, '_')[3] AS tile, CAST(string_split(patch_id, '_')[7] AS INT) % 30 AS i, CAST(string_split(patch_id, '_')[8] AS INT) % 30 AS j FROM patch)",
+        f"g AS (SELECT c_custkey, country, {SEASON_SQL} AS season, tile, i, j FROM g0)",
+        "n AS (SELECT *, sha256(concat_ws('|', 'strata', country, season, c_custkey)) || '|' || c_custkey AS o, row_number() OVER (PARTITION BY country, season, tile ORDER BY sha256(concat_ws('|', 'strata', country, season, c_custkey)) || '|' || c_custkey) AS k FROM g)",
+        """w AS (SELECT country, season, tile, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(i INT, j INT)[]) AS kept, CAST(NULL AS BIGINT) AS c_custkey, CAST(NULL AS VARCHAR) AS o, false AS ok FROM (SELECT DISTINCT country, season, tile FROM n) d
+ UNION ALL SELECT w.country, w.season, w.tile, n.k, CASE WHEN len(list_filter(w.kept, lambda q: greatest(abs(q.i - n.i), abs(q.j - n.j)) < 3)) = 0 THEN list_append(w.kept, {'i': n.i, 'j': n.j}) ELSE w.kept END,
+ n.c_custkey, n.o, len(list_filter(w.kept, lambda q: greatest(abs(q.i - n.i), abs(q.j - n.j)) < 3)) = 0 FROM w JOIN n ON n.country = w.country AND n.season = w.season AND n.tile = w.tile AND n.k = w.k + 1)""",
+        "k AS (SELECT *, row_number() OVER (PARTITION BY country, season ORDER BY o) AS round FROM w WHERE ok)",
+        "p AS (SELECT *, row_number() OVER (ORDER BY round, concat_ws('|', country, season)) AS place FROM k)",
+    )[len("WITH "):]
+    + "SELECT c_custkey, country, season, round, place FROM p WHERE place <= 300",
 )
 def sm03(v):
-    out = SM.stratified_round_robin(v.patch, ["country", "climate_zone"], 300, "strata", "c_custkey")
-    return out.select("c_custkey", "country", "climate_zone", col("round").cast("long").alias("round"), col("place").cast("long").alias("place"))
+    """Strata of country and season, each thinned within its tiles and dates before the rounds are dealt."""
+    p = H.parse_patch_id(col("patch_id"))
+    rows = v.patch.select(
+        "c_custkey", "country", SM.season_of(col("patch_id")).alias("season"), F.concat_ws("_", p["tile"], p["sensing"]).alias("tile"),
+        (p["first"] % 30).alias("i"), (p["second"] % 30).alias("j"),
+    )
+    out = SM.stratified_round_robin(rows, ["country", "season"], 300, "strata", "c_custkey", ["tile"], "i", "j")
+    return out.select("c_custkey", "country", "season", col("round").cast("long").alias("round"), col("place").cast("long").alias("place"))
 
 
 QUOTAS = {"1-URGENT": 100, "2-HIGH": 40, "3-MEDIUM": 7, "9-NONE": 50}

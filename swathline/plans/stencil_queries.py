@@ -386,7 +386,8 @@ def tk05(v):
 def tk06(v):
     # Each tile view uses its own cut, so overlaps genuinely disagree.
     pieces = tiled(v).withColumn("hit", F.coalesce(col("vv") <= -14 - (col("row_off") + col("col_off")) / 4, F.lit(False)))
-    return TK.mosaic_or(pieces.where("hit"), v.grid, SCENE)
+    pieces = pieces.withColumns({"h": F.lit(8), "w": F.lit(8)})
+    return TK.mosaic_or(pieces, v.grid, SCENE, [*SCENE, "row_off", "col_off"])
 
 
 @query(

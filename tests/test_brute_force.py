@@ -293,3 +293,38 @@ def test_regions_across_blocks(spark, block):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert got == {(k, *cell): label for k, cells in frames.items() for cell, label in flooded(cells).items()}
+
+
+def test_a_mask_of_the_wrong_size_is_an_error(spark):
+    from swathline.operators import tiles as TK
+
+    cells = [(0, c // 2 * 2, r, c, (r + c) % 3 == 0, 2, 2) for r in range(2) for c in range(4)]
+    schema = "row_off long, col_off long, r long, c long, hit boolean, h long, w long"
+    frame = spark.createDataFrame([(1, r, c) for r in range(2) for c in range(5)], "k long, r long, c long")
+    whole = spark.createDataFrame(cells, schema).withColumn("k", F.lit(1))
+    got = {(x["r"], x["c"]): x["hit"] for x in TK.mosaic_or(whole, frame, ["k"], ["k", "row_off", "col_off"]).collect()}
+    assert got == {(r, c): c < 4 and (r + c) % 3 == 0 for r in range(2) for c in range(5)}
+    short = whole.where("NOT (r = 1 AND c = 3)")
+    with pytest.raises(Exception, match="tile 1, 0, 2 has a mask of 3 pixels, expected 4"):
+        TK.mosaic_or(short, frame, ["k"], ["k", "row_off", "col_off"]).collect()
+    assert TK.mosaic_or(whole.limit(0), frame, ["k"], ["k", "row_off", "col_off"]).where("hit").count() == 0
+
+
+def test_strata_are_thinned_before_the_rounds(spark):
+    """Replayed row by row: seeded order, thinning per stratum, tile and date, rows without a cell kept, one per round."""
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.choice(["a", "b", None]), f"t{i % 2}", *((int(x) for x in rng.integers(0, 9, 2)) if i % 7 else (None, None))) for i in range(150)]
+    df = spark.createDataFrame(rows, "id long, country string, tile string, i long, j long")
+    got = [(r["id"], r["place"]) for r in SM.stratified_round_robin(df, ["country"], 20, "s", "id", ["tile"], "i", "j").orderBy("place").collect()]
+    named = df.withColumn("o", RK.seeded("s", F.coalesce("country", F.lit("unknown")), "id"))
+    pools = defaultdict(list)
+    kept = defaultdict(list)
+    for r in sorted(named.collect(), key=lambda r: r["o"]):
+        name = r["country"] or "unknown"
+        near = any(max(abs(r["i"] - a), abs(r["j"] - b)) < 3 for a, b in kept[name, r["tile"]]) if r["i"] is not None else False
+        if not near:
+            pools[name].append(r["id"])
+            if r["i"] is not None:
+                kept[name, r["tile"]].append((r["i"], r["j"]))
+    turns = [(k, name) for k in range(150) for name in sorted(pools) if k < len(pools[name])][:20]
+    assert got == [(pools[name][k], place) for place, (k, name) in enumerate(turns, 1)]
