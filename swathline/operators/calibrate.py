@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from swathline import config as C
+from swathline.session import cut_lineage
 
 # Fixed value: feature order.
 FEATURES = (
@@ -17,6 +19,10 @@ FEATURES = (
     "router_is_rules", "warning_count", "answer_logprob", "deterministic_fallback_used",
 )
 MIN_SAMPLES = 10
+# Distinct scores that are pooled in one place.
+PART_POINTS = 200_000
+BLOCK = ["lo", "hi", "total", "weight", "p0", "p1"]
+BLOCK_SCHEMA = "lo double, hi double, total double, weight double, p0 long, p1 long"
 
 
 def unit(value: Column) -> Column:
@@ -44,35 +50,80 @@ def confidence_features(steps: DataFrame, query: str) -> DataFrame:
     )
 
 
-def isotonic_fit(rows: DataFrame, score: str, label: str) -> DataFrame:
-    """Pool-adjacent-violators over distinct scores: ``score, fitted``.
+def pooled(blocks: pd.DataFrame) -> pd.DataFrame:
+    """Pool adjacent violators among ordered blocks ``(lo, hi, total, weight, p0, p1)``."""
+    stack: list[list[float]] = []
+    for lo, hi, total, weight, p0, p1 in blocks.sort_values("lo")[BLOCK].itertuples(index=False, name=None):
+        block = [lo, hi, total, weight, p0, p1]
+        while stack and stack[-1][2] * block[3] > block[2] * stack[-1][3]:
+            last = stack.pop()
+            block = [last[0], block[1], last[2] + block[2], last[3] + block[3], last[4], block[5]]
+        stack.append(block)
+    return pd.DataFrame(stack, columns=BLOCK).astype({"p0": "int64", "p1": "int64"})
 
-    Rows of one score collapse to their mean with a weight, which leaves the fit unchanged and
-    hands the solver one point per score.
+
+def isotonic_fit(rows: DataFrame, score: str, label: str, part_points: int = PART_POINTS) -> DataFrame:
+    """Pool-adjacent-violators over distinct scores: ``score, weight, fitted``. Rows without a score are left out.
+
+    Rows of one score collapse to their sum with a weight. Points are cut into ranges of about
+    ``part_points``; each range is pooled by itself, which the whole fit never undoes. Two neighbouring
+    ranges are pooled together only where the fit still falls from one to the next, pair by pair and
+    round by round, so a task holds two ranges' blocks and the driver a mean per range end.
     """
-    points = rows.groupBy(F.col(score).cast("double").alias("score")).agg(F.avg(F.col(label).cast("double")).alias("label"), F.count("*").cast("double").alias("weight"))
-    assembled = VectorAssembler(inputCols=["score"], outputCol="x").transform(points)
-    model = IsotonicRegression(featuresCol="x", labelCol="label", weightCol="weight", predictionCol="fitted").fit(assembled)
-    return model.transform(assembled).select("score", "weight", "fitted")
+    points = rows.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("score"))
+    points = cut_lineage(points.agg(F.sum(F.col(label).cast("double")).alias("total"), F.count("*").cast("double").alias("weight")))
+    parts = max(1, -(-points.count() // part_points))
+    points = cut_lineage(points.repartitionByRange(parts, "score").withColumn("part", F.spark_partition_id().cast("long")))
+    own = [F.col("score").alias("lo"), F.col("score").alias("hi"), "total", "weight", F.col("part").alias("p0"), F.col("part").alias("p1")]
+    pool = lambda df: df.groupBy("part").applyInPandas(lambda part, pdf: pooled(pdf).assign(part=part[0]), f"{BLOCK_SCHEMA}, part long")
+    blocks = cut_lineage(pool(points.select(*own, "part")))
+    mean = F.col("total") / F.col("weight")
+    while True:
+        ends = blocks.groupBy("part").agg(F.min_by(mean, "lo").alias("first"), F.max_by(mean, "lo").alias("last")).orderBy("part").collect()
+        into, i = {}, 0
+        while i + 1 < len(ends):
+            if ends[i]["last"] > ends[i + 1]["first"]:
+                into[ends[i + 1]["part"]] = ends[i]["part"]
+                i += 1
+            i += 1
+        if not into:
+            break
+        pairs = blocks.sparkSession.createDataFrame([(k, v) for b, a in into.items() for k, v in ((a, a), (b, a))], "part long, _into long")
+        both = blocks.join(F.broadcast(pairs), "part", "left")  # at most a row per range
+        merged = pool(both.where("_into IS NOT NULL").drop("part").withColumnRenamed("_into", "part"))
+        blocks = cut_lineage(merged.unionByName(both.where("_into IS NULL").drop("_into")))
+    met = blocks.select("lo", mean.alias("fitted"), F.explode(F.sequence("p0", "p1")).alias("part"))
+
+    def fit(pdf: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        held = held.sort_values("lo")
+        at = np.searchsorted(held["lo"].to_numpy(), pdf["score"].to_numpy(), side="right") - 1
+        return pd.DataFrame({"score": pdf["score"], "weight": pdf["weight"], "fitted": held["fitted"].to_numpy()[at]})
+
+    return points.groupBy("part").cogroup(met.groupBy("part")).applyInPandas(fit, "score double, weight double, fitted double")
+
+
+def logistic_scores(rows: DataFrame, label: str) -> DataFrame:
+    """``rows`` with ``score``, the logistic probability from the standardised features."""
+    assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="raw").transform(rows.withColumn("label", F.col(label).cast("double")))
+    scaled = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True).fit(assembled).transform(assembled)
+    logistic = LogisticRegression(featuresCol="scaled", labelCol="label", maxIter=100, standardization=False, probabilityCol="p").fit(scaled)
+    return logistic.transform(scaled).withColumn("score", vector_to_array("p")[1]).drop("raw", "scaled", "rawPrediction", "p", "prediction", "label")
 
 
-def fit_calibrator(rows: DataFrame, label: str, isotonic: bool = True) -> DataFrame:
-    """Features -> logistic score -> isotonic probability, or the logistic score alone without ``isotonic``.
+def calibrated(scored: DataFrame, label: str) -> DataFrame:
+    """``scored`` with ``calibrated``, the isotonic probability of its ``score``."""
+    curve = isotonic_fit(scored, "score", label).select(F.col("score").alias("_s"), F.col("fitted").alias("calibrated"))
+    return scored.join(curve, F.col("score").cast("double") == F.col("_s"), "left").drop("_s")
 
-    Scores are rounded to six digits before the isotonic fit, so the solver sees at most a
-    million points however many rows there are.
-    """
+
+def fit_calibrator(rows: DataFrame, label: str, isotonic: bool = True) -> DataFrame:
+    """Features -> logistic score -> isotonic probability, or the logistic score alone without ``isotonic``."""
     n = rows.count()
     if n < MIN_SAMPLES:
         raise ValueError(f"{n} samples are too few to fit a calibrator")
-    assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="raw").transform(rows.withColumn("label", F.col(label).cast("double")))
-    scaled = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True).fit(assembled).transform(assembled)
-    logistic = LogisticRegression(featuresCol="scaled", labelCol="label", maxIter=100, standardization=False, probabilityCol="p").fit(scaled)
-    scored = logistic.transform(scaled).withColumn("score", F.round(vector_to_array("p")[1], 6))
-    if not isotonic:
-        return scored.withColumn("calibrated", F.col("score")).drop("raw", "scaled", "rawPrediction", "p", "prediction", "label")
-    curve = isotonic_fit(scored, "score", "label").select("score", F.col("fitted").alias("calibrated"))
-    return scored.join(curve, "score").drop("raw", "scaled", "rawPrediction", "p", "prediction", "label")
+    # Checkpointed, as the fitted curve is joined back on the very scores it was fitted on.
+    scored = cut_lineage(logistic_scores(rows, label))
+    return calibrated(scored, label) if isotonic else scored.withColumn("calibrated", F.col("score"))
 
 
 def reliability_table(rows: DataFrame, probability: str, correct: str, bins: int = 10, closed_right: bool = True) -> DataFrame:

@@ -239,6 +239,29 @@ def cf03(v):
     return out.select("l_orderkey", "l_linenumber", "correct", F.round("score", 4).alias("score"), F.round("calibrated", 4).alias("calibrated"))
 
 
+# Pool adjacent violators one step at a time: the last two blocks are merged while they fall, else the next point is pushed.
+SCORES = "cs AS (SELECT l_orderkey, l_linenumber, correct, round(1 / (1 + exp(-(3.0 * p - 1.5 + 0.25 * (l_partkey % 7) - 0.5 * (l_orderkey % 2)))), 3) AS score FROM calib)"
+
+
+@query(
+    "CF03_calibrate_scores",
+    "WITH RECURSIVE " + ctes(
+        "calib", SCORES,
+        "pt AS (SELECT score, CAST(sum(correct) AS DOUBLE) AS t, CAST(count(*) AS DOUBLE) AS w, row_number() OVER (ORDER BY score) AS k FROM cs GROUP BY score)",
+        """st AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(lo DOUBLE, t DOUBLE, w DOUBLE)[]) AS b, false AS done
+ UNION ALL SELECT CASE WHEN falls THEN k ELSE k + 1 END, CASE WHEN falls THEN list_append(b[:-3], {'lo': b[-2].lo, 't': b[-2].t + b[-1].t, 'w': b[-2].w + b[-1].w}) WHEN score IS NOT NULL THEN list_append(b, {'lo': score, 't': t, 'w': w}) ELSE b END, NOT falls AND score IS NULL
+ FROM (SELECT st.*, pt.score, pt.t, pt.w, coalesce(len(b) > 1 AND b[-2].t * b[-1].w > b[-1].t * b[-2].w, false) AS falls FROM st LEFT JOIN pt ON pt.k = st.k + 1 WHERE NOT st.done) z)""",
+        "bl AS (SELECT unnest(b) AS x FROM st WHERE done)",
+    )[len("WITH "):]
+    + "SELECT l_orderkey, l_linenumber, score, round(x.t / x.w, 6) AS calibrated FROM cs ASOF JOIN (SELECT x, x.lo AS lo FROM bl) y ON cs.score >= y.lo",
+)
+def cf03_scores(v):
+    """The isotonic half on scores of a stated logistic model."""
+    z = 3.0 * col("p") - 1.5 + 0.25 * (col("l_partkey") % 7) - 0.5 * (col("l_orderkey") % 2)
+    scored = v.calib.select("l_orderkey", "l_linenumber", "correct", F.round(1 / (1 + F.exp(-z)), 3).alias("score"))
+    return CF.calibrated(scored, "correct").select("l_orderkey", "l_linenumber", "score", F.round("calibrated", 6).alias("calibrated"))
+
+
 # Pooled values by the max-min formula: the largest over starts of the least mean up to any end.
 ISOTONIC_SQL = ctes(
     "calib",

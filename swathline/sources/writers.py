@@ -11,6 +11,8 @@ from swathline.operators.validate import mask_conformance
 
 #: Folders of the mask table.
 MASK_PARTS = 64
+#: Row groups of the pixel table: a few rows of a large scene each.
+ROW_GROUP_BYTES = 16 << 20
 
 
 def manifest_summary(rows: DataFrame) -> DataFrame:
@@ -56,6 +58,17 @@ def write_mask_table(masks: DataFrame, headers: DataFrame, keys: Sequence[str],
     return record
 
 
+def write_pixel_table(pixels: DataFrame, keys: Sequence[str], path: str, row_group_bytes: int = ROW_GROUP_BYTES) -> None:
+    """Pixels ranged and sorted by scene, row and column, in row groups of about ``row_group_bytes``.
+
+    A row group then spans a few rows of one scene, so a window's bounds on ``r`` and ``c`` rule out
+    most of them by their footers. Ranges are sampled, so a scene of any size is many files.
+    """
+    order = [*keys, "r", "c"]
+    ranged = pixels.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged.write.mode("overwrite").option("parquet.block.size", row_group_bytes).parquet(path)
+
+
 def batch_answers(rows: DataFrame, answer: Column) -> DataFrame:
     """Every input row yields an answer or an error record; a bad row never loses the batch."""
     missing = (F.coalesce(F.size("images"), F.lit(0)) <= 0) | F.coalesce(F.col("question"), F.lit("")).eqNullSafe("")

@@ -328,3 +328,48 @@ def test_strata_are_thinned_before_the_rounds(spark):
                 kept[name, r["tile"]].append((r["i"], r["j"]))
     turns = [(k, name) for k in range(150) for name in sorted(pools) if k < len(pools[name])][:20]
     assert got == [(pools[name][k], place) for place, (k, name) in enumerate(turns, 1)]
+
+
+def test_window_reads_few_row_groups(spark, tmp_path):
+    """The bounds reach the scan, and the footers of the sorted table rule out nearly all row groups."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from swathline.sources import readers as RD
+    from swathline.sources import writers as WR
+
+    pixels = spark.range(2 * 400 * 400).selectExpr("id div 160000 AS scene_id", "id div 400 % 400 AS r", "id % 400 AS c", "CAST(hash(id) AS DOUBLE) AS red")
+    WR.write_pixel_table(pixels.orderBy(F.rand(3)), ["scene_id"], str(tmp_path / "px"), row_group_bytes=64 << 10)
+    window = RD.pixel_window(spark.read.parquet(str(tmp_path / "px")), 100, 30, 20, 50)
+    plan = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(window._jdf.queryExecution(), "formatted")
+    assert all(f"{kind}({x}," in plan for kind in ("GreaterThanOrEqual", "LessThanOrEqual") for x in "rc")
+    assert window.count() == 2 * 20 * 50
+    groups, met = 0, 0
+    for path in glob.glob(str(tmp_path / "px" / "*.parquet")):
+        meta = pq.ParquetFile(path).metadata
+        for g in range(meta.num_row_groups):
+            stats = {meta.row_group(g).column(i).path_in_schema: meta.row_group(g).column(i).statistics for i in range(meta.num_columns)}
+            groups, met = groups + 1, met + (stats["r"].max >= 100 and stats["r"].min <= 119 and stats["c"].max >= 30 and stats["c"].min <= 79)
+    assert groups >= 20 and met <= groups / 4
+
+
+@pytest.mark.parametrize("size", [200_000, 40, 1])
+def test_isotonic_by_ranges_equals_the_plain_walk(spark, size):
+    """Rising, falling, flat and noisy stretches, ties, NULL scores; ranges of any size."""
+    rng = np.random.default_rng(9)
+    x = np.round(np.concatenate([rng.random(300), np.linspace(1, 2, 60), np.linspace(2, 3, 60), [5.0] * 9]), 3)
+    y = np.concatenate([(rng.random(300) < 0.3 + 0.4 * x[:300]).astype(float), np.linspace(1, 0, 60), np.linspace(0, 1, 60), rng.integers(0, 2, 9)])
+    df = spark.createDataFrame([*zip(x.tolist(), y.tolist()), (None, 1.0)], "s double, y double")
+    if size == 1:
+        df, x, y = df.where("s BETWEEN 1.9 AND 2.2"), *(v[(x >= 1.9) & (x <= 2.2)] for v in (x, y))
+    points = sorted((float(s), float(y[x == s].sum()), int((x == s).sum())) for s in set(x.tolist()))
+    stack = []
+    for s, t, w in points:
+        stack.append([t, w, [s]])
+        while len(stack) > 1 and stack[-2][0] / stack[-2][1] > stack[-1][0] / stack[-1][1]:
+            t, w, own = stack.pop()
+            stack[-1] = [stack[-1][0] + t, stack[-1][1] + w, stack[-1][2] + own]
+    want = {s: t / w for t, w, own in stack for s in own}
+    got = {r["score"]: r["fitted"] for r in CF.isotonic_fit(df, "s", "y", size).collect()}
+    assert got == pytest.approx(want, abs=1e-12)
