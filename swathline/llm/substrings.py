@@ -24,6 +24,8 @@ SHARD_WORDS, HOT = 400_000, 4_000
 FILTER_BITS = 1 << 27
 #: A passage's place in one number: its start, its windows (at most 17) and whether its anchor is hot.
 PLACE_BITS, HOT_BIT = 6, 5
+#: Places that the repeats of a frequent passage are dealt to.
+SPREAD = 1021
 BLOCK_BITS = 1 << 16
 NO_KEY = -(2**63)
 AT = np.uint64((1 << 31) - 1)
@@ -124,7 +126,11 @@ def anchor_counts(texts: DataFrame, window: int) -> DataFrame:
 
 
 def met_passages(texts: DataFrame, anchors: Filter, hot: Filter, window: int) -> DataFrame:
-    """``(anchor, name, doc, form, place)``: the passages whose anchor may occur again; ``name`` is a hash of the passage."""
+    """``(anchor, name, doc, form, place, spread)``: the passages whose anchor may occur again; ``name`` is a hash of the passage.
+
+    Of the passages of one name in a chunk of text only the earliest can be the first of all. The others have a ``spread`` above
+    0, which deals them evenly, however frequent the passage is.
+    """
     shared = texts.sparkSession.sparkContext.broadcast((anchors, hot))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,15 +143,30 @@ def met_passages(texts: DataFrame, anchors: Filter, hot: Filter, window: int) ->
             row = np.searchsorted(words.rows, start, side="right") - 1
             name = spans_hash(words.codes, start, start + n + window - 1)
             place = (start - words.rows[row]) << PLACE_BITS | hot.has(anchor).astype(np.int64) << HOT_BIT | n
-            columns = [anchor.view(np.int64), name.view(np.int64), numbers(batch, "doc")[row], numbers(batch, "form")[row], place]
-            yield pa.record_batch([pa.array(c) for c in columns], names=["anchor", "name", "doc", "form", "place"])
+            doc, form = numbers(batch, "doc")[row], numbers(batch, "form")[row]
+            later = not_first(name, anchor, doc, form, place)
+            spread = np.where(later, 1 + (place_hash(doc, form, place) % np.uint64(SPREAD)).astype(np.int64), 0)
+            columns = [anchor.view(np.int64), name.view(np.int64), doc, form, place, spread]
+            yield pa.record_batch([pa.array(c) for c in columns], names=["anchor", "name", "doc", "form", "place", "spread"])
+
+    return texts.mapInArrow(run, "anchor long, name long, doc long, form long, place long, spread long")
+
 
-    return texts.mapInArrow(run, "anchor long, name long, doc long, form long, place long")
+def not_first(name: np.ndarray, anchor: np.ndarray, doc: np.ndarray, form: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Whether another passage of the same name is earlier. The same place in rows of one key and text is one place."""
+    by = np.lexsort((place, form, doc, anchor, name))
+    name, anchor = name[by], anchor[by]
+    head = np.ones(len(by), dtype=bool)
+    head[1:] = (name[1:] != name[:-1]) | (anchor[1:] != anchor[:-1])
+    first = by[np.maximum.accumulate(np.where(head, np.arange(len(by)), 0))] if len(by) else by
+    out = np.empty(len(by), dtype=bool)
+    out[by] = (doc[by] != doc[first]) | (form[by] != form[first]) | (place[by] != place[first])
+    return out
 
 
 def firsts_marked(met: DataFrame) -> DataFrame:
     """``(anchor, doc, form, place, first)``: whether a passage is the earliest of its name. Tasks stream names in order; of a
-    frequent one a row per chunk of text and copy comes, which takes no memory here."""
+    frequent one a row per chunk of text meets here, the others pass wherever they are dealt."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, last_first = None, False
@@ -154,6 +175,7 @@ def firsts_marked(met: DataFrame) -> DataFrame:
                 continue
             columns = [numbers(batch, c) for c in ("name", "anchor", "doc", "form", "place")]
             name, anchor, doc, form, place = columns
+            spread = numbers(batch, "spread")
             head, row = np.ones(len(name), dtype=bool), np.ones(len(name), dtype=bool)
             head[1:] = (name[1:] != name[:-1]) | (anchor[1:] != anchor[:-1])
             row[1:] = head[1:] | (doc[1:] != doc[:-1]) | (form[1:] != form[:-1]) | (place[1:] != place[:-1])
@@ -162,9 +184,9 @@ def firsts_marked(met: DataFrame) -> DataFrame:
             # Rows of one key and text are one document, so the passage they share is the first in all of them.
             first = head[np.maximum.accumulate(np.where(row, np.arange(len(row)), 0))]
             last, last_first = tuple(int(c[-1]) for c in columns), bool(first[-1])
-            yield pa.record_batch([pa.array(c) for c in (anchor, doc, form, place, first)], names=["anchor", "doc", "form", "place", "first"])
+            yield pa.record_batch([pa.array(c) for c in (anchor, doc, form, place, first & (spread == 0))], names=["anchor", "doc", "form", "place", "first"])
 
-    ordered = met.repartition("anchor", "name").sortWithinPartitions("name", "anchor", "doc", "form", "place")
+    ordered = met.repartition("anchor", "name", "spread").sortWithinPartitions("name", "anchor", F.col("spread") > 0, "doc", "form", "place")
     return ordered.mapInArrow(run, "anchor long, doc long, form long, place long, first boolean")
 
 
