@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from swathline import config as C
 from swathline.operators.joins import attach
+from swathline.operators.ranking import null_safe_join
 from swathline.operators.stats import exact_percentiles
+from swathline.session import cut_lineage
 
 Keys = Sequence[str]
 
@@ -111,12 +113,53 @@ def edge_density(frame: DataFrame, keys: Keys, value: str, window: int) -> DataF
     return attach(density, peak, keys, "left").select(*keys, "r", "c", "valid", scaled.alias("edges"))
 
 
+def texture_terms(frame: DataFrame, keys: Keys, value: str, window: int) -> DataFrame:
+    """``density`` and ``spread`` before scaling, as in ``edge_density`` and ``local_variance``, in one chain of passes.
+
+    The first row and column pass carry the gradient and the box sums of value and square side by
+    side; the second pair blurs the gradient's size. The mean that fills invalid cells is also the one
+    that values are centred on, and neither filter needs a join of pixels.
+    """
+    if window % 2 == 0:
+        raise ValueError("window must be odd so the response stays grid-aligned")
+    k = window // 2
+    across, down = along_row(keys), along_column(keys)
+    means = frame.groupBy(*keys).agg(F.avg(value).alias("_mean"))
+    filled = attach(frame.select(*keys, "r", "c", F.col(value).alias("_raw")), means, keys)
+    base = filled.select(
+        *keys, "r", "c", F.col("_raw").isNotNull().alias("valid"), F.coalesce("_raw", "_mean", F.lit(0.0)).alias("v"),
+        F.coalesce(F.col("_raw") - F.col("_mean"), F.lit(0.0)).alias("m"),
+    ).withColumn("q", F.col("m") * F.col("m"))
+    blur = lambda c, axis: sum((neighbour(F.col(c), o, axis) for o in range(-k, k + 1)), F.lit(0.0)) / window
+    v = F.col("v")
+    left, right = neighbour(v, -1, across), neighbour(v, 1, across)
+    rows = by_row(base, keys).select(
+        *keys, "r", "c", "valid", (right - left).alias("d"), (left + 2 * v + right).alias("s"), blur("m", across).alias("m"), blur("q", across).alias("q")
+    )
+    d, s = F.col("d"), F.col("s")
+    gx, gy = neighbour(d, -1, down) + 2 * d + neighbour(d, 1, down), neighbour(s, 1, down) - neighbour(s, -1, down)
+    cells = by_column(rows, keys).select(*keys, "r", "c", "valid", gx.alias("gx"), gy.alias("gy"), blur("m", down).alias("m"), blur("q", down).alias("q"))
+    cells = cells.select(
+        *keys, "r", "c", "valid", F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")).alias("density"),
+        F.greatest(F.col("q") - F.col("m") * F.col("m"), F.lit(0.0)).alias("spread"),
+    )
+    return box_means(cells, keys, ["density"], window)
+
+
+def texture_parts(frame: DataFrame, keys: Keys, value: str, window: int) -> DataFrame:
+    """``keys, r, c, valid, edges, variance``. The terms are checkpointed: their scales are read off all of them first."""
+    terms = cut_lineage(texture_terms(frame, keys, value, window))
+    valid = terms.where("valid")
+    peaks = exact_percentiles(valid, keys, "density", {"_edge": 0.99}).drop("n")
+    peaks = null_safe_join(valid.groupBy(*keys).agg(F.max("spread").alias("_most")), peaks, keys, "left")
+    scaled = lambda c, peak: F.when(F.col("valid") & (F.col(peak) > 0), F.least(F.col(c) / F.col(peak), F.lit(1.0))).otherwise(0.0)
+    return attach(terms, peaks, keys, "left").select(*keys, "r", "c", "valid", scaled("density", "_edge").alias("edges"), scaled("spread", "_most").alias("variance"))
+
+
 def texture_response(frame: DataFrame, keys: Keys, value: str, window: int = C.TEXTURE_WINDOW) -> DataFrame:
     """clip(0.6 edge density + 0.4 local variance), NULL on invalid cells."""
-    edges = edge_density(frame, keys, value, window)
-    variance = local_variance(frame, keys, value, window).drop("valid")
     mixed = F.least(0.6 * F.col("edges") + 0.4 * F.col("variance"), F.lit(1.0))
-    return edges.join(variance, [*keys, "r", "c"]).select(*keys, "r", "c", F.when(F.col("valid"), mixed).alias("response"))
+    return texture_parts(frame, keys, value, window).select(*keys, "r", "c", F.when(F.col("valid"), mixed).alias("response"))
 
 
 def local_std_3x3(frame: DataFrame, keys: Keys, value: str) -> DataFrame:

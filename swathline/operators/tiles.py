@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from swathline import config as C
-from swathline.operators.stencil import edge_density, local_variance
+from swathline.operators.stencil import texture_parts
 
 # Query words that ask for structured or for smooth tiles.
 HIGH_TEXTURE = (
@@ -98,9 +98,7 @@ def texture_wish(question: Column) -> Column:
 
 def content_score(cells: DataFrame, tile: Sequence[str], value: str, wish: DataFrame, window: int = C.TEXTURE_WINDOW) -> DataFrame:
     """0.35 coverage + 0.65 relevance per tile; ``cells`` has tile-local r and c, ``wish`` one row per tile."""
-    edges = edge_density(cells, tile, value, window)
-    variance = local_variance(cells, tile, value, window).drop("valid")
-    stats = edges.join(variance, [*tile, "r", "c"]).groupBy(*tile).agg(
+    stats = texture_parts(cells, tile, value, window).groupBy(*tile).agg(
         F.avg(F.col("valid").cast("double")).alias("coverage"), F.avg("edges").alias("texture"), F.avg("variance").alias("variance")
     )
     structure = 0.5 * F.col("texture") + 0.5 * F.col("variance")
