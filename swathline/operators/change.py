@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from swathline import config as C
+from swathline.operators.joins import attach
+from swathline.session import cut_lineage
 
 
 def id_set_diff(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -47,33 +49,42 @@ def compass_side(n: Column, frame_n: Column, north: Column, east: Column) -> Col
     return F.when(enough & ns_ok & (~ew_ok | (ns >= ew)), ns_label).when(enough & ew_ok, ew_label)
 
 
+def presence_patterns(objects: DataFrame, calendar: DataFrame, group: str, time: str, obj: str) -> DataFrame:
+    """``group, pattern, n``: how many objects of a group share a presence pattern.
+
+    A pattern has one small number per date of the group's calendar: 0 where the object is absent, else
+    1, plus 2 on the northern and 4 on the eastern side of that date's frame. Objects are counted by
+    pattern map-side, before any pair of dates is formed.
+    """
+    presence = objects.groupBy(group, obj).agg(F.collect_set(time).alias("present"), F.min("x").alias("x"), F.min("y").alias("y"))
+    dated = attach(presence, calendar, [group])
+    flags = lambda d: 1 + 2 * (F.col("y") >= d["mid_y"]).cast("int") + 4 * (F.col("x") >= d["mid_x"]).cast("int")
+    pattern = F.transform("days", lambda d: F.when(F.array_contains(F.col("present"), d[time]), flags(d)).otherwise(0).cast("byte"))
+    return dated.select(group, pattern.alias("pattern")).groupBy(group, "pattern").agg(F.count("*").alias("n"))
+
+
 def pair_statistics(objects: DataFrame, group: str, time: str, obj: str) -> DataFrame:
     """Counts for every *ordered* date pair of a group.
 
-    Each object is shuffled once, as the set of dates it is present at (bounded by the
-    calendar), instead of once per date pair. Against the group's date list every object
-    then votes locally and the votes are combined map-side, so a group holding most of the
-    objects is still only a set of partial sums. Columns: ``group, first, second, total_first,
+    Each object is shuffled once, as the set of dates it is present at (bounded by the calendar), and
+    counted with those of its presence pattern; only patterns are set against pairs of dates, and
+    their votes are combined map-side. The calendar goes to objects and patterns salted, so a group
+    that holds most of the objects is many even pieces. Columns: ``group, first, second, total_first,
     total_second, appeared, demolished, north, east``.
     """
-    frames = objects.groupBy(group, time).agg(
+    frames = cut_lineage(objects.groupBy(group, time).agg(
         F.count("*").alias("total"),
         ((F.min("x") + F.max("x")) / 2).alias("mid_x"),
         ((F.min("y") + F.max("y")) / 2).alias("mid_y"),
-    )
-    calendar = frames.groupBy(group).agg(F.collect_list(F.col(time)).alias("dates"))
-    presence = objects.groupBy(group, obj).agg(F.collect_set(time).alias("present"), F.min("x").alias("x"), F.min("y").alias("y"))
-    votes = (
-        presence.join(calendar, group)
-        .withColumn("second", F.explode("present"))
-        .join(frames.select(group, F.col(time).alias("second"), "mid_x", "mid_y"), [group, "second"])
-        .withColumn("first", F.explode(F.array_except("dates", "present")))
-        .groupBy(group, "first", "second")
-        .agg(
-            F.count("*").alias("appeared"),
-            F.sum((F.col("y") >= F.col("mid_y")).cast("long")).alias("north"),
-            F.sum((F.col("x") >= F.col("mid_x")).cast("long")).alias("east"),
-        )
+    ))
+    calendar = frames.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(time, "mid_x", "mid_y"))).alias("days"))
+    patterns = attach(presence_patterns(objects, calendar, group, time, obj), calendar.select(group, F.col(f"days.{time}").alias("dates")), [group])
+    there = patterns.select(group, "n", "pattern", "dates", F.posexplode("pattern").alias("_j", "_s")).where("_s > 0")
+    pairs = there.select(group, "n", "dates", "_s", F.get("dates", F.col("_j")).alias("second"), F.posexplode("pattern").alias("_i", "_f")).where("_f = 0")
+    votes = pairs.groupBy(group, F.get("dates", F.col("_i")).alias("first"), "second").agg(
+        F.sum("n").alias("appeared"),
+        F.sum(F.when(F.col("_s").bitwiseAND(2) > 0, F.col("n")).otherwise(0)).alias("north"),
+        F.sum(F.when(F.col("_s").bitwiseAND(4) > 0, F.col("n")).otherwise(0)).alias("east"),
     )
     side = lambda name: frames.select(group, F.col(time).alias(name), F.col("total").alias(f"total_{name}"))
     ordered = side("first").join(side("second"), group).where(F.col("first") != F.col("second"))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from swathline.operators.ranking import dense_rank_rows, hash_bucket, null_safe_join
 
 SALTS = 16
+#: Most frequent keys that are told apart in ``split_join``: a bounded broadcast whatever the table.
+HEAVY_KEYS = 2_000
 PART_ROWS = 500
 
 
@@ -29,6 +31,24 @@ def attach(rows: DataFrame, facts: DataFrame, keys: Sequence[str], how: str = "i
     return null_safe_join(salted, facts.withColumn("_salt", F.explode(salts)), [*keys, "_salt"], how).drop("_salt")
 
 
+def split_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], weight: str, heavy: int = HEAVY_KEYS) -> DataFrame:
+    """Inner join of rows whose keys have very uneven frequencies with a table of one row per key.
+
+    ``weight`` of the table says which keys are frequent. The ``heavy`` heaviest, a small broadcast, mark
+    rows and table; marked table rows are repeated once per shuffle partition and marked rows spread over
+    them by their content, while all other keys meet in one place. NULL keys meet nothing.
+    """
+    keys = list(keys)
+    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    top = F.broadcast(table.orderBy(F.col(weight).desc(), *keys).limit(heavy).select(*keys, F.lit(True).alias("_heavy")))
+    others = [c for c in rows.columns if c not in keys]
+    place = F.pmod(F.xxhash64(*others), F.lit(spread)).cast("int") if others else F.lit(0)
+    left = rows.join(top, keys, "left").withColumn("_place", F.when(F.col("_heavy"), place).otherwise(0)).drop("_heavy")
+    places = F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(F.array(F.lit(0)))
+    right = table.join(top, keys, "left").withColumn("_place", F.explode(places)).drop("_heavy")
+    return left.join(right, [*keys, "_place"]).drop("_place")
+
+
 def nest_in_parts(rows: DataFrame, keys: Sequence[str], order: Column, tie: str, item: Column, size: int = PART_ROWS) -> DataFrame:
     """``keys, part, items``: members nested at most ``size`` to a row, every member kept."""
     ranked = dense_rank_rows(rows.withColumn("_o", order), keys, ["_o", tie], hash_bucket(F.col("_o")), "_k")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from swathline.functions.answers import first_number, format_answer, strip, yes_no
 from swathline.functions.tokens import lcs_length, lcs_length_whitespace, ngrams, tokens
+from swathline.operators.joins import split_join
 from swathline.operators.stats import exact_percentiles
 
 # Fixed values of the published metrics.
@@ -69,8 +70,10 @@ def corpus_bleu(pairs: DataFrame, row: str, prediction: str, reference: str) ->
         *[F.sum(F.greatest(F.size("p") - (n - 1), F.lit(0)).cast("long")).alias(f"t{n}") for n in ORDERS],
     )
     hits = (
-        base.select(row, "ref", F.explode(all_grams(F.col("p"))).alias("h")).select(row, "ref", "h.n", "h.g")
-        .join(ref_grams.select("ref", "n", "g", "cr"), ["ref", "n", "g"])
+        split_join(
+            base.select(row, "ref", F.explode(all_grams(F.col("p"))).alias("h")).select(row, "ref", "h.n", "h.g"),
+            ref_grams.select("ref", "n", "g", "cr", "uses"), ["ref", "n", "g"], "uses",
+        )
         .groupBy(row, "n", "g").agg(F.count("*").alias("cp"), F.first("cr").alias("cr"))
     )
     clipped = hits.agg(*[F.coalesce(F.sum(F.when(F.col("n") == n, F.least("cp", "cr"))), F.lit(0)).alias(f"c{n}") for n in ORDERS])
@@ -111,22 +114,23 @@ def cider_rows(pairs: DataFrame, row: str, prediction: str, reference: str) -> D
     Document frequency is taken over distinct references weighted by how many rows use
     them. An n-gram outside the reference vocabulary has idf log N, so its share of a
     prediction's norm follows from the in-row sum of squared counts; only n-grams of the
-    vocabulary are exploded past the join, and those counts combine map-side.
+    vocabulary pass the join, in which the most common ones are spread, and those counts combine map-side.
     """
     base, ref_grams = gram_tables(pairs, row, prediction, reference)
     docs = pairs.agg(F.log(F.greatest(F.count("*"), F.lit(1)).cast("double")).alias("log_n"))
     vocabulary = ref_grams.groupBy("n", "g").agg(F.sum("uses").alias("df")).crossJoin(docs)
-    vocabulary = vocabulary.select("n", "g", (F.col("log_n") - F.log(F.col("df").cast("double"))).alias("idf"))
-    weighted = ref_grams.join(vocabulary, ["n", "g"]).withColumn("vr", F.col("cr") * F.col("idf"))
+    vocabulary = vocabulary.select("n", "g", "df", (F.col("log_n") - F.log(F.col("df").cast("double"))).alias("idf"))
+    weighted = ref_grams.join(vocabulary.drop("df"), ["n", "g"]).withColumn("vr", F.col("cr") * F.col("idf"))
     ref_norms = weighted.groupBy("ref", "n").agg(F.sum(F.col("vr") * F.col("vr")).alias("nr2"))
     squares = base.select(
         row, "ref", F.size("p").alias("np"), F.size("r").alias("nr"),
         F.explode(F.array(*[F.struct(F.lit(n).alias("n"), _sum_squares(ngrams(F.col("p"), n)).alias("sq")) for n in ORDERS])).alias("s"),
     ).select(row, "ref", "np", "nr", "s.n", "s.sq")
     hits = (
-        base.select(row, "ref", F.explode(all_grams(F.col("p"))).alias("h"))
-        .select(row, "ref", "h.n", "h.g")
-        .join(vocabulary, ["n", "g"])
+        split_join(
+            base.select(row, "ref", F.explode(all_grams(F.col("p"))).alias("h")).select(row, "ref", "h.n", "h.g"),
+            vocabulary, ["n", "g"], "df",
+        )
         .groupBy(row, "ref", "n", "g", "idf")
         .agg(F.count("*").alias("cp"))
         .join(weighted.select("ref", "n", "g", "vr"), ["ref", "n", "g"], "left")

@@ -373,3 +373,24 @@ def test_isotonic_by_ranges_equals_the_plain_walk(spark, size):
     want = {s: t / w for t, w, own in stack for s in own}
     got = {r["score"]: r["fitted"] for r in CF.isotonic_fit(df, "s", "y", size).collect()}
     assert got == pytest.approx(want, abs=1e-12)
+
+
+def test_split_join_spreads_a_key_of_nearly_all_rows(spark):
+    """One key holds 99 % of the rows; no partition of the joined rows gets more than its share of it."""
+    from swathline.operators.joins import split_join
+
+    rows = spark.range(20_000).selectExpr("id", "IF(id % 100 = 0, id % 700, 7) AS k")
+    table = spark.range(600).selectExpr("id AS k", "id * 10 AS v", "IF(id = 7, 99, 1) AS w")
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")
+    before = {n: spark.conf.get(n) for n in names}
+    for n, value in zip(names, ("-1", "false", "16")):
+        spark.conf.set(n, value)
+    try:
+        out = split_join(rows, table, ["k"], "w", heavy=3)
+        got = {(r["id"], r["k"], r["v"]) for r in out.collect()}
+        sizes = [r["n"] for r in out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    finally:
+        for n, value in before.items():
+            spark.conf.set(n, value)
+    assert got == {(i, k, k * 10) for i in range(20_000) if (k := i % 700 if i % 100 == 0 else 7) < 600}
+    assert len(sizes) >= 9 and max(sizes) < 3 * 20_000 / 16
