@@ -43,6 +43,14 @@ def sized(side: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(side) if side.limit(limit + 1).count() <= limit else side
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or ``name`` with as many underscores behind it as no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def words_of(text: Column) -> Column:
     """Number of words; 0 for NULL."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

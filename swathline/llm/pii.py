@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from swathline.llm.common import sized, stored
+from swathline.llm.common import sized, stored, unused
 from swathline.session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
@@ -78,6 +78,18 @@ def written(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
+def words_before(text: str, start: int) -> list[str]:
+    """The last two words before ``start``, whole however long they are."""
+    size = 80
+    while True:
+        begin = max(0, start - size)
+        found = WORD.findall(text, begin, start)
+        # A third word stands between the two and the place where reading began, which may be inside a word.
+        if begin == 0 or len(found) > 2:
+            return found[-2:]
+        size *= 4
+
+
 def candidates(text: str, base: list[Span]) -> list[tuple[str | None, int, int, str, str, str]]:
     """Seeds and likely identifiers ``(kind, start, end, value, word before, two words before)`` of a text."""
     found: list[tuple[str | None, int, int]] = list(base)
@@ -93,7 +105,7 @@ def candidates(text: str, base: list[Span]) -> list[tuple[str | None, int, int,
             found.append((None, start, end))
     out = []
     for kind, start, end in found:
-        before = WORD.findall(text[max(0, start - 80) : start])[-2:]
+        before = words_before(text, start)
         last = before[-1].lower() if before else ""
         out.append((kind, start, end, text[start:end], last, f"{before[0].lower()} {last}" if len(before) == 2 else ""))
     return out
@@ -232,15 +244,17 @@ def redacted(docs: DataFrame, key: str = "doc_id", text: str = "text", length: s
     empty = F.array().cast("array<struct<start:int,stop:int,kind:string>>")
     names = docs.columns
     if found is not None:
-        more = by_row(found)
+        own, mark, spans = (unused(docs, n) for n in ("_id", "_mark", "_more"))
+        more = by_row(found).withColumnsRenamed({"_id": own, "_mark": mark, "_more": spans})
         # A hash of the text as the second key, so rows that share an id are told apart.
-        docs = docs.join(sized(more), docs[key].cast("long").eqNullSafe(more["_id"]) & (F.xxhash64(docs[text]) == more["_mark"]), "left")
-        empty = F.coalesce(more["_more"], empty)
+        docs = docs.join(sized(more), F.col(key).cast("long").eqNullSafe(F.col(own)) & (F.xxhash64(F.col(text)) == F.col(mark)), "left")
+        empty = F.coalesce(F.col(spans), empty)
     clean = F.when(F.col(text).rlike("[0-9@]"), masked(F.col(text), empty)).otherwise(F.col(text))
-    out = docs.withColumn("_clean", clean)
+    made = unused(docs, "_clean")
+    out = docs.withColumn(made, clean)
     return out.select(*[
-        F.col("_clean").alias(text) if n == text
-        else F.coalesce(F.length("_clean").cast("long"), F.col(n)).alias(n) if n == length
+        F.col(made).alias(text) if n == text
+        else F.coalesce(F.length(made).cast("long"), F.col(n)).alias(n) if n == length
         else F.col(n)
         for n in names
     ])

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from swathline.llm.common import sized, stored
+from swathline.llm.common import sized, stored, unused
 from swathline.llm.graph import components
 from swathline.session import cut_lineage
 
@@ -213,12 +213,12 @@ def one_of_each(docs: DataFrame, marks: DataFrame, fp: Column, key: str = "doc_i
     marks = marks.select(own.alias("_id"), "fp", "root", lead.alias("_lead"))
     often = cut_lineage(marks.groupBy("_id").count().where("count > 1").select("_id"))
     gone = marks.where("_id <> _lead").select("_id").union(often)
-    docs_id = F.coalesce(docs[key].cast("long"), F.lit(NO_ID))
-    left = docs.join(sized(gone.withColumnRenamed("_id", "_gone")), docs_id == F.col("_gone"), "left_anti")
+    docs_id, other = F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)), unused(docs, "_gone")
+    left = docs.join(sized(gone.withColumnRenamed("_id", other)), docs_id == F.col(other), "left_anti")
     if often.isEmpty():
         return left
     # Keys of several rows: those rows are looked up by key and fingerprint, and the least row of a component stays.
-    again = docs.join(sized(often.withColumnRenamed("_id", "_often")), docs_id == F.col("_often"), "left_semi")
+    again = docs.join(sized(often.withColumnRenamed("_id", other)), docs_id == F.col(other), "left_semi")
     again = again.select(F.struct("*").alias("_row"), docs_id.alias("_id"), fp.alias("fp"))
     leads = marks.where("_id = _lead").join(sized(often), "_id", "left_semi").select("_id", "fp", "root").distinct()
     return left.unionByName(again.join(leads, ["_id", "fp"]).groupBy("root").agg(F.min("_row").alias("_row")).select("_row.*"))

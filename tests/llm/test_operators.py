@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from swathline.llm import bottomk, decontaminate, graph, html_text, kneser_ney, licences, masked_lm, mixing, pii, simhash, symbols, toxicity
+from swathline.llm import bottomk, decontaminate, graph, html_text, kneser_ney, licences, masked_lm, mixing, pii, resemblance, simhash, symbols, toxicity
 from swathline.llm.common import words_of
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -441,6 +441,26 @@ def test_contexts_find_identifiers_that_no_pattern_has(spark):
     assert clean[9] == "please write to [EMAIL] thanks" and clean[10] == "see the 4900 end" and clean[0].startswith("filler number 0 please write to [EMAIL] thanks")
 
 
+def test_columns_named_like_inner_ones_stay(spark):
+    """Every name that an operator makes inside, as columns of the input, on the branches that join them."""
+    known = [(i, f"filler number {i} please write to user{i}@host{i}.org thanks the 4{i}00 end") for i in range(6)]
+    docs = spark.createDataFrame([*known, (9, "please write to user9(at)host.org thanks"), (9, "other words"), (9, "other words")], "doc_id long, text string")
+    for name in ("_id", "_more", "_mark", "_clean", "_gone", "_often", "_first", "_name", "_lead", "_row", "_s", "fp", "root", "name", "id"):
+        docs = docs.withColumn(name, F.concat(F.lit("mine "), F.col("doc_id").cast("string")))
+    for got in (pii.redacted(docs), simhash.first_of_each(docs), resemblance.first_of_each(docs)):
+        assert got.columns == docs.columns
+        rows = got.collect()
+        assert all(r[c] == f"mine {r['doc_id']}" for r in rows for c in docs.columns[2:])
+        assert sorted({r["doc_id"] for r in rows}) == [*range(6), 9] and len(rows) in (8, 9)
+    assert "please write to [EMAIL] thanks" in {r["text"] for r in pii.redacted(docs).collect()}
+
+
+def test_context_words_are_whole():
+    long = "x" * 500
+    text = f"{long} {long} a@b.cd"
+    assert pii.words_before(text, 1002) == [long, long] and pii.words_before("one", 3) == ["one"] and pii.words_before("", 0) == []
+
+
 def test_personal_data_of_odd_rows(spark, odd, empty):
     more = odd.unionByName(odd.limit(1).withColumns({"doc_id": F.lit(None).cast("long"), "text": F.lit("a@b.cd and 1.2.3.4, +49 (30) 1234567")}))
     rows = pii.spans(more).collect()
