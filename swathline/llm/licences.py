@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,9 +57,54 @@ SENTENCES: dict[str, str] = {
     "this is free and unencumbered software released into the public domain": "unlicense-grant",
     "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means": "unlicense-free",
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "this program is free software": "gnu-free",
+    "this library is free software": "gnu-free",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": "gpl-grant",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation": "lgpl-grant",
+    "you can redistribute it and or modify it under the terms of the gnu library general public license as published by the free software foundation": "lgpl-grant",
+    "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation": "agpl-grant",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version * of the license or at your option any later version": "gpl-grant-later",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version * of the license or at your option any later version": "lgpl-grant-later",
+    "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version * of the license or at your option any later version": "agpl-grant-later",
+    "you can redistribute it and or modify it under the terms of the gnu general public license version * as published by the free software foundation": "gpl-grant-only",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version * of the license": "gpl-grant-only",
+    "either version * of the license or at your option any later version": "gnu-later",
+    "version * of the license": "gnu-only",
+    "this program is distributed in the hope that it will be useful but without any warranty": "gnu-hope",
+    "this library is distributed in the hope that it will be useful but without any warranty": "gnu-hope",
+    "without even the implied warranty of merchantability or fitness for a particular purpose": "gpl-warranty",
+    "this source code form is subject to the terms of the mozilla public license v.*": "mpl-notice",
+    "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla.org mpl *": "mpl-copy",
+    "this work is licensed under the creative commons attribution * international license": "cc-by-notice",
+    "this work is licensed under the creative commons attribution sharealike * international license": "cc-by-sa-notice",
+    "this work is licensed under the creative commons attribution noncommercial * international license": "cc-by-nc-notice",
+    "this work is licensed under a creative commons attribution noncommercial sharealike * international license": "cc-by-nc-sa-notice",
+    "this work is licensed under the creative commons attribution noncommercial sharealike * international license": "cc-by-nc-sa-notice",
+    "this work is licensed under a creative commons attribution noderivatives * international license": "cc-by-nd-notice",
+    "this work is licensed under the creative commons attribution noderivatives * international license": "cc-by-nd-notice",
+    "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide": "cc0-grant",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license v*": "epl-notice",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license * which is available at https www.eclipse.org legal epl *": "epl-notice",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license * which is available at http www.eclipse.org legal epl *": "epl-notice",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license v. * which is available at https www.eclipse.org legal epl v20.html": "epl-notice",
     "all rights reserved": "reserved",
 }
 
+# Identifiers that may follow SPDX-License-Identifier.
+SPDX = (
+    "0BSD", "AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0",
+    "CC0-1.0", "EPL-2.0", "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "ISC", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "MIT", "MPL-2.0",
+    "Unlicense", "Zlib",
+)
+NUMBERS = r"\b[0-9]+(?:\.[0-9]+)*\b"
+
+
+def spdx_id(name: str) -> str:
+    return "spdx-" + re.sub("[^a-z0-9]+", "-", re.sub(NUMBERS, "n", name).lower())
+
+
+SENTENCES |= {"spdx license identifier " + re.sub("[^a-z0-9.*]+", " ", re.sub(NUMBERS, "*", x).lower()): spdx_id(x) for x in SPDX}
+
 # Licences and the sentence identifiers that state them, in order. Earlier rules win over those whose
 # identifiers they contain.
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
@@ -71,6 +118,14 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("Apache-*", ("apache-compliance", "apache-copy")),
     ("GPL-*-or-later", ("gpl-grant-later",)),
     ("GPL-*-only", ("gpl-grant-only",)),
+    ("GPL-*-or-later", ("gpl-grant", "gnu-later")),
+    ("GPL-*-only", ("gpl-grant", "gnu-only")),
+    ("LGPL-*-or-later", ("lgpl-grant", "gnu-later")),
+    ("LGPL-*-only", ("lgpl-grant", "gnu-only")),
+    ("AGPL-*-or-later", ("agpl-grant", "gnu-later")),
+    ("AGPL-*-only", ("agpl-grant", "gnu-only")),
+    ("CC0-1.0", ("cc0-grant",)),
+    ("EPL-*", ("epl-notice",)),
     ("GPL-*", ("gpl-notice",)),
     ("LGPL-*-or-later", ("lgpl-grant-later",)),
     ("LGPL-*", ("lgpl-notice",)),
@@ -85,6 +140,7 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("CC-BY-*", ("cc-by-notice",)),
     ("Unlicense", ("unlicense-grant",)),
     ("ISC", ("isc-grant",)),
+    *sorted({(re.sub(NUMBERS, "*", x), (spdx_id(x),)) for x in SPDX}),
 )
 
 #: Every sentence of the table holds one of these; texts without any are passed over.
@@ -106,8 +162,25 @@ def version_free(sentence: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """A sentence ends after . ! ? ; or : before white space, and at a line break."""
-    return F.split(F.regexp_replace(text, r"([.!?;:])[ \t\n\r\f]+", "$1\n"), "\n")
+    """A sentence ends after . ! ? ; or : before white space, and at a line break; but not in "v. 2" nor before what an SPDX mark names."""
+    whole = F.regexp_replace(F.regexp_replace(text, r"\b([vV])\.[ \t]+([0-9])", "$1.$2"), r"(License-Identifier):[ \t]*", "$1-")
+    return F.split(F.regexp_replace(whole, r"([.!?;:])[ \t\n\r\f]+", "$1\n"), "\n")
+
+
+#: Line breaks of running text, with the comment signs that a line may begin with, and empty lines, which end a sentence.
+EMPTY_LINE = r"\n[ \t\r\f]*(?:[*#]+|//+)?[ \t\r\f]*\n"
+LINE_BREAK = r"[ \t\r\f]*\n[ \t]*(?:[*#]+|//+)?[ \t]*"
+
+
+def running_text(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(text, EMPTY_LINE, ".\n"), LINE_BREAK, " ")
+
+
+def version_place(ids: tuple[str, ...]) -> str:
+    """A pattern whose group is the version a rule states: in its first sentence, or in the one right behind where the first has none."""
+    if len(ids) > 1 and not any("*" in s for s, i in SENTENCES.items() if i == ids[0]):
+        return f";{ids[0]}@[^;]*;{ids[1]}@([0-9.]*)"
+    return f";{ids[0]}@([0-9.]*)"
 
 
 def identifiers(text: Column) -> Column:
@@ -136,7 +209,7 @@ def stated(sequence: Column) -> Column:
         for _, wider in RULES[:i]:
             if set(ids) <= set(wider):
                 said = said & ~holds(wider)
-        versions = F.regexp_extract_all(sequence, F.lit(f";{ids[0]}@([0-9.]*)"), 1)
+        versions = F.regexp_extract_all(sequence, F.lit(version_place(ids)), 1)
         named = F.transform(versions, with_version(name)) if "*" in name else F.array(F.lit(name))
         found.append(F.when(said, named).otherwise(F.array().cast("array<string>")))
     return F.array_sort(F.array_distinct(F.flatten(F.array(*found))))
@@ -156,7 +229,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     for word in sorted({max(hint.split(), key=len) for hint in HINTS}):
         worth = worth | lower.contains(word)
     hinted = worth & normalised(F.col(text)).rlike("|".join(HINTS))
-    running = F.regexp_replace(F.regexp_replace(F.col(text), r"\n[ \t\r\f]*\n", ".\n"), r"[ \t\r\f]*\n[ \t]*", " ")
+    running = running_text(F.col(text))
     lines = docs.select(
         F.col(key),
         F.when(hinted, identifiers(F.col(text))).otherwise(";").alias("_lines"),
@@ -166,6 +239,9 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     read = lines.withColumn("_all", F.when(count(F.col("_running")) > count(F.col("_lines")), F.col("_running")).otherwise(F.col("_lines")))
     none = F.array().cast("array<string>")
     both = F.array_sort(F.array_union(*[F.when(F.col(c).contains("@"), stated(F.col(c))).otherwise(none) for c in ("_lines", "_running")]))
+    # A licence without its version says nothing beside the same one with it.
+    versioned = lambda x, y: y.startswith(F.concat(x, F.lit("-"))) & F.substr(y, F.length(x) + 2, F.lit(1)).between("0", "9")
+    both = F.filter(both, lambda x: ~F.exists(both, lambda y: versioned(x, y)))
     return read.select(
         key,
         F.array_join(both, ",").alias("licences"),

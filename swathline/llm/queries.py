@@ -76,17 +76,17 @@ def licence_sql() -> str:
     rows = lambda items: ", ".join("(" + ", ".join(map(str, i)) + ")" for i in items)
     said = lambda ids: ";" + "(?:[^;]*;)*?".join(f"{x}@[^;]*;" for x in ids)
     wider = [(i, j) for i, (_, a) in enumerate(rules) for j, (_, b) in enumerate(rules[:i]) if set(a) <= set(b)] or [(-1, -1)]
-    hint = " OR ".join(f"contains(lower(text), {text(h)})" for h in licences.HINTS)
-    cut = lambda t: rf"string_split(regexp_replace({t}, '([.!?;:])[ \t\n\r\f]+', '\1' || chr(10), 'g'), chr(10))"
-    running = r"regexp_replace(regexp_replace(text, '\n[ \t\r\f]*\n', '.' || chr(10), 'g'), '[ \t\r\f]*\n[ \t]*', ' ', 'g')"
+    whole = lambda t: rf"regexp_replace(regexp_replace({t}, '\b([vV])\.[ \t]+([0-9])', '\1.\2', 'g'), '(License-Identifier):[ \t]*', '\1-', 'g')"
+    cut = lambda t: rf"string_split(regexp_replace({whole(t)}, '([.!?;:])[ \t\n\r\f]+', '\1' || chr(10), 'g'), chr(10))"
+    running = f"regexp_replace(regexp_replace(text, '{licences.EMPTY_LINE}', '.' || chr(10), 'g'), '{licences.LINE_BREAK}', ' ', 'g')"
     return rf"""
     WITH known(sentence, id) AS (VALUES {rows((text(s), text(i)) for s, i in licences.SENTENCES.items())}),
-    rules(rule, name, pattern, first_id) AS (VALUES {rows((i, text(n), text(said(x)), text(x[0])) for i, (n, x) in enumerate(rules))}),
+    rules(rule, name, pattern, version_at) AS (VALUES {rows((i, text(n), text(said(x)), text(licences.version_place(x))) for i, (n, x) in enumerate(rules))}),
     wider(rule, other) AS (VALUES {rows(wider)}),
     numbered AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
     readings AS (
-      SELECT rid, 0 AS reading, {cut("text")} AS parts FROM numbered WHERE {hint}
-      UNION ALL SELECT rid, 1, {cut(running)} FROM numbered WHERE {hint}),
+      SELECT rid, 0 AS reading, {cut("text")} AS parts FROM numbered
+      UNION ALL SELECT rid, 1, {cut(running)} FROM numbered),
     sentences AS (SELECT rid, reading, unnest(parts) AS s, generate_subscripts(parts, 1) AS place FROM readings),
     plain AS (
       SELECT rid, reading, place, trim(regexp_replace(regexp_replace(regexp_replace(
@@ -101,11 +101,14 @@ def licence_sql() -> str:
     lead AS (
       SELECT h.* FROM hits h WHERE NOT EXISTS (SELECT 1 FROM wider w JOIN hits o ON o.rule = w.other
         WHERE w.rule = h.rule AND o.rid = h.rid AND o.reading = h.reading)),
-    versions AS (SELECT rid, name, unnest(regexp_extract_all(seq, ';' || first_id || '@([0-9.]*)', 1)) AS version FROM lead),
+    versions AS (SELECT rid, name, unnest(regexp_extract_all(seq, version_at, 1)) AS version FROM lead),
     named AS (
       SELECT DISTINCT rid, CASE WHEN NOT contains(name, '*') THEN name
         ELSE rtrim(split_part(name, '*', 1) || version, '-') || split_part(name, '*', 2) END AS licence FROM versions),
-    found AS (SELECT rid, string_agg(licence, ',' ORDER BY licence) AS licences FROM named GROUP BY rid),
+    found AS (
+      SELECT rid, string_agg(licence, ',' ORDER BY licence) AS licences FROM named n
+      WHERE NOT EXISTS (SELECT 1 FROM named m WHERE m.rid = n.rid AND starts_with(m.licence, n.licence || '-') AND regexp_matches(substr(m.licence, len(n.licence) + 2, 1), '[0-9]'))
+      GROUP BY rid),
     best AS (SELECT rid, arg_max(ids, n * 2 - reading) AS ids, MAX(n) AS n FROM sequences GROUP BY rid)
     SELECT d.doc_id, COALESCE(f.licences, '') AS licences, COALESCE(b.ids, '') AS sentences, COALESCE(b.n, 0)::BIGINT AS n_sentences
     FROM numbered d LEFT JOIN found f USING (rid) LEFT JOIN best b USING (rid)

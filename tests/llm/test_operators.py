@@ -598,6 +598,46 @@ def test_licences_of_texts(spark):
     assert got == ["BSD-3-Clause", "BSD-2-Clause", "MIT", "Apache-2.0,CC-BY-NC-4.0", "", "", "GPL-3", ""]
 
 
+NOTICES = {
+    "GPL-2.0-or-later": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2.0 of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "GPL-3-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GPL-2-only": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2 of the License.",
+    "LGPL-2.1-or-later": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "AGPL-3-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0',
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "CC-BY-4.0": "This work is licensed under the Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC0-1.0": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty.",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+}
+
+
+def wrapped(text, sign):
+    import textwrap
+
+    lines = [line for part in text.split("\n") for line in (textwrap.wrap(part, 58) or [""])]
+    return "\n".join(f"{sign} {line}".rstrip() if sign else line for line in lines)
+
+
+@pytest.mark.parametrize("sign", [None, "", " *", "//", "#"])
+def test_published_notices(spark, sign):
+    """Plain, wrapped, and wrapped behind the signs of comments."""
+    texts = [f"Some code.\n\n{t if sign is None else wrapped(t, sign)}\n" for t in NOTICES.values()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["licences"] for r in licences.scan(docs).collect()}
+    assert got == dict(enumerate(NOTICES))
+
+
+def test_spdx_lines_and_notices_side_by_side(spark):
+    texts = [f"{sign} SPDX-License-Identifier: {x}\nimport os" for sign, x in itertools.product(("#", "//", " *"), licences.SPDX)]
+    texts += ["/* SPDX-License-Identifier: MIT */", NOTICES["GPL-2.0-or-later"] + "\n" + NOTICES["LGPL-2.1-or-later"], "# SPDX-License-Identifier: nothing-known"]
+    got = [r["licences"] for r in licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == [*licences.SPDX * 3, "MIT", "GPL-2.0-or-later,LGPL-2.1-or-later", ""]
+
+
 def test_licences_of_odd_rows(spark, odd, empty):
     assert {r["licences"] for r in licences.scan(odd).collect()} == {""} and licences.scan(odd).count() == 8
     assert licences.scan(empty).count() == 0
