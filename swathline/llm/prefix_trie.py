@@ -238,11 +238,12 @@ def subtree_sums(nodes: DataFrame, rows: DataFrame, shard_nodes: int) -> DataFra
     done = [summed(outside, F.pmod("top", F.lit(shards)))]
     below, crown = passed_up(done[0], crown)
     done = [below]
-    if crown.count() <= shard_nodes:
+    left, deepest = crown.agg(F.count("*"), F.max("depth")).first()
+    if left <= shard_nodes:
         return below.union(summed(crown, F.lit(0)))
-    width = max(1, shard_nodes // max(1, -(-total // max(1, shard_nodes // 4))))
+    width = max(1, shard_nodes * (deepest + 1) // left)
     heads = rows.where(F.col("depth") % width == 0).select(F.col("conv_id").alias("_c"), F.col("depth").alias("_d"), F.xxhash64(*LANES).alias("_top"))
-    for band in range(crown.agg(F.max("depth")).first()[0] // width, -1, -1):
+    for band in range(deepest // width, -1, -1):
         mine = crown.where(F.floor(F.col("depth") / width) == band)
         rest = crown.where(F.floor(F.col("depth") / width) < band)
         tops = heads.where(F.col("_d") == band * width).select(F.col("_c").alias("conv_id"), "_top")
