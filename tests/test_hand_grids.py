@@ -71,6 +71,14 @@ def test_otsu_matches_a_dense_histogram(spark):
     assert row["threshold"] == pytest.approx(centres[int(np.nanargmax(between))], abs=1e-9)
 
 
+def test_middle_of_the_bins_does_not_depend_on_how_rows_are_dealt(spark):
+    rows = spark.range(3000).select(F.lit(1).alias("k"), (F.pmod(F.xxhash64("id"), F.lit(100_003)) / 7).alias("v"))
+    dealt = [rows.repartition(n, F.xxhash64("v", F.lit(n))) if n else rows.coalesce(1) for n in (0, 2, 7, 23)]
+    sketches = {df.groupBy("k").agg(F.percentile_approx("v", F.lit(0.5), F.lit(100))).collect()[0][1] for df in dealt}
+    assert len(sketches) > 1  # why a sketch won't do
+    assert len({df.groupBy("k").agg(S.usual_value("v")).collect()[0][1] for df in dealt}) == 1
+
+
 def test_percentiles_match_numpy_on_skewed_values(spark):
     x = np.concatenate([np.zeros(400), np.random.default_rng(4).lognormal(0, 3, 999), [1e9]])
     shares = {"a": 0.02, "b": 0.5, "c": 0.98, "d": 1.0}
