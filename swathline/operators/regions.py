@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,6 +24,9 @@ BLOCK_PX = 128
 # Confidence of the fallback with and without a proposal.
 FOUND, NOT_FOUND = 0.3, 0.05
 
+#: Pixels per word of a raster row: the bits of a long without its sign.
+WORD_PX = 62
+
 
 def label_block(pdf: pd.DataFrame, r: str = "r", c: str = "c") -> np.ndarray:
     """For each pixel of a block the id of the first pixel, in reading order, of its 4-connected piece inside the block."""
@@ -194,26 +198,64 @@ def proposal_summary(mask: DataFrame, keys: Keys, target: str, height: int, widt
     return frames.withColumn("confidence", confidence)
 
 
+def ring_words(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, group: np.ndarray, height: int, width: int) -> tuple[np.ndarray, ...]:
+    """``group, row, word, bits`` of the pixels inside rings, whose points lie one ring after the other in ``x`` and ``y``."""
+    ring = np.repeat(np.arange(len(sizes)), sizes)
+    ends = np.cumsum(sizes)
+    after = np.arange(1, len(x) + 1)
+    after[ends[sizes > 0] - 1] = (ends - sizes)[sizes > 0]
+    x1, y1 = x[after], y[after]
+    low, high = np.minimum(y, y1), np.maximum(y, y1)
+    # Row r is crossed when low <= r + 0.5 < high.
+    first = np.maximum(np.ceil(low - 0.5), 0).astype(np.int64)
+    rows = np.maximum(np.minimum(np.ceil(high - 0.5) - 1, height - 1).astype(np.int64) - first + 1, 0)
+    edge = np.repeat(np.arange(len(x)), rows)
+    r = np.arange(len(edge)) - np.repeat(np.cumsum(rows) - rows, rows) + first[edge]
+    at = x[edge] + (r + 0.5 - y[edge]) * (x1 - x)[edge] / (y1 - y)[edge]
+    order = np.lexsort((at, r, ring[edge]))
+    # A ring crosses each row an even number of times, so its sorted crossings pair up.
+    at, r, of = at[order], r[order][::2], group[ring[edge[order][::2]]]
+    # Column c is inside when a < c + 0.5 <= b.
+    c0 = np.maximum(np.floor(at[::2] - 0.5) + 1, 0).astype(np.int64)
+    c1 = np.minimum(np.floor(at[1::2] - 0.5), width - 1).astype(np.int64)
+    some = c1 >= c0
+    c0, c1, r, of = c0[some], c1[some], r[some], of[some]
+    n = c1 // WORD_PX - c0 // WORD_PX + 1
+    span = np.repeat(np.arange(len(n)), n)
+    w = np.arange(len(span)) - np.repeat(np.cumsum(n) - n, n) + (c0 // WORD_PX)[span]
+    start, end = np.maximum(c0[span] - w * WORD_PX, 0), np.minimum(c1[span] - w * WORD_PX, WORD_PX - 1)
+    bits = ((np.int64(1) << (end - start + 1)) - 1) << start
+    r, of = r[span], of[span]
+    order = np.lexsort((w, r, of))
+    r, of, w, bits = r[order], of[order], w[order], bits[order]
+    new = np.flatnonzero(np.r_[True, (np.diff(of) != 0) | (np.diff(r) != 0) | (np.diff(w) != 0)]) if len(w) else np.zeros(0, np.int64)
+    return of[new], r[new], w[new], np.bitwise_or.reduceat(bits, new) if len(new) else bits
+
+
 def rasterize(rings: DataFrame, keys: Keys, height: int, width: int) -> DataFrame:
     """Pixels whose centre lies inside a ring (even-odd), by scan lines.
 
-    An edge is exploded to the pixel rows it crosses; the sorted crossings of one (ring, row) pair
-    up into spans, and spans explode to columns. Work follows the output, with no pixel-by-edge join.
-    ``rings`` has (keys, ring_id, ring array<struct<x, y>>) in pixel units.
+    An edge is repeated for the pixel rows it crosses, and the sorted crossings of a ring and row pair up into spans: in numpy,
+    for a batch of rings. Spans are bits in words of a raster row, or-ed in the batch and map-side, so what is shuffled follows
+    the rasters, not the rings' summed areas. ``rings`` has (keys, ring_id, ring array<struct<x, y>>) in pixel units, a ring a row.
     """
-    closed = F.concat(F.slice("ring", 2, F.size("ring")), F.slice("ring", 1, 1))
-    edges = rings.where(F.size("ring") >= 3).select(*keys, "ring_id", F.explode(F.arrays_zip(F.col("ring").alias("a"), closed.alias("b"))).alias("e"))
-    y0, y1, x0, x1 = F.col("e.a.y"), F.col("e.b.y"), F.col("e.a.x"), F.col("e.b.x")
-    low, high = F.least(y0, y1), F.greatest(y0, y1)
-    # Row r is crossed when low <= r + 0.5 < high.
-    first = F.greatest(F.ceil(low - 0.5), F.lit(0))
-    last = F.least(F.ceil(high - 0.5) - 1, F.lit(height - 1))
-    crossings = edges.where(last >= first).withColumn("r", F.explode(F.sequence(first, last)))
-    at = x0 + (F.col("r") + 0.5 - y0) * (x1 - x0) / (y1 - y0)
-    lines = crossings.select(*keys, "ring_id", "r", at.alias("x")).groupBy(*keys, "ring_id", "r").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    pairs = F.transform(F.sequence(F.lit(0), (F.size("xs") / 2 - 1).cast("int")), lambda i: F.struct(F.get(F.col("xs"), (i * 2).cast("int")).alias("a"), F.get(F.col("xs"), (i * 2 + 1).cast("int")).alias("b")))
-    spans = lines.select(*keys, "r", F.explode(pairs).alias("s"))
-    # Column c is inside when a < c + 0.5 <= b.
-    c0 = F.greatest(F.floor(F.col("s.a") - 0.5) + 1, F.lit(0))
-    c1 = F.least(F.floor(F.col("s.b") - 0.5), F.lit(width - 1))
-    return spans.where(c1 >= c0).select(*keys, "r", F.explode(F.sequence(c0, c1)).alias("c")).distinct()
+    keys = list(keys)
+    types = {f.name: f.dataType.simpleString() for f in rings.schema.fields}
+    schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], "r long, w long, bits long"])
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            named = pa.Table.from_batches([batch]).select(keys)
+            group = named.to_pandas().groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+            x, y = (batch.column(batch.schema.get_field_index(c)) for c in ("_x", "_y"))
+            sizes = np.diff(x.offsets.to_numpy())
+            of, *made = ring_words(x.flatten().to_numpy(zero_copy_only=False), y.flatten().to_numpy(zero_copy_only=False), sizes, group, height, width)
+            where = named.take(pa.array(np.unique(group, return_index=True)[1][of]))
+            for name, column in zip(("r", "w", "bits"), made):
+                where = where.append_column(name, pa.array(column))
+            yield from where.combine_chunks().to_batches()
+
+    points = rings.where(F.size("ring") >= 3).select(*keys, F.col("ring.x").alias("_x"), F.col("ring.y").alias("_y"))
+    filled = points.mapInArrow(words, schema).groupBy(*keys, "r", "w").agg(F.bit_or("bits").alias("bits"))
+    set_bits = F.filter(F.sequence(F.lit(0), F.lit(WORD_PX - 1)), lambda i: F.call_function("getbit", F.col("bits"), i) == 1)
+    return filled.select(*keys, "r", "w", F.explode(set_bits).alias("i")).select(*keys, "r", (F.col("w") * WORD_PX + F.col("i")).alias("c"))

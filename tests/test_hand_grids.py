@@ -293,3 +293,23 @@ def test_compass_needs_a_cluster(spark):
     rows = spark.createDataFrame([(10, 20, 7, 5), (10, 20, 5, 5), (5, 20, 5, 5), (10, 20, 7, 9)], "n long, f long, north long, east long")
     got = rows.select(CH.compass_side(F.col("n"), F.col("f"), F.col("north"), F.col("east"))).collect()
     assert [r[0] for r in got] == ["north", None, None, "east"]
+
+
+def test_rasters_of_overlapping_rings_are_words_not_pixels_per_ring(spark):
+    import re
+
+    rng = np.random.default_rng(4)
+    rows, want = [], set()
+    for ring_id in range(40):
+        points = rng.uniform(-9, 160, (int(rng.integers(3, 9)), 2))
+        rows.append((ring_id % 3, ring_id, [(float(x), float(y)) for x, y in points]))
+        ends = np.roll(points, -1, axis=0)
+        for r in range(130):
+            xs = [a[0] + (r + 0.5 - a[1]) * (b[0] - a[0]) / (b[1] - a[1]) for a, b in zip(points, ends) if (a[1] <= r + 0.5) != (b[1] <= r + 0.5)]
+            want |= {(ring_id % 3, r, c) for c in range(140) if sum(x < c + 0.5 for x in xs) % 2}
+    rings = spark.createDataFrame(rows, "frame long, ring_id long, ring array<struct<x: double, y: double>>")
+    out = RG.rasterize(rings, ["frame"], 130, 140)
+    got = [tuple(r) for r in out.select("frame", "r", "c").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Aggregate .*bit_or", plan) and plan.count("Aggregate") == 1  # pixels are made after the only shuffle
