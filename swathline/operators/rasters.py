@@ -143,21 +143,27 @@ def clearest_cover(scenes: DataFrame, areas: DataFrame, window: str, cell: float
 
     Containment is narrowed by an equi-join: an area sits in the cell of its south-west
     corner and a scene lists the cells its footprint touches, so no pair outside a shared
-    cell is ever formed and the exact test only filters.
+    cell is ever formed and the exact test only filters. Scenes of one footprint are one row with
+    their number and clearest scene, and areas of one extent meet scenes once, so that revisits of
+    the same ground add no pairs.
     """
+    sides = ["west", "south", "east", "north"]
+    scenes = scenes.groupBy(window, *sides).agg(F.count("*").alias("_n"), F.min(F.struct("cloud", "scene_id")).alias("_best"))
     index = lambda v: F.floor(v / cell)
     gridded = scenes.withColumn(
         "_cx", F.explode(F.sequence(index(F.col("west")), index(F.col("east"))))
     ).withColumn("_cy", F.explode(F.sequence(index(F.col("south")), index(F.col("north")))))
-    boxes = areas.select(
-        "aoi", F.col("west").alias("w"), F.col("south").alias("s"), F.col("east").alias("e"), F.col("north").alias("n"),
+    boxes = areas.select(*sides).distinct().select(
+        F.col("west").alias("w"), F.col("south").alias("s"), F.col("east").alias("e"), F.col("north").alias("n"),
         index(F.col("west")).alias("_cx"), index(F.col("south")).alias("_cy"),
     )
     inside = (F.col("west") <= F.col("w")) & (F.col("south") <= F.col("s")) & (F.col("east") >= F.col("e")) & (F.col("north") >= F.col("n"))
     hits = gridded.join(boxes, ["_cx", "_cy"]).where(inside)
-    return hits.groupBy("aoi", window).agg(
-        F.count("*").alias("candidates"),
-        F.min(F.struct("cloud", "scene_id")).alias("best"),
+    covers = hits.groupBy("w", "s", "e", "n", window).agg(F.sum("_n").alias("candidates"), F.min("_best").alias("best"))
+    named = areas.select("aoi", F.col("west").alias("w"), F.col("south").alias("s"), F.col("east").alias("e"), F.col("north").alias("n"))
+    # An area listed twice under one name counts its candidates twice.
+    return named.join(covers, ["w", "s", "e", "n"]).groupBy("aoi", window).agg(
+        F.sum("candidates").alias("candidates"), F.min("best").alias("best")
     ).select("aoi", window, "candidates", F.col("best.scene_id").alias("scene_id"), F.col("best.cloud").alias("cloud"))
 
 

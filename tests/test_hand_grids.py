@@ -313,3 +313,21 @@ def test_rasters_of_overlapping_rings_are_words_not_pixels_per_ring(spark):
     assert len(got) == len(set(got)) and set(got) == want
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"Aggregate .*bit_or", plan) and plan.count("Aggregate") == 1  # pixels are made after the only shuffle
+
+
+def test_clearest_cover_of_revisits_counts_every_scene(spark):
+    from swathline.operators import rasters as R
+
+    foot = [(i, i % 2, (i * 7) % 31, float(i % 3), 0.0, i % 3 + 2.0, 2.0) for i in range(60)]
+    areas = [(a, a % 4 + 0.25, 0.5, a % 4 + 0.75, 1.0) for a in range(12)]
+    scenes = spark.createDataFrame(foot, "scene_id long, win long, cloud long, west double, south double, east double, north double")
+    out = R.clearest_cover(scenes, spark.createDataFrame(areas, "aoi long, west double, south double, east double, north double"), "win")
+    want = set()
+    for aoi, w, s, e, n in areas:
+        for win in (0, 1):
+            hits = [(f[2], f[0]) for f in foot if f[1] == win and f[3] <= w and f[4] <= s and f[5] >= e and f[6] >= n]
+            if hits:
+                want.add((aoi, win, len(hits), min(hits)[1], min(hits)[0]))
+    assert {tuple(r) for r in out.collect()} == want
+    # Scenes of one footprint are one row before the join.
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 4
