@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column
@@ -23,6 +24,45 @@ def ngrams(words: Column, order: int) -> Column:
     return F.transform(starts, lambda i: F.array_join(F.slice(words, i, order), " "))
 
 
+WORD = re.compile("[a-z0-9]+")
+ORDERS = range(1, 5)
+
+
+def counted_grams(text: str | None, order: int) -> Counter:
+    words = WORD.findall(text.lower()) if text else []
+    return Counter(words if order == 1 else map(" ".join, zip(*(words[i:] for i in range(order)))))
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def clipped_counts(first: pd.Series, second: pd.Series) -> pd.Series:
+    """Per order 1 to 4: n-grams of the first text, each counted at most as often as the second has it."""
+    return pd.Series([[(counted_grams(a, n) & counted_grams(b, n)).total() for n in ORDERS] for a, b in zip(first, second)])
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def squared_counts(text: pd.Series) -> pd.Series:
+    """Per order 1 to 4: the sum of the squared counts of a text's n-grams."""
+    return pd.Series([[sum(k * k for k in counted_grams(t, n).values()) for n in ORDERS] for t in text])
+
+
+@F.pandas_udf(T.StructType([T.StructField(k, T.ArrayType(t())) for k, t in (("n", T.IntegerType), ("g", T.StringType), ("cp", T.LongType), ("cr", T.LongType))]))
+def gram_counts(first: pd.Series, second: pd.Series) -> pd.DataFrame:
+    """Every distinct n-gram of two texts, of order 1 to 4, with its counts in both: four arrays side by side."""
+
+    def both(a: str | None, b: str | None) -> tuple[list, ...]:
+        orders, grams, cp, cr = [], [], [], []
+        for n in ORDERS:
+            p, r = counted_grams(a, n), counted_grams(b, n)
+            found = list(p) + [g for g in r if g not in p]
+            orders += [n] * len(found)
+            grams += found
+            cp += [p.get(g, 0) for g in found]
+            cr += [r.get(g, 0) for g in found]
+        return orders, grams, cp, cr
+
+    return pd.DataFrame([both(a, b) for a, b in zip(first, second)], columns=["n", "g", "cp", "cr"])
+
+
 def lcs_bits(first: list[str], second: list[str]) -> int:
     """Longest common subsequence length, one machine word per 64 tokens of ``second``."""
     where: dict[str, int] = {}

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from swathline.functions.answers import first_number, format_answer, strip, yes_no
-from swathline.functions.tokens import lcs_length, lcs_length_whitespace, ngrams, tokens
-from swathline.operators.joins import split_join
+from swathline.functions.tokens import clipped_counts, gram_counts, lcs_length, lcs_length_whitespace, ngrams, squared_counts, tokens
 from swathline.operators.stats import exact_percentiles
+from swathline.session import cut_lineage
 
 # Fixed values of the published metrics.
 MAX_ORDER = 4
@@ -19,6 +20,8 @@ ROUGE_BETA = 1.2
 CIDER_SIGMA = 6.0
 NUMERIC_TOLERANCE = 0.05
 FLOOR_ACCURACY = 0.10
+#: n-grams of the reference vocabulary that are broadcast at once: below 100 MB.
+VOCABULARY_ROWS = 500_000
 
 
 def accuracy_by_type(rows: DataFrame, hit: Column, kind: str, run: Sequence[str] = ()) -> DataFrame:
@@ -47,37 +50,19 @@ def all_grams(words: Column) -> Column:
     return F.concat(*[tag(n) for n in ORDERS])
 
 
-def gram_tables(pairs: DataFrame, row: str, prediction: str, reference: str) -> tuple[DataFrame, DataFrame]:
-    """Tokenised pairs, and n-gram counts of the distinct references with their number of uses."""
-    base = pairs.select(
-        row, F.sha2(F.col(reference), 256).alias("ref"), tokens(F.col(prediction)).alias("p"), tokens(F.col(reference)).alias("r")
-    )
-    refs = base.groupBy("ref").agg(F.count("*").alias("uses"), F.first("r").alias("r"))
-    exploded = refs.select("ref", "uses", F.explode(all_grams(F.col("r"))).alias("h"))
-    return base, exploded.groupBy("ref", "uses", "h.n", "h.g").agg(F.count("*").alias("cr"))
-
-
 def corpus_bleu(pairs: DataFrame, row: str, prediction: str, reference: str) -> DataFrame:
     """Corpus BLEU with clipped counts and brevity penalty over whole texts.
 
-    Totals follow from token counts. Clipping only concerns n-grams a row shares with its own
-    reference, so exploded n-grams meet the distinct references' n-grams first and only the
-    matches are counted and shuffled.
+    Totals follow from token counts. Clipping only concerns n-grams a row shares with its own reference, so it is
+    counted inside the row; what is shuffled is a few sums.
     """
-    base, ref_grams = gram_tables(pairs, row, prediction, reference)
-    lengths = base.agg(
-        F.sum(F.size("p").cast("long")).alias("pred_len"), F.sum(F.size("r").cast("long")).alias("ref_len"),
+    p, r = tokens(F.col(prediction)), tokens(F.col(reference))
+    rows = pairs.select(p.alias("p"), r.alias("r"), clipped_counts(prediction, reference).alias("c"))
+    joined = rows.agg(
+        F.coalesce(F.sum(F.size("p").cast("long")), F.lit(0)).alias("pred_len"), F.coalesce(F.sum(F.size("r").cast("long")), F.lit(0)).alias("ref_len"),
         *[F.sum(F.greatest(F.size("p") - (n - 1), F.lit(0)).cast("long")).alias(f"t{n}") for n in ORDERS],
+        *[F.coalesce(F.sum(F.col("c")[n - 1]), F.lit(0)).alias(f"c{n}") for n in ORDERS],
     )
-    hits = (
-        split_join(
-            base.select(row, "ref", F.explode(all_grams(F.col("p"))).alias("h")).select(row, "ref", "h.n", "h.g"),
-            ref_grams.select("ref", "n", "g", "cr", "uses"), ["ref", "n", "g"], "uses",
-        )
-        .groupBy(row, "n", "g").agg(F.count("*").alias("cp"), F.first("cr").alias("cr"))
-    )
-    clipped = hits.agg(*[F.coalesce(F.sum(F.when(F.col("n") == n, F.least("cp", "cr"))), F.lit(0)).alias(f"c{n}") for n in ORDERS])
-    joined = lengths.crossJoin(clipped)  # one row each
     precision = [F.when(F.col(f"t{n}") > 0, F.col(f"c{n}") / F.col(f"t{n}")).otherwise(0.0) for n in ORDERS]
     smallest = F.least(*precision)
     logs = sum((F.log(F.when(p > 0, p)) for p in precision), F.lit(0.0)) / MAX_ORDER
@@ -108,39 +93,46 @@ def rouge_f1(prediction: Column, reference: Column) -> Column:
     return F.coalesce(F.try_divide(2 * lcs, total), F.lit(0.0))
 
 
+def idf_table(pairs: DataFrame, reference: str) -> DataFrame:
+    """``n, g, idf`` of the references' n-grams; frequency is over distinct references weighted by how many rows use them."""
+    docs = pairs.agg(F.log(F.greatest(F.count("*"), F.lit(1)).cast("double")).alias("log_n"))
+    refs = pairs.groupBy(F.col(reference).alias("ref")).agg(F.count("*").alias("uses"))
+    grams = refs.select("uses", F.explode(F.array_distinct(all_grams(tokens(F.col("ref"))))).alias("h"))
+    return (
+        grams.groupBy("h.n", "h.g").agg(F.sum("uses").alias("df")).crossJoin(docs)
+        .select("n", "g", (F.col("log_n") - F.log(F.col("df").cast("double"))).alias("idf"))
+    )
+
+
 def cider_rows(pairs: DataFrame, row: str, prediction: str, reference: str) -> DataFrame:
     """CIDEr-D per row.
 
-    Document frequency is taken over distinct references weighted by how many rows use
-    them. An n-gram outside the reference vocabulary has idf log N, so its share of a
-    prediction's norm follows from the in-row sum of squared counts; only n-grams of the
-    vocabulary pass the join, in which the most common ones are spread, and those counts combine map-side.
+    An n-gram outside the reference vocabulary has idf log N, so its share of a prediction's norm follows from
+    the in-row sum of squared counts. The vocabulary goes to the texts, in broadcast slices of at most
+    ``VOCABULARY_ROWS``, each with a reading of its own; a row's n-grams are never shuffled, only its sums are.
     """
-    base, ref_grams = gram_tables(pairs, row, prediction, reference)
+    vocabulary = cut_lineage(idf_table(pairs, reference))
+    slices = max(1, -(-vocabulary.count() // VOCABULARY_ROWS))
     docs = pairs.agg(F.log(F.greatest(F.count("*"), F.lit(1)).cast("double")).alias("log_n"))
-    vocabulary = ref_grams.groupBy("n", "g").agg(F.sum("uses").alias("df")).crossJoin(docs)
-    vocabulary = vocabulary.select("n", "g", "df", (F.col("log_n") - F.log(F.col("df").cast("double"))).alias("idf"))
-    weighted = ref_grams.join(vocabulary.drop("df"), ["n", "g"]).withColumn("vr", F.col("cr") * F.col("idf"))
-    ref_norms = weighted.groupBy("ref", "n").agg(F.sum(F.col("vr") * F.col("vr")).alias("nr2"))
-    squares = base.select(
-        row, "ref", F.size("p").alias("np"), F.size("r").alias("nr"),
-        F.explode(F.array(*[F.struct(F.lit(n).alias("n"), _sum_squares(ngrams(F.col("p"), n)).alias("sq")) for n in ORDERS])).alias("s"),
-    ).select(row, "ref", "np", "nr", "s.n", "s.sq")
-    hits = (
-        split_join(
-            base.select(row, "ref", F.explode(all_grams(F.col("p"))).alias("h")).select(row, "ref", "h.n", "h.g"),
-            vocabulary, ["n", "g"], "df",
+    place = F.pmod(F.xxhash64("n", "g"), F.lit(slices))
+    counted = pairs.select(row, gram_counts(prediction, reference).alias("c")).select(row, F.explode(F.arrays_zip("c.n", "c.g", "c.cp", "c.cr")).alias("h"))
+    counted = counted.select(row, "h.n", "h.g", "h.cp", "h.cr")
+    vp, vr = F.col("cp") * F.col("idf"), F.col("cr") * F.col("idf")
+    sums = [
+        counted.where(place == i).join(F.broadcast(vocabulary.where(place == i)), ["n", "g"]).groupBy(row, "n").agg(
+            F.sum(vp * vp).alias("known2"), F.sum(F.col("cp") * F.col("cp")).alias("known_sq"),
+            F.sum(F.least(vp, vr) * vr).alias("dot"), F.sum(vr * vr).alias("nr2"),
         )
-        .groupBy(row, "ref", "n", "g", "idf")
-        .agg(F.count("*").alias("cp"))
-        .join(weighted.select("ref", "n", "g", "vr"), ["ref", "n", "g"], "left")
-    )
-    vp = F.col("cp") * F.col("idf")
-    vr = F.coalesce("vr", F.lit(0.0))
-    per_order = hits.groupBy(row, "n").agg(
-        F.sum(vp * vp).alias("known2"), F.sum(F.col("cp") * F.col("cp")).alias("known_sq"), F.sum(F.least(vp, vr) * vr).alias("dot")
-    )
-    scored = squares.join(per_order, [row, "n"], "left").join(ref_norms, ["ref", "n"], "left").crossJoin(docs)
+        for i in range(slices)
+    ]
+    per_order = reduce(lambda a, b: a.unionByName(b), sums)
+    if slices > 1:
+        per_order = per_order.groupBy(row, "n").agg(*[F.sum(c).alias(c) for c in ("known2", "known_sq", "dot", "nr2")])
+    squares = pairs.select(
+        row, F.size(tokens(F.col(prediction))).alias("np"), F.size(tokens(F.col(reference))).alias("nr"),
+        F.posexplode(squared_counts(prediction)).alias("n", "sq"),
+    ).withColumn("n", F.col("n") + 1)
+    scored = squares.join(per_order, [row, "n"], "left").crossJoin(docs)
     zero = lambda name: F.coalesce(F.col(name), F.lit(0.0))
     np2 = (F.col("sq") - F.coalesce("known_sq", F.lit(0))) * F.col("log_n") * F.col("log_n") + zero("known2")
     cosine = F.when((np2 > 0) & (zero("nr2") > 0), zero("dot") / (F.sqrt(np2) * F.sqrt(zero("nr2")))).otherwise(0.0)
@@ -150,17 +142,6 @@ def cider_rows(pairs: DataFrame, row: str, prediction: str, reference: str) -> D
     return summed.select(row, F.when((F.col("np") > 0) & (F.col("nr") > 0), score).otherwise(0.0).alias("cider_d"))
 
 
-def _sum_squares(items: Column) -> Column:
-    """Sum of squared multiplicities: run lengths over the sorted array."""
-    start = F.struct(F.lit("").alias("last"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("sq"))
-
-    def step(acc: Column, item: Column) -> Column:
-        run = F.when(acc["last"] == item, acc["run"] + 1).otherwise(F.lit(1).cast("long"))
-        return F.struct(item.alias("last"), run.alias("run"), (acc["sq"] + 2 * run - 1).alias("sq"))
-
-    return F.aggregate(F.array_sort(items), start, step, lambda acc: acc["sq"])
-
-
 def caption_lengths(pairs: DataFrame, prediction: str, reference: str) -> DataFrame:
     np, nr = F.size(tokens(F.col(prediction))), F.size(tokens(F.col(reference)))
     return pairs.agg(

@@ -394,3 +394,24 @@ def test_split_join_spreads_a_key_of_nearly_all_rows(spark):
             spark.conf.set(n, value)
     assert got == {(i, k, k * 10) for i in range(20_000) if (k := i % 700 if i % 100 == 0 else 7) < 600}
     assert len(sizes) >= 9 and max(sizes) < 3 * 20_000 / 16
+
+
+def test_caption_metrics_shuffle_sums_and_no_grams(spark, monkeypatch):
+    """The vocabulary in slices gives the same scores, and no n-gram of a text passes an exchange."""
+    import re
+
+    from swathline.operators import scoring as SC
+
+    rows = [(i, f"a b c{i % 5} d e f{i % 3} a b " * (1 + i % 4), f"a b c{i % 7} d e x{i % 4}") for i in range(60)]
+    rows += [(60, "", "a b"), (61, None, "a b"), (62, "a b", None)]
+    pairs = spark.createDataFrame(rows, "row_id long, p string, r string")
+    whole = SC.cider_rows(pairs, "row_id", "p", "r")
+    plan = whole._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner, " in plan and "strategy=broadcast" in plan
+    want = {r["row_id"]: r["cider_d"] for r in whole.collect()}
+    monkeypatch.setattr(SC, "VOCABULARY_ROWS", 20)
+    got = {r["row_id"]: r["cider_d"] for r in SC.cider_rows(pairs, "row_id", "p", "r").collect()}
+    assert got.keys() == want.keys() == set(range(63))
+    assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want) and max(want.values()) > 0
+    bleu = SC.corpus_bleu(pairs, "row_id", "p", "r")._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search("Join|Generate", bleu)
