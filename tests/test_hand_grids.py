@@ -333,6 +333,25 @@ def test_clearest_cover_of_revisits_counts_every_scene(spark):
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 4
 
 
+def test_shifts_of_a_frame_inside_one_block_equal_those_merged_from_blocks(spark):
+    from swathline.operators import registration as RE
+
+    rng = np.random.default_rng(9)
+    plane = rng.normal(size=(24, 20)).cumsum(axis=0)
+    frame = lambda x, name: grid(spark, x, "v").select("scene_id", "r", "c", F.col("v").alias(name))
+    offsets, keys = RE.shift_offsets(2.0, 0.25), ["scene_id"]
+    blocks = RE.frame_blocks(frame(plane, "a"), frame(np.roll(plane, 1, axis=1) + 0.1, "b"), keys, 4)
+    here = RE.centred(blocks, keys, None)
+    for cross, alone in ((True, RE.block_information), (False, RE.block_correlation)):
+        merged = {(r["dy"], r["dx"]): r["score"] for r in RE.several_block_scores(here, keys, offsets, cross).collect()}
+        best = RE.one_block_shifts(here, keys, offsets, alone)
+        assert "Exchange" not in best._jdf.queryExecution().executedPlan().toString().split("FlatMapGroupsInPandas")[0]
+        got = {(r["dy"], r["dx"]): r["score"] for r in best.collect()}
+        top = max(merged.values())
+        assert got.keys() == {k for k, x in merged.items() if x >= top - RE.NEAR_BEST}
+        assert all(x == pytest.approx(merged[k], abs=1e-12) for k, x in got.items())
+
+
 def test_rotation_ranks_keys_and_leaves_texts_out_of_the_windows(spark):
     from swathline.operators import sampling as SM
 
