@@ -21,7 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of texts with Jaccard similarity 0.8 of five-word shingles stays, the one with the smallest key."""
+    """Candidates by SimHash and MinHash, confirmed at Jaccard similarity 0.8 of five-word shingles: of each component the row
+    with the smallest key stays."""
     short_batches(spark)
     return resemblance.first_of_each(docs)
 

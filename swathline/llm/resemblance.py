@@ -1,4 +1,5 @@
-"""Near-duplicates by Jaccard similarity of word shingles: candidates from MinHash bands, each confirmed on the whole sets."""
+"""Near-duplicates by Jaccard similarity of word shingles: candidates from SimHash fingerprints linked by BK-trees and, for pairs
+beyond their radius, from MinHash bands, each confirmed on the whole sets."""
 
 from __future__ import annotations
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from swathline.llm.common import sized, stored, unused
 from swathline.llm.graph import components
-from swathline.llm.simhash import NO_ID, one_of_each
+from swathline.llm.simhash import NO_ID, bits_of, links, one_of_each
 from swathline.session import cut_lineage
 
 WORDS, LEAST, SEED = 5, 0.8, 42
@@ -53,6 +54,18 @@ def bands_of(own: np.ndarray) -> np.ndarray:
     return np.array(digests, dtype=np.uint64).view(np.int64)
 
 
+def fingerprint_of(own: np.ndarray) -> int:
+    """SimHash of a set as a signed long; 0 for an empty one."""
+    return int(np.uint64(bits_of(own.astype(">u8"))).view(np.int64)) if len(own) else 0
+
+
+def fingerprint_buckets(nodes: DataFrame) -> DataFrame:
+    """``(name, first, band, value)``: nodes whose fingerprints are linked meet in one bucket; the band is one past MinHash's."""
+    roots = components(links(nodes.select("fp").distinct()).select("u", "v")).withColumnRenamed("node", "fp")
+    joined = nodes.join(roots, "fp", "left")
+    return joined.select("name", "first", F.lit(BANDS).alias("band"), F.coalesce("root", "fp").alias("value"))
+
+
 def set_name(text, words: int = WORDS):
     """Name of a text column's shingle set; equal sets have equal names."""
 
@@ -70,7 +83,7 @@ def alike(names: list[int], sets: list[np.ndarray], least: float = LEAST) -> lis
     starts = np.r_[0, np.cumsum(size)]
     holders = np.repeat(np.arange(len(sets)), size)[np.argsort(of, kind="stable")]
     ends = np.r_[0, np.cumsum(np.bincount(of))]
-    links, root = [], list(range(len(sets)))
+    found, root = [], list(range(len(sets)))
 
     def top(i: int) -> int:
         while root[i] != i:
@@ -86,8 +99,8 @@ def alike(names: list[int], sets: list[np.ndarray], least: float = LEAST) -> lis
             low, high = sorted((top(a), top(b)))
             if low != high:
                 root[high] = low
-                links.append((names[b], names[a]))
-    return links
+                found.append((names[b], names[a]))
+    return found
 
 
 def bucket_links(rows: DataFrame, least: float) -> DataFrame:
@@ -118,16 +131,18 @@ def similar(
     """``(key, fp, component_id, root)`` per row of ``docs``: components of texts whose shingle sets are alike, named by their
     smallest key; ``fp`` names the set.
 
-    Texts with equal sets are one node. Nodes that share a band meet in its bucket; buckets of the same nodes are one. Only the
+    Texts with equal sets are one node. Nodes whose SimHash fingerprints are linked meet in a bucket, as do nodes that share a
+    MinHash band, as a pair at ``least`` is often beyond the fingerprints' radius; buckets of the same nodes are one. Only the
     texts of nodes that meet another are read again, for their sets, and every pair of a bucket is compared on them.
     NULL keys count as larger than all others. Texts without words are one node.
     """
 
-    @F.pandas_udf("name long, bands array<long>")
+    @F.pandas_udf("name long, fp long, bands array<long>")
     def signature(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             sets = [shingles(t, words) for t in texts]
-            yield pd.DataFrame({"name": [name_of(s) for s in sets], "bands": [bands_of(s) for s in sets]}, columns=["name", "bands"])
+            made = {"name": [name_of(s) for s in sets], "fp": [fingerprint_of(s) for s in sets], "bands": [bands_of(s) for s in sets]}
+            yield pd.DataFrame(made, columns=["name", "fp", "bands"])
 
     @F.pandas_udf("name long, hashes binary")
     def whole(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -136,9 +151,9 @@ def similar(
             yield pd.DataFrame({"name": [name_of(s) for s in sets], "hashes": [s.tobytes() for s in sets]}, columns=["name", "hashes"])
 
     own = F.coalesce(F.col(key).cast("long"), F.lit(NO_ID))
-    marks = stored(docs.select(own.alias("id"), signature(F.col(text)).alias("_s")).select("id", "_s.name", "_s.bands"))
-    nodes = stored(marks.groupBy("name").agg(F.min("id").alias("first"), F.min("bands").alias("bands")))
-    met = nodes.select("name", "first", F.posexplode("bands").alias("band", "value"))
+    marks = stored(docs.select(own.alias("id"), signature(F.col(text)).alias("_s")).select("id", "_s.name", "_s.fp", "_s.bands"))
+    nodes = stored(marks.groupBy("name").agg(F.min("id").alias("first"), F.min("fp").alias("fp"), F.min("bands").alias("bands")))
+    met = nodes.select("name", "first", F.posexplode("bands").alias("band", "value")).unionByName(stored(fingerprint_buckets(nodes)))
     many = met.groupBy("band", "value").agg(F.count("*").alias("n"), F.bit_xor("name").alias("x"), F.bit_xor(F.xxhash64("name")).alias("y"))
     # Bands in which the same nodes meet are one bucket.
     buckets = many.where("n > 1").groupBy("n", "x", "y").agg(F.min(F.struct("band", "value")).alias("b"))
@@ -154,8 +169,8 @@ def similar(
     mine, other = F.pmod(F.xxhash64("name"), blocks).cast("int"), F.explode(F.sequence(F.lit(0), blocks - 1))
     dealt = members.select("name", "band", "value", mine.alias("i"), other.alias("j"))
     place = F.concat_ws(":", "band", "value", F.least("i", "j"), F.greatest("i", "j")).alias("place")
-    links = cut_lineage(bucket_links(dealt.select("name", place).join(sets, "name"), least).distinct())
-    roots = components(links)
+    confirmed = cut_lineage(bucket_links(dealt.select("name", place).join(sets, "name"), least).distinct())
+    roots = components(confirmed)
     named = nodes.select("name", "first").join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
     firsts = named.groupBy("root").agg(F.min("first").alias("component"))
     out = marks.select("id", "name").join(named.select("name", "root").join(firsts, "root"), "name")

@@ -30,7 +30,11 @@ def simhash(text: str | None, words: int = WORDS) -> int:
         return 0
     digest = xxhash.xxh64_intdigest
     shingles = zip(*(parts[i:] for i in range(words))) if len(parts) > words else [parts]
-    hashes = np.array([digest(b" ".join(s), SEED) for s in shingles], dtype=">u8")
+    return bits_of(np.array([digest(b" ".join(s), SEED) for s in shingles], dtype=">u8"))
+
+
+def bits_of(hashes: np.ndarray) -> int:
+    """Fingerprint of big-endian hashes."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 65536):
         ones += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)

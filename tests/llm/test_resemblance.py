@@ -68,3 +68,21 @@ def test_crowded_near_copies(spark, block):
     assert sorted(r["doc_id"] for r in kept.collect()) == plain_kept(rows)
     odd = spark.createDataFrame([(1, "a b c d e f g"), (1, "other words"), (1, "a b c d e f g"), (None, "A b c d e f g"), (None, "x y")], docs.schema)
     assert sorted(r["text"] for r in resemblance.first_of_each(odd).collect()) == ["a b c d e f g", "other words", "x y"]
+
+
+def test_linked_fingerprints_share_a_bucket(spark):
+    """Fingerprints two bits apart meet, over a chain as well; others do not, whatever their bands."""
+    rows = [(1, 10, 0b0), (2, 11, 0b11), (3, 12, 0b1111), (4, 13, 0b11111111 << 20), (5, 14, 0b11111111 << 20)]
+    nodes = spark.createDataFrame(rows, "name long, first long, fp long")
+    found = {r["name"]: (r["band"], r["value"]) for r in resemblance.fingerprint_buckets(nodes).collect()}
+    assert found[1] == found[2] == found[3] and found[4] == found[5] != found[1] and len(found) == 5
+    assert found[1][0] == resemblance.BANDS
+    assert resemblance.fingerprint_of(resemblance.shingles("")) == 0
+
+
+def test_fingerprints_differ_little_where_texts_do():
+    words = [f"w{i}" for i in range(400)]
+    near = resemblance.shingles(" ".join(words[:200] + ["other"] + words[201:]))
+    apart = resemblance.fingerprint_of(resemblance.shingles(" ".join(words))) ^ resemblance.fingerprint_of(near)
+    far = resemblance.fingerprint_of(resemblance.shingles(" ".join(words))) ^ resemblance.fingerprint_of(resemblance.shingles(" ".join(f"v{i}" for i in range(400))))
+    assert (apart & (2**64 - 1)).bit_count() < 10 < (far & (2**64 - 1)).bit_count()
