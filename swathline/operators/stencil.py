@@ -2,24 +2,29 @@
 
 A frame row or column is the window unit, so a scene of any size is spread over as many tasks as
 it has rows. Inputs are complete grids: one row per cell, invalid cells NULL. Borders replicate the
-edge cell except where an operator says otherwise.
+edge cell except where an operator says otherwise. Frames that lie inside one block are worked on
+whole, in numpy, by the functions in ``*_planes``; the window passes are for the larger ones.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from swathline import config as C
+from swathline.operators.frames import Planes, blurred, by_frames, frame_mean, frame_percentiles, moved
 from swathline.operators.joins import attach
 from swathline.operators.ranking import null_safe_join
 from swathline.operators.stats import exact_percentiles
 from swathline.session import cut_lineage
 
 Keys = Sequence[str]
+#: Cells whose windows of grey-level pairs a task sorts at once.
+GLCM_CELLS = 1 << 16
 
 
 def along_row(keys: Keys):
@@ -56,6 +61,25 @@ def fill_invalid(frame: DataFrame, keys: Keys, value: str) -> DataFrame:
     )
 
 
+def texture_planes(x: np.ndarray, window: int) -> Planes:
+    """``valid``, ``edges`` and ``variance`` of stacked frames, as in ``texture_parts``."""
+    valid = ~np.isnan(x)
+    mean = frame_mean(x, valid)
+    v = np.where(valid, x, np.nan_to_num(mean))
+    m = np.where(valid, x - mean, 0.0)
+    # Scales are those of valid cells; a frame without any, or with a flat one, is 0.
+    scaled = lambda y, peak: np.where(valid & (peak > 0), np.minimum(np.divide(y, peak, out=np.zeros_like(y), where=peak > 0), 1.0), 0.0)
+    left, right = moved(v, -1, 2), moved(v, 1, 2)
+    d, s = right - left, left + 2 * v + right
+    gx, gy = moved(d, -1, 1) + 2 * d + moved(d, 1, 1), moved(s, 1, 1) - moved(s, -1, 1)
+    density = blurred(np.sqrt(gx * gx + gy * gy), window)
+    m, q = blurred(m, window), blurred(m * m, window)
+    spread = np.maximum(q - m * m, 0.0)
+    edge = frame_percentiles(density, valid, [0.99])[0]
+    most = np.where(valid, spread, 0.0).max(axis=(1, 2), keepdims=True)
+    return {"valid": valid, "edges": scaled(density, edge), "variance": scaled(spread, most)}
+
+
 def box_means(frame: DataFrame, keys: Keys, columns: Sequence[str], window: int) -> DataFrame:
     """Separable w x w uniform filter of several columns in two window passes."""
     if window % 2 == 0:
@@ -76,7 +100,13 @@ def box_mean(frame: DataFrame, keys: Keys, value: str, window: int) -> DataFrame
 
 
 def local_variance(frame: DataFrame, keys: Keys, value: str, window: int) -> DataFrame:
-    """max(E[x^2] - E[x]^2, 0) over its scene maximum; invalid cells are 0.
+    """max(E[x^2] - E[x]^2, 0) over its scene maximum; invalid cells are 0."""
+    work = lambda planes: texture_planes(planes[value], window)
+    return by_frames(frame, keys, [value], {n: TEXTURE_PARTS[n] for n in ("valid", "variance")}, work, lambda some: spread_local_variance(some, keys, value, window))
+
+
+def spread_local_variance(frame: DataFrame, keys: Keys, value: str, window: int) -> DataFrame:
+    """:func:`local_variance` in window passes.
 
     Values are centred on the scene mean first, which leaves the variance unchanged and keeps
     the difference of squares well conditioned.
@@ -96,6 +126,12 @@ def local_variance(frame: DataFrame, keys: Keys, value: str, window: int) -> Dat
 
 def edge_density(frame: DataFrame, keys: Keys, value: str, window: int) -> DataFrame:
     """Box mean of the Sobel magnitude over its 99th percentile on valid cells; invalid cells are 0."""
+    work = lambda planes: texture_planes(planes[value], window)
+    return by_frames(frame, keys, [value], {n: TEXTURE_PARTS[n] for n in ("valid", "edges")}, work, lambda some: spread_edge_density(some, keys, value, window))
+
+
+def spread_edge_density(frame: DataFrame, keys: Keys, value: str, window: int) -> DataFrame:
+    """:func:`edge_density` in window passes."""
     filled = fill_invalid(frame, keys, value)
     across, down = along_row(keys), along_column(keys)
     v = F.col("filled")
@@ -146,8 +182,19 @@ def texture_terms(frame: DataFrame, keys: Keys, value: str, window: int) -> Data
     return box_means(cells, keys, ["density"], window)
 
 
+TEXTURE_PARTS = {"valid": "boolean", "edges": "double", "variance": "double"}
+
+
 def texture_parts(frame: DataFrame, keys: Keys, value: str, window: int) -> DataFrame:
-    """``keys, r, c, valid, edges, variance``. The terms are checkpointed: their scales are read off all of them first."""
+    """``keys, r, c, valid, edges, variance``."""
+    if window % 2 == 0:
+        raise ValueError("window must be odd so the response stays grid-aligned")
+    work = lambda planes: texture_planes(planes[value], window)
+    return by_frames(frame, keys, [value], TEXTURE_PARTS, work, lambda some: spread_texture_parts(some, keys, value, window))
+
+
+def spread_texture_parts(frame: DataFrame, keys: Keys, value: str, window: int) -> DataFrame:
+    """:func:`texture_parts` in window passes. The terms are checkpointed: their scales are read off all of them first."""
     terms = cut_lineage(texture_terms(frame, keys, value, window))
     valid = terms.where("valid")
     peaks = exact_percentiles(valid, keys, "density", {"_edge": 0.99}).drop("n")
@@ -173,15 +220,76 @@ def local_std_3x3(frame: DataFrame, keys: Keys, value: str) -> DataFrame:
     return centred.select(*keys, "r", "c", F.sqrt(total(F.transform("n", lambda x: x - F.col("m")), lambda x: x * x) / 9).alias("std"))
 
 
+LEE_RADIUS = 3
+#: Columns each direction takes from the row at offset dy; None means the row is outside.
+LEE_DIRECTIONS = (
+    lambda dy: (-LEE_RADIUS, LEE_RADIUS) if dy <= 0 else None,
+    lambda dy: (-LEE_RADIUS, LEE_RADIUS) if dy >= 0 else None,
+    lambda dy: (-LEE_RADIUS, 0),
+    lambda dy: (0, LEE_RADIUS),
+    lambda dy: (dy, LEE_RADIUS),
+    lambda dy: (-LEE_RADIUS, dy),
+    lambda dy: (-LEE_RADIUS, -dy),
+    lambda dy: (-dy, LEE_RADIUS),
+)
+
+
+def lee_planes(plane: np.ndarray, looks: float = 1.0) -> np.ndarray:
+    """:func:`refined_lee` of stacked frames; NaN on invalid cells."""
+    valid = ~np.isnan(plane)
+    x = np.where(valid, plane, 0.0)
+    offsets = range(-LEE_RADIUS, LEE_RADIUS + 1)
+    prefixes = {}
+    for name, y in (("w", valid.astype(float)), ("x", x), ("q", x * x)):
+        sums = [np.zeros_like(x)]
+        for o in offsets:
+            sums.append(sums[-1] + moved(y, o, 2))
+        prefixes[name] = np.stack(sums)
+    spans: dict[tuple[str, int, int, int], np.ndarray] = {}
+
+    def span(name: str, dy: int, low: int, high: int) -> np.ndarray:
+        if (name, dy, low, high) not in spans:
+            part = prefixes[name][high + LEE_RADIUS + 1] - prefixes[name][low + LEE_RADIUS]
+            spans[name, dy, low, high] = moved(part, dy, 1)
+        return spans[name, dy, low, high]
+
+    def gather(rule, name: str) -> np.ndarray:
+        return sum((span(name, dy, *rule(dy)) for dy in offsets if rule(dy) is not None), np.zeros_like(x))
+
+    def ratio(rule, name: str, empty: np.ndarray | float) -> np.ndarray:
+        weight = gather(rule, "w")
+        return np.where(weight > 0.5, gather(rule, name) / np.where(weight > 0.5, weight, 1.0), empty)
+
+    reference = ratio(lambda dy: (-1, 1) if abs(dy) <= 1 else None, "x", x)
+    best = [np.full(x.shape, np.inf), np.zeros_like(x), np.zeros_like(x)]
+    for rule in LEE_DIRECTIONS:
+        m = ratio(rule, "x", 0.0)
+        # Rounding the gap makes equal half-windows tie, and the first direction wins a tie.
+        gap = np.round(np.abs(m - reference), 12)
+        nearer = gap < best[0]
+        best = [np.where(nearer, new, old) for new, old in zip((gap, m, ratio(rule, "q", 0.0)), best)]
+    _, m, q = best
+    variance = np.maximum(q - m * m, 0.0)
+    cu2 = 1.0 / looks
+    gain = np.where(variance > 0, (variance - cu2 * m * m) / np.where(variance > 0, variance * (1 + cu2), 1.0), 0.0)
+    return np.where(valid, m + np.clip(gain, 0.0, 1.0) * (x - m), np.nan)
+
+
 def refined_lee(frame: DataFrame, keys: Keys, value: str, looks: float = 1.0) -> DataFrame:
-    """Eight half-window refined Lee filter (7 x 7) on linear power.
+    """Eight half-window refined Lee filter (7 x 7) on linear power; invalid cells carry no weight and stay NULL."""
+    work = lambda planes: {"filtered": lee_planes(planes[value], looks)}
+    return by_frames(frame, keys, [value], {"filtered": "double"}, work, lambda some: spread_refined_lee(some, keys, value, looks))
+
+
+def spread_refined_lee(frame: DataFrame, keys: Keys, value: str, looks: float = 1.0) -> DataFrame:
+    """:func:`refined_lee` in window passes.
 
     A row pass keeps the seven prefix sums of weight, value and square, so any span of columns
     is a difference of two; a column pass adds the span each direction wants from every row. Two
-    window passes replace a 49-cell join. Invalid cells carry no weight and stay NULL.
+    window passes replace a 49-cell join.
     """
     across, down = along_row(keys), along_column(keys)
-    radius = 3
+    radius, directions = LEE_RADIUS, LEE_DIRECTIONS
     x = F.coalesce(F.col(value), F.lit(0.0))
     base = frame.select(*keys, "r", "c", F.col(value).isNotNull().alias("valid"), F.when(F.col(value).isNotNull(), 1.0).otherwise(0.0).alias("w"), x.alias("x"))
     cell = F.struct("w", "x")
@@ -205,18 +313,6 @@ def refined_lee(frame: DataFrame, keys: Keys, value: str, looks: float = 1.0) ->
         part = F.col(f"p{dy + radius}.{field}")
         return F.get(part, F.lit(high + radius + 1)) - F.get(part, F.lit(low + radius))
 
-    # Columns each direction takes from the row at offset dy; None means the row is outside.
-    directions = (
-        lambda dy: (-radius, radius) if dy <= 0 else None,
-        lambda dy: (-radius, radius) if dy >= 0 else None,
-        lambda dy: (-radius, 0),
-        lambda dy: (0, radius),
-        lambda dy: (dy, radius),
-        lambda dy: (-radius, dy),
-        lambda dy: (-radius, -dy),
-        lambda dy: (-dy, radius),
-    )
-
     def gather(rule, field: str) -> Column:
         spans = [(dy, rule(dy)) for dy in range(-radius, radius + 1)]
         return sum((span(dy, field, *cols) for dy, cols in spans if cols is not None), F.lit(0.0))
@@ -255,11 +351,44 @@ def quantise(frame: DataFrame, keys: Keys, value: str, levels: int) -> DataFrame
     return attach(fill_invalid(frame, keys, value), cuts, keys, "left").select(*keys, "r", "c", "valid", F.coalesce(bounded, F.lit(0)).alias("level"))
 
 
+def glcm_planes(x: np.ndarray, window: int, levels: int) -> np.ndarray:
+    """:func:`glcm_entropy` of stacked frames."""
+    valid = ~np.isnan(x)
+    low, high = frame_percentiles(x, valid, C.STRETCH_PERCENTILES)
+    top = np.where(high <= low, low + C.STRETCH_EPSILON, high)
+    level = np.floor((np.where(valid, x, np.nan_to_num(frame_mean(x, valid))) - low) / (top - low) * levels)
+    level = np.clip(np.nan_to_num(level), 0, levels - 1).astype(np.int32)
+    pair = level * levels + np.roll(level, -1, axis=2)
+    k, n = window // 2, window * window
+    wide = np.pad(pair, ((0, 0), (k, k), (k, k)), mode="edge").astype(np.int16 if levels * levels < 2**15 else np.int32)
+    around = np.lib.stride_tricks.sliding_window_view(wide, (window, window), axis=(1, 2))
+    term = np.arange(n + 1) * np.log2(np.maximum(np.arange(n + 1), 1))
+    mass = np.empty(x.shape)
+    size = max(1, GLCM_CELLS // (x.shape[1] * x.shape[2]))
+    for at in range(0, len(x), size):
+        symbols = np.sort(around[at : at + size].reshape(-1, n), axis=1)
+        new = np.ones(symbols.shape, dtype=bool)
+        np.not_equal(symbols[:, 1:], symbols[:, :-1], out=new[:, 1:])
+        first = np.flatnonzero(new)
+        runs = term[np.diff(np.r_[first, symbols.size])]
+        mass[at : at + size] = np.add.reduceat(runs, np.r_[0, np.cumsum(new.sum(axis=1))[:-1]]).reshape(-1, *x.shape[1:])
+    entropy = (np.log2(float(n)) - mass / n) / np.log2(float(levels * levels))
+    return np.where(valid, np.clip(entropy, 0.0, 1.0), 0.0)
+
+
 def glcm_entropy(frame: DataFrame, keys: Keys, value: str, window: int = C.TEXTURE_WINDOW, levels: int = C.GLCM_LEVELS) -> DataFrame:
     """Entropy of horizontal grey-level pairs in a window, over log2(levels^2); invalid cells are 0.
 
-    The right neighbour of the last column is the first one. A window's symbols are an array of
-    w^2 ints built by two window passes; sorted run lengths give sum(c log2 c).
+    The right neighbour of the last column is the first one.
+    """
+    work = lambda planes: {"entropy": glcm_planes(planes[value], window, levels)}
+    return by_frames(frame, keys, [value], {"entropy": "double"}, work, lambda some: spread_glcm_entropy(some, keys, value, window, levels))
+
+
+def spread_glcm_entropy(frame: DataFrame, keys: Keys, value: str, window: int, levels: int) -> DataFrame:
+    """:func:`glcm_entropy` in window passes.
+
+    A window's symbols are an array of w^2 ints built by two window passes; sorted run lengths give sum(c log2 c).
     """
     across, down = along_row(keys), along_column(keys)
     k = window // 2
