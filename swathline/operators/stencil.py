@@ -16,9 +16,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from swathline import config as C
-from swathline.operators.frames import Planes, blurred, by_frames, frame_mean, frame_percentiles, moved
+from swathline.functions.pixel import to_db
+from swathline.operators.frames import Planes, blurred, by_frames, frame_mean, frame_percentiles, moved, stretched
 from swathline.operators.joins import attach
 from swathline.operators.ranking import null_safe_join
+from swathline.operators.rasters import stretch_bands
 from swathline.operators.stats import exact_percentiles
 from swathline.session import cut_lineage
 
@@ -190,7 +192,7 @@ def texture_parts(frame: DataFrame, keys: Keys, value: str, window: int) -> Data
     if window % 2 == 0:
         raise ValueError("window must be odd so the response stays grid-aligned")
     work = lambda planes: texture_planes(planes[value], window)
-    return by_frames(frame, keys, [value], TEXTURE_PARTS, work, lambda some: spread_texture_parts(some, keys, value, window))
+    return by_frames(frame, keys, [value], TEXTURE_PARTS, work, lambda some: cut_lineage(spread_texture_parts(some, keys, value, window)))
 
 
 def spread_texture_parts(frame: DataFrame, keys: Keys, value: str, window: int) -> DataFrame:
@@ -412,6 +414,41 @@ def spread_glcm_entropy(frame: DataFrame, keys: Keys, value: str, window: int, l
     return cells.select(*keys, "r", "c", F.when(F.col("valid"), F.least(F.greatest(entropy, F.lit(0.0)), F.lit(1.0))).otherwise(0.0).alias("entropy"))
 
 
+def stack_planes(x: np.ndarray, window: int, levels: int) -> Planes:
+    """Decibels, speckle-filtered decibels and entropy of stacked frames, each stretched between its 2nd and 98th percentile."""
+    valid = ~np.isnan(x)
+    power = lee_planes(10.0 ** (x / 10))
+    floor = np.where(power > 0, np.maximum(10.0 * np.log10(np.where(power > 0, power, 1.0)), C.DB_FLOOR), C.DB_FLOOR)
+    bands = {"sigma0": x, "lee_db": floor, "entropy": glcm_planes(x, window, levels)}
+    return {n: np.where(valid, stretched(y, *frame_percentiles(y, valid, C.STRETCH_PERCENTILES)), np.nan) for n, y in bands.items()}
+
+
+def single_pol_stack(frame: DataFrame, keys: Keys, value: str, window: int = C.TEXTURE_WINDOW, levels: int = C.GLCM_LEVELS) -> DataFrame:
+    """``sigma0``, ``lee_db`` and ``entropy`` of one polarisation in decibels, stretched; NULL on invalid cells."""
+
+    def spread(some: DataFrame) -> DataFrame:
+        linear = some.select(*keys, "r", "c", F.pow(F.lit(10.0), F.col(value) / 10).alias("_p"))
+        filtered = spread_refined_lee(linear, keys, "_p").withColumn("lee_db", to_db(F.col("filtered")))
+        stack = some.select(*keys, "r", "c", F.col(value).alias("sigma0"))
+        for more, name in ((filtered, "lee_db"), (spread_glcm_entropy(some, keys, value, window, levels), "entropy")):
+            stack = null_safe_join(stack, more.select(*keys, "r", "c", name), [*keys, "r", "c"])
+        stack = stack.withColumn("entropy", F.when(F.col("sigma0").isNotNull(), F.col("entropy")))
+        return stretch_bands(stack, keys, ["sigma0", "lee_db", "entropy"])
+
+    made = {n: "double" for n in ("sigma0", "lee_db", "entropy")}
+    return by_frames(frame, keys, [value], made, lambda planes: stack_planes(planes[value], window, levels), spread)
+
+
+def opened_planes(hit: np.ndarray, radius: int) -> np.ndarray:
+    """:func:`morphological_open` of stacked frames."""
+    for erode in (True, False) if radius > 0 else ():
+        wide = np.pad(hit, ((0, 0), (radius, radius), (radius, radius)))
+        at = [(radius + dy, radius + dx) for dy, w in disk_spans(radius).items() for dx in range(-w, w + 1)]
+        cells = [wide[:, r : r + hit.shape[1], c : c + hit.shape[2]] for r, c in at]
+        hit = (np.logical_and if erode else np.logical_or).reduce(cells)
+    return hit
+
+
 def disk_spans(radius: int) -> dict[int, int]:
     """Row offset -> half width of the disk."""
     return {dy: int((radius * radius - dy * dy) ** 0.5) for dy in range(-radius, radius + 1)}

@@ -9,7 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from swathline import config as C
-from swathline.operators.stencil import texture_parts
+from swathline.operators.frames import Planes, by_frames
+from swathline.operators.ranking import null_safe_join
+from swathline.operators.stencil import spread_texture_parts, texture_planes
 
 # Query words that ask for structured or for smooth tiles.
 HIGH_TEXTURE = (
@@ -97,12 +99,21 @@ def texture_wish(question: Column) -> Column:
 
 
 def content_score(cells: DataFrame, tile: Sequence[str], value: str, wish: DataFrame, window: int = C.TEXTURE_WINDOW) -> DataFrame:
-    """0.35 coverage + 0.65 relevance per tile; ``cells`` has tile-local r and c, ``wish`` one row per tile."""
-    stats = texture_parts(cells, tile, value, window).groupBy(*tile).agg(
-        F.avg(F.col("valid").cast("double")).alias("coverage"), F.avg("edges").alias("texture"), F.avg("variance").alias("variance")
-    )
+    """0.35 coverage + 0.65 relevance per tile; ``cells`` has tile-local r and c, ``wish`` one row per tile or per value of
+    some of the columns that name one."""
+
+    def means(planes: Planes) -> Planes:
+        parts = texture_planes(planes[value], window)
+        return {n: parts[x].mean(axis=(1, 2)) for n, x in (("coverage", "valid"), ("texture", "edges"), ("variance", "variance"))}
+
+    def spread(some: DataFrame) -> DataFrame:
+        return spread_texture_parts(some, tile, value, window).groupBy(*tile).agg(
+            F.avg(F.col("valid").cast("double")).alias("coverage"), F.avg("edges").alias("texture"), F.avg("variance").alias("variance")
+        )
+
+    stats = by_frames(cells, tile, [value], {n: "double" for n in ("coverage", "texture", "variance")}, means, spread, per_frame=True)
     structure = 0.5 * F.col("texture") + 0.5 * F.col("variance")
-    joined = stats.join(wish, list(tile))
+    joined = null_safe_join(stats, wish, [k for k in tile if k in wish.columns])
     relevance = F.when(F.col("wish") == "smooth", 1 - structure).otherwise(structure)
     score = F.when(F.col("coverage") > 0, F.least(F.greatest(0.35 * F.col("coverage") + 0.65 * relevance, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
     return joined.select(*tile, "coverage", score.alias("score"))

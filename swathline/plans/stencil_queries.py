@@ -180,10 +180,7 @@ def nb09(v):
     + f"SELECT {PKEYS}, " + ", ".join(f"round(least(greatest(({c} - {c}lo) / (CASE WHEN {c}hi > {c}lo THEN {c}hi - {c}lo ELSE 1e-6 END), 0), 1), 5) AS {n}" for c, n in (("a", "sigma0"), ("b", "lee_db"), ("e", "entropy"))) + f" FROM st JOIN sb USING ({KEYS}) WHERE a IS NOT NULL",
 )
 def px08(v):
-    filtered = lee(v).select(*PIXEL, P.to_db(col("filtered")).alias("lee_db"))
-    texture = ST.glcm_entropy(v.grid, SCENE, "vv")
-    stack = v.px.select(*PIXEL, col("vv").alias("sigma0")).join(filtered, PIXEL).join(texture, PIXEL)
-    out = R.stretch_bands(stack, SCENE, ["sigma0", "lee_db", "entropy"])
+    out = ST.single_pol_stack(v.grid.select(*PIXEL, "vv"), SCENE, "vv").where("sigma0 IS NOT NULL")
     return out.select(*PIXEL, *[F.round(b, 5).alias(b) for b in ("sigma0", "lee_db", "entropy")])
 
 
@@ -361,7 +358,7 @@ SCORES = [
 def scored_tiles(v):
     local = tiled(v).select(*TKEY, col("tr").alias("r"), col("tc").alias("c"), "nir")
     question = F.when(col("scene_id") % 2 == 0, "How large is the lake?").otherwise("Is there an airport by the sea?")
-    wish = local.select(*TKEY).distinct().withColumn("wish", TK.texture_wish(question))
+    wish = v.px.select(*SCENE).distinct().withColumn("wish", TK.texture_wish(question))
     return TK.content_score(local, TKEY, "nir", wish)
 
 
