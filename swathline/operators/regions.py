@@ -12,9 +12,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from swathline import config as C
+from swathline.operators.frames import Planes, by_frames
 from swathline.operators.joins import attach
 from swathline.operators.ranking import null_safe_join
-from swathline.operators.stencil import morphological_open, texture_response
+from swathline.operators.stencil import morphological_open, opened_planes, texture_response
 from swathline.operators.stats import gated_threshold
 from swathline.session import cut_lineage
 
@@ -121,7 +122,7 @@ def components(hits: DataFrame, keys: Keys, response: str | None = None, min_are
     labels = component_labels(hits, keys)
     value = F.lit(1.0)
     if response is not None:
-        labels = labels.join(hits.select(*keys, "r", "c", response), [*keys, "r", "c"])
+        labels = null_safe_join(labels, hits.select(*keys, "r", "c", response), [*keys, "r", "c"])
         value = F.col(response)
     out = labels.groupBy(*keys, "label").agg(
         F.count("*").alias("area_px"), F.min("r").alias("min_row"), F.min("c").alias("min_col"),
@@ -131,6 +132,35 @@ def components(hits: DataFrame, keys: Keys, response: str | None = None, min_are
     return out.where(F.col("area_px") >= min_area)
 
 
+REGION = {n: "long" for n in ("label", "area_px", "min_row", "min_col", "max_row", "max_col")} | {n: "double" for n in ("centroid_r", "centroid_c", "mean_response")}
+
+
+def region_planes(hit: np.ndarray, planes: Planes) -> Planes:
+    """:func:`components` of stacked frames, with the mean of plane ``response``: one value per region of frame ``_of``."""
+    of, r, c = np.nonzero(hit)
+    if not len(of):
+        return {n: np.zeros(0, dtype=np.int64 if t == "long" else float) for n, t in REGION.items()} | {"_of": of}
+    # A row of background between frames keeps their pieces apart.
+    tall = hit.shape[1] + 1
+    piece, inverse = np.unique(label_block(pd.DataFrame({"r": of * tall + r, "c": c})), return_inverse=True)
+    order = np.argsort(inverse, kind="stable")
+    starts = np.flatnonzero(np.diff(inverse[order], prepend=-1))
+    area = np.bincount(inverse)
+    frame, first = np.divmod(piece // ROW_STRIDE, tall)
+    r0, c0 = planes["_r"][frame], planes["_c"][frame]
+    response = planes["response"][of, r, c]
+    known = ~np.isnan(response)
+    n = np.bincount(inverse, known)
+    total = np.bincount(inverse, np.where(known, response, 0.0))
+    return {
+        "_of": frame, "label": (first + r0) * ROW_STRIDE + piece % ROW_STRIDE + c0, "area_px": area,
+        "min_row": np.minimum.reduceat(r[order], starts) + r0, "min_col": np.minimum.reduceat(c[order], starts) + c0,
+        "max_row": np.maximum.reduceat(r[order], starts) + r0 + 1, "max_col": np.maximum.reduceat(c[order], starts) + c0 + 1,
+        "centroid_r": np.bincount(inverse, r) / area + r0, "centroid_c": np.bincount(inverse, c) / area + c0,
+        "mean_response": np.divide(total, n, out=np.full(len(n), np.nan), where=n > 0),
+    }
+
+
 def largest_centroid(regions: DataFrame, keys: Keys, height: int, width: int) -> DataFrame:
     """Normalised (x, y) centroid of the largest region; the earliest label wins a tie."""
     top = regions.groupBy(*keys).agg(F.max(F.struct("area_px", (-F.col("label")).alias("o"), "centroid_r", "centroid_c")).alias("t"))
@@ -157,7 +187,7 @@ def radar_mask(frame: DataFrame, keys: Keys, pol: str, band: str) -> DataFrame:
 
 def optical_mask(frame: DataFrame, keys: Keys, band: str) -> DataFrame:
     """Step one on an optical plane: texture response, cut by the gated threshold."""
-    response = cut_lineage(texture_response(frame, keys, band).withColumn("response", F.round("response", 9)))
+    response = texture_response(frame, keys, band).withColumn("response", F.round("response", 9))
     gate = gated_threshold(response, keys, "response", C.TEXTURE_CUT)
     hit = F.coalesce(F.col("response") >= F.col("_cut"), F.lit(False))
     return attach(response, gate.select(*keys, F.col("value").alias("_cut")), keys, "left").select(*keys, "r", "c", "response", hit.alias("hit"))
@@ -168,9 +198,15 @@ def shaped_regions(mask: DataFrame, keys: Keys, target: str, height: int, width:
 
     ``mask`` is a complete frame with ``hit`` and ``response``.
     """
-    opened = morphological_open(mask, keys, "hit").where("hit")
-    hits = opened.join(mask.select(*keys, "r", "c", "response"), [*keys, "r", "c"])
-    found = components(hits, keys, "response", max(1, int(C.MIN_COMPONENT_FRACTION * height * width)))
+
+    def spread(some: DataFrame) -> DataFrame:
+        opened = morphological_open(some, keys, "hit").where("hit")
+        hits = null_safe_join(opened, some.select(*keys, "r", "c", "response"), [*keys, "r", "c"])
+        return components(hits, keys, "response")
+
+    work = lambda planes: region_planes(opened_planes(planes["hit"] == 1, C.OPENING_RADIUS), planes)
+    found = by_frames(mask, keys, ["hit", "response"], REGION, work, spread, per_frame=True)
+    found = found.where(F.col("area_px") >= max(1, int(C.MIN_COMPONENT_FRACTION * height * width)))
     h, w = F.col("max_row") - F.col("min_row"), F.col("max_col") - F.col("min_col")
     max_aspect, min_solidity = prior_for(target)
     shaped = found.withColumn("aspect_ratio", F.greatest(h, w) / F.greatest(F.lit(1), F.least(h, w))).withColumn("solidity", F.col("area_px") / F.greatest(F.lit(1), h * w))

@@ -73,3 +73,32 @@ def test_a_frame_is_worked_on_where_its_pixels_meet(spark):
     made = FR.whole_frames(frame, KEYS, ["v"], {"x": "double"}, lambda p: {"x": p["v"]})
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "Join" not in plan and plan.count("Exchange ") <= 1
+
+
+@pytest.mark.parametrize("limit", [None, 1])
+def test_proposals_of_whole_frames_like_components(spark, limit):
+    from swathline.operators import regions as RG
+
+    frame = several(spark, [(24, 24), (24, 24), (12, 40)], holes=0.05)
+    mask = frame.select(*KEYS, (F.col("r") + 5).alias("r"), (F.col("c") + 9).alias("c"), F.col("v").alias("response"), (F.col("v") > 7).alias("hit"))
+    names = ("rank", "area_px", "min_row", "min_col", "max_row", "max_col", "centroid_r", "centroid_c", "mean_response")
+    # Moved so that blocks cut every frame, which the windows and the labels of pieces are for.
+    far = mask.withColumn("r", F.col("r") + 103).withColumn("c", F.col("c") + 103)
+    found, want = ([tuple(r) for r in RG.box_proposals(m, KEYS, "storage tanks", 24, 24, limit).orderBy(*KEYS, "rank").select(*KEYS, *names).collect()] for m in (mask, far))
+    assert len(found) == len(want) > 0
+    for a, b in zip(found, want):
+        moved = [x - 103 if n.startswith(("m", "c")) and n != "mean_response" else x for n, x in zip(names, b[2:])]
+        assert a[:2] == b[:2] and list(a[2:]) == pytest.approx(moved, abs=1e-9)
+
+
+def test_stack_and_tile_scores_over_blocks_as_in_whole_frames(spark):
+    from swathline.operators import tiles as TK
+
+    frame = several(spark, [(16, 16), (9, 14)]).withColumn("v", F.col("v") - 25)
+    far = frame.withColumn("r", F.col("r") + 110).withColumn("c", F.col("c") + 110)
+    names = ("sigma0", "lee_db", "entropy")
+    back = lambda df: df.withColumn("r", F.col("r") - 110).withColumn("c", F.col("c") - 110)
+    agree(rows_of(ST.single_pol_stack(frame, KEYS, "v"), *names), rows_of(back(ST.single_pol_stack(far, KEYS, "v")), *names))
+    wish = frame.select("scene_id").distinct().withColumn("wish", F.when(F.col("scene_id") == 0, "smooth").otherwise("structure"))
+    scores = [sorted((r["scene_id"], round(r["coverage"], 9), round(r["score"], 9)) for r in TK.content_score(f, KEYS, "v", wish).collect()) for f in (frame, far)]
+    assert scores[0] == scores[1] and len(scores[0]) == 2
