@@ -126,4 +126,5 @@ def ring_box(ring: Column, a: Column, c: Column, e: Column, f: Column, width: Co
     top, bottom = F.floor((F.array_max(ys) - f) / e), F.floor((F.array_min(ys) - f) / e)
     clip = lambda v, top_value: F.least(F.greatest(v, F.lit(0)), top_value)
     made = box(clip(left, width), clip(top, height), clip(right, width), clip(bottom, height))
-    return F.when((made["xmax"] > made["xmin"]) & (made["ymax"] > made["ymin"]), made)
+    # Held in an array, the box is worked out once for the test and the result.
+    return F.get(F.filter(F.array(made), lambda b: (b["xmax"] > b["xmin"]) & (b["ymax"] > b["ymin"])), F.lit(0))
