@@ -102,3 +102,21 @@ def test_stack_and_tile_scores_over_blocks_as_in_whole_frames(spark):
     wish = frame.select("scene_id").distinct().withColumn("wish", F.when(F.col("scene_id") == 0, "smooth").otherwise("structure"))
     scores = [sorted((r["scene_id"], round(r["coverage"], 9), round(r["score"], 9)) for r in TK.content_score(f, KEYS, "v", wish).collect()) for f in (frame, far)]
     assert scores[0] == scores[1] and len(scores[0]) == 2
+
+
+def test_information_over_blocks_as_in_whole_frames(spark):
+    from swathline.operators import registration as RE
+
+    frame = several(spark, [(16, 16), (16, 16), (9, 14), (3, 3)]).withColumn("u", F.when(F.col("scene_id") < 3, F.col("v") * F.col("v") + F.col("r")))
+    far = frame.withColumn("r", F.col("r") + 110).withColumn("c", F.col("c") + 118)
+    one, other = ({(r["scene_id"], r["part"]): r["mi"] for r in RE.plane_information(f, KEYS, ["v", "u"], ["u"], digits=6).collect()} for f in (frame, far))
+    assert len(one) == 4 and one.keys() == other.keys() and one[3, None] == 0.0
+    assert all(one[k] == pytest.approx(other[k], abs=1e-9) for k in one)
+
+
+def test_polygon_boxes_are_not_worked_out_below_the_grouping(spark):
+    """A filter pushed down with the parsing of the text would parse it a dozen times for every row."""
+    import __spark_entry__ as entrypoint
+
+    made = entrypoint.queries()["RG09_polygon_to_box"](spark, "/root/testdata/sf0.001")
+    assert made._jdf.queryExecution().executedPlan().toString().count("regexp_extract_all") <= 4
