@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from swathline import config as C
 from swathline.functions.pixel import stretch, stretch_uint8
+from swathline.operators.frames import Planes, by_frames, frame_mean, frame_percentiles
 from swathline.operators.joins import attach
+from swathline.operators.ranking import null_safe_join
 from swathline.operators.stats import exact_percentiles, stretch_bounds
 
 
@@ -45,14 +48,39 @@ def percentile_stretch(df: DataFrame, scene: Sequence[str], band: str) -> DataFr
     return attach(df, bounds, scene).withColumn("stretched", stretch(F.col(band), F.col("p_low"), F.col("p_high")))
 
 
-def composites(df: DataFrame, scene: Sequence[str], columns: Mapping[str, str]) -> DataFrame:
-    """8-bit band triples; ``columns`` maps a band designation to its column."""
+def eight_bit_planes(planes: Planes, bands: Sequence[str]) -> Planes:
+    """8-bit percentile stretch of bands of stacked frames, as :func:`stretch_uint8` does it."""
+    out = {}
+    for band in bands:
+        x = planes[band]
+        valid = ~np.isnan(x)
+        low, high = frame_percentiles(x, valid, C.STRETCH_PERCENTILES)
+        wide = high > low
+        unit = np.clip((np.where(valid, x, 0.0) - low) / np.where(wide, high - low, 1.0), 0.0, 1.0)
+        grey = np.where(valid, np.floor(np.nan_to_num(unit) * 255 + 1e-9), 0.0)
+        out[band] = np.where(wide, grey, 128.0).astype(np.int32)
+    return out
+
+
+def composites(df: DataFrame, scene: Sequence[str], columns: Mapping[str, str], seen: str | None = None) -> DataFrame:
+    """8-bit band triples; ``columns`` maps a band designation to its column.
+
+    With ``seen``, ``df`` are complete frames, in which a NULL there marks the cells to leave out: frames inside
+    one block are then stretched whole.
+    """
     needed = sorted({b for triple in C.COMPOSITES.values() for b in triple})
     missing = [b for b in needed if b not in columns]
     if missing:
         raise ValueError(f"composites need {needed}; missing {missing}")
-    renamed = df.select(*scene, "r", "c", *[F.col(columns[b]).cast("double").alias(b) for b in needed])
-    pixels = stretch_bands(renamed, scene, needed, eight_bit=True)
+    if seen is None:
+        renamed = df.select(*scene, "r", "c", *[F.col(columns[b]).cast("double").alias(b) for b in needed])
+        pixels = stretch_bands(renamed, scene, needed, eight_bit=True)
+    else:
+        there = F.col(seen).isNotNull()
+        marked = df.select(*scene, "r", "c", *[F.when(there, F.col(columns[b])).cast("double").alias(b) for b in needed], F.when(there, 1.0).alias("_seen"))
+        work = lambda planes: eight_bit_planes(planes, needed) | {"_seen": planes["_seen"]}
+        spread = lambda some: stretch_bands(some.where("_seen IS NOT NULL"), scene, needed, eight_bit=True)
+        pixels = by_frames(marked, scene, [*needed, "_seen"], {b: "int" for b in needed} | {"_seen": "double"}, work, spread).where("_seen IS NOT NULL")
     images = F.array(
         *[
             F.struct(F.lit(name).alias("composite"), *[F.col(b).alias(slot) for b, slot in zip(triple, ("red8", "green8", "blue8"))])
@@ -167,13 +195,11 @@ def clearest_cover(scenes: DataFrame, areas: DataFrame, window: str, cell: float
     ).select("aoi", window, "candidates", F.col("best.scene_id").alias("scene_id"), F.col("best.cloud").alias("cloud"))
 
 
-def detect_modality(bands: DataFrame, keys: Sequence[str], tag_modality: DataFrame) -> DataFrame:
-    """Sensor words, then the decibel signature, then the speckle signature, then optical.
+FACTS = {"n": "long", "p_low": "double", "p_high": "double", "lowest": "double", "negative": "double", "n_pos": "long", "mean": "double", "std": "double", "skew": "double"}
 
-    ``bands`` is the long pixel table (keys, band, value); ``tag_modality`` has one row per
-    key with column ``tagged``.
-    """
-    keyed = [*keys, "band"]
+
+def band_facts(bands: DataFrame, keyed: Sequence[str]) -> DataFrame:
+    """``keyed`` and ``FACTS`` of the long pixel table: 1st and 99th percentile, lowest, share of negative, moments of positive values."""
     extremes = exact_percentiles(bands, keyed, "value", {"p_low": 0.01, "p_high": 0.99})
     positive = F.when(F.col("value") > 0, F.col("value"))
     moments = bands.groupBy(*keyed).agg(
@@ -184,6 +210,52 @@ def detect_modality(bands: DataFrame, keys: Sequence[str], tag_modality: DataFra
         F.stddev_pop(positive).alias("std"),
         F.skewness(positive).alias("skew"),
     )
+    return null_safe_join(extremes, moments, keyed).select(*keyed, *FACTS)
+
+
+def plane_facts(x: np.ndarray) -> Planes:
+    """:func:`band_facts` of stacked frames, one value per frame."""
+    known = ~np.isnan(x)
+    positive = known & (np.nan_to_num(x) > 0)
+    low, high = (p.ravel() for p in frame_percentiles(x, known, (0.01, 0.99)))
+    n, n_pos = known.sum(axis=(1, 2)), positive.sum(axis=(1, 2))
+    mean = frame_mean(x, positive)
+    away = np.where(positive, x - mean, 0.0)
+    some = np.where(n_pos > 0, n_pos, np.nan)
+    top, least = (f(np.where(positive, x, other), axis=(1, 2)) for f, other in ((np.max, -np.inf), (np.min, np.inf)))
+    std = np.where(top > least, np.sqrt((away**2).sum(axis=(1, 2)) / some), np.where(n_pos > 0, 0.0, np.nan))
+    skew = np.divide((away**3).sum(axis=(1, 2)) / some, std**3, out=np.full(len(n), np.nan), where=std > 0)
+    lowest, negative = np.min(np.where(known, x, np.inf), axis=(1, 2)), (known & (np.nan_to_num(x) < 0)).sum(axis=(1, 2)) / np.maximum(n, 1)
+    return dict(zip(FACTS, (n, low, high, lowest, negative, n_pos, mean.ravel(), std, skew)))
+
+
+def frame_band_facts(frame: DataFrame, scene: Sequence[str], products: Mapping[tuple[str, str], str]) -> DataFrame:
+    """``scene, product, band`` and ``FACTS`` of complete frames; ``products`` maps a product's band to its column. Bands
+    without any value have no row."""
+
+    def work(planes: Planes) -> Planes:
+        made = []
+        for (product, band), column in products.items():
+            facts = plane_facts(planes[column])
+            of = np.flatnonzero(facts["n"])
+            names = {"product": np.full(len(of), product, dtype=object), "band": np.full(len(of), band, dtype=object)}
+            made.append(names | {k: v[of] for k, v in facts.items()} | {"_of": of})
+        return {k: np.concatenate([m[k] for m in made]) for k in made[0]}
+
+    def spread(some: DataFrame) -> DataFrame:
+        values = [F.struct(F.lit(p).alias("product"), F.lit(b).alias("band"), F.col(c).cast("double").alias("value")) for (p, b), c in products.items()]
+        return band_facts(some.select(*scene, F.explode(F.array(*values)).alias("x")).select(*scene, "x.*"), [*scene, "product", "band"])
+
+    types = {"product": "string", "band": "string"} | FACTS
+    return by_frames(frame, scene, list(products.values()), types, work, spread, per_frame=True)
+
+
+def detect_modality(facts: DataFrame, keys: Sequence[str], tag_modality: DataFrame) -> DataFrame:
+    """Sensor words, then the decibel signature, then the speckle signature, then optical.
+
+    ``facts`` has the columns of :func:`band_facts` for every key and band; ``tag_modality`` has one row per
+    key with column ``tagged``.
+    """
     lo, hi = C.DB_RANGE
     decibel = (
         (F.col("n") >= C.MIN_BAND_VALUES)
@@ -192,7 +264,7 @@ def detect_modality(bands: DataFrame, keys: Sequence[str], tag_modality: DataFra
         & (F.col("lowest") <= C.DB_MUST_REACH)
     )
     usable = F.col("n_pos") >= C.MIN_BAND_VALUES
-    per_band = extremes.join(moments, keyed).select(
+    per_band = facts.select(
         *keys,
         decibel.alias("decibel"),
         F.when(usable, F.col("std") / F.col("mean")).alias("cv"),
@@ -216,7 +288,7 @@ def detect_modality(bands: DataFrame, keys: Sequence[str], tag_modality: DataFra
         .when(F.col("decibel") | at_least(C.AMBIGUOUS_MIN), "intensity_signature")
         .otherwise("band_count")
     )
-    return scene.join(tag_modality, list(keys), "left").select(
+    return null_safe_join(scene, tag_modality, keys, "left").select(
         *keys, guess.alias("modality"), basis.alias("basis"), "cv", "skew"
     )
 

@@ -120,3 +120,28 @@ def test_polygon_boxes_are_not_worked_out_below_the_grouping(spark):
 
     made = entrypoint.queries()["RG09_polygon_to_box"](spark, "/root/testdata/sf0.001")
     assert made._jdf.queryExecution().executedPlan().toString().count("regexp_extract_all") <= 4
+
+
+def test_composites_over_blocks_as_in_whole_frames(spark):
+    from swathline.operators import rasters as R
+
+    frame = several(spark, [(16, 16), (5, 9)]).withColumn("seen", F.when(F.col("r") != 2, F.lit(True)))
+    bands = [b for b in ("B02", "B03", "B04", "B08", "B11", "B12")]
+    frame = frame.withColumns({b: F.lit(3.0) if b == "B12" else F.col("v") * (i + 1) + F.col("c") for i, b in enumerate(bands)})
+    far = frame.withColumn("r", F.col("r") + 115).withColumn("c", F.col("c") + 112)
+    made = [R.composites(f, KEYS, {b: b for b in bands}, "seen") for f in (frame, far)]
+    plain = R.composites(frame.where("seen"), KEYS, {b: b for b in bands})
+    whole, other, want = (sorted((r["scene_id"], r["r"] % 115, r["c"] % 112, r["composite"], r["red8"], r["green8"], r["blue8"]) for r in df.collect()) for df in (*made, plain))
+    assert whole == other == want and len(want) == 3 * (15 * 16 + 4 * 9)
+
+
+def test_band_facts_of_planes_like_those_of_the_long_table(spark):
+    from swathline.operators import rasters as R
+
+    frame = several(spark, [(16, 16), (16, 16), (4, 4)]).withColumn("v", F.col("v") - 8)
+    frame = frame.withColumn("flat", F.lit(0.1)).withColumn("none", F.lit(None).cast("double"))
+    far = frame.withColumn("r", F.col("r") + 115)
+    products = {("a", "v"): "v", ("a", "flat"): "flat", ("b", "none"): "none"}
+    whole, other = ({(r["scene_id"], r["part"], r["product"], r["band"]): tuple(r[n] for n in R.FACTS) for r in R.frame_band_facts(f, KEYS, products).collect()} for f in (frame, far))
+    agree(whole, other)
+    assert len(whole) == 6 and whole[0, "a", "a", "flat"][-2] == 0.0
