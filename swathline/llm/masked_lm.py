@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from swathline.llm.common import stored
-from swathline.llm.symbols import SYMBOLS, Symbols, count_trigrams, learn, trigrams
+from swathline.llm.symbols import PARTS, SYMBOLS, Symbols, Weights, add_far, count_trigrams, learn, trigrams, weigh, word_counts
 
 #: Width of the hidden layer; passes over all contexts, contexts in a step, step size and seed of the training.
 HIDDEN, PASSES, STEP, RATE, SEED = 32, 12, 2048, 0.01, 7
@@ -78,16 +78,16 @@ class Network:
         return out.reshape(-1)
 
 
-def train(rows: DataFrame, text: str = "text") -> tuple[Symbols, Network]:
+def train(rows: DataFrame, text: str = "text", counts: DataFrame | None = None) -> tuple[Symbols, Network]:
     """Learn from every word of ``rows``.
 
     A network of one neighbour on each side needs no more than how often each triple of symbols occurs: tasks count their texts,
     Spark adds the counts, and the sums, at most SYMBOLS ** 3 for any corpus, are packed in a row for each left neighbour
     and fitted by one task. Without text the network is the untrained one.
     """
-    symbols = learn(rows, text)
-    counts = stored(count_trigrams(rows, text, symbols))
-    cells = counts.groupBy("u").agg(F.collect_list(F.struct((F.col("w") * SYMBOLS + F.col("v")).alias("cell"), "n")).alias("cells"))
+    symbols = learn(rows, text, counts)
+    triples = stored(count_trigrams(rows, text, symbols))
+    cells = triples.groupBy("u").agg(F.collect_list(F.struct((F.col("w") * SYMBOLS + F.col("v")).alias("cell"), "n")).alias("cells"))
     packed = cells.select("u", F.col("cells.cell").alias("cell"), F.col("cells.n").cast("array<float>").alias("n"))
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -110,31 +110,45 @@ def train(rows: DataFrame, text: str = "text") -> tuple[Symbols, Network]:
     return symbols, network
 
 
-def score(docs: DataFrame, symbols: Symbols, network: Network, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score(
+    docs: DataFrame, symbols: Symbols, network: Network, key: str = "doc_id", text: str = "text", weights: Weights | None = None
+) -> DataFrame:
     """``(key, n_words, log_likelihood, mean_log_likelihood, pseudo_perplexity)`` for every row.
 
-    The pseudo-log-likelihood of a text is the sum over its words of the log-probability of each given both neighbours. What
-    the network says of all contexts is worked out once in a task. Texts without words, NULL among them, score 0 in all but a
-    pseudo-perplexity of 1. Equal texts score alike.
+    The pseudo-log-likelihood of a text is the sum over its words of the log-probability of each given both neighbours: that of
+    its symbol and, with ``weights``, that of the word itself among all words of the symbol, however rare. Without them the words
+    of a symbol count as equally likely. What the network says of all contexts is worked out once in a task. Texts without words,
+    NULL among them, score 0 in all but a pseudo-perplexity of 1. Equal texts score alike.
     """
-    given = docs.sparkSession.sparkContext.broadcast((symbols, network))
+    given = docs.sparkSession.sparkContext.broadcast((symbols, network, weights.near if weights else None))
 
-    @F.pandas_udf("n_words long, log_likelihood double")
+    @F.pandas_udf("n_words long, log_likelihood double, far array<string>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own, net = given.value
+        own, net, near = given.value
         table = net.table()
         for texts in batches:
-            found = [pseudo(own, table, t) for t in texts]
-            yield pd.DataFrame(found, columns=["n_words", "log_likelihood"])
+            found = [pseudo(own, table, t, near) for t in texts]
+            yield pd.DataFrame(found, columns=["n_words", "log_likelihood", "far"])
 
-    out = docs.select(key, run(F.col(text)).alias("_s")).select(key, "_s.n_words", "_s.log_likelihood")
+    out = docs.select(key, run(F.col(text)).alias("_s")).select(key, "_s.*")
+    out = add_far(out, weights, "log_likelihood") if weights else out.drop("far")
     mean = F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")).otherwise(0.0)
     return out.withColumn("mean_log_likelihood", mean).withColumn("pseudo_perplexity", F.exp(-F.col("mean_log_likelihood")))
 
 
-def pseudo(symbols: Symbols, table: np.ndarray, text: str | None) -> tuple[int, float]:
+def score_words(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``score`` of every row by a model of all rows and all their words."""
+    counts = word_counts(docs, text)
+    return score(docs, *train(docs, text, counts), key, text, weigh(counts))
+
+
+def pseudo(symbols: Symbols, table: np.ndarray, text: str | None, near: dict[str, int] | None) -> tuple[int, float, list[str]]:
+    if near is None:
+        read, total, far, own = symbols.read(text), 0, [], symbols.cost
+    else:
+        (read, total, far), own = symbols.read_words(text, near), -symbols.mass
     # One edge in front and one behind: every triple has a word in its middle.
-    read = symbols.read(text)[1:]
+    read = read[1:]
     if len(read) < 3:
-        return 0, 0.0
-    return len(read) - 2, float(table[trigrams(read)].sum(dtype=float) + symbols.cost[read[1:-1]].sum())
+        return 0, 0.0, []
+    return len(read) - 2, float(table[trigrams(read)].sum(dtype=float) + own[read[1:-1]].sum()) + total / PARTS, far

@@ -332,6 +332,41 @@ def test_masked_lm_of_odd_rows(spark, odd, empty):
     assert masked_lm.score(empty, *masked_lm.train(empty)).count() == 0
 
 
+def plain_weights(texts):
+    """A word's part of its log-probability, by dictionaries: every word has its own."""
+    from collections import Counter
+
+    often = Counter(w for t in texts for w in (t or "").split())
+    types = Counter(often.values())
+    d = min(max(types[1] / (types[1] + 2 * types[2]) / 2, 0.05), 0.5)
+    return lambda w: np.log(often[w] - d if often[w] else d)
+
+
+def plain_words(own, texts, text):
+    """Summed log-probability of a text's words among the words of their symbols."""
+    weight, words = plain_weights(texts), (text or "").split()
+    told = [w for last, w in zip([None, *words], words) if w != last and w not in own.words]
+    return sum(weight(w) - own.mass[own.of(w)] for w in told)
+
+
+def test_masked_lm_tells_words_of_one_outline_apart(spark, real, monkeypatch):
+    monkeypatch.setattr(symbols, "NEAR_WORDS", 1000)
+    texts = [r["text"] for r in real.collect()]
+    own, net = masked_lm.train(real)
+    words = masked_lm.score_words(real).join(real, "doc_id").limit(40).collect()
+    alike = {r["doc_id"]: r for r in masked_lm.score(real, own, net).collect()}
+    for r in words:
+        plain = alike[r["doc_id"]]["log_likelihood"] - own.cost[own.read(r["text"])[2:-1]].sum()
+        assert r["log_likelihood"] == pytest.approx(plain + plain_words(own, texts, r["text"]), rel=1e-6)
+    often = symbols.word_counts(real, "text")
+    weights = symbols.weigh(often)
+    assert 500 < len(weights.near) <= 1000 and weights.far.count() + len(weights.near) == often.count() > 10_000
+    rare, common = "zzqx", next(w for w in weights.near if w not in own.words and symbols.shape(w) == "a")
+    pair = spark.createDataFrame([(1, f"the {common} of"), (2, f"the {rare} of"), (2, f"the {rare} of"), (None, None)], "doc_id long, text string")
+    a, b, c = sorted((r["log_likelihood"] for r in masked_lm.score(pair, own, net, weights=weights).where("doc_id > 0").collect()), reverse=True)
+    assert a > b + 2 and b == c
+
+
 def plain_kneser_ney(texts, read):
     """Interpolated modified Kneser-Ney by dictionaries."""
     from collections import Counter
