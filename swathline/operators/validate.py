@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from swathline.operators.stats import exact_percentiles
+from swathline.session import cut_lineage
 
 # Limits of the corpus checks.
 REQUIRED_FIELDS = ("sample_id", "adapter", "task", "images", "question", "answer")
@@ -15,6 +18,8 @@ MAX_ANSWER_SHARE = 0.80
 MIN_ROWS_FOR_WARNING = 20
 MAX_ROWS_PER_SET = 16
 MIN_PIXEL_STD = 1.0
+GRAM, GRAM_SLICE = 4, 1 << 20  # words of a gram; words worked on at once
+GRAM_MIXES = ((0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9), (0xD6E8FEB86659FD93, 0x94D049BB133111EB))
 
 
 def count_if(condition: Column) -> Column:
@@ -128,16 +133,47 @@ def blind_ceiling(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
+def gram_codes(words: pa.ListArray) -> Iterator[pa.RecordBatch]:
+    """Two 64-bit codes for each run of ``GRAM`` words inside a row of hashed words; a run repeated in a slice comes once."""
+    ends = words.offsets.to_numpy()
+    codes = words.values.to_numpy()[ends[0] : ends[-1]].view(np.uint64)
+    left = np.repeat(ends[1:] - ends[0], np.diff(ends)) - np.arange(len(codes))  # words of the row from here on
+    for at in range(0, len(codes), GRAM_SLICE):
+        part = codes[at : at + GRAM_SLICE + GRAM - 1]
+        begin = np.flatnonzero(left[at : at + GRAM_SLICE] >= GRAM)
+        out = []
+        for by, spread in GRAM_MIXES:
+            total = np.zeros(len(begin), dtype=np.uint64)
+            for k in range(GRAM):
+                total = (total + part[begin + k]) * np.uint64(by)
+                total ^= total >> np.uint64(29)
+                total *= np.uint64(spread)
+                total ^= total >> np.uint64(32)
+            out.append(total.view(np.int64))
+        order = np.argsort(out[0])
+        a, b = (x[order] for x in out)
+        new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)]
+        yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], names=["a", "b"])
+
+
 def caption_diversity(captions: DataFrame, text: str) -> DataFrame:
-    """Top opening share, distinct openings, distinct 4-gram ratio, median words and sentences."""
-    raw = F.filter(F.split(F.col(text), r"\s+"), lambda w: w != "")
-    base = captions.select(raw.alias("w"), F.transform(raw, F.lower).alias("lw"), F.lit(0).alias("one"), F.regexp_count(F.col(text), F.lit(r"\.")).alias("stops"))
-    openings = base.groupBy(F.array_join(F.slice("w", 1, 4), " ").alias("o")).agg(F.count("*").alias("n"))
+    """Top opening share, distinct openings, distinct 4-gram ratio, median words and sentences.
+
+    One reading of the texts gives openings and sizes, another the grams, which are told apart by 128 bits and never written out."""
+    # Five pieces hold the first four words, as only the first piece can be empty.
+    first = F.filter(F.slice(F.split(F.col(text), r"\s+", 6), 1, 5), lambda w: w != "")
+    words, stops = F.regexp_count(F.col(text), F.lit(r"\S+")), F.regexp_count(F.col(text), F.lit(r"\."))
+    base = cut_lineage(captions.select(F.array_join(F.slice(first, 1, 4), " ").alias("o"), words.alias("words"), stops.alias("stops"), F.lit(0).alias("one")))
+    openings = base.groupBy("o").agg(F.count("*").alias("n"))
     head = openings.agg(F.sum("n").alias("captions"), F.count("*").alias("distinct_openings"), F.max("n").alias("top"))
-    starts = F.when(F.size("lw") >= 4, F.sequence(F.lit(1), F.size("lw") - 3)).otherwise(F.array().cast("array<int>"))
-    grams = base.select(F.explode(F.transform(starts, lambda i: F.array_join(F.slice("lw", i, 4), " "))).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
-    ratio = grams.agg(F.count("*").alias("distinct_grams"), F.coalesce(F.sum("n"), F.lit(1)).alias("grams"))
-    sized = base.select("one", F.size("w").cast("double").alias("words"), F.col("stops").cast("double").alias("stops"))
+    lower = F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda w: w != "")
+    hashed = captions.where(F.col(text).isNotNull()).select(F.transform(lower, lambda w: F.xxhash64(w)).alias("w"))
+    codes = hashed.mapInArrow(lambda batches: (out for b in batches for out in gram_codes(b.column(0))), "a long, b long")
+    # Slices are without repeats, so no gram is hot and rows go unsummed to where they are told apart.
+    distinct = codes.repartition("a").groupBy("a", "b").agg(F.lit(1)).agg(F.count("*").alias("distinct_grams"))
+    total = base.agg(F.coalesce(F.nullif(F.sum(F.greatest(F.col("words") - (GRAM - 1), F.lit(0))), F.lit(0)), F.lit(1)).alias("grams"))
+    ratio = distinct.crossJoin(total)
+    sized = base.select("one", F.col("words").cast("double"), F.col("stops").cast("double"))
     middle = lambda c, name: exact_percentiles(sized, ["one"], c, {name: 0.5}, nearest_rank=True).select(F.col(name).cast("long").alias(name))
     return head.crossJoin(ratio).crossJoin(middle("words", "median_words")).crossJoin(middle("stops", "median_sentences")).select(
         "captions", F.round(F.col("top") / F.col("captions"), 4).alias("top_opening_share"), "distinct_openings",

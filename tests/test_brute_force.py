@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from swathline.operators import regions as RG
 from swathline.operators import registration as RE
 from swathline.operators import sampling as SM
 from swathline.operators import scoring as SC
+from swathline.operators import validate as V
 
 
 def lcs(a, b):
@@ -415,3 +417,28 @@ def test_caption_metrics_shuffle_sums_and_no_grams(spark, monkeypatch):
     assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want) and max(want.values()) > 0
     bleu = SC.corpus_bleu(pairs, "row_id", "p", "r")._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search("Join|Generate", bleu)
+
+
+def test_caption_diversity_codes_grams_in_place(spark, capsys):
+    texts = ["A b c d e", " a B c d\te ", "Ther Ther Ther Ther Ther", "", "one two three", "ÉTÉ été Été ÉTÉ x", "\n\tp q r s t u", None]
+    rows = spark.createDataFrame([(t,) for t in texts * 3], "text string")
+    split = [t.split() for t in texts * 3 if t is not None]
+    grams = [tuple(w.lower() for w in s[i : i + 4]) for s in split for i in range(len(s) - 3)]
+    openings = Counter(" ".join(s[:4]) for s in split)
+    out = V.caption_diversity(rows, "text")
+    r = out.first()
+    assert r["distinct_4gram_ratio"] == round(len(set(grams)) / len(grams), 4)
+    assert r["distinct_openings"] == len(openings) + 1 and r["captions"] == len(texts) * 3
+    out.explain()
+    assert "MapInArrow" in capsys.readouterr().out  # no gram is written out as text
+
+
+def test_gram_codes_over_slices_and_rows(monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [rng.integers(0, 5, n).tolist() for n in (0, 3, 4, 50, 0, 17, 4, 1)]
+    grams = {tuple(r[i : i + 4]) for r in rows for i in range(len(r) - 3)}
+    for size in (1, 7, 1 << 20):
+        monkeypatch.setattr(V, "GRAM_SLICE", size)
+        for given, want in ((pa.array(rows, pa.list_(pa.int64())), grams), (pa.array([[1], []], pa.list_(pa.int64())), set()), (pa.array([], pa.list_(pa.int64())), set())):
+            found = [pair for out in V.gram_codes(given) for pair in zip(*(c.to_pylist() for c in out.columns))]
+            assert len(set(found)) == len(want) and len({a for a, _ in found}) == len(want)
