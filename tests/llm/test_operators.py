@@ -367,6 +367,18 @@ def test_masked_lm_tells_words_of_one_outline_apart(spark, real, monkeypatch):
     assert a > b + 2 and b == c
 
 
+def test_quality_by_every_word(spark, real, monkeypatch):
+    monkeypatch.setattr(symbols, "NEAR_WORDS", 1000)
+    labels = real.where("doc_id % 2 = 0").selectExpr("doc_id", "1 AS quality")
+    texts = [r["text"] for r in real.where("doc_id % 2 = 0").collect()]
+    model = kneser_ney.train(real.where("doc_id % 2 = 0"))
+    table = model.table()
+    for r in kneser_ney.judge(real, labels).join(real.drop("lang"), "doc_id").limit(40).collect():
+        row = model.symbols.read(r["text"])
+        plain = table[symbols.trigrams(row)].sum(dtype=float) + plain_words(model.symbols, texts, r["text"])
+        assert r["nll"] == pytest.approx(-plain / (len(row) - 2), rel=1e-6) and r["n_words"] == len(row) - 2
+
+
 def plain_kneser_ney(texts, read):
     """Interpolated modified Kneser-Ney by dictionaries."""
     from collections import Counter
