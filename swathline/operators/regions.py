@@ -15,8 +15,7 @@ from swathline import config as C
 from swathline.operators.frames import Planes, by_frames
 from swathline.operators.joins import attach
 from swathline.operators.ranking import null_safe_join
-from swathline.operators.stencil import morphological_open, opened_planes, texture_response
-from swathline.operators.stats import gated_threshold
+from swathline.operators.stencil import morphological_open, opened_planes, texture_hits
 from swathline.session import cut_lineage
 
 Keys = Sequence[str]
@@ -187,10 +186,7 @@ def radar_mask(frame: DataFrame, keys: Keys, pol: str, band: str) -> DataFrame:
 
 def optical_mask(frame: DataFrame, keys: Keys, band: str) -> DataFrame:
     """Step one on an optical plane: texture response, cut by the gated threshold."""
-    response = texture_response(frame, keys, band).withColumn("response", F.round("response", 9))
-    gate = gated_threshold(response, keys, "response", C.TEXTURE_CUT)
-    hit = F.coalesce(F.col("response") >= F.col("_cut"), F.lit(False))
-    return attach(response, gate.select(*keys, F.col("value").alias("_cut")), keys, "left").select(*keys, "r", "c", "response", hit.alias("hit"))
+    return texture_hits(frame, keys, band, C.TEXTURE_CUT)
 
 
 def shaped_regions(mask: DataFrame, keys: Keys, target: str, height: int, width: int) -> DataFrame:

@@ -21,7 +21,7 @@ from swathline.operators.frames import Planes, blurred, by_frames, frame_mean, f
 from swathline.operators.joins import attach
 from swathline.operators.ranking import null_safe_join
 from swathline.operators.rasters import stretch_bands
-from swathline.operators.stats import exact_percentiles
+from swathline.operators.stats import GATE, exact_percentiles, gate_planes, gated_threshold, with_method
 from swathline.session import cut_lineage
 
 Keys = Sequence[str]
@@ -205,10 +205,52 @@ def spread_texture_parts(frame: DataFrame, keys: Keys, value: str, window: int)
     return attach(terms, peaks, keys, "left").select(*keys, "r", "c", "valid", scaled("density", "_edge").alias("edges"), scaled("spread", "_most").alias("variance"))
 
 
+def mixed_response(parts: DataFrame, keys: Keys) -> DataFrame:
+    mixed = F.least(0.6 * F.col("edges") + 0.4 * F.col("variance"), F.lit(1.0))
+    return parts.select(*keys, "r", "c", F.when(F.col("valid"), mixed).alias("response"))
+
+
 def texture_response(frame: DataFrame, keys: Keys, value: str, window: int = C.TEXTURE_WINDOW) -> DataFrame:
     """clip(0.6 edge density + 0.4 local variance), NULL on invalid cells."""
-    mixed = F.least(0.6 * F.col("edges") + 0.4 * F.col("variance"), F.lit(1.0))
-    return texture_parts(frame, keys, value, window).select(*keys, "r", "c", F.when(F.col("valid"), mixed).alias("response"))
+    return mixed_response(texture_parts(frame, keys, value, window), keys)
+
+
+def response_planes(x: np.ndarray, window: int) -> np.ndarray:
+    """:func:`rounded_response` of stacked frames; it is never negative, so half a unit up rounds as Spark does."""
+    parts = texture_planes(x, window)
+    response = np.minimum(0.6 * parts["edges"] + 0.4 * parts["variance"], 1.0)
+    unit = 10.0**C.TEXTURE_DIGITS
+    return np.where(parts["valid"], np.floor(response * unit + 0.5) / unit, np.nan)
+
+
+def rounded_response(frame: DataFrame, keys: Keys, value: str, window: int) -> DataFrame:
+    """:func:`texture_response` of frames over several blocks, to so many digits that the order of its sums moves no pixel past a cut."""
+    response = mixed_response(cut_lineage(spread_texture_parts(frame, keys, value, window)), keys)
+    return response.withColumn("response", F.round("response", C.TEXTURE_DIGITS))
+
+
+def texture_gate(frame: DataFrame, keys: Keys, value: str, fixed: float, window: int = C.TEXTURE_WINDOW) -> DataFrame:
+    """Decision rows of the texture response, as of :func:`gated_threshold`; no pixel of a small frame leaves the task that scores it."""
+    if window % 2 == 0:
+        raise ValueError("window must be odd so the response stays grid-aligned")
+    work = lambda planes: gate_planes(response_planes(planes[value], window), fixed)
+    spread = lambda some: gated_threshold(rounded_response(some, keys, value, window), keys, "response", fixed)
+    return with_method(by_frames(frame, keys, [value], GATE, work, spread, per_frame=True), keys)
+
+
+def texture_hits(frame: DataFrame, keys: Keys, value: str, fixed: float, window: int = C.TEXTURE_WINDOW) -> DataFrame:
+    """``response`` of every cell and ``hit``: whether it reaches the cut of :func:`texture_gate`."""
+
+    def work(planes: Planes) -> Planes:
+        response = response_planes(planes[value], window)
+        return {"response": response, "hit": response >= gate_planes(response, fixed)["value"][:, None, None]}
+
+    def spread(some: DataFrame) -> DataFrame:
+        response = rounded_response(some, keys, value, window)
+        gate = gated_threshold(response, keys, "response", fixed).select(*keys, F.col("value").alias("_cut"))
+        return attach(response, gate, keys, "left").withColumn("hit", F.coalesce(F.col("response") >= F.col("_cut"), F.lit(False)))
+
+    return by_frames(frame, keys, [value], {"response": "double", "hit": "boolean"}, work, spread)
 
 
 def local_std_3x3(frame: DataFrame, keys: Keys, value: str) -> DataFrame:

@@ -78,15 +78,13 @@ def nb04(v):
 
 @query("AGG06_texture_seg_summary", ctes("px", "grid", FILL, *VARIANCE, *EDGES, RESPONSE, "tr AS (SELECT scene_id, date_idx, r, c, round(response, 9) AS response FROM tx)", gate_sql("tr", KEYS, "response", "0.35")) + measure_sql("builtup", 0.45, 0.0))
 def agg06(v):
-    response = ST.texture_response(frame(v), SCENE, "nir").withColumn("response", F.round("response", 9))
-    gate = S.gated_threshold(response, SCENE, "response", C.TEXTURE_CUT)
+    gate = ST.texture_gate(frame(v), SCENE, "nir", C.TEXTURE_CUT)
     return S.measurement(gate, SCENE, "builtup", 0.45, 0.0, pixel_size())
 
 
 @query("AGG19_measure_variant_texture", ctes("px", "grid", FILL, *VARIANCE, *EDGES, RESPONSE, "tr AS (SELECT scene_id, date_idx, r, c, round(response, 9) AS response FROM tx)", gate_sql("tr", KEYS, "response", "0.35")) + variant_sql(0.45))
 def agg19_texture(v):
-    response = ST.texture_response(frame(v), SCENE, "nir").withColumn("response", F.round("response", 9))
-    return variant(S.gated_threshold(response, SCENE, "response", C.TEXTURE_CUT), 0.45)
+    return variant(ST.texture_gate(frame(v), SCENE, "nir", C.TEXTURE_CUT), 0.45)
 
 
 POWER = f"pw AS (SELECT {PKEYS}, power(10.0, vv / 10) AS x, vv IS NOT NULL AS valid FROM grid)"

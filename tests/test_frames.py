@@ -145,3 +145,53 @@ def test_band_facts_of_planes_like_those_of_the_long_table(spark):
     whole, other = ({(r["scene_id"], r["part"], r["product"], r["band"]): tuple(r[n] for n in R.FACTS) for r in R.frame_band_facts(f, KEYS, products).collect()} for f in (frame, far))
     agree(whole, other)
     assert len(whole) == 6 and whole[0, "a", "a", "flat"][-2] == 0.0
+
+
+def decisions(df):
+    names = [n for n in df.columns if n not in KEYS]
+    return {(r["scene_id"], r["part"]): tuple(r[n] for n in names) for r in df.collect()}
+
+
+def gate_inputs(spark):
+    """Frames in one mode, in two, flat, with holes, with none but holes, without a cut, and one that lacks a cell."""
+    frame = several(spark, [(16, 16), (16, 16), (9, 14), (1, 1), (5, 5), (8, 8), (6, 6)])
+    k = F.col("scene_id")
+    two = F.when(F.col("c") % 3 == 0, F.col("v") / 100).otherwise(F.col("v") / 100 + 0.5)
+    v = F.when(k == 0, F.col("v")).when(k == 2, F.lit(0.25)).when(k == 4, F.lit(None)).otherwise(two)
+    frame = frame.withColumn("v", F.round(v, 3)).withColumn("cut", F.when(k != 5, F.lit(0.35) + k / 50))
+    return frame.where("NOT (scene_id = 6 AND r = 2 AND c = 3)")
+
+
+@pytest.mark.parametrize("above", [True, False])
+def test_gate_of_whole_frames_like_the_grouped_one(spark, above):
+    from swathline.operators import stats as S
+
+    frame = gate_inputs(spark)
+    whole, grouped = S.gated_frames(frame, KEYS, "v", F.col("cut"), above), S.gated_threshold(frame, KEYS, "v", F.col("cut"), above)
+    assert whole.columns == grouped.columns
+    # The same doubles, not nearly the same: both work in whole numbers of bins.
+    assert decisions(whole) == decisions(grouped)
+    assert {r["method"] for r in whole.collect()} == {"otsu", "fixed_fallback"}
+
+
+def test_texture_gate_over_blocks_as_in_whole_frames(spark):
+    from swathline.operators import stats as S
+
+    frame = several(spark, [(16, 16), (16, 16), (9, 14), (4, 4), (1, 1)])
+    frame = frame.withColumn("v", F.when(F.col("scene_id") != 3, F.col("v") + F.when(F.col("c") > 6, F.col("r") * F.col("c") % 7 * 40).otherwise(0)))
+    far = frame.withColumn("r", F.col("r") + 115)
+    response = ST.texture_response(frame, KEYS, "v").withColumn("response", F.round("response", 9))
+    whole, over, plain = ST.texture_gate(frame, KEYS, "v", 0.35), ST.texture_gate(far, KEYS, "v", 0.35), S.gated_threshold(response, KEYS, "response", 0.35)
+    assert decisions(whole) == decisions(over) == decisions(plain)
+    hits = rows_of(ST.texture_hits(frame, KEYS, "v", 0.35), "response", "hit")
+    agree(hits, {(s, p, r - 115, c): x for (s, p, r, c), x in rows_of(ST.texture_hits(far, KEYS, "v", 0.35), "response", "hit").items()})
+    assert sum(hit for _, hit in hits.values()) == sum(r["hits"] for r in whole.collect())
+
+
+@pytest.mark.parametrize("name", ["AGG06_texture_seg_summary", "AGG19_measure_variant_texture", "AGG04_spectral_index_summary"])
+def test_small_frames_are_decided_on_where_their_pixels_meet(spark, name):
+    """One row per frame is left: no pixel is grouped by its value, joined to a cut or shuffled after its frame is whole."""
+    import __spark_entry__ as entrypoint
+
+    plan = entrypoint.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not any(word in plan for word in ("Exchange", "Join", "Window"))
