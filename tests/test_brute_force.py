@@ -442,3 +442,26 @@ def test_gram_codes_over_slices_and_rows(monkeypatch):
         for given, want in ((pa.array(rows, pa.list_(pa.int64())), grams), (pa.array([[1], []], pa.list_(pa.int64())), set()), (pa.array([], pa.list_(pa.int64())), set())):
             found = [pair for out in V.gram_codes(given) for pair in zip(*(c.to_pylist() for c in out.columns))]
             assert len(set(found)) == len(want) and len({a for a, _ in found}) == len(want)
+
+
+def test_members_are_nested_whole_and_only_large_keys_are_ranked(spark):
+    import hashlib
+
+    from swathline.operators import joins as JO
+
+    sizes = {1: 3, 2: 10, 3: 11, 4: 47, None: 25, 5: 1}
+    rows = [(k, f"m{k}-{i}") for k, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "k long, id string").repartition(5)
+    parts = {}
+    for r in JO.nest_in_parts(df, ["k"], F.sha2("id", 256), "id", F.struct("id"), 10).collect():
+        assert (r["k"], r["part"]) not in parts
+        parts[r["k"], r["part"]] = {x["id"] for x in r["items"]}
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = {}
+    for k, n in sizes.items():
+        ordered = sorted((x for j, x in rows if j == k), key=digest)
+        want |= {(k, i // 10): set(ordered[i : i + 10]) for i in range(0, n, 10)}
+    assert parts == want
+    few = JO.nest_in_parts(df.where("k < 3"), ["k"], F.sha2("id", 256), "id", F.struct("id"), 10)
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and not any(word in plan for word in ("Window", "Join", "sha2"))
