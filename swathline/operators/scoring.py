@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from swathline.functions.answers import first_number, format_answer, strip, yes_no
-from swathline.functions.tokens import clipped_counts, gram_counts, lcs_length, lcs_length_whitespace, ngrams, squared_counts, tokens
+from swathline.functions.tokens import FACTS_TYPE, Vocabulary, clipped_counts, lcs_length, lcs_length_whitespace, ngrams, pair_facts, tokens
 from swathline.operators.stats import exact_percentiles
-from swathline.session import cut_lineage
+from swathline.session import cut_lineage, stored
 
 # Fixed values of the published metrics.
 MAX_ORDER = 4
@@ -57,11 +58,15 @@ def corpus_bleu(pairs: DataFrame, row: str, prediction: str, reference: str) ->
     counted inside the row; what is shuffled is a few sums.
     """
     p, r = tokens(F.col(prediction)), tokens(F.col(reference))
-    rows = pairs.select(p.alias("p"), r.alias("r"), clipped_counts(prediction, reference).alias("c"))
+    return summed_bleu(pairs.select(F.size(p).alias("np"), F.size(r).alias("nr"), clipped_counts(prediction, reference).alias("clip")))
+
+
+def summed_bleu(rows: DataFrame) -> DataFrame:
+    """Corpus BLEU from the rows' numbers of words, ``np`` and ``nr``, and their clipped counts ``clip``."""
     joined = rows.agg(
-        F.coalesce(F.sum(F.size("p").cast("long")), F.lit(0)).alias("pred_len"), F.coalesce(F.sum(F.size("r").cast("long")), F.lit(0)).alias("ref_len"),
-        *[F.sum(F.greatest(F.size("p") - (n - 1), F.lit(0)).cast("long")).alias(f"t{n}") for n in ORDERS],
-        *[F.coalesce(F.sum(F.col("c")[n - 1]), F.lit(0)).alias(f"c{n}") for n in ORDERS],
+        F.coalesce(F.sum(F.col("np").cast("long")), F.lit(0)).alias("pred_len"), F.coalesce(F.sum(F.col("nr").cast("long")), F.lit(0)).alias("ref_len"),
+        *[F.sum(F.greatest(F.col("np") - (n - 1), F.lit(0)).cast("long")).alias(f"t{n}") for n in ORDERS],
+        *[F.coalesce(F.sum(F.col("clip")[n - 1]), F.lit(0)).alias(f"c{n}") for n in ORDERS],
     )
     precision = [F.when(F.col(f"t{n}") > 0, F.col(f"c{n}") / F.col(f"t{n}")).otherwise(0.0) for n in ORDERS]
     smallest = F.least(*precision)
@@ -80,10 +85,13 @@ def rouge_rows(pairs: DataFrame, prediction: str, reference: str) -> DataFrame:
         "*", F.size(tokens(F.col(prediction))).alias("_np"), F.size(tokens(F.col(reference))).alias("_nr"),
         lcs_length(prediction, reference).alias("lcs"),
     )
-    p, r = F.try_divide(F.col("lcs"), F.col("_np")), F.try_divide(F.col("lcs"), F.col("_nr"))
+    return sized.withColumn("rouge_l", rouge_score(F.col("lcs"), F.col("_np"), F.col("_nr"))).drop("_np", "_nr")
+
+
+def rouge_score(lcs: Column, np: Column, nr: Column) -> Column:
+    p, r = F.try_divide(lcs, np), F.try_divide(lcs, nr)
     beta = ROUGE_BETA * ROUGE_BETA
-    score = F.when(F.col("lcs") > 0, (1 + beta) * p * r / (r + beta * p)).otherwise(0.0)
-    return sized.withColumn("rouge_l", score).drop("_np", "_nr")
+    return F.when(lcs > 0, (1 + beta) * p * r / (r + beta * p)).otherwise(0.0)
 
 
 def rouge_f1(prediction: Column, reference: Column) -> Column:
@@ -104,35 +112,56 @@ def idf_table(pairs: DataFrame, reference: str) -> DataFrame:
     )
 
 
+def facts_with(vocabulary: DataFrame, prediction: str, reference: str, whole: bool = False) -> Column:
+    """:func:`pair_facts` with the n-grams of ``vocabulary``, which go to every task."""
+    table = vocabulary.select("g", "idf").toArrow()
+    given = vocabulary.sparkSession.sparkContext.broadcast(Vocabulary(dict(zip(table["g"].to_pylist(), table["idf"].to_pylist()))))
+
+    @F.pandas_udf(FACTS_TYPE)
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for first, second in batches:
+            made = [pair_facts(p, r, given.value, whole) for p, r in zip(first, second)]
+            yield pd.DataFrame(made, columns=FACTS_TYPE.names, dtype=object)
+
+    return run(prediction, reference)
+
+
+def caption_facts(pairs: DataFrame, row: str, prediction: str, reference: str, whole: bool = False) -> tuple[DataFrame, list[DataFrame]]:
+    """The rows' facts, each text read once for them, and by vocabulary slice ``row, n`` and the sums over n-grams of the slice.
+
+    The vocabulary goes to the texts, in broadcast slices of at most ``VOCABULARY_ROWS``, each with a reading of its own; a
+    row's n-grams are weighed where they are counted, so none leaves its task and only five sums per order do.
+    """
+    vocabulary = cut_lineage(idf_table(pairs, reference))
+    slices = max(1, -(-vocabulary.count() // VOCABULARY_ROWS))
+    place = F.pmod(F.xxhash64("n", "g"), F.lit(slices))
+    read = lambda i: pairs.select(row, facts_with(vocabulary.where(place == i), prediction, reference, whole and not i).alias("c"))
+    facts = stored(read(0).select(row, "c.*"))
+    rows = [facts, *[read(i).select(row, "c.*") for i in range(1, slices)]]
+    return facts, [by_order(r, [row], ["known_sq", "known2", "dot", "nr2"]) for r in rows]
+
+
+def by_order(rows: DataFrame, keep: Sequence[str], sums: Sequence[str]) -> DataFrame:
+    """``keep``, ``n`` and one entry of each array of ``sums`` per row and order."""
+    spread = rows.select(*keep, F.posexplode(F.arrays_zip(*sums)).alias("n", "h"))
+    return spread.select(*keep, (F.col("n") + 1).alias("n"), *[f"h.{x}" for x in sums])
+
+
 def cider_rows(pairs: DataFrame, row: str, prediction: str, reference: str) -> DataFrame:
     """CIDEr-D per row.
 
     An n-gram outside the reference vocabulary has idf log N, so its share of a prediction's norm follows from
-    the in-row sum of squared counts. The vocabulary goes to the texts, in broadcast slices of at most
-    ``VOCABULARY_ROWS``, each with a reading of its own; a row's n-grams are never shuffled, only its sums are.
+    the in-row sum of squared counts.
     """
-    vocabulary = cut_lineage(idf_table(pairs, reference))
-    slices = max(1, -(-vocabulary.count() // VOCABULARY_ROWS))
     docs = pairs.agg(F.log(F.greatest(F.count("*"), F.lit(1)).cast("double")).alias("log_n"))
-    place = F.pmod(F.xxhash64("n", "g"), F.lit(slices))
-    counted = pairs.select(row, gram_counts(prediction, reference).alias("c")).select(row, F.explode(F.arrays_zip("c.n", "c.g", "c.cp", "c.cr")).alias("h"))
-    counted = counted.select(row, "h.n", "h.g", "h.cp", "h.cr")
-    vp, vr = F.col("cp") * F.col("idf"), F.col("cr") * F.col("idf")
-    sums = [
-        counted.where(place == i).join(F.broadcast(vocabulary.where(place == i)), ["n", "g"]).groupBy(row, "n").agg(
-            F.sum(vp * vp).alias("known2"), F.sum(F.col("cp") * F.col("cp")).alias("known_sq"),
-            F.sum(F.least(vp, vr) * vr).alias("dot"), F.sum(vr * vr).alias("nr2"),
-        )
-        for i in range(slices)
-    ]
-    per_order = reduce(lambda a, b: a.unionByName(b), sums)
-    if slices > 1:
-        per_order = per_order.groupBy(row, "n").agg(*[F.sum(c).alias(c) for c in ("known2", "known_sq", "dot", "nr2")])
-    squares = pairs.select(
-        row, F.size(tokens(F.col(prediction))).alias("np"), F.size(tokens(F.col(reference))).alias("nr"),
-        F.posexplode(squared_counts(prediction)).alias("n", "sq"),
-    ).withColumn("n", F.col("n") + 1)
-    scored = squares.join(per_order, [row, "n"], "left").crossJoin(docs)
+    return summed_cider(*caption_facts(pairs, row, prediction, reference), docs, row)
+
+
+def summed_cider(facts: DataFrame, parts: Sequence[DataFrame], docs: DataFrame, row: str) -> DataFrame:
+    sums = ["known_sq", "known2", "dot", "nr2"]
+    per_order = reduce(lambda a, b: a.unionByName(b), parts).groupBy(row, "n").agg(*[F.sum(c).alias(c) for c in sums])
+    squares = by_order(facts, [row, "np", "nr"], ["sq"])
+    scored = squares.join(per_order, [row, "n"], "left").join(F.broadcast(docs))
     zero = lambda name: F.coalesce(F.col(name), F.lit(0.0))
     np2 = (F.col("sq") - F.coalesce("known_sq", F.lit(0))) * F.col("log_n") * F.col("log_n") + zero("known2")
     cosine = F.when((np2 > 0) & (zero("nr2") > 0), zero("dot") / (F.sqrt(np2) * F.sqrt(zero("nr2")))).otherwise(0.0)
@@ -142,22 +171,17 @@ def cider_rows(pairs: DataFrame, row: str, prediction: str, reference: str) -> D
     return summed.select(row, F.when((F.col("np") > 0) & (F.col("nr") > 0), score).otherwise(0.0).alias("cider_d"))
 
 
-def caption_lengths(pairs: DataFrame, prediction: str, reference: str) -> DataFrame:
-    np, nr = F.size(tokens(F.col(prediction))), F.size(tokens(F.col(reference)))
-    return pairs.agg(
-        F.round(F.avg(np), 1).alias("mean_pred_words"), F.round(F.avg(nr), 1).alias("mean_ref_words"),
-        F.sum((np == 0).cast("long")).alias("empty_predictions"),
-    )
-
-
 def caption_scores(pairs: DataFrame, row: str, prediction: str, reference: str) -> DataFrame:
-    """BLEU, ROUGE-L and CIDEr-D side by side; every input is a single row."""
-    rouge = rouge_rows(pairs, prediction, reference).agg(F.round(F.avg("rouge_l"), 4).alias("rouge_l"))
-    cider = cider_rows(pairs, row, prediction, reference).agg(F.round(F.avg("cider_d"), 4).alias("cider_d"))
-    return (
-        corpus_bleu(pairs, row, prediction, reference)
-        .crossJoin(rouge).crossJoin(cider).crossJoin(caption_lengths(pairs, prediction, reference))
+    """BLEU, ROUGE-L and CIDEr-D and lengths side by side; every input is a single row. The texts are read once for all of them."""
+    facts, parts = caption_facts(pairs, row, prediction, reference, whole=True)
+    docs = facts.agg(F.log(F.greatest(F.count("*"), F.lit(1)).cast("double")).alias("log_n"))
+    rouge = facts.agg(F.round(F.avg(rouge_score(F.col("lcs"), F.col("np"), F.col("nr"))), 4).alias("rouge_l"))
+    cider = summed_cider(facts, parts, docs, row).agg(F.round(F.avg("cider_d"), 4).alias("cider_d"))
+    lengths = facts.agg(
+        F.round(F.avg("np"), 1).alias("mean_pred_words"), F.round(F.avg("nr"), 1).alias("mean_ref_words"),
+        F.sum((F.col("np") == 0).cast("long")).alias("empty_predictions"),
     )
+    return summed_bleu(facts).crossJoin(rouge).crossJoin(cider).crossJoin(lengths)
 
 
 def numeric_accuracy(rows: DataFrame, run: Sequence[str], prediction: str, reference: str, tolerance: float = NUMERIC_TOLERANCE) -> DataFrame:
