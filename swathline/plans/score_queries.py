@@ -11,7 +11,7 @@ from swathline.plans.box_queries import IOU_SQL, iou
 from swathline.plans.registry import query
 from swathline.plans.text_queries import format_answer_sql, formatted, normalise_sql
 from swathline.plans.views import ctes
-from swathline.session import cut_lineage
+from swathline.session import stored
 
 col = F.col
 
@@ -101,8 +101,8 @@ def sc07(v):
 @query("SC08_caption_scores")
 def sc08(v):
     """The caption scores, and the floor: the same predictions against rotated references."""
-    # Four metrics read the rotated pairs, which are shuffled once.
-    rotated = cut_lineage(SM.rotate_pairing(v.caps.select("row_id", "prediction", "reference"), "row_id", ["reference"], offset=1))
+    # The rotated pairs are shuffled once and read twice.
+    rotated = stored(SM.rotate_pairing(v.caps.select("row_id", "prediction", "reference"), "row_id", ["reference"], offset=1))
     own = SC.caption_scores(v.caps, "row_id", "prediction", "reference").withColumn("arm", F.lit("scores"))
     floor = SC.caption_scores(rotated, "row_id", "prediction", "reference").withColumn("arm", F.lit("blind_floor"))
     return own.unionByName(floor)
