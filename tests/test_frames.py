@@ -195,3 +195,52 @@ def test_small_frames_are_decided_on_where_their_pixels_meet(spark, name):
 
     plan = entrypoint.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Exchange", "Join", "Window"))
+
+
+def shifted_pairs(spark):
+    """Frames whose second band is the first, moved, with noise; one flat, one without values, one of another shape."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for i, (h, w, dy, dx) in enumerate([(16, 16, 1, -1), (16, 16, 0, 0), (9, 14, -2, 1), (8, 8, 0, 0), (16, 16, 3, 2), (6, 6, 0, 0)]):
+        b = rng.normal(10.0, 3.0, (h, w)).round(2)
+        a = np.roll(b, (dy, dx), axis=(0, 1)) + rng.normal(0.0, 0.2, (h, w)).round(2)
+        if i == 3:
+            b[:] = 4.0
+        for (r, c), x in np.ndenumerate(a):
+            hole = rng.random() < 0.05 or i == 5
+            rows.append((i, "b" if i % 2 else "a", r, c, None if hole else float(x), float(b[r, c])))
+    return spark.createDataFrame(rows, "scene_id long, part string, r long, c long, u double, v double")
+
+
+@pytest.mark.parametrize("how", [{"cross_modal": True, "search": 4}, {"cross_modal": False, "search": 3, "refine": 0}])
+def test_shifts_of_whole_frames_like_those_of_planes(spark, how):
+    from swathline.operators import registration as RE
+
+    frame = shifted_pairs(spark)
+    a, b = (RE.standardise_plane(frame, KEYS, [n], m).withColumn(m, F.round(m, 9)) for n, m in (("u", "a"), ("v", "b")))
+    far = frame.withColumn("r", F.col("r") + 118)
+    found = [
+        {(r["scene_id"], r["part"]): (r["dy"], r["dx"], pytest.approx(r["score"], abs=2e-9), pytest.approx(r["residual"])) for r in df.collect()}
+        for df in (RE.plane_shifts(frame, KEYS, ["u"], ["v"], digits=9, **how), RE.shift_estimate(a, b, KEYS, **how), RE.plane_shifts(far, KEYS, ["u"], ["v"], digits=9, **how))
+    ]
+    assert len(found[0]) == 6 and found[0] == found[1] == found[2]
+    assert [found[0][k][:2] for k in ((0, "a"), (4, "a"))] == [(1.0, -1.0), (3.0, 2.0)]
+    plan = RE.plane_shifts(frame, KEYS, ["u"], ["v"], **how)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_correlations_and_report_of_whole_frames_like_those_over_blocks(spark):
+    from swathline.operators import registration as RE
+
+    frame = shifted_pairs(spark)
+    far = frame.withColumn("c", F.col("c") + 119)
+    sums = [{(r["scene_id"], r["part"], r["dy"], r["dx"]): tuple(round(r[n], 6) + 0.0 for n in ("ab", "aa", "bb")) for r in RE.plane_correlations(f, KEYS, ["u"], ["v"], 2).collect()} for f in (frame, far)]
+    assert sums[0] == sums[1] and len(sums[0]) == 6 * 25
+    names = ("state", "checks", "dy", "dx", "first_residual", "residual")
+    headers = frame.select(*KEYS).distinct().select(
+        *KEYS, F.lit("x").alias("crs_a"), F.lit("x").alias("crs_b"), F.lit(1.0).alias("gsd_a"), F.lit(1.0).alias("gsd_b"),
+        (F.col("scene_id") != 2).alias("same_grid"), F.lit(False).alias("pregeoreferenced"), F.lit(0.8).alias("unit"),
+    )
+    one, other = ({(r["scene_id"], r["part"]): tuple(r[n] for n in names) for r in RE.registration_report(f, ["u"], ["v"], headers, KEYS, cross_modal=False, search=3, refine=0).collect()} for f in (frame, far))
+    assert one == other and len(one) == 6
+    assert one[0, "a"][0] == "corrected" and one[1, "b"][0] == "registered" and one[2, "a"][0] == "refused_grid"
