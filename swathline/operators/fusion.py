@@ -4,25 +4,43 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from swathline import config as C
+from swathline.operators.frames import Planes, ragged_percentile, with_block_facts
 from swathline.operators.joins import attach
 from swathline.operators.stats import exact_percentiles
 
 
-def disagreement_hints(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Bare-soil pixel flag and arid-scene flag from NDVI and visible brightness."""
+#: Facts of a scene that a pixel's hints are judged by.
+CUTS = {"bright_cut": "double", "ndvi_median": "double"}
+
+
+def disagreement_hints(pixels: DataFrame, keys: Sequence[str], carried: Sequence[str] = ()) -> DataFrame:
+    """Bare-soil pixel flag and arid-scene flag from NDVI and visible brightness, beside the columns ``carried``.
+
+    A scene's brightness cut and median NDVI are taken where its pixels meet; scenes over several blocks have them joined.
+    """
+    keys = list(keys)
     ndvi = F.when(F.col("nir") + F.col("red") != 0, (F.col("nir") - F.col("red")) / (F.col("nir") + F.col("red")))
-    base = pixels.select(*keys, "r", "c", ndvi.alias("ndvi"), ((F.col("red") + F.col("green")) / 2).alias("bright")).where(
-        F.col("ndvi").isNotNull()
-    )
+    base = pixels.select(*keys, "r", "c", ndvi.alias("ndvi"), ((F.col("red") + F.col("green")) / 2).alias("bright"), *carried)
+    base = base.where(F.col("ndvi").isNotNull()).dropna(subset=keys)
+
+    def work(values: Planes, of: np.ndarray) -> Planes:
+        return {"bright_cut": ragged_percentile(values["bright"], of, C.SOIL_BRIGHTNESS_PERCENTILE), "ndvi_median": ragged_percentile(values["ndvi"], of, 0.5)}
+
+    cut = with_block_facts(base, keys, ["bright", "ndvi"], CUTS, work, lambda some: attach(some, scene_cuts(some, keys), keys)).where("bright_cut IS NOT NULL")
+    soil = (F.col("ndvi") < C.SOIL_NDVI_MAX) & (F.col("bright") > F.col("bright_cut"))
+    return cut.select(*keys, "r", "c", "ndvi", soil.alias("soil"), (F.col("ndvi_median") < C.ARID_NDVI_MAX).alias("arid"), *carried)
+
+
+def scene_cuts(base: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys`` and :data:`CUTS` of scenes of any size."""
     cut = exact_percentiles(base, keys, "bright", {"bright_cut": C.SOIL_BRIGHTNESS_PERCENTILE}).drop("n")
     median = exact_percentiles(base, keys, "ndvi", {"ndvi_median": 0.5}).drop("n")
-    scene = cut.join(median, list(keys)).withColumn("arid", F.col("ndvi_median") < C.ARID_NDVI_MAX)
-    soil = (F.col("ndvi") < C.SOIL_NDVI_MAX) & (F.col("bright") > F.col("bright_cut"))
-    return attach(base, scene, keys).select(*keys, "r", "c", "ndvi", soil.alias("soil"), "arid")
+    return cut.join(median, list(keys))
 
 
 def grid_mismatch(first: DataFrame, second: DataFrame, keys: Sequence[str]) -> DataFrame:

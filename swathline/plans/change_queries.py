@@ -114,12 +114,11 @@ CASE WHEN NOT has_sar THEN 'single_modality' WHEN iou >= 0.6 THEN 'consistent' W
 
 
 def sensor_masks(v):
-    hints = FU.disagreement_hints(v.px, SCENE)
+    """Masks and hints side by side; pixels without a place count for their scene's cuts only."""
     sar = F.when(F.col("scene_id") % 10 != 9, F.col("vv") <= F.lit(-16.0) - F.col("scene_id") % 7)
-    return v.px.join(hints, PIXEL).select(
-        *PIXEL, F.expr(OPTICAL_WATER).alias("optical"), sar.alias("sar"), "soil",
-        ((F.col("scene_id") % 6 == 1) & (F.col("r") < 9)).alias("slope"), "arid",
-    )
+    masks = v.px.select("*", F.expr(OPTICAL_WATER).alias("optical"), sar.alias("sar"), ((F.col("scene_id") % 6 == 1) & (F.col("r") < 9)).alias("slope"))
+    hints = FU.disagreement_hints(masks, SCENE, ["optical", "sar", "slope"]).dropna(subset=PIXEL)
+    return hints.select(*PIXEL, "optical", "sar", "soil", "slope", "arid")
 
 
 def water_or_builtup():

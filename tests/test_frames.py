@@ -244,3 +244,49 @@ def test_correlations_and_report_of_whole_frames_like_those_over_blocks(spark):
     one, other = ({(r["scene_id"], r["part"]): tuple(r[n] for n in names) for r in RE.registration_report(f, ["u"], ["v"], headers, KEYS, cross_modal=False, search=3, refine=0).collect()} for f in (frame, far))
     assert one == other and len(one) == 6
     assert one[0, "a"][0] == "corrected" and one[1, "b"][0] == "registered" and one[2, "a"][0] == "refused_grid"
+
+
+def sparse_pixels(spark):
+    """Scenes with holes, a cell that comes twice, NULL bands, a pixel without a place, a scene in parts of two blocks and one without a key."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(7):
+        for r, c in np.ndindex(12, 12):
+            if rng.random() < 0.5:
+                red, green, nir = (float(x) for x in rng.integers(1, 90, 3))
+                rows.append((None if i == 6 else i, "a", r + (400 if i == 2 and r > 5 else 0), c, None if i == 3 and c < 4 else red, None if i == 5 else green, nir if r else None))
+    rows += [rows[0], (1, "a", None, 3, 80.0, 85.0, 4.0), (4, "a", 1, None, 80.0, 85.0, 84.0)]
+    return spark.createDataFrame(rows, "scene_id long, part string, r long, c long, red double, green double, nir double")
+
+
+def test_hints_of_scenes_with_holes_like_joined_ones(spark):
+    from swathline.operators import fusion as FU
+
+    pixels = sparse_pixels(spark).withColumn("mark", F.col("red") + 1)
+    # Moved so that blocks cut every scene.
+    far = pixels.withColumns({"r": F.col("r") + 115, "c": F.col("c") + 113})
+    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    got = FU.disagreement_hints(pixels, KEYS, ["mark"])
+    other = FU.disagreement_hints(far, KEYS, ["mark"]).withColumns({"r": F.col("r") - 115, "c": F.col("c") - 113})
+    assert rows(got) == rows(other)
+    base = pixels.withColumn("ndvi", (F.col("nir") - F.col("red")) / (F.col("nir") + F.col("red"))).where("ndvi IS NOT NULL")
+    cuts = {r["scene_id"]: (r["cut"], r["median"]) for r in base.groupBy("scene_id").agg(F.expr("percentile((red + green) / 2, 0.6)").alias("cut"), F.expr("percentile(ndvi, 0.5)").alias("median")).collect()}
+    want = []
+    for r in base.where("scene_id IS NOT NULL AND scene_id <> 5").collect():
+        cut, median = cuts[r["scene_id"]]
+        bright = None if r["green"] is None else (r["red"] + r["green"]) / 2
+        want.append((r["scene_id"], "a", r["r"], r["c"], pytest.approx(r["ndvi"]), r["ndvi"] < 0.15 and bright > cut, median < 0.1, r["mark"]))
+    assert rows(got) == sorted(want, key=lambda t: repr((*t[:4], got_ndvi(t[4]), *t[5:])))
+
+
+def got_ndvi(x):
+    return x.expected
+
+
+def test_masks_meet_their_hints_without_a_join(spark):
+    """Cuts are taken where a scene's pixels meet and stored with the masks; before, pixels were joined to them twice."""
+    import __spark_entry__ as entrypoint
+
+    made = entrypoint.queries()["FU07_classify_disagreement"](spark, "/root/testdata/sf0.001")
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "lineitem" not in plan and "l_suppkey" not in plan
